@@ -43,21 +43,35 @@ class CorpusCounts:
     def __init__(self, docs: DataFrame, id_col: str, text_col: str, keys_per_byte: float):
         kept = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
         total = kept.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+        self._deal(total, keys_per_byte)
+        self.whole = False
+        self.docs = kept.withColumn("block", F.pmod(F.xxhash64(F.lit(41), "id"), F.lit(self.blocks)).cast("long"))
+
+    @classmethod
+    def of_blocks(cls, rows: DataFrame, keys_per_byte: float) -> CorpusCounts:
+        """Over any rows with ``id`` (long) and ``text``; all rows of one id are in one block, with all their columns."""
+        me = object.__new__(cls)
+        total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+        me._deal(total, keys_per_byte)
+        me.docs = rows.withColumn("block", F.pmod(F.xxhash64(F.lit(41), "id"), F.lit(me.blocks)).cast("long"))
+        me.whole = True
+        return me
+
+    def _deal(self, total: int, keys_per_byte: float) -> None:
         self.blocks = max(1, -(-total // BLOCK_BYTES))
         self.parts = max(1, int(-(-total * keys_per_byte // PART_KEYS)))
-        self.docs = kept.withColumn("block", F.pmod(F.xxhash64(F.lit(41), "id"), F.lit(self.blocks)).cast("long"))
 
     def part_edges(self, keys: np.ndarray) -> np.ndarray:
         """Where the keys of each part begin among ascending keys; the last is their number."""
         part = ((keys >> np.uint64(32)) * np.uint64(self.parts)) >> np.uint64(32)
         return np.searchsorted(part, np.arange(self.parts + 1, dtype=np.uint64))
 
-    def replies(self, count: Callable[[pa.Array], tuple[np.ndarray, np.ndarray]]) -> DataFrame:
-        """``count`` gives the ascending distinct keys of a column of texts and their counts."""
-        me = self._plain()
+    def replies(self, count: Callable[[pa.Array | pa.Table], tuple[np.ndarray, np.ndarray]]) -> DataFrame:
+        """``count`` gives the ascending distinct keys of a column of texts (of whole rows, if made by ``of_blocks``) and their counts."""
+        me, whole = self._plain(), self.whole
 
         def ask(table: pa.Table) -> pa.Table:
-            keys, counts = count(_texts(table))
+            keys, counts = count(table if whole else _texts(table))
             edges = me.part_edges(keys)
             spans = [(a, b) for a, b in zip(edges[:-1], edges[1:], strict=True)]
             rows = [k for k, (a, b) in enumerate(spans) if b > a]

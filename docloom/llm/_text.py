@@ -50,17 +50,22 @@ def _powers(base: int, n: int) -> np.ndarray:
 
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """A 64-bit hash of the bytes of each span ``data[start:end]``; equal bytes have equal hashes anywhere. ``starts`` ascend."""
-    out = np.empty(len(starts), dtype=np.uint64)
-    edges = np.searchsorted(starts, np.arange(0, len(data) + _WINDOW, _WINDOW))
+    return family_hashes(data, starts, starts[None], ends[None])[0]
+
+
+def family_hashes(data: np.ndarray, base: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """``span_hashes`` of several spans (rows of ``starts`` and ``ends``) at each of ascending ``base`` places, none before its base."""
+    out = np.empty(starts.shape, dtype=np.uint64)
+    edges = np.searchsorted(base, np.arange(0, len(data) + _WINDOW, _WINDOW))
     for k, (lo, hi) in enumerate(zip(edges[:-1], edges[1:], strict=True)):
         if lo == hi:
             continue
-        base = k * _WINDOW
-        part = data[base : int(ends[lo:hi].max())]
+        at = k * _WINDOW
+        part = data[at : int(ends[:, lo:hi].max())]
         sums = np.zeros(len(part) + 1, dtype=np.uint64)
         np.cumsum((part.astype(np.uint64) + np.uint64(1)) * _powers(_BASE, len(part))[: len(part)], out=sums[1:])
-        s, e = starts[lo:hi] - base, ends[lo:hi] - base
-        out[lo:hi] = mix((sums[e] - sums[s]) * _powers(_BASE_INVERSE, len(part) + 1)[s] + (e - s).astype(np.uint64))
+        s, e = starts[:, lo:hi] - at, ends[:, lo:hi] - at
+        out[:, lo:hi] = mix((sums[e] - sums[s]) * _powers(_BASE_INVERSE, len(part) + 1)[s] + (e - s).astype(np.uint64))
     return out
 
 

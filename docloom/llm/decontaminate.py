@@ -86,7 +86,7 @@ def _merge(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
 def _scan(docs: DataFrame, sent: _Sent) -> DataFrame:
     """Adds the occurrences of one automaton's windows to ``ranges`` (of words) and ``items``."""
     schema = docs.schema
-    at = schema.names.index("text")
+    at = 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         automaton = _automaton(sent)
@@ -114,7 +114,7 @@ def _scan(docs: DataFrame, sent: _Sent) -> DataFrame:
     return docs.mapInArrow(run, schema)
 
 
-def find_contamination(docs: DataFrame, items: DataFrame, width: int = 10, windows_per_automaton: int = 500_000, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+def find_contamination(docs: DataFrame, items: DataFrame, width: int = 10, windows_per_automaton: int = 500_000, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", carry: bool = False) -> DataFrame:
     """Words of every document that lie in occurrences of benchmark windows.
 
     Words are ASCII letters and digits and non-ASCII characters, in ASCII lower case. A window is ``width``
@@ -122,7 +122,7 @@ def find_contamination(docs: DataFrame, items: DataFrame, width: int = 10, windo
     benchmarks of more than ``windows_per_automaton`` windows are dealt to several automata of at most about
     that size, whose scans follow each other without a shuffle.
 
-    Returns id, text, n_words, ranges (merged ranges of words: first, and the one behind the last) and items
+    Returns id, text, row (with ``carry``: all columns as one struct), n_words, ranges (merged ranges of words: first, and the one behind the last) and items
     (ids of items with occurring windows, ascending). Null and empty texts have no words. Repeated rows get a
     row each, empty tables give no rows or no hits; other columns are not read.
     """
@@ -130,7 +130,7 @@ def find_contamination(docs: DataFrame, items: DataFrame, width: int = 10, windo
     all_windows = windows(items, width, item_col, item_text_col)
     parts = -(-all_windows.count() // windows_per_automaton) or 1
     item_kind = items.schema[item_col].dataType.simpleString()
-    out = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.lit(0).cast("long").alias("n_words"), F.expr("cast(array() as array<struct<first:int,last:int>>)").alias("ranges"), F.expr(f"cast(array() as array<{item_kind}>)").alias("items"))
+    out = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), *([F.struct("*").alias("row")] if carry else []), F.lit(0).cast("long").alias("n_words"), F.expr("cast(array() as array<struct<first:int,last:int>>)").alias("ranges"), F.expr(f"cast(array() as array<{item_kind}>)").alias("items"))
     for k in range(parts):
         rows = all_windows.where(F.pmod(F.xxhash64("window"), F.lit(parts)) == k).collect()  # bounded by windows_per_automaton
         out = _scan(out, _Sent(spark.sparkContext.broadcast([(r["window"], r["items"]) for r in rows])))

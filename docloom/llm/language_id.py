@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from docloom.llm._sample import by_class
 from docloom.llm._text import Words, steps
@@ -194,14 +195,14 @@ def _has_letter(texts: pa.Array) -> np.ndarray:
     return out
 
 
-def identify(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def identify(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_col: str = "text", carry: bool = False) -> DataFrame:
     """The likeliest language of every text and its posterior probability.
 
     Null texts, texts without a letter, and all texts of a model without languages are ``und`` with score 0.
-    Equal languages go to the first by name. Repeated rows get a row each, an empty table an empty result;
-    columns other than id and text are not read.
+    Equal languages go to the first by name. Repeated rows get a row each, an empty table an empty result.
+    Columns other than id and text are not read, or come back as one struct, ``row``, with all others (``carry``).
     """
-    kept = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    kept = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), *([F.struct("*").alias("row")] if carry else []))
     sent = docs.sparkSession.sparkContext.broadcast(model)  # a fixed vocabulary times the languages
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -217,6 +218,8 @@ def identify(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text
                     has = _has_letter(texts)
                     lang = [m.languages[b] if h else UNKNOWN for b, h in zip(best, has, strict=True)]
                     score = np.where(has, top, 0.0)
-                yield pa.RecordBatch.from_arrays([step.column(0), pa.array(lang, pa.string()), pa.array(score)], names=[id_col, "lang_pred", "score"])
+                names = [id_col, *["row"] * carry, "lang_pred", "score"]
+                yield pa.RecordBatch.from_arrays([step.column(0), *step.columns[2:], pa.array(lang, pa.string()), pa.array(score)], names=names)
 
-    return kept.mapInArrow(run, f"`{id_col}` {kept.schema['id'].dataType.simpleString()}, lang_pred string, score double")
+    schema = StructType([StructField(id_col, kept.schema["id"].dataType), *kept.schema.fields[2:], StructField("lang_pred", StringType()), StructField("score", DoubleType())])
+    return kept.mapInArrow(run, schema)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docloom.llm import decontaminate, language_id, lm_scoring, packing, quality, token_counts, topk_search, toxicity
+from docloom.llm import decontaminate, language_id, line_dedup, lm_scoring, minhash_dedup, packing, quality, token_counts, topk_search, toxicity
 from docloom.llm._sample import id_remainder
 from docloom.session import read_table
 
@@ -44,6 +44,14 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score_documents(docs, model).select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
+def op7_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash_dedup.near_duplicates(read_table(spark, sf_dir, "documents"), threshold=0.8)
+
+
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.line_report(line_dedup.dedup_lines(read_table(spark, sf_dir, "documents")))
+
+
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     held_out = id_remainder("doc_id", 4) == 2
@@ -56,7 +64,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_lm_scoring, op2_topk_search, op3_decontamination, op4_toxicity, op5_packing, op6_quality, op9_language_id, op10_token_counts)
+    f.__name__: f for f in (op1_lm_scoring, op2_topk_search, op3_decontamination, op4_toxicity, op5_packing, op6_quality, op7_minhash_dedup, op8_line_dedup, op9_language_id, op10_token_counts)
 }
 
 _DOC_WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
