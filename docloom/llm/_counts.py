@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Bytes of text of a block, and keys of a part, on average.
-BLOCK_BYTES, PART_KEYS = 24 << 20, 3_000_000
+BLOCK_BYTES, PART_KEYS = 10 << 20, 1_500_000
 REPLY = "block long, part int, place binary, total binary"
 
 

@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from docloom.llm._classes import classes, release
 from docloom.llm._counts import CorpusCounts, _texts
@@ -257,7 +258,7 @@ def dedup_lines(docs: DataFrame, edits: int = 2, id_col: str = "doc_id", text_co
             columns = [*batch.columns[:at], pa.array(out, texts.type), *batch.columns[at + 1 : -1], pa.array(n_lines, pa.int64()), pa.array(n_kept, pa.int64())]
             yield pa.RecordBatch.from_arrays(columns, names=[*names, "__n_lines", "__n_kept"])
 
-    out = joined.mapInArrow(run, schema.add("__n_lines", "long").add("__n_kept", "long"))
+    out = joined.mapInArrow(run, StructType([*schema.fields, StructField("__n_lines", LongType()), StructField("__n_kept", LongType())]))
     clash = {"n_lines", "n_kept"} & {n.lower() for n in names}
     return out if clash else out.withColumnsRenamed({"__n_lines": "n_lines", "__n_kept": "n_kept"})
 
