@@ -1,16 +1,18 @@
 """Classes of items that verified links connect, from buckets of items that may be alike.
 
 No bucket is ever gathered and no bucket emits all its pairs. In each round the members of a bucket meet a few
-leaders: those members whose hash falls into the round's slice of the unit interval. Slices double from round to
-round until they have covered everything, so any two members of a bucket that are not yet in one class meet in the
+leaders: those members whose hash falls into the round's slice of the unit interval. Slices grow fourfold from round
+to round until they have covered everything, so any two members of a bucket that are not yet in one class meet in the
 end; buckets whose members all are in one class leave at once.
 """
 
 from __future__ import annotations
 
 import gc
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -26,34 +28,79 @@ def release(df: DataFrame) -> None:
     df.sparkSession.sparkContext._jvm.System.gc()
 
 
+class Forest:
+    """Union-find over numbers from 0; a root is the least of its tree."""
+
+    def __init__(self, n: int):
+        self.up = list(range(n))
+
+    def root(self, x: int) -> int:
+        up = self.up
+        while up[x] != x:
+            up[x] = up[up[x]]
+            x = up[x]
+        return x
+
+    def join(self, x: int, y: int) -> bool:
+        """Whether they were apart."""
+        x, y = self.root(x), self.root(y)
+        self.up[max(x, y)] = min(x, y)
+        return x != y
+
+
+def _local_roots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Within a partition's edges, each node (but roots) and the least node that it is connected to."""
+    edges = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches]
+    if not edges:
+        return
+    ends = np.concatenate([np.concatenate(c) for c in zip(*edges, strict=True)])
+    nodes, number = np.unique(ends, return_inverse=True)
+    forest, half = Forest(len(nodes)), len(ends) // 2
+    for x, y in zip(number[:half].tolist(), number[half:].tolist(), strict=True):
+        forest.join(x, y)
+    roots = np.array([forest.root(x) for x in range(len(nodes))])
+    below = np.flatnonzero(roots != np.arange(len(nodes)))
+    yield pa.RecordBatch.from_arrays([pa.array(nodes[below]), pa.array(nodes[roots[below]])], names=["id", "root"])
+
+
+#: Edges that one partition connects at once.
+EDGES = 500_000
+
+
 def connected(links: DataFrame, rounds: int = 60) -> DataFrame:
     """``id`` and ``label`` of every end of a link; ends have one label if links connect them.
 
-    Each round, every node takes the label of its neighbour with the least hash of that round, if that is less than
-    its own, and edges move to the labels; so the graph shrinks by a constant share in expectation.
+    In each round, partitions of at most about ``EDGES`` edges find their own trees. A node goes to the least root that it
+    has in any partition, and its other roots are edges of the next round; a new hash deals the edges each time.
     """
-    edges = cut(links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-    labels = cut(edges.select(F.explode(F.array("a", "b")).alias("id")).distinct().withColumn("label", F.col("id")))
+    edges, labels = cut(links.select("a", "b").where("a <> b")), None
     for k in range(rounds):
-        if edges.isEmpty():
-            return labels
-        both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        rank = F.struct(F.xxhash64(F.lit(k), "b").alias("h"), F.col("b").alias("to"))
-        own = F.struct(F.xxhash64(F.lit(k), "a").alias("h"), F.col("a").alias("to"))
-        moves = both.groupBy("a").agg(F.min(rank).alias("best")).where(F.col("best") < own).select(F.col("a").alias("was"), F.col("best.to").alias("now"))
-        moves = cut(moves)
-        for c in ("a", "b"):
-            edges = edges.join(moves, edges[c] == moves["was"], "left").withColumn(c, F.coalesce("now", c)).select("a", "b")
-        edges = cut(edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-        labels = cut(labels.join(moves, F.col("label") == F.col("was"), "left").select("id", F.coalesce("now", "label").alias("label")))
-    raise RuntimeError("the links did not shrink to labels")
-
-
-def classes(rows: DataFrame, verify: Callable[[DataFrame], DataFrame], leaders: int = LEADERS) -> DataFrame:
-    """``id`` and ``label`` of all items that ``verify`` links to another; items without a link are not returned.
+        n = edges.count()
+        if not n:
+            break
+        dealt = edges.repartition(-(-n // EDGES), F.xxhash64(F.lit(k), F.greatest("a", "b") if k % 2 else F.least("a", "b")))
+        roots = dealt.mapInArrow(_local_roots, "id long, root long").groupBy("id").agg(F.min("root").alias("now"), F.collect_set("root").alias("roots"))
+        roots = cut(roots)
+        edges = cut(roots.select(F.col("now").alias("a"), F.explode("roots").alias("b")).where("a <> b").distinct())
+        moves = roots.select(F.col("id").alias("was"), "now")
+        if labels is None:
+            labels = moves.select(F.col("was").alias("id"), F.col("now").alias("label"))
+        else:
+            old = labels.join(moves, F.col("label") == F.col("was"), "left").select("id", F.coalesce("now", "label").alias("label"))
+            fresh = moves.join(labels.select(F.col("id").alias("was")), "was", "left_anti").select(F.col("was").alias("id"), F.col("now").alias("label"))
+            labels = cut(old.union(fresh))
+    else:
+        raise RuntimeError("the links did not shrink to labels")
+    if labels is None:
+        return links.sparkSession.createDataFrame([], "id long, label long")
+    return labels.union(labels.select(F.col("label").alias("id"), "label").distinct()).dropDuplicates(["id"])
+
+
+def classes(rows: DataFrame, verify: Callable[[DataFrame], DataFrame], leaders: int = LEADERS, rounds: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """``id`` and ``label`` of all items that ``verify`` links to another; items without a link are not returned. And the links.
 
     ``rows`` has (bucket, id), each pair once; ``verify`` takes pairs (a, b) and returns those that are links. Every two items
-    that share a bucket are verified, or are in one class already.
+    that share a bucket are verified, or are in one class already, unless ``rounds`` ends this earlier.
     """
     spark = rows.sparkSession
     sizes = rows.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
@@ -61,9 +108,9 @@ def classes(rows: DataFrame, verify: Callable[[DataFrame], DataFrame], leaders:
     live = cut(rows.join(sizes, "bucket").select("bucket", "id", "n", u.alias("u")))
     links = spark.createDataFrame([], "a long, b long")
     labels = spark.createDataFrame([], "id long, label long")
-    low = 0
+    low = turn = 0
     while not live.isEmpty():
-        high = 2 * low + leaders
+        high = 4 * low + leaders
         labelled = live.join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
         place = F.col("u") * F.col("n")
         # small buckets: all members lead; the slice of a large one is a share of the unit interval
@@ -76,8 +123,10 @@ def classes(rows: DataFrame, verify: Callable[[DataFrame], DataFrame], leaders:
         if not found.isEmpty():
             links = cut(links.union(found))
             labels = connected(links)
-        low = high
+        low, turn = high, turn + 1
+        if turn == rounds:
+            break
         open_ = live.where(F.col("n") > max(low, leaders))  # others have met all their members
         mixed = open_.join(labels, "id", "left").groupBy("bucket").agg(F.min(F.coalesce("label", "id")).alias("x"), F.max(F.coalesce("label", "id")).alias("y")).where("x <> y")
         live = cut(open_.join(mixed, "bucket", "left_semi"))
-    return labels
+    return labels, links

@@ -212,7 +212,7 @@ def kept_lines(docs: DataFrame, edits: int = 2) -> DataFrame:
     met = near.select("line", F.explode(F.arrays_zip("keys", "own")).alias("k")).groupBy(F.col("k.keys").alias("bucket"), F.col("line").alias("id")).agg(F.max("k.own").alias("own"))
     # only a key that is some line's own segment can be shared by lines within the edits
     rows = met.join(met.groupBy("bucket").agg(F.max("own").alias("any"), F.count("*").alias("n")).where("any and n > 1").select("bucket"), "bucket").select("bucket", "id")
-    labels = classes(rows, _verify(cut(near.select("line", "bytes")), edits))
+    labels, _ = classes(rows, _verify(cut(near.select("line", "bytes")), edits))
     placed = near.select("line", "doc", "number").join(labels.withColumnRenamed("id", "line"), "line")
     best = placed.groupBy("label").agg(F.min(F.struct("doc", "number", "line")).alias("best")).select("label", F.col("best.line").alias("best"))
     gone = placed.join(best, "label").where("line <> best").select("line")

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docloom.llm._classes import classes, release
+from docloom.llm._classes import Forest, classes, connected, release
 from docloom.llm._counts import CorpusCounts, _texts, pack_sorted, unpack_sorted
 from docloom.llm._text import Words, gram_hash, mix
 from docloom.session import cut
@@ -160,6 +160,63 @@ def similar(vectors: DataFrame, threshold: float):
     return verify
 
 
+#: Members of a bucket that one task compares with as many others at once.
+BLOCK = 512
+
+
+def _similar_in_block(ids: np.ndarray, labels: np.ndarray, asking: np.ndarray, vectors: list[tuple[np.ndarray, np.ndarray]], totals: np.ndarray, threshold: float) -> list[tuple[int, int]]:
+    """Links between the rows that ask and all rows of other labels; of links that connect the same classes, one is enough."""
+    sizes = np.array([len(k) for k, _ in vectors])
+    begin = np.append(0, np.cumsum(sizes))
+    columns, which = np.unique(np.concatenate([k for k, _ in vectors]), return_inverse=True)
+    weight = np.concatenate([w for _, w in vectors])
+    some = np.flatnonzero(sizes)
+    number = np.unique(labels, return_inverse=True)[1]
+    forest, out = Forest(int(number.max()) + 1), []
+    mark = np.zeros(len(columns))
+    for i in np.flatnonzero(asking):
+        span = slice(begin[i], begin[i + 1])
+        mark[which[span]] = weight[span]
+        both = np.zeros(len(ids))
+        both[some] = np.add.reduceat(np.minimum(mark[which], weight), begin[:-1][some])
+        mark[which[span]] = 0
+        for j in np.flatnonzero((both >= threshold * (totals[i] + totals - both) - 1e-6) & (number != number[i])).tolist():
+            if forest.join(int(number[i]), int(number[j])):
+                out.append((int(ids[i]), int(ids[j])))
+    return out
+
+
+def links_across(rows: DataFrame, labels: DataFrame, vectors: DataFrame, threshold: float, block: int = BLOCK) -> DataFrame:
+    """Links between classes that still share a bucket.
+
+    In each bucket, members outside its largest class ask all members. Buckets are cut by a hash into blocks of about
+    ``block`` askers and members, which tasks compare as sparse matrices; only links that connect classes come out.
+    """
+    labelled = rows.join(labels, "id", "left").select("bucket", "id", F.coalesce("label", "id").alias("label"))
+    per_class = labelled.groupBy("bucket", "label").agg(F.count("*").alias("n"))
+    buckets = per_class.groupBy("bucket").agg(F.count("*").alias("classes"), F.sum("n").alias("n"), F.max(F.struct("n", "label"))["label"].alias("main"), (F.sum("n") - F.max("n")).alias("asking")).where("classes > 1")
+    cuts = buckets.select("bucket", "main", F.ceil(F.col("asking") / block).cast("int").alias("s"), F.ceil(F.col("n") / block).cast("int").alias("t"))
+    open_ = cut(labelled.join(cuts, "bucket"))
+    place = F.xxhash64(F.lit(13), "id")
+    asks = open_.where("label <> main").withColumns({"s": F.pmod(place, F.col("s")).cast("int"), "t": F.explode(F.sequence(F.lit(0), F.col("t") - 1)), "asks": F.lit(True)})
+    members = open_.withColumns({"t": F.pmod(place, F.col("t")).cast("int"), "s": F.explode(F.sequence(F.lit(0), F.col("s") - 1)), "asks": F.lit(False)})
+    names = ["bucket", "s", "t", "id", "label"]
+    # a bucket of one block has its askers among its members
+    both = asks.select(*names, "asks").union(members.select(*names, "asks")).groupBy(*names).agg(F.max("asks").alias("asks"))
+    full = both.join(vectors.select("id", "shared", "weight", "total"), "id")
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.combine_chunks()
+        vs = []
+        for shared, packed in zip(table.column("shared").to_pylist(), table.column("weight").to_pylist(), strict=True):
+            keys = unpack_sorted(shared)
+            vs.append((keys, np.frombuffer(packed, "<f4").astype(float) if packed else np.ones(len(keys))))
+        found = _similar_in_block(table.column("id").to_numpy(), table.column("label").to_numpy(), table.column("asks").to_numpy(), vs, table.column("total").to_numpy(), threshold)
+        return pa.table({"a": pa.array([a for a, _ in found], pa.int64()), "b": pa.array([b for _, b in found], pa.int64())})
+
+    return full.groupBy("bucket", "s", "t").applyInArrow(run, "a long, b long")
+
+
 def near_duplicates(docs: DataFrame, threshold: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Classes of documents that links of weighted Jaccard similarity ``threshold`` or more connect: id and class_id, a row for each id.
 
@@ -176,7 +233,11 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, id_col: str = "doc_
     reps = found.join(same.select("rep", F.col("words").alias("w")), (F.col("id") == F.col("rep")) & (F.col("words") == F.col("w"))).dropDuplicates(["id"])
     reps = cut(reps.select("id", "bands", "shared", "weight", "total"))
     rows = reps.select("id", F.explode("bands").alias("bucket")).select("bucket", "id").distinct()
-    labels = classes(rows, similar(reps, threshold))
+    # first a few leaders of each bucket, which settles most members; then all that are not in one class yet
+    labels, links = classes(rows, similar(reps, threshold), rounds=1)
+    more = cut(links_across(rows, labels, reps, threshold))
+    if not more.isEmpty():
+        labels = connected(links.union(more))
     of = members.join(labels.withColumnRenamed("id", "rep"), "rep", "left").select("id", F.coalesce("label", "rep").alias("label"))
     least = of.groupBy("label").agg(F.min("id").alias("least"))
     of = cut(of.join(least, "label").groupBy("id").agg(F.min("least").alias("least")))
