@@ -9,6 +9,7 @@ end; buckets whose members all are in one class leave at once.
 from __future__ import annotations
 
 import gc
+import time
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -24,8 +25,10 @@ LEADERS = 6
 
 def release(df: DataFrame) -> None:
     """Let Spark clean shuffle files whose DataFrames are gone; without this they stay until the driver collects garbage."""
-    gc.collect()
-    df.sparkSession.sparkContext._jvm.System.gc()
+    for _ in range(2):  # what the first one lets go of is found by the second
+        gc.collect()
+        df.sparkSession.sparkContext._jvm.System.gc()
+        time.sleep(0.5)
 
 
 class Forest:
@@ -130,3 +133,27 @@ def classes(rows: DataFrame, verify: Callable[[DataFrame], DataFrame], leaders:
         mixed = open_.join(labels, "id", "left").groupBy("bucket").agg(F.min(F.coalesce("label", "id")).alias("x"), F.max(F.coalesce("label", "id")).alias("y")).where("x <> y")
         live = cut(open_.join(mixed, "bucket", "left_semi"))
     return labels, links
+
+
+#: Members of a bucket that one task compares with as many others at once.
+BLOCK = 512
+
+
+def across(rows: DataFrame, labels: DataFrame, payload: DataFrame, run: Callable[[pa.Table], pa.Table], block: int = BLOCK) -> DataFrame:
+    """Pairs (a, b) that ``run`` finds between classes that still share a bucket.
+
+    In each bucket, members outside its largest class ask all members. Buckets are cut by a hash into blocks of about
+    ``block`` askers and members; ``run`` gets a block's members: id, label, asks and the columns of ``payload`` (by id).
+    """
+    labelled = rows.join(labels, "id", "left").select("bucket", "id", F.coalesce("label", "id").alias("label"))
+    per_class = labelled.groupBy("bucket", "label").agg(F.count("*").alias("n"))
+    buckets = per_class.groupBy("bucket").agg(F.count("*").alias("classes"), F.sum("n").alias("n"), F.max(F.struct("n", "label"))["label"].alias("main"), (F.sum("n") - F.max("n")).alias("asking")).where("classes > 1")
+    cuts = buckets.select("bucket", "main", F.ceil(F.col("asking") / block).cast("int").alias("s"), F.ceil(F.col("n") / block).cast("int").alias("t"))
+    open_ = cut(labelled.join(cuts, "bucket"))
+    place = F.xxhash64(F.lit(13), "id")
+    asks = open_.where("label <> main").withColumns({"s": F.pmod(place, F.col("s")).cast("int"), "t": F.explode(F.sequence(F.lit(0), F.col("t") - 1)), "asks": F.lit(True)})
+    members = open_.withColumns({"t": F.pmod(place, F.col("t")).cast("int"), "s": F.explode(F.sequence(F.lit(0), F.col("s") - 1)), "asks": F.lit(False)})
+    names = ["bucket", "s", "t", "id", "label"]
+    # a bucket of one block has its askers among its members
+    both = asks.select(*names, "asks").union(members.select(*names, "asks")).groupBy(*names).agg(F.max("asks").alias("asks"))
+    return both.join(payload, "id").groupBy("bucket", "s", "t").applyInArrow(run, "a long, b long")

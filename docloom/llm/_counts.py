@@ -40,10 +40,10 @@ def unpack_sorted(data: bytes) -> np.ndarray:
 class CorpusCounts:
     """Blocks of documents (``block``, ``id``, ``text``) and the exchange of counts between them."""
 
-    def __init__(self, docs: DataFrame, id_col: str, text_col: str, keys_per_byte: float):
+    def __init__(self, docs: DataFrame, id_col: str, text_col: str, keys_per_byte: float, key_bits: int = 64):
         kept = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
         total = kept.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-        self._deal(total, keys_per_byte)
+        self._deal(total, keys_per_byte, key_bits)
         self.whole = False
         self.docs = kept.withColumn("block", F.pmod(F.xxhash64(F.lit(41), "id"), F.lit(self.blocks)).cast("long"))
 
@@ -57,13 +57,14 @@ class CorpusCounts:
         me.whole = True
         return me
 
-    def _deal(self, total: int, keys_per_byte: float) -> None:
+    def _deal(self, total: int, keys_per_byte: float, key_bits: int = 64) -> None:
+        self.shift = np.uint64(key_bits - 32)
         self.blocks = max(1, -(-total // BLOCK_BYTES))
         self.parts = max(1, int(-(-total * keys_per_byte // PART_KEYS)))
 
     def part_edges(self, keys: np.ndarray) -> np.ndarray:
         """Where the keys of each part begin among ascending keys; the last is their number."""
-        part = ((keys >> np.uint64(32)) * np.uint64(self.parts)) >> np.uint64(32)
+        part = ((keys >> self.shift) * np.uint64(self.parts)) >> np.uint64(32)
         return np.searchsorted(part, np.arange(self.parts + 1, dtype=np.uint64))
 
     def replies(self, count: Callable[[pa.Array | pa.Table], tuple[np.ndarray, np.ndarray]]) -> DataFrame:
@@ -94,7 +95,8 @@ class CorpusCounts:
                 at += len(mine)
                 other = np.flatnonzero(got != mine)
                 place.append(pack_sorted(other.astype(np.uint64)))
-                sums.append(got[other].astype("<u8").tobytes())
+                other = got[other]
+                sums.append(other.astype("<u4" if not len(other) or other.max() < 1 << 32 else "<u8").tobytes())
             return pa.table({"block": table.column("block"), "part": table.column("part"), "place": pa.array(place, pa.binary()), "total": pa.array(sums, pa.binary())})
 
         asked = self.docs.groupBy("block").applyInArrow(ask, "block long, part int, keys binary, counts binary")
@@ -108,7 +110,8 @@ class CorpusCounts:
             def totals(keys: np.ndarray, counts: np.ndarray) -> np.ndarray:
                 out, edges = counts.astype(np.int64), me.part_edges(keys)
                 for part, place, total in zip(*(answers.column(c).to_pylist() for c in ("part", "place", "total")), strict=True):
-                    out[edges[part] + unpack_sorted(place).astype(np.int64)] = np.frombuffer(total, "<u8").astype(np.int64)
+                    at = edges[part] + unpack_sorted(place).astype(np.int64)
+                    out[at] = np.frombuffer(total, "<u4" if len(total) == 4 * len(at) else "<u8").astype(np.int64)
                 return out
 
             return run(docs, totals)
@@ -118,7 +121,7 @@ class CorpusCounts:
     def _plain(self) -> CorpusCounts:
         """Without DataFrames, for tasks."""
         me = object.__new__(CorpusCounts)
-        me.blocks, me.parts = self.blocks, self.parts
+        me.blocks, me.parts, me.shift = self.blocks, self.parts, self.shift
         return me
 
 

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docloom.llm._classes import Forest, classes, connected, release
+from docloom.llm._classes import Forest, across, classes, connected, release
 from docloom.llm._counts import CorpusCounts, _texts, pack_sorted, unpack_sorted
 from docloom.llm._text import Words, gram_hash, mix
 from docloom.session import cut
@@ -20,6 +20,9 @@ BANDS, ROWS = 16, 4
 #: A shingle in this share of all documents or fewer has the full weight of one.
 COMMON = 0.1
 _TABLE = 1 << 16
+#: Document frequencies are kept by the upper 48 bits of a shingle's hash. Two shingles that share them can only seem
+#: more frequent, which changes no weight below a share of ``COMMON`` and keeps a document that could have been left out.
+_DF_SHIFT = np.uint64(16)
 
 
 def shingles(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -48,6 +51,10 @@ def shingles(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nd
     return h[first], doc[first], np.diff(np.append(first, len(h))), whole
 
 
+def _df_key(h: np.ndarray) -> np.ndarray:
+    return np.maximum(h >> _DF_SHIFT, np.uint64(1))
+
+
 def weights(tf: np.ndarray, df: np.ndarray, n_docs: int) -> np.ndarray:
     """(1 + ln tf) times the inverse document frequency ln(1 + n / df), which is scaled to be one at a share of ``COMMON`` and is no larger for rarer shingles."""
     idf = np.minimum(1.0, np.log1p(n_docs / np.maximum(df, 1)) / np.log1p(1 / COMMON))
@@ -100,20 +107,19 @@ def signatures(docs: DataFrame, threshold: float, id_col: str = "doc_id", text_c
     Two texts of similarity ``threshold`` share that part of the weight of each; so a text whose shingles that occur
     in other documents weigh less than that has no near copy and is left out.
     """
-    corpus = CorpusCounts(docs, id_col, text_col, keys_per_byte=0.16)
+    corpus = CorpusCounts(docs, id_col, text_col, keys_per_byte=0.16, key_bits=64 - int(_DF_SHIFT))
 
     def count(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         h, _, _, whole = shingles(texts)
-        keys, counts = np.unique(np.maximum(h, np.uint64(1)), return_counts=True)
+        keys, counts = np.unique(_df_key(h), return_counts=True)
         return np.append(np.uint64(0), keys), np.append((whole != 0).sum(), counts).astype(np.uint64)
 
     def run(table: pa.Table, totals) -> pa.Table:
         texts = _texts(table)
         h, doc, tf, whole = shingles(texts)
-        h = np.maximum(h, np.uint64(1))
         keys, counts = count(texts)
         total = totals(keys, counts)
-        df = total[np.searchsorted(keys, h)]
+        df = total[np.searchsorted(keys, _df_key(h))]
         weight = weights(tf, df, int(total[0]))
         n = len(texts)
         sums, common = np.bincount(doc, weights=weight, minlength=n), np.bincount(doc, weights=weight * (df > 1), minlength=n)
@@ -160,10 +166,6 @@ def similar(vectors: DataFrame, threshold: float):
     return verify
 
 
-#: Members of a bucket that one task compares with as many others at once.
-BLOCK = 512
-
-
 def _similar_in_block(ids: np.ndarray, labels: np.ndarray, asking: np.ndarray, vectors: list[tuple[np.ndarray, np.ndarray]], totals: np.ndarray, threshold: float) -> list[tuple[int, int]]:
     """Links between the rows that ask and all rows of other labels; of links that connect the same classes, one is enough."""
     sizes = np.array([len(k) for k, _ in vectors])
@@ -186,35 +188,19 @@ def _similar_in_block(ids: np.ndarray, labels: np.ndarray, asking: np.ndarray, v
     return out
 
 
-def links_across(rows: DataFrame, labels: DataFrame, vectors: DataFrame, threshold: float, block: int = BLOCK) -> DataFrame:
-    """Links between classes that still share a bucket.
-
-    In each bucket, members outside its largest class ask all members. Buckets are cut by a hash into blocks of about
-    ``block`` askers and members, which tasks compare as sparse matrices; only links that connect classes come out.
-    """
-    labelled = rows.join(labels, "id", "left").select("bucket", "id", F.coalesce("label", "id").alias("label"))
-    per_class = labelled.groupBy("bucket", "label").agg(F.count("*").alias("n"))
-    buckets = per_class.groupBy("bucket").agg(F.count("*").alias("classes"), F.sum("n").alias("n"), F.max(F.struct("n", "label"))["label"].alias("main"), (F.sum("n") - F.max("n")).alias("asking")).where("classes > 1")
-    cuts = buckets.select("bucket", "main", F.ceil(F.col("asking") / block).cast("int").alias("s"), F.ceil(F.col("n") / block).cast("int").alias("t"))
-    open_ = cut(labelled.join(cuts, "bucket"))
-    place = F.xxhash64(F.lit(13), "id")
-    asks = open_.where("label <> main").withColumns({"s": F.pmod(place, F.col("s")).cast("int"), "t": F.explode(F.sequence(F.lit(0), F.col("t") - 1)), "asks": F.lit(True)})
-    members = open_.withColumns({"t": F.pmod(place, F.col("t")).cast("int"), "s": F.explode(F.sequence(F.lit(0), F.col("s") - 1)), "asks": F.lit(False)})
-    names = ["bucket", "s", "t", "id", "label"]
-    # a bucket of one block has its askers among its members
-    both = asks.select(*names, "asks").union(members.select(*names, "asks")).groupBy(*names).agg(F.max("asks").alias("asks"))
-    full = both.join(vectors.select("id", "shared", "weight", "total"), "id")
+def _block_check(threshold: float):
+    """For ``across``: similarities within a block of members with their vectors."""
 
     def run(table: pa.Table) -> pa.Table:
         table = table.combine_chunks()
-        vs = []
+        vectors = []
         for shared, packed in zip(table.column("shared").to_pylist(), table.column("weight").to_pylist(), strict=True):
             keys = unpack_sorted(shared)
-            vs.append((keys, np.frombuffer(packed, "<f4").astype(float) if packed else np.ones(len(keys))))
-        found = _similar_in_block(table.column("id").to_numpy(), table.column("label").to_numpy(), table.column("asks").to_numpy(), vs, table.column("total").to_numpy(), threshold)
+            vectors.append((keys, np.frombuffer(packed, "<f4").astype(float) if packed else np.ones(len(keys))))
+        found = _similar_in_block(table.column("id").to_numpy(), table.column("label").to_numpy(), table.column("asks").to_numpy(), vectors, table.column("total").to_numpy(), threshold)
         return pa.table({"a": pa.array([a for a, _ in found], pa.int64()), "b": pa.array([b for _, b in found], pa.int64())})
 
-    return full.groupBy("bucket", "s", "t").applyInArrow(run, "a long, b long")
+    return run
 
 
 def near_duplicates(docs: DataFrame, threshold: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -235,7 +221,7 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, id_col: str = "doc_
     rows = reps.select("id", F.explode("bands").alias("bucket")).select("bucket", "id").distinct()
     # first a few leaders of each bucket, which settles most members; then all that are not in one class yet
     labels, links = classes(rows, similar(reps, threshold), rounds=1)
-    more = cut(links_across(rows, labels, reps, threshold))
+    more = cut(across(rows, labels, reps.select("id", "shared", "weight", "total"), _block_check(threshold)))
     if not more.isEmpty():
         labels = connected(links.union(more))
     of = members.join(labels.withColumnRenamed("id", "rep"), "rep", "left").select("id", F.coalesce("label", "rep").alias("label"))
