@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from docloom.llm._classes import classes, release
+from docloom.llm._classes import across, classes, connected, release
 from docloom.llm._counts import CorpusCounts, _texts
 from docloom.llm._text import IS_WORD, family_hashes, mix, span_hashes, steps, text_bytes
 from docloom.session import cut
@@ -143,6 +143,33 @@ def _verify(lines: DataFrame, edits: int):
     return verify
 
 
+_KINDS = 64
+
+
+def _histograms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """How many bytes of each of ``_KINDS`` kinds a line has."""
+    for batch in batches:
+        counts = [np.bincount(np.frombuffer(x, np.uint8) % _KINDS, minlength=_KINDS).astype("<i4").tobytes() for x in batch.column(1).to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.binary())], names=["id", "counts"])
+
+
+def _few_edits(edits: int):
+    """For ``across``: pairs whose histograms differ by 2 * ``edits`` or less, as an edit changes two counts by one at most."""
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.combine_chunks()
+        counts = np.frombuffer(b"".join(table.column("counts").to_pylist()), "<i4").reshape(-1, _KINDS)
+        ids, labels = table.column("id").to_numpy(), table.column("label").to_numpy()
+        a, b = [], []
+        for i in np.flatnonzero(table.column("asks").to_numpy()):
+            near = np.flatnonzero((np.abs(counts - counts[i]).sum(axis=1) <= 2 * edits) & (labels != labels[i]))
+            a += [int(ids[i])] * len(near)
+            b += ids[near].tolist()
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    return run
+
+
 def _local_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The distinct lines with words of each step, with where each stands first: so a line that is everywhere moves once a step."""
     for batch in batches:
@@ -212,7 +239,13 @@ def kept_lines(docs: DataFrame, edits: int = 2) -> DataFrame:
     met = near.select("line", F.explode(F.arrays_zip("keys", "own")).alias("k")).groupBy(F.col("k.keys").alias("bucket"), F.col("line").alias("id")).agg(F.max("k.own").alias("own"))
     # only a key that is some line's own segment can be shared by lines within the edits
     rows = met.join(met.groupBy("bucket").agg(F.max("own").alias("any"), F.count("*").alias("n")).where("any and n > 1").select("bucket"), "bucket").select("bucket", "id")
-    labels, _ = classes(rows, _verify(cut(near.select("line", "bytes")), edits))
+    rows, near_bytes = cut(rows), cut(near.select("line", "bytes"))
+    # first a few leaders of each bucket, which settles lines of one pattern; then all that are not in one class yet
+    labels, links = classes(rows, _verify(near_bytes, edits), rounds=1)
+    pairs = across(rows, labels, near_bytes.mapInArrow(_histograms, "id long, counts binary"), _few_edits(edits))
+    more = cut(_verify(near_bytes, edits)(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()))
+    if not more.isEmpty():
+        labels = connected(links.union(more))
     placed = near.select("line", "doc", "number").join(labels.withColumnRenamed("id", "line"), "line")
     best = placed.groupBy("label").agg(F.min(F.struct("doc", "number", "line")).alias("best")).select("label", F.col("best.line").alias("best"))
     gone = placed.join(best, "label").where("line <> best").select("line")
