@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from docloom.llm._classes import Forest, across, classes, connected, release
 from docloom.llm._counts import CorpusCounts, _texts, pack_sorted, unpack_sorted
 from docloom.llm._text import Words, gram_hash, mix
-from docloom.session import cut
+from docloom.session import cut, cut_table
 
 SHINGLE = 5
 #: Documents that share a band are compared; two of similarity 0.8 share one with probability 1 - (1 - 0.8**ROWS)**BANDS = 0.9998.
@@ -212,16 +212,17 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, id_col: str = "doc_
     empty result; other columns are not read. Ids must be integers and not null.
     """
     docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    found = cut(signatures(docs, threshold, "id", "text"))
+    found = cut_table(signatures(docs, threshold, "id", "text"))
     release(found)
     same = cut(found.groupBy("words").agg(F.min("id").alias("rep"), F.count("*").alias("copies")))
     members = found.select("id", "words").join(same, "words").select("id", "rep")
-    reps = found.join(same.select("rep", F.col("words").alias("w")), (F.col("id") == F.col("rep")) & (F.col("words") == F.col("w"))).dropDuplicates(["id"])
-    reps = cut(reps.select("id", "bands", "shared", "weight", "total"))
-    rows = reps.select("id", F.explode("bands").alias("bucket")).select("bucket", "id").distinct()
+    # of texts of equal words one is compared; only ids and bands move here, vectors only where pairs need them
+    rows = found.select("id", "words", "bands").join(same.select("rep", F.col("words").alias("w")), (F.col("id") == F.col("rep")) & (F.col("words") == F.col("w")))
+    rows = cut(rows.select("id", F.explode("bands").alias("bucket")).select("bucket", "id").distinct())
+    reps = found.select("id", "shared", "weight", "total")
     # first a few leaders of each bucket, which settles most members; then all that are not in one class yet
     labels, links = classes(rows, similar(reps, threshold), rounds=1)
-    more = cut(across(rows, labels, reps.select("id", "shared", "weight", "total"), _block_check(threshold)))
+    more = cut(across(rows, labels, reps, _block_check(threshold)))
     if not more.isEmpty():
         labels = connected(links.union(more))
     of = members.join(labels.withColumnRenamed("id", "rep"), "rep", "left").select("id", F.coalesce("label", "rep").alias("label"))
