@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -13,10 +14,11 @@ from pyspark.sql.types import LongType, StructField, StructType
 from docloom.llm._classes import across, classes, connected, release
 from docloom.llm._counts import CorpusCounts, _texts
 from docloom.llm._text import IS_WORD, family_hashes, mix, span_hashes, steps, text_bytes
-from docloom.session import cut
+from docloom.session import cut, cut_table
 
 #: Lines of fewer bytes are alike only if equal: a few edits are a large part of them.
 MIN_FUZZY = 24
+_WORD = re.compile("[0-9A-Za-z\x80-\U0010ffff]")
 
 
 def line_spans(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -233,7 +235,7 @@ def kept_lines(docs: DataFrame, edits: int = 2) -> DataFrame:
             "own": pa.ListArray.from_arrays(bounds, pa.array(own[shared][order])),
         })
 
-    lines = cut(corpus.with_totals(corpus.replies(count), run, "line long, doc long, number int, bytes binary, keys array<long>, own array<boolean>"))
+    lines = cut_table(corpus.with_totals(corpus.replies(count), run, "line long, doc long, number int, bytes binary, keys array<long>, own array<boolean>"))
     release(lines)
     near = lines.where("bytes is not null")
     met = near.select("line", F.explode(F.arrays_zip("keys", "own")).alias("k")).groupBy(F.col("k.keys").alias("bucket"), F.col("line").alias("id")).agg(F.max("k.own").alias("own"))
@@ -281,13 +283,12 @@ def dedup_lines(docs: DataFrame, edits: int = 2, id_col: str = "doc_id", text_co
                     n_kept.append(0)
                     continue
                 lines = text.split("\n")
-                data, start, end, _, _ = line_spans(texts.slice(i, 1))
-                has = _with_words(data, start, end)
+                has = [_WORD.search(x) is not None for x in lines]
                 stay = set(keeps[i] or ()) if ids[i].is_valid else set(range(len(lines)))
                 good = [not h or k in stay for k, h in enumerate(has)]
                 out.append("\n".join(x for x, g in zip(lines, good, strict=True) if g))
-                n_lines.append(int(has.sum()))
-                n_kept.append(sum(bool(h) and g for h, g in zip(has, good, strict=True)))
+                n_lines.append(sum(has))
+                n_kept.append(sum(h and g for h, g in zip(has, good, strict=True)))
             columns = [*batch.columns[:at], pa.array(out, texts.type), *batch.columns[at + 1 : -1], pa.array(n_lines, pa.int64()), pa.array(n_kept, pa.int64())]
             yield pa.RecordBatch.from_arrays(columns, names=[*names, "__n_lines", "__n_kept"])
 
