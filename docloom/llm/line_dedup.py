@@ -89,6 +89,11 @@ def segment_keys(data: np.ndarray, start: np.ndarray, end: np.ndarray, edits: in
     return np.maximum(key[good], np.uint64(1)), line[good], own[good]
 
 
+def _once(key: np.ndarray, line: np.ndarray) -> np.ndarray:
+    """Places of the first of equal pairs of key and line."""
+    return np.unique(mix(key ^ mix(line.astype(np.uint64) + np.uint64(1))), return_index=True)[1]
+
+
 def within(x: bytes, y: bytes, edits: int) -> bool:
     """Whether the edit distance of two byte strings is ``edits`` or less, by bit-parallel columns of a band of 2 * edits + 1."""
     if len(x) > len(y):
@@ -208,16 +213,14 @@ def kept_lines(docs: DataFrame, edits: int = 2) -> DataFrame:
     def count(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
         _, data, offsets, long = distinct(table)
         key, line, _ = segment_keys(data, offsets[:-1][long], offsets[1:][long], edits)
-        pair = np.unique(np.stack([key, line.astype(np.uint64)], axis=1), axis=0)
-        keys, counts = np.unique(pair[:, 0], return_counts=True)
+        keys, counts = np.unique(key[_once(key, line)], return_counts=True)
         return keys, counts.astype(np.uint64)
 
     def run(table: pa.Table, totals) -> pa.Table:
         table, data, offsets, long = distinct(table)
         key, line, own = segment_keys(data, offsets[:-1][long], offsets[1:][long], edits)
         keys, which = np.unique(key, return_inverse=True)
-        pair = np.unique(np.stack([which.astype(np.uint64), line.astype(np.uint64)], axis=1), axis=0)
-        counts = np.bincount(pair[:, 0].astype(np.int64), minlength=len(keys)).astype(np.uint64)
+        counts = np.bincount(which[_once(key, line)], minlength=len(keys)).astype(np.uint64)
         shared = (totals(keys, counts) > 1)[which] if len(keys) else np.zeros(0, bool)
         meets = np.zeros(len(long), dtype=bool)
         meets[line[shared]] = True
