@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from docloom import tree_queries
 from docloom.functions import text as T
 from docloom.operators import access, sections, versions
 from docloom.plans import listing
@@ -14,8 +15,8 @@ from docloom.session import read_table
 from docloom.sources import roles
 from docloom.sources.roles import ACTIVE
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = dict(tree_queries.QUERIES)
+ORACLE_SQL: dict[str, str] = dict(tree_queries.ORACLE_SQL)
 
 _USERS = """users AS (SELECT 1::BIGINT AS user_id, NULL::BIGINT AS parent_id, 'admin' AS role, true AS inherits
   UNION ALL SELECT r_regionkey + 100, 1, 'organization', r_regionkey % 3 <> 0 FROM region

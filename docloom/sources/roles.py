@@ -35,6 +35,12 @@ def sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.withColumn("parent_pos", F.when(F.col("pos") > 0, F.floor((F.col("pos") - 1) / 3)).cast("int"))
 
 
+def section_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same with ``path``: the positions from the root down to a section."""
+    up = F.aggregate(F.sequence(F.lit(1), F.lit(20)), F.array("pos"), lambda a, _: F.when(a[0] > 0, F.concat(F.array(F.floor((a[0] - 1) / 3).cast("int")), a)).otherwise(a))
+    return sections(spark, sf_dir).withColumn("path", up)
+
+
 def jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = read_table(spark, sf_dir, "events")
     return e.select(F.col("event_id").alias("job_id"), F.col("user_id").alias("version_id"), F.col("ts").alias("requested_at"), F.col("event_type").alias("status"))
