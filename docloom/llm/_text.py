@@ -10,9 +10,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Bytes of text that one step handles at once; a longer text is a step of its own.
 STEP_BYTES = 4 << 20
+#: Bytes of the Arrow batches that Spark sends to Python; a longer row is a batch of its own.
+BATCH_BYTES = 12 << 20
 
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
@@ -92,11 +96,11 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def steps(batch: pa.RecordBatch, text: str, step_bytes: int = STEP_BYTES) -> Iterator[pa.RecordBatch]:
+def steps(batch: pa.RecordBatch, text: str | int, step_bytes: int = STEP_BYTES) -> Iterator[pa.RecordBatch]:
     """Slices of ``batch`` of about ``step_bytes`` bytes of text each, one row at least."""
     if batch.num_rows == 0:
         return
-    _, offsets = text_bytes(batch.column(batch.schema.get_field_index(text)))
+    _, offsets = text_bytes(batch.column(text))
     at = 0
     while at < batch.num_rows:
         to = int(np.searchsorted(offsets, offsets[at] + step_bytes, side="right")) - 1
@@ -105,6 +109,29 @@ def steps(batch: pa.RecordBatch, text: str, step_bytes: int = STEP_BYTES) -> Ite
         at = to
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Bounds Arrow batches by bytes, for the executors' memory, unless the session was started with a bound of its own."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.sparkContext.getConf().get(key) is None:
+        spark.conf.set(key, str(BATCH_BYTES))
+
+
+def with_rest(docs: DataFrame, id_col: str, text_col: str, carry: bool) -> DataFrame:
+    """``id``, ``text`` and, with ``carry``, all other columns as ``rest``, so that the text is sent once; ``whole_row`` puts them together."""
+    rest = _rest(docs, id_col, text_col) if carry else []
+    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), *([F.struct(*(F.col(f"`{c}`") for c in rest)).alias("rest")] if rest else []))
+
+
+def _rest(docs: DataFrame, id_col: str, text_col: str) -> list[str]:
+    return [c for c in docs.columns if c not in (id_col, text_col)]
+
+
+def whole_row(docs: DataFrame, id_col: str, text_col: str) -> Column:
+    """All columns of ``docs`` in their order as one struct, from ``id``, ``text`` and ``rest``."""
+    own = {id_col: F.col("id"), text_col: F.col("text")}
+    return F.struct(*(own.get(c, F.col("rest").getField(c)).alias(c) for c in docs.columns))
+
+
 class Words:
     """The words of a column of texts: ``doc`` (row of the text), ``start``, ``end`` (byte spans in ``data``), ``hash``."""
 

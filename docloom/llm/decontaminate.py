@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docloom.llm._text import Words, steps
+from docloom.llm._text import Words, small_batches, steps, whole_row, with_rest
 
 #: ASCII letters in lower case; other ASCII characters that are in no word become spaces.
 _NORMAL = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
@@ -127,14 +127,16 @@ def find_contamination(docs: DataFrame, items: DataFrame, width: int = 10, windo
     row each, empty tables give no rows or no hits; other columns are not read.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     all_windows = windows(items, width, item_col, item_text_col)
     parts = -(-all_windows.count() // windows_per_automaton) or 1
     item_kind = items.schema[item_col].dataType.simpleString()
-    out = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), *([F.struct("*").alias("row")] if carry else []), F.lit(0).cast("long").alias("n_words"), F.expr("cast(array() as array<struct<first:int,last:int>>)").alias("ranges"), F.expr(f"cast(array() as array<{item_kind}>)").alias("items"))
+    out = with_rest(docs, id_col, text_col, carry).select("*", F.lit(0).cast("long").alias("n_words"), F.expr("cast(array() as array<struct<first:int,last:int>>)").alias("ranges"), F.expr(f"cast(array() as array<{item_kind}>)").alias("items"))
     for k in range(parts):
         rows = all_windows.where(F.pmod(F.xxhash64("window"), F.lit(parts)) == k).collect()  # bounded by windows_per_automaton
         out = _scan(out, _Sent(spark.sparkContext.broadcast([(r["window"], r["items"]) for r in rows])))
-    return out.withColumnsRenamed({"id": id_col, "text": text_col})
+    row = [whole_row(docs, id_col, text_col).alias("row")] if carry else []
+    return out.select(F.col("id").alias(id_col), F.col("text").alias(text_col), *row, "n_words", "ranges", "items")
 
 
 def contamination_report(found: DataFrame, id_col: str = "doc_id") -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from docloom.llm._sample import by_class
-from docloom.llm._text import Words, steps
+from docloom.llm._text import Words, small_batches, steps, whole_row, with_rest
 
 #: Longest piece, and longest run of bytes that is segmented at once (longer words are cut into such runs).
 MAX_PIECE, MAX_RUN = 16, 32
@@ -200,9 +200,11 @@ def identify(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text
 
     Null texts, texts without a letter, and all texts of a model without languages are ``und`` with score 0.
     Equal languages go to the first by name. Repeated rows get a row each, an empty table an empty result.
-    Columns other than id and text are not read, or come back as one struct, ``row``, with all others (``carry``).
+    Columns other than id and text are not read, or all columns come back as one struct, ``row`` (``carry``).
     """
-    kept = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), *([F.struct("*").alias("row")] if carry else []))
+    small_batches(docs.sparkSession)
+    kept = with_rest(docs, id_col, text_col, carry)
+    n_back = len(kept.columns) if carry else 1
     sent = docs.sparkSession.sparkContext.broadcast(model)  # a fixed vocabulary times the languages
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -218,8 +220,9 @@ def identify(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text
                     has = _has_letter(texts)
                     lang = [m.languages[b] if h else UNKNOWN for b, h in zip(best, has, strict=True)]
                     score = np.where(has, top, 0.0)
-                names = [id_col, *["row"] * carry, "lang_pred", "score"]
-                yield pa.RecordBatch.from_arrays([step.column(0), *step.columns[2:], pa.array(lang, pa.string()), pa.array(score)], names=names)
+                names = [*step.schema.names[:n_back], "lang_pred", "score"]
+                yield pa.RecordBatch.from_arrays([*step.columns[:n_back], pa.array(lang, pa.string()), pa.array(score)], names=names)
 
-    schema = StructType([StructField(id_col, kept.schema["id"].dataType), *kept.schema.fields[2:], StructField("lang_pred", StringType()), StructField("score", DoubleType())])
-    return kept.mapInArrow(run, schema)
+    schema = StructType([*kept.schema.fields[:n_back], StructField("lang_pred", StringType()), StructField("score", DoubleType())])
+    found = kept.mapInArrow(run, schema)
+    return found.select(F.col("id").alias(id_col), *([whole_row(docs, id_col, text_col).alias("row")] if carry else []), "lang_pred", "score")

@@ -13,7 +13,7 @@ from pyspark.sql.types import LongType, StructField, StructType
 
 from docloom.llm._classes import across, classes, connected, release
 from docloom.llm._counts import CorpusCounts, _texts
-from docloom.llm._text import IS_WORD, family_hashes, mix, span_hashes, steps, text_bytes
+from docloom.llm._text import IS_WORD, family_hashes, mix, small_batches, span_hashes, steps, text_bytes
 from docloom.session import cut, cut_table
 
 #: Lines of fewer bytes are alike only if equal: a few edits are a large part of them.
@@ -268,6 +268,7 @@ def dedup_lines(docs: DataFrame, edits: int = 2, id_col: str = "doc_id", text_co
     stay null and have no lines. Rows of one id count as one document: each keeps the lines that the id keeps, by
     number. Rows with a null id stay as they are. An empty table gives an empty result; other columns pass through.
     """
+    small_batches(docs.sparkSession)
     keep = kept_lines(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")), edits)
     keep = keep.groupBy(F.col("doc").alias("__doc")).agg(F.sort_array(F.collect_set("number")).alias("__keep"))
     names = [f for f in docs.columns]
@@ -275,7 +276,7 @@ def dedup_lines(docs: DataFrame, edits: int = 2, id_col: str = "doc_id", text_co
     at, schema = names.index(text_col), docs.schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (step for whole in batches for step in steps(whole, at)):
             texts, keeps = batch.column(at), batch.column(batch.num_columns - 1).to_pylist()
             ids = batch.column(names.index(id_col))
             out, n_lines, n_kept = [], [], []

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from docloom.llm._classes import Forest, across, classes, connected, release
 from docloom.llm._counts import CorpusCounts, _texts, pack_sorted, unpack_sorted
-from docloom.llm._text import Words, gram_hash, mix
+from docloom.llm._text import Words, gram_hash, mix, small_batches
 from docloom.session import cut, cut_table
 
 SHINGLE = 5
@@ -211,6 +211,7 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, id_col: str = "doc_
     Null, empty and word-free texts are near nothing. Rows of one id count as one document. An empty table gives an
     empty result; other columns are not read. Ids must be integers and not null.
     """
+    small_batches(docs.sparkSession)
     docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     found = cut_table(signatures(docs, threshold, "id", "text"))
     release(found)

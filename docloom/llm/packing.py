@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docloom.llm._text import steps
+from docloom.llm._text import small_batches, steps
 from docloom.llm._tokens import ENCODE_BYTES, IdEncoder, encoder
 from docloom.session import cut
 
@@ -28,6 +28,7 @@ def token_pieces(docs: DataFrame, capacity: int = 4096, end_id: int = 1, id_col:
     and, if asked for, ``ids`` (array of ints).
     """
     path = tokenizer_path or default_tokenizer()
+    small_batches(docs.sparkSession)
     kept = docs.selectExpr(f"`{id_col}` as id", f"`{text_col}` as text")
     end = np.array([end_id], dtype="<u4")
 
