@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from docloom.llm._classes import Forest, across, classes, connected, release
 from docloom.llm._counts import CorpusCounts, _texts, pack_sorted, unpack_sorted
-from docloom.llm._text import Words, gram_hash, mix, small_batches
+from docloom.llm._text import Words, gram_hash, mix, small_batches, steps
 from docloom.session import cut, cut_table
 
 SHINGLE = 5
@@ -28,8 +28,17 @@ _DF_SHIFT = np.uint64(16)
 def shingles(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Distinct shingles of each text: hash, text, count in the text; and a hash of each text's words (0 without words).
 
-    A text of fewer than ``SHINGLE`` words, but not none, has one shingle, all its words.
+    A text of fewer than ``SHINGLE`` words, but not none, has one shingle, all its words. Texts are taken a few at a time, for the memory.
     """
+    parts, at = [(np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64))], 0
+    for step in steps(pa.RecordBatch.from_arrays([texts], names=["text"]), "text", 1 << 20):
+        h, doc, tf, whole = _shingles(step.column(0))
+        parts.append((h, doc + at, tf, whole))
+        at += step.num_rows
+    return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
+
+
+def _shingles(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     w = Words(texts)
     h, at = w.grams(SHINGLE)
     doc = w.doc[at]
@@ -109,15 +118,18 @@ def signatures(docs: DataFrame, threshold: float, id_col: str = "doc_id", text_c
     """
     corpus = CorpusCounts(docs, id_col, text_col, keys_per_byte=0.16, key_bits=64 - int(_DF_SHIFT))
 
-    def count(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        h, _, _, whole = shingles(texts)
+    def counted(h: np.ndarray, whole: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         keys, counts = np.unique(_df_key(h), return_counts=True)
         return np.append(np.uint64(0), keys), np.append((whole != 0).sum(), counts).astype(np.uint64)
 
+    def count(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        h, _, _, whole = shingles(texts)
+        return counted(h, whole)
+
     def run(table: pa.Table, totals) -> pa.Table:
         texts = _texts(table)
         h, doc, tf, whole = shingles(texts)
-        keys, counts = count(texts)
+        keys, counts = counted(h, whole)
         total = totals(keys, counts)
         df = total[np.searchsorted(keys, _df_key(h))]
         weight = weights(tf, df, int(total[0]))
