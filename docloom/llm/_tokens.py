@@ -18,9 +18,9 @@ import pyarrow as pa
 from docloom.llm._text import span_hashes, span_strings, text_bytes
 
 #: Entries of one generation of a cache; two generations are held.
-CACHE_ENTRIES = 500_000
+CACHE_ENTRIES = 100_000
 #: Bytes of text that are encoded at once.
-ENCODE_BYTES = 12 << 20
+ENCODE_BYTES = 4 << 20
 
 #: Letters that are stable under NFC and whose lower case is one letter of the same kind.
 _LATIN = "A-Za-zÀ-ÖØ-öø-ÿ"
