@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from docloom.session import cut
+
+#: Steps up a tree after which the lineage is cut, so that plans of deep trees stay short.
+CUT_EVERY = 8
+
 
-def ancestors(users: DataFrame, depth: int = 16) -> DataFrame:
-    """(user_id, ancestor_id, distance) with each user itself at 0; at most ``depth`` steps, never around a cycle.
+def ancestors(users: DataFrame) -> DataFrame:
+    """(user_id, ancestor_id, distance) with each user itself at 0; up to the root, never around a cycle.
 
     Every step joins the frontier to the parents by key; the tree's depth, not its size, is the number of joins.
     """
@@ -16,9 +23,11 @@ def ancestors(users: DataFrame, depth: int = 16) -> DataFrame:
     known = users.select(F.col("user_id").alias("parent_known"))
     level = users.select("user_id", F.col("user_id").alias("ancestor_id"), F.lit(0).alias("distance"), F.array("user_id").alias("seen"))
     found = level
-    for k in range(1, depth + 1):
+    for k in count(1):
         level = level.join(parent, level["ancestor_id"] == parent["at"]).where("up is not null").where(~F.array_contains("seen", F.col("up")))
         level = level.join(known, F.col("up") == F.col("parent_known")).select("user_id", F.col("up").alias("ancestor_id"), F.lit(k).alias("distance"), F.concat("seen", F.array("up")).alias("seen"))
+        if k % CUT_EVERY == 0:
+            level = cut(level)
         if level.isEmpty():
             break
         found = found.union(level)

@@ -35,3 +35,13 @@ def test_dice_of_nothing_is_zero(spark):
 def test_ancestors_stop_at_cycles_and_missing_parents(spark):
     users = spark.createDataFrame([(1, 2), (2, 1), (3, 9)], "user_id long, parent_id long")
     assert sorted(map(tuple, access.ancestors(users).collect())) == [(1, 1, 0), (1, 2, 1), (2, 1, 1), (2, 2, 0), (3, 3, 0)]
+
+
+def test_ancestors_have_no_limit_of_depth(spark):
+    """A chain of 20 users below an administrator, with a health station two steps below it."""
+    rows = [(k, k - 1 if k else None, {0: "admin", 2: "health_station"}.get(k, "doctor"), True) for k in range(21)]
+    users = spark.createDataFrame(rows, "user_id long, parent_id long, role string, inherits boolean")
+    assert sorted(map(tuple, access.ancestors(users).collect())) == sorted((k, k - d, d) for k in range(21) for d in range(k + 1))
+    assert {tuple(r) for r in access.visible_owners(users).where("user_id = 20").collect()} == {(20, k) for k in range(21)}
+    assert {r[0]: r[1] for r in access.station_scope(users).collect()} == {k: k >= 2 for k in range(21)}
+    assert {r[0]: r[1] for r in access.subtree_height(users).collect()} == {k: 20 - k for k in range(21)}
