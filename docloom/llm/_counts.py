@@ -3,7 +3,8 @@
 Documents are dealt to blocks of bounded bytes by a hash of their id. Each block sends every distinct key once,
 with its own count, in runs sorted by key, one run to each part of the key space; a part adds up the counts of all
 blocks and answers each block with the counts that are not the block's own. So a key that is everywhere costs one
-entry per block, and what moves is packed: sorted keys as differences in as few bytes as they need.
+entry per block, and what moves is packed: sorted keys as differences in as few bytes as they need, and counts
+compressed.
 """
 
 from __future__ import annotations
@@ -21,22 +22,48 @@ REPLY = "block long, part int, place binary, total binary"
 
 
 def pack_sorted(keys: np.ndarray) -> bytes:
-    """Ascending unsigned integers as differences of equal width; the first byte is the width."""
+    """Ascending unsigned integers as the first and differences of equal width; the first byte is the width."""
     if not len(keys):
         return b"\x01"
-    steps = np.diff(keys, prepend=np.zeros(1, keys.dtype)).astype("<u8")
-    width = max(1, (int(steps.max()).bit_length() + 7) // 8)
-    return bytes([width]) + np.ascontiguousarray(steps.view(np.uint8).reshape(-1, 8)[:, :width]).tobytes()
+    steps = np.diff(keys).astype("<u8")
+    width = max(1, (int(steps.max(initial=0)).bit_length() + 7) // 8)
+    return bytes([width]) + keys[:1].astype("<u8").tobytes() + np.ascontiguousarray(steps.view(np.uint8).reshape(-1, 8)[:, :width]).tobytes()
 
 
 def unpack_sorted(data: bytes) -> np.ndarray:
+    if len(data) == 1:
+        return np.zeros(0, dtype=np.uint64)
     width = data[0]
-    raw = np.frombuffer(data, dtype=np.uint8, offset=1).reshape(-1, width)
-    wide = np.zeros((len(raw), 8), dtype=np.uint8)
-    wide[:, :width] = raw
+    raw = np.frombuffer(data, dtype=np.uint8, offset=9).reshape(-1, width)
+    wide = np.zeros((len(raw) + 1, 8), dtype=np.uint8)
+    wide[0] = np.frombuffer(data, dtype=np.uint8, count=8, offset=1)
+    wide[1:, :width] = raw
     return np.cumsum(wide.view("<u8").ravel(), dtype=np.uint64)
 
 
+def squeeze(data: bytes) -> bytes:
+    """Compressed, for streams in which few byte values are common; the first bytes are the plain length."""
+    return len(data).to_bytes(8, "little") + pa.Codec("zstd", compression_level=1).compress(data, asbytes=True)
+
+
+def expand(data: bytes) -> bytes:
+    return pa.Codec("zstd").decompress(data[8:], int.from_bytes(data[:8], "little"), asbytes=True)
+
+
+def pack_counts(counts: np.ndarray) -> bytes:
+    """Unsigned integers, compressed byte by byte of their width: first all lowest bytes, then all next ones."""
+    width = max(1, (int(counts.max(initial=0)).bit_length() + 7) // 8)
+    planes = counts.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T
+    return bytes([width]) + squeeze(np.ascontiguousarray(planes).tobytes())
+
+
+def unpack_counts(data: bytes) -> np.ndarray:
+    planes = np.frombuffer(expand(data[1:]), dtype=np.uint8).reshape(data[0], -1)
+    wide = np.zeros((planes.shape[1], 8), dtype=np.uint8)
+    wide[:, : data[0]] = planes.T
+    return wide.view("<u8").ravel()
+
+
 class CorpusCounts:
     """Blocks of documents (``block``, ``id``, ``text``) and the exchange of counts between them."""
 
@@ -79,13 +106,13 @@ class CorpusCounts:
             return pa.table({
                 "block": pa.array([table.column("block")[0].as_py()] * len(rows), pa.int64()), "part": pa.array(rows, pa.int32()),
                 "keys": pa.array([pack_sorted(keys[spans[k][0] : spans[k][1]]) for k in rows], pa.binary()),
-                "counts": pa.array([counts[spans[k][0] : spans[k][1]].astype("<u4").tobytes() for k in rows], pa.binary()),
+                "counts": pa.array([pack_counts(counts[spans[k][0] : spans[k][1]]) for k in rows], pa.binary()),
             })
 
         def answer(table: pa.Table) -> pa.Table:
             table = table.combine_chunks()
             each = [unpack_sorted(x) for x in table.column("keys").to_pylist()]
-            own = [np.frombuffer(x, "<u4").astype(np.uint64) for x in table.column("counts").to_pylist()]
+            own = [unpack_counts(x) for x in table.column("counts").to_pylist()]
             keys, which = np.unique(np.concatenate(each), return_inverse=True)
             total = np.zeros(len(keys), dtype=np.uint64)
             np.add.at(total, which, np.concatenate(own))
@@ -94,9 +121,8 @@ class CorpusCounts:
                 got = total[which[at : at + len(mine)]]
                 at += len(mine)
                 other = np.flatnonzero(got != mine)
-                place.append(pack_sorted(other.astype(np.uint64)))
-                other = got[other]
-                sums.append(other.astype("<u4" if not len(other) or other.max() < 1 << 32 else "<u8").tobytes())
+                place.append(squeeze(pack_sorted(other.astype(np.uint64))))
+                sums.append(pack_counts(got[other]))
             return pa.table({"block": table.column("block"), "part": table.column("part"), "place": pa.array(place, pa.binary()), "total": pa.array(sums, pa.binary())})
 
         asked = self.docs.groupBy("block").applyInArrow(ask, "block long, part int, keys binary, counts binary")
@@ -110,8 +136,8 @@ class CorpusCounts:
             def totals(keys: np.ndarray, counts: np.ndarray) -> np.ndarray:
                 out, edges = counts.astype(np.int64), me.part_edges(keys)
                 for part, place, total in zip(*(answers.column(c).to_pylist() for c in ("part", "place", "total")), strict=True):
-                    at = edges[part] + unpack_sorted(place).astype(np.int64)
-                    out[at] = np.frombuffer(total, "<u4" if len(total) == 4 * len(at) else "<u8").astype(np.int64)
+                    at = edges[part] + unpack_sorted(expand(place)).astype(np.int64)
+                    out[at] = unpack_counts(total).astype(np.int64)
                 return out
 
             return run(docs, totals)

@@ -24,10 +24,18 @@ def _grams(texts: pa.Array, order: int) -> tuple[Words, list[np.ndarray], list[n
     return w, hashes, ends
 
 
+def _counted(w: Words, hashes: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Ascending keys and their counts; counted length by length, as all hashes at once take more memory."""
+    each = [np.unique(h, return_counts=True) for h in hashes]
+    keys = np.concatenate([[_ALL], *(k for k, _ in each)])
+    counts = np.concatenate([[len(w.start)], *(c for _, c in each)]).astype(np.uint64)
+    order = np.argsort(keys)
+    return keys[order], counts[order]
+
+
 def ngram_counts(texts: pa.Array, order: int) -> tuple[np.ndarray, np.ndarray]:
     w, hashes, _ = _grams(texts, order)
-    keys, counts = np.unique(np.concatenate(hashes), return_counts=True)
-    return np.append(_ALL, keys), np.append(len(w.start), counts).astype(np.uint64)
+    return _counted(w, hashes)
 
 
 def _own(h: np.ndarray, doc: np.ndarray) -> np.ndarray:
@@ -59,7 +67,7 @@ def score_documents(docs: DataFrame, order: int = 2, backoff: float = 0.4, id_co
     def run(table: pa.Table, totals) -> pa.Table:
         texts = _texts(table)
         w, hashes, ends = _grams(texts, order)
-        keys, counts = ngram_counts(texts, order)
+        keys, counts = _counted(w, hashes)
         total = totals(keys, counts)
         elsewhere = np.maximum(total[0] - w.counts, 1)[w.doc]
         score = np.zeros(len(w.start))

@@ -16,6 +16,10 @@ def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_scoring.score_documents(read_table(spark, sf_dir, "documents"))
 
 
+def op1_lm_scoring_trigrams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scoring.score_documents(read_table(spark, sf_dir, "documents"), order=3)
+
+
 def op2_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = topk_search.integer_vectors(read_table(spark, sf_dir, "embeddings"), "vec_id", "embedding")
     return topk_search.top_k(vectors, vectors.where("id % 50 = 0"), k=5)
@@ -64,7 +68,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_lm_scoring, op2_topk_search, op3_decontamination, op4_toxicity, op5_packing, op6_quality, op7_minhash_dedup, op8_line_dedup, op9_language_id, op10_token_counts)
+    f.__name__: f for f in (op1_lm_scoring, op1_lm_scoring_trigrams, op2_topk_search, op3_decontamination, op4_toxicity, op5_packing, op6_quality, op7_minhash_dedup, op8_line_dedup, op9_language_id, op10_token_counts)
 }
 
 _DOC_WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
@@ -80,6 +84,21 @@ s AS (SELECT w.r, uni.c - own1.c AS c1, p.c - q.c AS c0, bi.c - own2.c AS c2, w.
       FROM w JOIN d ON d.r = w.r JOIN uni ON uni.w = w.w JOIN own1 ON own1.r = w.r AND own1.w = w.w LEFT JOIN bi ON bi.v = w.v AND bi.w = w.w
       LEFT JOIN own2 ON own2.r = w.r AND own2.v = w.v AND own2.w = w.w LEFT JOIN uni p ON p.w = w.v LEFT JOIN own1 q ON q.r = w.r AND q.w = w.v, size),
 t AS (SELECT r, sum(CASE WHEN c2 > 0 THEN ln(c2 / c0) WHEN v IS NULL THEN ln(greatest(c1, 1) / n) ELSE ln(greatest(c1, 1) / n) + ln(0.4) END) AS s FROM s GROUP BY r)
+SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, round(coalesce(s, 0), 4) AS log_score, round(s / len(words), 6) AS mean_log_score FROM d LEFT JOIN t ON t.r = d.r""",
+    "op1_lm_scoring_trigrams": rf"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_DOC_WORDS} AS words FROM documents),
+w AS (SELECT r, i, words[i] AS w, CASE WHEN i > 1 THEN words[i - 1] END AS v, CASE WHEN i > 2 THEN words[i - 2] END AS u FROM (SELECT r, words, unnest(range(1, len(words) + 1)) AS i FROM d)),
+uni AS (SELECT w, count(*) AS c FROM w GROUP BY w), own1 AS (SELECT r, w, count(*) AS c FROM w GROUP BY r, w),
+bi AS (SELECT v, w, count(*) AS c FROM w WHERE v IS NOT NULL GROUP BY v, w), own2 AS (SELECT r, v, w, count(*) AS c FROM w WHERE v IS NOT NULL GROUP BY r, v, w),
+tri AS (SELECT u, v, w, count(*) AS c FROM w WHERE u IS NOT NULL GROUP BY u, v, w), own3 AS (SELECT r, u, v, w, count(*) AS c FROM w WHERE u IS NOT NULL GROUP BY r, u, v, w),
+size AS (SELECT count(*) AS n FROM w),
+s AS (SELECT w.r, uni.c - own1.c AS c1, p.c - q.c AS c0, bi.c - own2.c AS c2, b.c - o.c AS c20, tri.c - own3.c AS c3, w.u, w.v, greatest(size.n - len(d.words), 1) AS n
+      FROM w JOIN d ON d.r = w.r JOIN uni ON uni.w = w.w JOIN own1 ON own1.r = w.r AND own1.w = w.w LEFT JOIN bi ON bi.v = w.v AND bi.w = w.w
+      LEFT JOIN own2 ON own2.r = w.r AND own2.v = w.v AND own2.w = w.w LEFT JOIN uni p ON p.w = w.v LEFT JOIN own1 q ON q.r = w.r AND q.w = w.v
+      LEFT JOIN tri ON tri.u = w.u AND tri.v = w.v AND tri.w = w.w LEFT JOIN own3 ON own3.r = w.r AND own3.u = w.u AND own3.v = w.v AND own3.w = w.w
+      LEFT JOIN bi b ON b.v = w.u AND b.w = w.v LEFT JOIN own2 o ON o.r = w.r AND o.v = w.u AND o.w = w.v, size),
+t AS (SELECT r, sum(CASE WHEN c3 > 0 THEN ln(c3 / c20) ELSE CASE WHEN u IS NULL THEN 0 ELSE ln(0.4) END
+      + CASE WHEN c2 > 0 THEN ln(c2 / c0) WHEN v IS NULL THEN ln(greatest(c1, 1) / n) ELSE ln(greatest(c1, 1) / n) + ln(0.4) END END) AS s FROM s GROUP BY r)
 SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, round(coalesce(s, 0), 4) AS log_score, round(s / len(words), 6) AS mean_log_score FROM d LEFT JOIN t ON t.r = d.r""",
     "op2_topk_search": """
 WITH e AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v FROM embeddings

@@ -1,5 +1,6 @@
 """Operators against DuckDB, libraries and brute force on small tables; and the odd rows that each must take."""
 
+import math
 import random
 import zlib
 
@@ -128,6 +129,16 @@ def test_lm_and_decontamination_take_odd_rows(spark, odd, none):
     assert decontaminate.find_contamination(none, items).count() == 0
 
 
+def test_trigram_contexts_are_scored(spark, tmp_path):
+    rows = [(1, "a b c d"), (2, "a b c"), (3, "a b d"), (4, "x c")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: r["log_score"] for r in QUERIES["op1_lm_scoring_trigrams"](spark, str(tmp_path)).collect()}
+    # for document 2, elsewhere: a is 2 of 9 words, a b follows both a, and a b c one of two a b
+    assert got[2] == round(math.log(2 / 9) + math.log(2 / 2) + math.log(1 / 2), 4)
+    # of document 3: a b d is nowhere else, nor is b d, so d alone counts, two words shorter
+    assert got[3] == round(math.log(2 / 9) + math.log(2 / 2) + 2 * math.log(0.4) + math.log(1 / 9), 4)
+
+
 def test_topk_leaves_out_bad_vectors(spark):
     rows = [(0, [1.0, 0.0]), (1, [0.5, 0.5]), (2, None), (3, [float("nan"), 1.0]), (4, [0.5, 0.5]), (5, [0.0, 0.0])]
     v = topk_search.integer_vectors(spark.createDataFrame(rows, "vec_id long, e array<double>"), "vec_id", "e")
