@@ -14,14 +14,23 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the cluster's ``spark.checkpoint.dir``; fall back to a temporary folder only where none is set."""
+    """Use the cluster's ``spark.checkpoint.dir``. Where it is unset, a temporary folder serves a local master; a cluster must name a shared one."""
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isDefined():
         return
     shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared and not (sc.master == "local" or sc.master.startswith("local[")):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="docloom-checkpoint-"))
 
 
+def clean_shuffles(spark: SparkSession) -> None:
+    """Let Spark drop the shuffle files of each execution when it ends, unless the session was started with a choice of its own."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    if spark.sparkContext.getConf().get(key) is None:
+        spark.conf.set(key, "true")
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared checkpoint folder and read it back: a cut lineage that outlives executors."""
     ensure_checkpoint_dir(df.sparkSession)
