@@ -1,23 +1,26 @@
 """Counts of 64-bit keys over a whole corpus, asked for and answered block by block.
 
-Documents are dealt to blocks of bounded bytes by a hash of their id. Each block sends every distinct key once,
-with its own count, in runs sorted by key, one run to each part of the key space; a part adds up the counts of all
-blocks and answers each block with the counts that are not the block's own. So a key that is everywhere costs one
-entry per block, and what moves is packed: sorted keys as differences in as few bytes as they need, and counts
-compressed.
+Rows are put into blocks of bounded bytes as they come, whatever their ids, and blocks are kept compressed. The table
+of counts is partitioned by hash: each block sends every distinct key once, with its own count, in runs sorted by key,
+one run to each part of the key space; a part adds up the counts of all blocks and is joined back to the blocks that
+sent it keys. So a key that is everywhere costs one entry per block, and what moves is packed: sorted keys as
+differences in as few bytes as they need, and counts compressed.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Bytes of text of a block, and keys of a part, on average.
-BLOCK_BYTES, PART_KEYS = 10 << 20, 1_500_000
+from docloom.llm._text import small_batches, steps, text_bytes
+from docloom.session import clean_shuffles, cut_table
+
+#: Bytes of text of a block, at most, and keys of a part, on average.
+BLOCK_BYTES, PART_KEYS = 8 << 20, 1_500_000
 REPLY = "block long, part int, place binary, total binary"
 
 
@@ -64,15 +67,44 @@ def unpack_counts(data: bytes) -> np.ndarray:
     return wide.view("<u8").ravel()
 
 
+def _packed(rows: list[pa.RecordBatch]) -> pa.RecordBatch:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, rows[0].schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+        for part in rows:
+            out.write_batch(part)
+    return pa.RecordBatch.from_arrays([pa.array([sink.getvalue().to_pybytes()], pa.binary()), pa.array([sum(len(text_bytes(part.column("text"))[0]) for part in rows)], pa.int64())], names=["rows", "bytes"])
+
+
+def _pack_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    held, size = [], 0
+    for batch in batches:
+        for step in steps(batch, "text", BLOCK_BYTES):
+            n = len(text_bytes(step.column("text"))[0])
+            if held and size + n > BLOCK_BYTES:
+                yield _packed(held)
+                held, size = [], 0
+            held.append(step)
+            size += n
+    if held:
+        yield _packed(held)
+
+
+def unpacked(rows: bytes) -> pa.Table:
+    return pa.ipc.open_stream(pa.py_buffer(rows)).read_all().combine_chunks()
+
+
 class CorpusCounts:
-    """Blocks of documents (``block``, ``id``, ``text``) and the exchange of counts between them."""
+    """Blocks of documents (``id``, ``text``) and the exchange of counts between them."""
 
     def __init__(self, docs: DataFrame, id_col: str, text_col: str, keys_per_byte: float, key_bits: int = 64):
+        small_batches(docs.sparkSession)
+        clean_shuffles(docs.sparkSession)
         kept = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-        total = kept.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-        self._deal(total, keys_per_byte, key_bits)
+        packed = kept.mapInArrow(_pack_rows, "rows binary, bytes long")
+        # a table, as blocks must be the same ones whenever they are read
+        self.docs = cut_table(packed.select(F.monotonically_increasing_id().alias("block"), "rows", "bytes"))
+        self._deal(self.docs.agg(F.sum("bytes")).first()[0] or 0, keys_per_byte, key_bits)
         self.whole = False
-        self.docs = kept.withColumn("block", F.pmod(F.xxhash64(F.lit(41), "id"), F.lit(self.blocks)).cast("long"))
 
     @classmethod
     def of_blocks(cls, rows: DataFrame, keys_per_byte: float) -> CorpusCounts:
@@ -98,17 +130,24 @@ class CorpusCounts:
         """``count`` gives the ascending distinct keys of a column of texts (of whole rows, if made by ``of_blocks``) and their counts."""
         me, whole = self._plain(), self.whole
 
-        def ask(table: pa.Table) -> pa.Table:
-            keys, counts = count(table if whole else _texts(table))
+        def entries(block: int, keys: np.ndarray, counts: np.ndarray) -> pa.Table:
             edges = me.part_edges(keys)
             spans = [(a, b) for a, b in zip(edges[:-1], edges[1:], strict=True)]
             rows = [k for k, (a, b) in enumerate(spans) if b > a]
             return pa.table({
-                "block": pa.array([table.column("block")[0].as_py()] * len(rows), pa.int64()), "part": pa.array(rows, pa.int32()),
+                "block": pa.array([block] * len(rows), pa.int64()), "part": pa.array(rows, pa.int32()),
                 "keys": pa.array([pack_sorted(keys[spans[k][0] : spans[k][1]]) for k in rows], pa.binary()),
                 "counts": pa.array([pack_counts(counts[spans[k][0] : spans[k][1]]) for k in rows], pa.binary()),
             })
 
+        def ask(table: pa.Table) -> pa.Table:
+            return entries(table.column("block")[0].as_py(), *count(table))
+
+        def ask_packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for block, rows in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                    yield from entries(block, *count(_texts(unpacked(rows.as_py())))).to_batches()
+
         def answer(table: pa.Table) -> pa.Table:
             table = table.combine_chunks()
             each = [unpack_sorted(x) for x in table.column("keys").to_pylist()]
@@ -125,14 +164,17 @@ class CorpusCounts:
                 sums.append(pack_counts(got[other]))
             return pa.table({"block": table.column("block"), "part": table.column("part"), "place": pa.array(place, pa.binary()), "total": pa.array(sums, pa.binary())})
 
-        asked = self.docs.groupBy("block").applyInArrow(ask, "block long, part int, keys binary, counts binary")
+        schema = "block long, part int, keys binary, counts binary"
+        asked = self.docs.groupBy("block").applyInArrow(ask, schema) if whole else self.docs.select("block", "rows").mapInArrow(ask_packed, schema)
         return asked.groupBy("part").applyInArrow(answer, REPLY)
 
     def with_totals(self, replies: DataFrame, run: Callable[[pa.Table, Callable], pa.Table], schema: str) -> DataFrame:
         """``run`` gets each block's documents and a function from the block's ascending keys and own counts to totals."""
-        me = self._plain()
+        me, whole = self._plain(), self.whole
 
         def both(docs: pa.Table, answers: pa.Table) -> pa.Table:
+            docs = docs if whole else unpacked(docs.column("rows")[0].as_py())
+
             def totals(keys: np.ndarray, counts: np.ndarray) -> np.ndarray:
                 out, edges = counts.astype(np.int64), me.part_edges(keys)
                 for part, place, total in zip(*(answers.column(c).to_pylist() for c in ("part", "place", "total")), strict=True):
@@ -142,7 +184,7 @@ class CorpusCounts:
 
             return run(docs, totals)
 
-        return self.docs.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(both, schema)
+        return self.docs.drop("bytes").groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(both, schema)
 
     def _plain(self) -> CorpusCounts:
         """Without DataFrames, for tasks."""

@@ -49,11 +49,11 @@ def _own(h: np.ndarray, doc: np.ndarray) -> np.ndarray:
     return out
 
 
-def score_documents(docs: DataFrame, order: int = 2, backoff: float = 0.4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def score_documents(docs: DataFrame, order: int = 3, backoff: float = 0.4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Each document's log score under n-gram counts of all other documents.
 
     Words are as in ``_text``. Counts of all n-grams up to ``order`` are taken over the whole corpus, in a table
-    partitioned by hash; what a document holds itself is taken off its counts. A word's score is the count of the
+    partitioned by hash and joined to the n-grams of each block of documents; what a document holds itself is taken off its counts. A word's score is the count of the
     longest n-gram that ends at it and occurs elsewhere, over the count of that n-gram without the word, times
     ``backoff`` for each word by which the context was shortened. For one word alone it is its count over the number
     of words elsewhere, where a word that occurs nowhere else counts as one, and so does an empty corpus.
@@ -87,10 +87,10 @@ def score_documents(docs: DataFrame, order: int = 2, backoff: float = 0.4, id_co
                 # a text's first words have no longer context that could be shortened
                 score = np.where(seen, np.log(np.maximum(count, 1) / np.maximum(before, 1)), score + np.where(full, np.log(backoff), 0.0))
             context = count
-        total_score = np.bincount(w.doc, weights=score, minlength=len(texts))
+        total_score = np.bincount(w.doc, weights=score, minlength=len(texts)).astype(float)  # of no words, numpy counts in integers
         n = w.counts
         mean = pa.array(np.round(total_score / np.maximum(n, 1), 6), mask=n == 0)
-        ids = table.column("id").combine_chunks() if table.num_rows else table.column("id")
+        ids = table.column("id")
         return pa.table({id_col: ids, "n_words": n.astype(np.int64), "log_score": np.round(total_score, 4), "mean_log_score": mean})
 
     kind = docs.schema[id_col].dataType.simpleString()

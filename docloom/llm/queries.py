@@ -16,8 +16,9 @@ def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_scoring.score_documents(read_table(spark, sf_dir, "documents"))
 
 
-def op1_lm_scoring_trigrams(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lm_scoring.score_documents(read_table(spark, sf_dir, "documents"), order=3)
+def op1_lm_scoring_bigrams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same operator with the shorter context."""
+    return lm_scoring.score_documents(read_table(spark, sf_dir, "documents"), order=2)
 
 
 def op2_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -68,13 +69,13 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_lm_scoring, op1_lm_scoring_trigrams, op2_topk_search, op3_decontamination, op4_toxicity, op5_packing, op6_quality, op7_minhash_dedup, op8_line_dedup, op9_language_id, op10_token_counts)
+    f.__name__: f for f in (op1_lm_scoring, op1_lm_scoring_bigrams, op2_topk_search, op3_decontamination, op4_toxicity, op5_packing, op6_quality, op7_minhash_dedup, op8_line_dedup, op9_language_id, op10_token_counts)
 }
 
 _DOC_WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
 ORACLE_SQL: dict[str, str] = {
-    "op1_lm_scoring": rf"""
+    "op1_lm_scoring_bigrams": rf"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_DOC_WORDS} AS words FROM documents),
 w AS (SELECT r, i, words[i] AS w, CASE WHEN i > 1 THEN words[i - 1] END AS v FROM (SELECT r, words, unnest(range(1, len(words) + 1)) AS i FROM d)),
 uni AS (SELECT w, count(*) AS c FROM w GROUP BY w), own1 AS (SELECT r, w, count(*) AS c FROM w GROUP BY r, w),
@@ -85,7 +86,7 @@ s AS (SELECT w.r, uni.c - own1.c AS c1, p.c - q.c AS c0, bi.c - own2.c AS c2, w.
       LEFT JOIN own2 ON own2.r = w.r AND own2.v = w.v AND own2.w = w.w LEFT JOIN uni p ON p.w = w.v LEFT JOIN own1 q ON q.r = w.r AND q.w = w.v, size),
 t AS (SELECT r, sum(CASE WHEN c2 > 0 THEN ln(c2 / c0) WHEN v IS NULL THEN ln(greatest(c1, 1) / n) ELSE ln(greatest(c1, 1) / n) + ln(0.4) END) AS s FROM s GROUP BY r)
 SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, round(coalesce(s, 0), 4) AS log_score, round(s / len(words), 6) AS mean_log_score FROM d LEFT JOIN t ON t.r = d.r""",
-    "op1_lm_scoring_trigrams": rf"""
+    "op1_lm_scoring": rf"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_DOC_WORDS} AS words FROM documents),
 w AS (SELECT r, i, words[i] AS w, CASE WHEN i > 1 THEN words[i - 1] END AS v, CASE WHEN i > 2 THEN words[i - 2] END AS u FROM (SELECT r, words, unnest(range(1, len(words) + 1)) AS i FROM d)),
 uni AS (SELECT w, count(*) AS c FROM w GROUP BY w), own1 AS (SELECT r, w, count(*) AS c FROM w GROUP BY r, w),

@@ -132,7 +132,7 @@ def test_lm_and_decontamination_take_odd_rows(spark, odd, none):
 def test_trigram_contexts_are_scored(spark, tmp_path):
     rows = [(1, "a b c d"), (2, "a b c"), (3, "a b d"), (4, "x c")]
     spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
-    got = {r["doc_id"]: r["log_score"] for r in QUERIES["op1_lm_scoring_trigrams"](spark, str(tmp_path)).collect()}
+    got = {r["doc_id"]: r["log_score"] for r in QUERIES["op1_lm_scoring"](spark, str(tmp_path)).collect()}
     # for document 2, elsewhere: a is 2 of 9 words, a b follows both a, and a b c one of two a b
     assert got[2] == round(math.log(2 / 9) + math.log(2 / 2) + math.log(1 / 2), 4)
     # of document 3: a b d is nowhere else, nor is b d, so d alone counts, two words shorter
