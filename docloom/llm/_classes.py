@@ -8,8 +8,6 @@ end; buckets whose members all are in one class leave at once.
 
 from __future__ import annotations
 
-import gc
-import time
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -23,14 +21,6 @@ from docloom.session import cut
 LEADERS = 6
 
 
-def release(df: DataFrame) -> None:
-    """Let Spark clean shuffle files whose DataFrames are gone; without this they stay until the driver collects garbage."""
-    for _ in range(2):  # what the first one lets go of is found by the second
-        gc.collect()
-        df.sparkSession.sparkContext._jvm.System.gc()
-        time.sleep(0.5)
-
-
 class Forest:
     """Union-find over numbers from 0; a root is the least of its tree."""
 

@@ -20,7 +20,7 @@ from docloom.llm._text import small_batches, steps, text_bytes
 from docloom.session import clean_shuffles, cut_table
 
 #: Bytes of text of a block, at most, and keys of a part, on average.
-BLOCK_BYTES, PART_KEYS = 8 << 20, 1_500_000
+BLOCK_BYTES, PART_KEYS = 5 << 20, 1_500_000
 REPLY = "block long, part int, place binary, total binary"
 
 
@@ -107,10 +107,9 @@ class CorpusCounts:
         self.whole = False
 
     @classmethod
-    def of_blocks(cls, rows: DataFrame, keys_per_byte: float) -> CorpusCounts:
-        """Over any rows with ``id`` (long) and ``text``; all rows of one id are in one block, with all their columns."""
+    def of_blocks(cls, rows: DataFrame, total: int, keys_per_byte: float) -> CorpusCounts:
+        """Over any rows with ``id`` (long) and ``text`` of ``total`` bytes or less; all rows of one id are in one block, with all their columns."""
         me = object.__new__(cls)
-        total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
         me._deal(total, keys_per_byte)
         me.docs = rows.withColumn("block", F.pmod(F.xxhash64(F.lit(41), "id"), F.lit(me.blocks)).cast("long"))
         me.whole = True
@@ -166,7 +165,7 @@ class CorpusCounts:
 
         schema = "block long, part int, keys binary, counts binary"
         asked = self.docs.groupBy("block").applyInArrow(ask, schema) if whole else self.docs.select("block", "rows").mapInArrow(ask_packed, schema)
-        return asked.groupBy("part").applyInArrow(answer, REPLY)
+        return cut_table(asked.groupBy("part").applyInArrow(answer, REPLY))  # so that what was asked leaves the disk
 
     def with_totals(self, replies: DataFrame, run: Callable[[pa.Table, Callable], pa.Table], schema: str) -> DataFrame:
         """``run`` gets each block's documents and a function from the block's ascending keys and own counts to totals."""

@@ -1,4 +1,4 @@
-"""Benchmark decontamination with Aho-Corasick automata over normalised benchmark windows."""
+"""Benchmark decontamination with one Aho-Corasick automaton over normalised benchmark items."""
 
 from __future__ import annotations
 
@@ -8,6 +8,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import StructType
 
 from docloom.llm._text import Words, small_batches, steps, whole_row, with_rest
 
@@ -24,40 +26,75 @@ def _key(words: list[bytes]) -> str:
     return (b" " + b" ".join(words) + b" ").decode("latin-1")
 
 
-def windows(items: DataFrame, width: int, id_col: str = "item_id", text_col: str = "text") -> DataFrame:
-    """Distinct windows of the items: ``window`` (normalised text) and ``items`` (ids). Items without words have none."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keys, rows = [], []
-            for i, text in enumerate(batch.column(1).to_pylist()):
-                words = normal_words(text)
-                for k in range(max(1, len(words) - width + 1) if words else 0):
-                    keys.append(b" ".join(words[k : k + width]).decode())
-                    rows.append(i)
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows, pa.int64())), pa.array(keys, pa.string())], names=["item", "window"])
-
-    kept = items.select(F.col(id_col).alias("item"), F.col(text_col).alias("text"))
-    kind = kept.schema["item"].dataType.simpleString()
-    return kept.mapInArrow(run, f"item {kind}, window string").groupBy("window").agg(F.sort_array(F.collect_set("item")).alias("items"))
+#: Bytes of benchmark text that every executor may be sent.
+MAX_ITEM_BYTES = 256 << 20
 
 
-_BUILT: dict[int, object] = {}
+class Index:
+    """One automaton over all items: as large as their texts.
 
+    Its patterns are the blocks of ``width`` // 2 words that an item is made of from its first word on, and all words of
+    an item shorter than ``width``. Every ``width`` words in a row of an item hold a whole block; so a hit that is
+    followed up on both sides finds each run of words that a text shares with an item.
+    """
 
-def _automaton(sent):
-    """The automaton of a broadcast list of windows, built once in each Python worker."""
-    import ahocorasick
-
+    def __init__(self, items: list[tuple], width: int):
+        import ahocorasick
+
+        self.width, self.items, places = width, [(i, normal_words(text)) for i, text in items], {}
+        size = max(1, width // 2)
+        for k, (_, words) in enumerate(self.items):
+            if 0 < len(words) < width:
+                places.setdefault(_key(words), []).append((k, 0, len(words)))
+            elif words:
+                for at in range(0, len(words) - size + 1, size):
+                    places.setdefault(_key(words[at : at + size]), []).append((k, at, size))
+        self.automaton = ahocorasick.Automaton()
+        for key, found in places.items():
+            self.automaton.add_word(key, (len(key), found))
+        if places:
+            self.automaton.make_automaton()
+
+    def find(self, words: list[bytes]) -> tuple[list[tuple[int, int]], list]:
+        """Merged ranges of words (first, and the one behind the last) inside windows, and the ids of their items."""
+        if not words or not len(self.automaton):
+            return [], []
+        key = _key(words)
+        hits = list(self.automaton.iter(key))
+        if not hits:
+            return [], []
+        spaces = np.flatnonzero(np.frombuffer(key.encode("latin-1"), np.uint8) == 32)
+        firsts = np.searchsorted(spaces, np.array([end for end, _ in hits]) - np.array([n for _, (n, _) in hits]) + 1).tolist()
+        reached: dict[tuple[int, int], int] = {}
+        ranges, found = [], set()
+        for first, (_, (_, places)) in zip(firsts, hits, strict=True):
+            for k, at, size in places:
+                item, own = self.items[k]
+                if reached.get((k, first - at), -1) > first:
+                    continue
+                left, right = 0, size
+                if len(own) >= self.width:
+                    most = min(first, at)
+                    while left < most and words[first - left - 1] == own[at - left - 1]:
+                        left += 1
+                    most = min(len(words) - first, len(own) - at)
+                    while right < most and words[first + right] == own[at + right]:
+                        right += 1
+                reached[k, first - at] = first + right
+                if left + right >= min(self.width, len(own)):
+                    ranges.append((first - left, first + right))
+                    found.add(item)
+        return _merge(ranges), sorted(found - {None})
+
+
+_BUILT: dict[int, Index] = {}
+
+
+def _index(sent) -> Index:
+    """The index of broadcast items, built once in each Python worker."""
     if sent.id not in _BUILT:
         _BUILT.clear()
-        a = ahocorasick.Automaton()
-        for window, items in sent.value:
-            key = _key(window.encode().split())
-            a.add_word(key, (len(key), items))
-        if len(a):
-            a.make_automaton()
-        _BUILT[sent.id] = a
+        _BUILT[sent.id] = Index(*sent.value)
     return _BUILT[sent.id]
 
 
@@ -83,58 +120,44 @@ def _merge(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def _scan(docs: DataFrame, sent: _Sent) -> DataFrame:
-    """Adds the occurrences of one automaton's windows to ``ranges`` (of words) and ``items``."""
-    schema = docs.schema
-    at = 1
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        automaton = _automaton(sent)
-        for batch in batches:
-            for step in steps(batch, "text"):
-                n_words, ranges, items = [], step.column(step.num_columns - 2).to_pylist(), step.column(step.num_columns - 1).to_pylist()
-                for i, text in enumerate(step.column(at).to_pylist()):
-                    words = normal_words(text)
-                    n_words.append(len(words))
-                    if not words or not len(automaton):
-                        continue
-                    key = _key(words)
-                    hits = list(automaton.iter(key))
-                    if hits:
-                        spaces = np.flatnonzero(np.frombuffer(key.encode("latin-1"), np.uint8) == 32)
-                        ends = np.array([end for end, _ in hits])
-                        first = np.searchsorted(spaces, ends - np.array([n for _, (n, _) in hits]) + 1)
-                        last = np.searchsorted(spaces, ends)
-                        before = [(r["first"], r["last"]) for r in ranges[i]]
-                        ranges[i] = [{"first": a, "last": b} for a, b in _merge(before + list(zip(first.tolist(), last.tolist(), strict=True)))]
-                        items[i] = sorted({x for _, (_, xs) in hits for x in xs} | set(items[i]))
-                types = step.schema
-                yield pa.RecordBatch.from_arrays([*step.columns[:-3], pa.array(n_words, pa.int64()), pa.array(ranges, types.field(step.num_columns - 2).type), pa.array(items, types.field(step.num_columns - 1).type)], names=types.names)
-
-    return docs.mapInArrow(run, schema)
-
-
-def find_contamination(docs: DataFrame, items: DataFrame, width: int = 10, windows_per_automaton: int = 500_000, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", carry: bool = False) -> DataFrame:
+def find_contamination(docs: DataFrame, items: DataFrame, width: int = 10, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", carry: bool = False) -> DataFrame:
     """Words of every document that lie in occurrences of benchmark windows.
 
     Words are ASCII letters and digits and non-ASCII characters, in ASCII lower case. A window is ``width``
-    consecutive words of an item, or all words of a shorter one. The text is scanned once by one automaton;
-    benchmarks of more than ``windows_per_automaton`` windows are dealt to several automata of at most about
-    that size, whose scans follow each other without a shuffle.
+    consecutive words of an item, or all words of a shorter one. Texts are scanned once, by one automaton, without a
+    shuffle. Items of more than ``MAX_ITEM_BYTES`` are refused, as every executor holds them all.
 
     Returns id, text, row (with ``carry``: all columns as one struct), n_words, ranges (merged ranges of words: first, and the one behind the last) and items
-    (ids of items with occurring windows, ascending). Null and empty texts have no words. Repeated rows get a
-    row each, empty tables give no rows or no hits; other columns are not read.
+    (ids of items with occurring windows, ascending; an item with a null id counts only for the ranges). Null and empty
+    texts have no words. Repeated rows get a row each, empty tables give no rows or no hits; other columns are not read.
     """
     spark = docs.sparkSession
     small_batches(spark)
-    all_windows = windows(items, width, item_col, item_text_col)
-    parts = -(-all_windows.count() // windows_per_automaton) or 1
+    chosen = items.select(F.col(item_col).alias("item"), F.col(item_text_col).alias("text")).where("text is not null").distinct()
+    size = chosen.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    if size > MAX_ITEM_BYTES:
+        raise ValueError(f"the items have {size} bytes of text, over {MAX_ITEM_BYTES}; look for parts of them one after the other")
+    sent = _Sent(spark.sparkContext.broadcast(([(r["item"], r["text"]) for r in chosen.collect()], width)))
     item_kind = items.schema[item_col].dataType.simpleString()
-    out = with_rest(docs, id_col, text_col, carry).select("*", F.lit(0).cast("long").alias("n_words"), F.expr("cast(array() as array<struct<first:int,last:int>>)").alias("ranges"), F.expr(f"cast(array() as array<{item_kind}>)").alias("items"))
-    for k in range(parts):
-        rows = all_windows.where(F.pmod(F.xxhash64("window"), F.lit(parts)) == k).collect()  # bounded by windows_per_automaton
-        out = _scan(out, _Sent(spark.sparkContext.broadcast([(r["window"], r["items"]) for r in rows])))
+    kept = with_rest(docs, id_col, text_col, carry)
+    n_back = len(kept.columns)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index = _index(sent)
+        for batch in batches:
+            for step in steps(batch, "text"):
+                n_words, ranges, found = [], [], []
+                for text in step.column(1).to_pylist():
+                    words = normal_words(text)
+                    spans, ids = index.find(words)
+                    n_words.append(len(words))
+                    ranges.append([{"first": a, "last": b} for a, b in spans])
+                    found.append(ids)
+                yield pa.RecordBatch.from_arrays([*step.columns, pa.array(n_words, pa.int64()), pa.array(ranges, span_type), pa.array(found, pa.list_(item_type))], names=[*step.schema.names, "n_words", "ranges", "items"])
+
+    span_type, item_type = pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32())])), to_arrow_type(items.schema[item_col].dataType)
+    added = spark.createDataFrame([], f"n_words long, ranges array<struct<first:int,last:int>>, items array<{item_kind}>").schema
+    out = kept.mapInArrow(run, StructType([*kept.schema.fields[:n_back], *added.fields]))
     row = [whole_row(docs, id_col, text_col).alias("row")] if carry else []
     return out.select(F.col("id").alias(id_col), F.col("text").alias(text_col), *row, "n_words", "ranges", "items")
 

@@ -13,8 +13,10 @@ from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 from docloom.llm._sample import by_class
 from docloom.llm._text import Words, small_batches, steps, whole_row, with_rest
 
-#: Longest piece, and longest run of bytes that is segmented at once (longer words are cut into such runs).
-MAX_PIECE, MAX_RUN = 16, 32
+#: Words up to so many bytes are segmented together with others of equal length; longer ones place by place, in logs.
+SHORT = 32
+#: Places of long words whose pieces are looked up at once.
+PLACES = 200_000
 UNKNOWN = "und"
 
 
@@ -28,7 +30,7 @@ def public_pieces(path: str | None = None) -> list[bytes]:
         path = public_tokenizers.path("piece_bpe_32k.model")
     model = sentencepiece.SentencePieceProcessor(model_file=path)
     texts = (model.id_to_piece(i).replace("▁", " ").encode() for i in range(model.get_piece_size()) if not (model.is_byte(i) or model.is_control(i) or model.is_unknown(i)))
-    return sorted({bytes([b]) for b in range(256)} | {t for t in texts if 0 < len(t) <= MAX_PIECE})
+    return sorted({bytes([b]) for b in range(256)} | {t for t in texts if t})
 
 
 class Pieces:
@@ -39,7 +41,7 @@ class Pieces:
     def __init__(self, pieces: list[bytes]):
         number = {p: i for i, p in enumerate(pieces)}
         prefixes = sorted({p[:k] for p in pieces for k in range(1, len(p) + 1)})
-        self.n = len(pieces)
+        self.n, self.longest = len(pieces), max(map(len, pieces))
         keys = np.array([self._hash(p) for p in prefixes], dtype=np.uint64)
         if len(np.unique(keys)) != len(keys):
             raise ValueError("two prefixes of the vocabulary have one hash")
@@ -66,43 +68,46 @@ class Pieces:
             h = (h * int(Pieces.BASE) + b + 1) % (1 << 64)
         return h
 
+    def match(self, data: np.ndarray, at: np.ndarray, room: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """Pieces that begin at places of ``data`` with so many bytes of room: length, which places, and numbers of pieces."""
+        active, h = np.arange(len(at)), np.zeros(len(at), dtype=np.uint64)
+        for n in range(1, self.longest + 1):
+            fits = room[active] >= n
+            active, h = active[fits], h[fits]
+            if not len(active):
+                return
+            h = h * self.BASE + data[at[active] + n - 1].astype(np.uint64) + np.uint64(1)
+            slot = self._slot(h)
+            found = np.full(len(h), -1, dtype=np.int64)
+            for step in range(self.reach):
+                hit = self.key[slot + step] == h
+                found[hit] = slot[hit] + step
+            known = found >= 0
+            active, h, found = active[known], h[known], found[known]
+            piece = self.value[found]
+            is_piece = piece >= 0
+            if is_piece.any():
+                yield n, active[is_piece], piece[is_piece]
+
     def edges(self, runs: np.ndarray) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
         """For runs of equal length (rows of bytes): start, length, rows and piece numbers of each piece that occurs."""
         rows, length = runs.shape
+        flat, first = runs.ravel(), np.arange(rows) * length
         for i in range(length):
-            active, h = np.arange(rows), np.zeros(rows, dtype=np.uint64)
-            for n in range(1, min(MAX_PIECE, length - i) + 1):
-                h = h * self.BASE + runs[active, i + n - 1].astype(np.uint64) + np.uint64(1)
-                slot = self._slot(h)
-                at = np.full(len(h), -1, dtype=np.int64)
-                for step in range(self.reach):
-                    hit = self.key[slot + step] == h
-                    at[hit] = slot[hit] + step
-                known = at >= 0
-                active, h, at = active[known], h[known], at[known]
-                if not len(active):
-                    break
-                piece = self.value[at]
-                is_piece = piece >= 0
-                if is_piece.any():
-                    yield i, n, active[is_piece], piece[is_piece]
-
-
-def word_runs(w: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """The distinct words of ``w``, cut into runs: start, end, number of the distinct word; and which word each word is."""
+            for n, at, piece in self.match(flat, first + i, np.full(rows, length - i)):
+                yield i, n, at, piece
+
+
+def distinct_words(w: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start and end of the distinct words of ``w``, and which of them each word is."""
     _, first, which = np.unique(w.hash, return_index=True, return_inverse=True)
-    start, end = w.start[first], w.end[first]
-    cuts = -(-(end - start) // (MAX_RUN - 1))
-    owner = np.repeat(np.arange(len(first)), cuts)
-    k = np.arange(len(owner)) - np.repeat(np.cumsum(cuts) - cuts, cuts)
-    begin = start[owner] + k * (MAX_RUN - 1)
-    return begin, np.minimum(begin + MAX_RUN - 1, end[owner]), owner, which
+    return w.start[first], w.end[first], which
 
 
 def equal_lengths(data: np.ndarray, begin: np.ndarray, end: np.ndarray, most: int = 20_000) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Row numbers and bytes (a space first) of runs of one length, ``most`` at a time."""
+    """Row numbers and bytes (a space first) of words of one length up to ``SHORT``, ``most`` at a time."""
     length = end - begin
-    for n in np.unique(length):
+    for n in np.unique(length[length <= SHORT]):
         rows = np.flatnonzero(length == n)
         for part in np.split(rows, range(most, len(rows), most)):
             runs = np.full((len(part), n + 1), 32, dtype=np.uint8)
@@ -119,6 +124,80 @@ def forward(pieces: Pieces, runs: np.ndarray, p: np.ndarray, edges: list | None
     return alpha
 
 
+class LongWords:
+    """Words of more than ``SHORT`` bytes, a space before each, longest first; ``rows`` are their numbers."""
+
+    def __init__(self, data: np.ndarray, begin: np.ndarray, end: np.ndarray, rows: np.ndarray):
+        self.rows = rows[np.argsort(begin[rows] - end[rows], kind="stable")]
+        begin, end = begin[self.rows], end[self.rows]
+        self.length = end - begin + 1
+        self.first = np.append(0, np.cumsum(self.length))[:-1]
+        self.data = np.full(int(self.length.sum()), 32, dtype=np.uint8)
+        inside = np.ones(len(self.data), dtype=bool)
+        inside[self.first] = False
+        at = np.arange(len(self.data))
+        self.data[inside] = data[(at - np.repeat(self.first + 1 - begin, self.length))[inside]]
+
+    def columns(self, pieces: Pieces) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
+        """For each place from the first: place, words that have it (the first so many), and word, length and number of each piece that begins there."""
+        place = 0
+        while place < self.length[0]:
+            live = int(np.searchsorted(-self.length, -place))
+            to = min(int(self.length[0]), place + max(1, PLACES // live))
+            word, col = (x.ravel() for x in np.meshgrid(np.arange(live), np.arange(place, to), indexing="ij"))
+            ok = col < self.length[word]
+            word, col = word[ok], col[ok]
+            found = [(np.full(len(at), n), at, piece) for n, at, piece in pieces.match(self.data, self.first[word] + col, self.length[word] - col)]
+            n, at, piece = (np.concatenate(x) for x in zip(*found, strict=True))
+            order = np.argsort(col[at], kind="stable")
+            n, at, piece = n[order], at[order], piece[order]
+            edge = np.searchsorted(col[at], np.arange(place, to + 1))
+            for k in range(to - place):
+                part = slice(edge[k], edge[k + 1])
+                yield place + k, int(np.searchsorted(-self.length, -(place + k))), word[at[part]], n[part], piece[part]
+            place = to
+
+    def forward(self, pieces: Pieces, log_p: np.ndarray, whole: bool = False) -> tuple[np.ndarray, np.ndarray]:
+        """Logs of the sums over all segmentations: of whole words; and of their beginnings (all with ``whole``, else only the last places that a piece can span)."""
+        width = int(self.length[0]) + 1 if whole else pieces.longest + 1
+        alpha = np.full((len(self.rows), width, log_p.shape[1]), -np.inf)
+        alpha[:, 0] = 0
+        for place, live, word, n, piece in self.columns(pieces):
+            to = (place + n) % width
+            alpha[word, to] = np.logaddexp(alpha[word, to], alpha[word, place % width] + log_p[piece])
+            if not whole:
+                alpha[:live, place % width] = -np.inf  # the next place that has this column is ``width`` later
+        return alpha[np.arange(len(self.rows)), self.length % width], alpha
+
+    def uses(self, pieces: Pieces, log_p: np.ndarray, weight: np.ndarray) -> np.ndarray:
+        """Expected uses of each piece over all segmentations; words count as ``weight`` says in each language."""
+        out, (total, alpha) = np.zeros_like(log_p), self.forward(pieces, log_p, whole=True)
+        edges = [(np.full(len(word), place), word, n, piece) for place, _, word, n, piece in self.columns(pieces)]
+        start, word, n, piece = (np.concatenate(x) for x in zip(*edges, strict=True))
+        end = start + n
+        order = np.argsort(-end, kind="stable")
+        start, word, end, piece = start[order], word[order], end[order], piece[order]
+        beta = np.full_like(alpha, -np.inf)
+        beta[np.arange(len(self.rows)), self.length] = 0
+        for part in np.split(np.arange(len(end)), np.flatnonzero(np.diff(end)) + 1):
+            w, s = word[part], start[part]
+            beta[w, s] = np.logaddexp(beta[w, s], beta[w, end[part]] + log_p[piece[part]])
+        use = np.exp(alpha[word, start] + log_p[piece] + beta[word, end] - total[word]) * weight[self.rows][word]
+        for k in range(log_p.shape[1]):
+            out[:, k] = np.bincount(piece, weights=use[:, k], minlength=len(log_p))
+        return out
+
+
+def long_words(data: np.ndarray, begin: np.ndarray, end: np.ndarray, most: int | None = None) -> Iterator[LongWords]:
+    """All words of more than ``SHORT`` bytes; with ``most``, a few at a time of about that many bytes when all are as long as the longest."""
+    rows = np.flatnonzero(end - begin > SHORT)
+    rows = rows[np.argsort(begin[rows] - end[rows], kind="stable")]
+    while len(rows):
+        take = len(rows) if most is None else max(1, most // int(end[rows[0]] - begin[rows[0]]))
+        yield LongWords(data, begin, end, rows[:take])
+        rows = rows[take:]
+
+
 class LanguageModel:
     """Piece probabilities of each language over one fixed vocabulary."""
 
@@ -135,10 +214,12 @@ class LanguageModel:
         w = Words(texts)
         out = np.zeros((len(texts), len(self.languages)))
         if len(w.start):
-            begin, end, owner, which = word_runs(w)
-            logs = np.zeros((int(owner[-1]) + 1, len(self.languages)))
+            begin, end, which = distinct_words(w)
+            logs = np.zeros((len(begin), len(self.languages)))
             for rows, runs in equal_lengths(w.data, begin, end):
-                np.add.at(logs, owner[rows], np.log(forward(self.finder, runs, self.p)[:, -1]))
+                logs[rows] = np.log(forward(self.finder, runs, self.p)[:, -1])
+            for words in long_words(w.data, begin, end):
+                logs[words.rows] = words.forward(self.finder, np.log(self.p))[0]
             for k in range(len(self.languages)):
                 out[:, k] = np.bincount(w.doc, weights=logs[which, k], minlength=len(texts))
         return out
@@ -154,22 +235,24 @@ def fit(texts: pa.Array, langs: list[str], pieces: list[bytes], prior: dict[str,
     finder, w = Pieces(pieces), Words(texts)
     p = np.full((finder.n, len(names)), 1.0 / finder.n)
     if names and len(w.start):
-        begin, end, owner, which = word_runs(w)
+        begin, end, which = distinct_words(w)
         lang = np.array([names.index(x) for x in langs])[w.doc]
-        weight = np.stack([np.bincount(which, weights=lang == k, minlength=int(owner[-1]) + 1) for k in range(len(names))], axis=1)
+        weight = np.stack([np.bincount(which, weights=lang == k, minlength=len(begin)) for k in range(len(names))], axis=1)
         for _ in range(rounds):
             uses = np.zeros_like(p)
             for rows, runs in equal_lengths(w.data, begin, end):
                 edges = list(finder.edges(runs))
                 alpha = forward(finder, runs, p, edges)
                 beta = np.zeros_like(alpha)
-                beta[:, -1] = weight[owner[rows]] / alpha[:, -1]
+                beta[:, -1] = weight[rows] / alpha[:, -1]
                 for i, n, at, piece in sorted(edges, key=lambda e: -e[0]):  # by where they begin, last first
                     use = p[piece] * beta[at, i + n]
                     beta[at, i] += use
                     use *= alpha[at, i]
                     for k in range(len(names)):
                         uses[:, k] += np.bincount(piece, weights=use[:, k], minlength=finder.n)
+            for words in long_words(w.data, begin, end, most=1 << 18):
+                uses += words.uses(finder, np.log(p), weight)
             p = (uses + smooth) / (uses.sum(axis=0) + smooth * finder.n)
     total = sum(prior.get(n, 1) for n in names) or 1
     return LanguageModel(names, p, np.array([np.log(prior.get(n, 1) / total) for n in names]), pieces)
@@ -198,6 +281,8 @@ def _has_letter(texts: pa.Array) -> np.ndarray:
 def identify(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_col: str = "text", carry: bool = False) -> DataFrame:
     """The likeliest language of every text and its posterior probability.
 
+    Words are those of ``_text``: in ASCII lower case, each with a space before it and segmented in all ways, whatever its
+    length; so pieces with ASCII capitals are never used, and what lies between words counts for nothing.
     Null texts, texts without a letter, and all texts of a model without languages are ``und`` with score 0.
     Equal languages go to the first by name. Repeated rows get a row each, an empty table an empty result.
     Columns other than id and text are not read, or all columns come back as one struct, ``row`` (``carry``).

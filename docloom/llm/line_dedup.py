@@ -7,17 +7,20 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from docloom.llm._classes import across, classes, connected, release
+from docloom.llm._classes import across, classes, connected
 from docloom.llm._counts import CorpusCounts, _texts
-from docloom.llm._text import IS_WORD, family_hashes, mix, small_batches, span_hashes, steps, text_bytes
-from docloom.session import cut, cut_table
+from docloom.llm._text import IS_WORD, family_hashes, mix, small_batches, span_hashes, steps, text_bytes, whole_row, with_rest
+from docloom.session import clean_shuffles, cut, cut_table
 
-#: Lines of fewer bytes are alike only if equal: a few edits are a large part of them.
-MIN_FUZZY = 24
+#: A line may be changed by one edit for every so many of its characters, up to the edits asked for.
+CHARS_PER_EDIT = 12
+#: Lines that a task remembers to have sent, so that a line that is everywhere moves about once a task.
+REMEMBERED = 1_000_000
 _WORD = re.compile("[0-9A-Za-z\x80-\U0010ffff]")
 
 
@@ -54,25 +57,57 @@ def segment(length: np.ndarray, i: int, edits: int) -> tuple[np.ndarray, np.ndar
     return i * short + np.maximum(0, i - first_long), short + (i >= first_long)
 
 
+def allowed(length, edits: int):
+    """Edits by which a line of ``length`` characters, and one that is no shorter, may differ."""
+    return np.minimum(length // CHARS_PER_EDIT, edits)
+
+
+def code_points(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """A number for each character of a string column (its UTF-8 bytes as one integer), and the characters before each text."""
+    raw, offsets = text_bytes(texts)
+    if not len(raw):
+        return np.zeros(0, np.uint32), np.zeros(len(offsets), np.int64)
+    first = (raw & 0xC0) != 0x80
+    at = np.flatnonzero(first)
+    out, wide = raw[at].astype(np.uint32), np.append(raw, [0, 0, 0])
+    more = np.ones(len(at), dtype=bool)
+    for k in range(1, 4):
+        more &= (wide[at + k] & 0xC0) == 0x80
+        out = np.where(more, (out << np.uint32(8)) | wide[at + k], out)
+    return out, np.append(0, np.cumsum(first))[offsets]
+
+
 def segment_keys(data: np.ndarray, start: np.ndarray, end: np.ndarray, edits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Keys under which lines may meet: key, line, and whether it is a segment of the line itself.
 
-    A line of length n has its own segments, and for each length from n - ``edits`` to n the substrings where, in
-    a line of that length within ``edits`` edits, some segment must stand. Two lines within ``edits`` edits share a key
-    that is a segment of the shorter one. A key is a hash of the substring, the shorter length and the segment's number.
+    A line of n characters that may be changed by t edits has its own t + 1 segments, and for each shorter length with as
+    many edits, the substrings where, in a line of that length within t edits, some segment must stand. Two lines within
+    their edits share a key that is a segment of the shorter one. A key is a hash of the substring, the shorter length and
+    the segment's number.
     """
     n = end - start
+    found = [(np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, bool))]
+    for t in range(1, edits + 1):
+        lines = np.flatnonzero((allowed(n, edits) >= t) & (allowed(n - t, edits) <= t))
+        if len(lines):
+            key, line, own = _keys_of(data, start[lines], n[lines], t, edits)
+            found.append((key, lines[line], own))
+    return tuple(np.concatenate(x) for x in zip(*found, strict=True))
+
+
+def _keys_of(data: np.ndarray, start: np.ndarray, n: np.ndarray, t: int, edits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The keys of ``segment_keys`` by shorter lengths that allow ``t`` edits."""
     spans, tags, line, own = [], [], [], []
     everyone = np.arange(len(n))
-    for delta in range(edits + 1):
+    for delta in range(t + 1):
         shorter = n - delta
-        ok = shorter >= MIN_FUZZY
-        for i in range(edits + 1):
-            at, size = segment(shorter, i, edits)
+        ok = allowed(shorter, edits) == t
+        for i in range(t + 1):
+            at, size = segment(shorter, i, t)
             # multi-match-aware: left and right of the segment there is room for the edits that are left
-            low = np.maximum(np.maximum(at - i, at + delta - (edits - i)), 0)
-            high = np.minimum(np.minimum(at + i, at + delta + (edits - i)), n - size)
-            for shift in range(2 * edits + 1):
+            low = np.maximum(np.maximum(at - i, at + delta - (t - i)), 0)
+            high = np.minimum(np.minimum(at + i, at + delta + (t - i)), n - size)
+            for shift in range(2 * t + 1):
                 use = ok & (low + shift <= high)
                 if not use.any():
                     continue
@@ -94,8 +129,8 @@ def _once(key: np.ndarray, line: np.ndarray) -> np.ndarray:
     return np.unique(mix(key ^ mix(line.astype(np.uint64) + np.uint64(1))), return_index=True)[1]
 
 
-def within(x: bytes, y: bytes, edits: int) -> bool:
-    """Whether the edit distance of two byte strings is ``edits`` or less, by bit-parallel columns of a band of 2 * edits + 1."""
+def within(x: str, y: str, edits: int) -> bool:
+    """Whether the edit distance of two strings (or byte strings) is ``edits`` or less, by bit-parallel columns of a band of 2 * edits + 1."""
     if len(x) > len(y):
         x, y = y, x
     if len(y) - len(x) > edits:
@@ -113,7 +148,7 @@ def within(x: bytes, y: bytes, edits: int) -> bool:
     # Bit k of column j stands for row j + k - edits of the distance matrix; near[e] has the cells of at most e edits.
     width = 2 * edits + 1
     full = (1 << width) - 1
-    rows: dict[int, int] = {}
+    rows: dict = {}
     for i, c in enumerate(x):
         rows[c] = rows.get(c, 0) | 1 << i
     near = [((1 << (e + 1)) - 1) << edits & full for e in range(edits + 1)]
@@ -140,11 +175,11 @@ def within(x: bytes, y: bytes, edits: int) -> bool:
 def _verify(lines: DataFrame, edits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ok = [within(x, y, edits) for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
+            ok = [within(x, y, int(allowed(min(len(x), len(y)), edits))) for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
     def verify(pairs: DataFrame) -> DataFrame:
-        left, right = lines.select(F.col("line").alias("a"), F.col("bytes").alias("x")), lines.select(F.col("line").alias("b"), F.col("bytes").alias("y"))
+        left, right = lines.select(F.col("line").alias("a"), F.col("text").alias("x")), lines.select(F.col("line").alias("b"), F.col("text").alias("y"))
         return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
     return verify
@@ -154,22 +189,22 @@ _KINDS = 64
 
 
 def _histograms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """How many bytes of each of ``_KINDS`` kinds a line has."""
+    """How many characters of each of ``_KINDS`` kinds a line has."""
     for batch in batches:
-        counts = [np.bincount(np.frombuffer(x, np.uint8) % _KINDS, minlength=_KINDS).astype("<i4").tobytes() for x in batch.column(1).to_pylist()]
+        counts = [np.bincount(np.frombuffer(x.encode("utf-32-le"), "<u4") % _KINDS, minlength=_KINDS).astype("<i4").tobytes() for x in batch.column(1).to_pylist()]
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.binary())], names=["id", "counts"])
 
 
 def _few_edits(edits: int):
-    """For ``across``: pairs whose histograms differ by 2 * ``edits`` or less, as an edit changes two counts by one at most."""
+    """For ``across``: pairs whose histograms differ by twice their edits or less, as an edit changes two counts by one at most."""
 
     def run(table: pa.Table) -> pa.Table:
         table = table.combine_chunks()
         counts = np.frombuffer(b"".join(table.column("counts").to_pylist()), "<i4").reshape(-1, _KINDS)
-        ids, labels = table.column("id").to_numpy(), table.column("label").to_numpy()
+        ids, labels, size = table.column("id").to_numpy(), table.column("label").to_numpy(), counts.sum(axis=1)
         a, b = [], []
         for i in np.flatnonzero(table.column("asks").to_numpy()):
-            near = np.flatnonzero((np.abs(counts - counts[i]).sum(axis=1) <= 2 * edits) & (labels != labels[i]))
+            near = np.flatnonzero((np.abs(counts - counts[i]).sum(axis=1) <= 2 * allowed(np.minimum(size, size[i]), edits)) & (labels != labels[i]))
             a += [int(ids[i])] * len(near)
             b += ids[near].tolist()
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
@@ -178,7 +213,11 @@ def _few_edits(edits: int):
 
 
 def _local_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The distinct lines with words of each step, with where each stands first: so a line that is everywhere moves once a step."""
+    """The distinct lines with words of a task's documents, with where each stands first.
+
+    A line comes again only if it stands at an earlier place than when it was sent, or if ``REMEMBERED`` others came between.
+    """
+    seen, place = np.zeros(0, np.uint64), np.zeros((0, 2), np.int64)
     for batch in batches:
         for step in steps(batch, "text"):
             data, start, end, doc, number = line_spans(step.column(1))
@@ -188,7 +227,19 @@ def _local_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             ids = step.column(0).to_numpy(zero_copy_only=False)[doc]
             order = np.lexsort((number, ids, h))
             first = order[np.r_[True, h[order][1:] != h[order][:-1]]] if len(order) else order
-            first.sort()
+            here = np.stack([ids[first], number[first]], axis=1).astype(np.int64)
+            at = np.minimum(np.searchsorted(seen, h[first]), max(len(seen) - 1, 0))
+            known = seen[at] == h[first] if len(seen) else np.zeros(len(first), bool)
+            later = known.copy()
+            later[known] = (place[at[known], 0] < here[known, 0]) | ((place[at[known], 0] == here[known, 0]) & (place[at[known], 1] <= here[known, 1]))
+            place[at[known & ~later]] = here[known & ~later]
+            if len(seen) > REMEMBERED:
+                seen, place = h[first[~known]], here[~known]
+            else:
+                seen, place = np.concatenate([seen, h[first[~known]]]), np.concatenate([place, here[~known]])
+                both = np.argsort(seen)
+                seen, place = seen[both], place[both]
+            first = np.sort(first[~later])
             size = end[first] - start[first]
             offsets = np.append(0, np.cumsum(size)).astype(np.int64)
             at = np.arange(offsets[-1]) + np.repeat(start[first] - offsets[:-1], size)
@@ -199,15 +250,16 @@ def _local_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def kept_lines(docs: DataFrame, edits: int = 2) -> DataFrame:
     """``doc`` and ``number`` of the lines that stay, of documents (id, text); see ``dedup_lines``."""
     local = docs.where("id is not null").mapInArrow(_local_lines, "line long, doc long, number int, text string")
-    corpus = CorpusCounts.of_blocks(local.withColumnRenamed("line", "id"), keys_per_byte=0.02 * (edits + 2))
+    total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0  # no less than what the lines have
+    corpus = CorpusCounts.of_blocks(local.withColumnRenamed("line", "id"), total, keys_per_byte=0.02 * (edits + 2))
 
     def distinct(table: pa.Table) -> tuple[pa.Table, np.ndarray, np.ndarray, np.ndarray]:
-        """A block's distinct lines where they stand first; and bytes and spans of those long enough for edits."""
+        """A block's distinct lines where they stand first; characters, and which lines are long enough for edits."""
         table = table.sort_by([("id", "ascending"), ("doc", "ascending"), ("number", "ascending")]).combine_chunks()
         line = table.column("id").to_numpy()
         table = table.take(pa.array(np.flatnonzero(np.r_[True, line[1:] != line[:-1]]) if len(line) else np.zeros(0, np.int64)))
-        data, offsets = text_bytes(_texts(table))
-        long = np.flatnonzero(np.diff(offsets) >= MIN_FUZZY)
+        data, offsets = code_points(_texts(table))
+        long = np.flatnonzero(allowed(np.diff(offsets), edits) > 0)
         return table, data, offsets, long
 
     def count(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
@@ -233,22 +285,21 @@ def kept_lines(docs: DataFrame, edits: int = 2) -> DataFrame:
         text = table.column("text").combine_chunks()
         return pa.table({
             "line": table.column("id"), "doc": table.column("doc"), "number": table.column("number"),
-            "bytes": pa.array([x if f else None for x, f in zip(text.cast(pa.binary()).to_pylist(), fuzzy, strict=True)], pa.binary()),
+            "text": pc.if_else(pa.array(fuzzy), text.cast(pa.string()), pa.scalar(None, pa.string())),
             "keys": pa.ListArray.from_arrays(bounds, pa.array(key[shared][order].view(np.int64))),
             "own": pa.ListArray.from_arrays(bounds, pa.array(own[shared][order])),
         })
 
-    lines = cut_table(corpus.with_totals(corpus.replies(count), run, "line long, doc long, number int, bytes binary, keys array<long>, own array<boolean>"))
-    release(lines)
-    near = lines.where("bytes is not null")
+    lines = cut_table(corpus.with_totals(corpus.replies(count), run, "line long, doc long, number int, text string, keys array<long>, own array<boolean>"))
+    near = lines.where("text is not null")
     met = near.select("line", F.explode(F.arrays_zip("keys", "own")).alias("k")).groupBy(F.col("k.keys").alias("bucket"), F.col("line").alias("id")).agg(F.max("k.own").alias("own"))
     # only a key that is some line's own segment can be shared by lines within the edits
     rows = met.join(met.groupBy("bucket").agg(F.max("own").alias("any"), F.count("*").alias("n")).where("any and n > 1").select("bucket"), "bucket").select("bucket", "id")
-    rows, near_bytes = cut(rows), cut(near.select("line", "bytes"))
+    rows, texts = cut(rows), cut(near.select("line", "text"))
     # first a few leaders of each bucket, which settles lines of one pattern; then all that are not in one class yet
-    labels, links = classes(rows, _verify(near_bytes, edits), rounds=1)
-    pairs = across(rows, labels, near_bytes.mapInArrow(_histograms, "id long, counts binary"), _few_edits(edits))
-    more = cut(_verify(near_bytes, edits)(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()))
+    labels, links = classes(rows, _verify(texts, edits), rounds=1)
+    pairs = across(rows, labels, texts.mapInArrow(_histograms, "id long, counts binary"), _few_edits(edits))
+    more = cut(_verify(texts, edits)(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()))
     if not more.isEmpty():
         labels = connected(links.union(more))
     placed = near.select("line", "doc", "number").join(labels.withColumnRenamed("id", "line"), "line")
@@ -260,47 +311,46 @@ def kept_lines(docs: DataFrame, edits: int = 2) -> DataFrame:
 def dedup_lines(docs: DataFrame, edits: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Removes repeated lines from all documents; each line stays where it stands first, by document id and line number.
 
-    Lines stand between line feeds. Lines are repeats if they are equal, or if both have ``MIN_FUZZY`` bytes or more and
-    links of at most ``edits`` edits of UTF-8 bytes connect them; such lines are one class, of which the first stays. Lines without a word
-    (blank ones too) are no repeats of anything.
+    Lines stand between line feeds. Lines are repeats if they are equal, or if links connect them of at most as many edits
+    of characters as the shorter line allows: one for every ``CHARS_PER_EDIT`` characters, up to ``edits``. Such lines are
+    one class, of which the first stays. Lines without a word (blank ones too) are no repeats of anything.
 
-    Returns the columns of ``docs`` with the new text, and ``n_lines`` (with words) and ``n_kept`` of each row. Null texts
-    stay null and have no lines. Rows of one id count as one document: each keeps the lines that the id keeps, by
-    number. Rows with a null id stay as they are. An empty table gives an empty result; other columns pass through.
+    Returns ``row`` (a struct of all columns of ``docs`` with the new text, so that no name can clash), ``n_lines`` (with
+    words) and ``n_kept`` of each row, and ``chars`` and ``kept_chars`` of such lines. Null texts stay null and have no
+    lines. Ids are integers; rows of one id count as one document: each keeps the lines that the id keeps, by number. Rows
+    with a null id stay as they are. An empty table gives an empty result.
     """
     small_batches(docs.sparkSession)
+    clean_shuffles(docs.sparkSession)
     keep = kept_lines(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")), edits)
-    keep = keep.groupBy(F.col("doc").alias("__doc")).agg(F.sort_array(F.collect_set("number")).alias("__keep"))
-    names = [f for f in docs.columns]
-    joined = docs.join(keep, docs[id_col].cast("long") == keep["__doc"], "left").drop("__doc")
-    at, schema = names.index(text_col), docs.schema
+    keep = keep.groupBy("doc").agg(F.sort_array(F.collect_set("number")).alias("keep"))
+    whole = with_rest(docs, id_col, text_col, carry=True)
+    joined = whole.join(keep, F.col("id").cast("long") == F.col("doc"), "left").drop("doc")
+    counts = ("n_lines", "n_kept", "chars", "kept_chars")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in (step for whole in batches for step in steps(whole, at)):
-            texts, keeps = batch.column(at), batch.column(batch.num_columns - 1).to_pylist()
-            ids = batch.column(names.index(id_col))
-            out, n_lines, n_kept = [], [], []
+        for batch in (step for full in batches for step in steps(full, "text")):
+            texts, keeps, ids = batch.column(1), batch.column(batch.num_columns - 1).to_pylist(), batch.column(0)
+            out, numbers = [], np.zeros((4, batch.num_rows), dtype=np.int64)
             for i, text in enumerate(texts.to_pylist()):
                 if text is None:
                     out.append(None)
-                    n_lines.append(0)
-                    n_kept.append(0)
                     continue
                 lines = text.split("\n")
                 has = [_WORD.search(x) is not None for x in lines]
                 stay = set(keeps[i] or ()) if ids[i].is_valid else set(range(len(lines)))
                 good = [not h or k in stay for k, h in enumerate(has)]
                 out.append("\n".join(x for x, g in zip(lines, good, strict=True) if g))
-                n_lines.append(sum(has))
-                n_kept.append(sum(h and g for h, g in zip(has, good, strict=True)))
-            columns = [*batch.columns[:at], pa.array(out, texts.type), *batch.columns[at + 1 : -1], pa.array(n_lines, pa.int64()), pa.array(n_kept, pa.int64())]
-            yield pa.RecordBatch.from_arrays(columns, names=[*names, "__n_lines", "__n_kept"])
+                size = [len(x) if h else 0 for x, h in zip(lines, has, strict=True)]
+                numbers[:, i] = sum(has), sum(h and g for h, g in zip(has, good, strict=True)), sum(size), sum(n for n, g in zip(size, good, strict=True) if g)
+            columns = [ids, pa.array(out, texts.type), *batch.columns[2:-1], *(pa.array(n) for n in numbers)]
+            yield pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names[:-1], *counts])
 
-    out = joined.mapInArrow(run, StructType([*schema.fields, StructField("__n_lines", LongType()), StructField("__n_kept", LongType())]))
-    clash = {"n_lines", "n_kept"} & {n.lower() for n in names}
-    return out if clash else out.withColumnsRenamed({"__n_lines": "n_lines", "__n_kept": "n_kept"})
+    found = joined.mapInArrow(run, StructType([*whole.schema.fields, *(StructField(c, LongType()) for c in counts)]))
+    return found.select(whole_row(docs, id_col, text_col).alias("row"), *counts)
 
 
 def line_report(deduped: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per document: lines with words, lines that stay, and the SHA-256 of the text that stays (of nothing for null)."""
-    return deduped.select(id_col, "n_lines", "n_kept", F.sha2(F.coalesce(F.col(text_col), F.lit("")).cast("binary"), 256).alias("kept_sha256"))
+    kept = F.coalesce(F.col("row").getField(text_col), F.lit(""))
+    return deduped.select(F.col("row").getField(id_col).alias(id_col), "n_lines", "n_kept", F.sha2(kept.cast("binary"), 256).alias("kept_sha256"))

@@ -9,19 +9,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docloom.llm._classes import Forest, across, classes, connected, release
-from docloom.llm._counts import CorpusCounts, _texts, pack_sorted, unpack_sorted
+from docloom.llm._classes import Forest, across, classes, connected
+from docloom.llm._counts import CorpusCounts, _texts, expand, pack_sorted, squeeze, unpack_sorted
 from docloom.llm._text import Words, gram_hash, mix, small_batches, steps
-from docloom.session import cut, cut_table
+from docloom.session import clean_shuffles, cut, cut_table
 
 SHINGLE = 5
 #: Documents that share a band are compared; two of similarity 0.8 share one with probability 1 - (1 - 0.8**ROWS)**BANDS = 0.9998.
 BANDS, ROWS = 16, 4
-#: A shingle in this share of all documents or fewer has the full weight of one.
-COMMON = 0.1
+#: Share of all documents that is added to the share of documents with a shingle, before its inverse is taken.
+SMOOTH = 0.01
 _TABLE = 1 << 16
 #: Document frequencies are kept by the upper 48 bits of a shingle's hash. Two shingles that share them can only seem
-#: more frequent, which changes no weight below a share of ``COMMON`` and keeps a document that could have been left out.
+#: more frequent, by as much as both are, and keep a document that could have been left out.
 _DF_SHIFT = np.uint64(16)
 
 
@@ -65,9 +65,13 @@ def _df_key(h: np.ndarray) -> np.ndarray:
 
 
 def weights(tf: np.ndarray, df: np.ndarray, n_docs: int) -> np.ndarray:
-    """(1 + ln tf) times the inverse document frequency ln(1 + n / df), which is scaled to be one at a share of ``COMMON`` and is no larger for rarer shingles."""
-    idf = np.minimum(1.0, np.log1p(n_docs / np.maximum(df, 1)) / np.log1p(1 / COMMON))
-    return (1 + np.log(tf)) * idf
+    """TF-IDF: (1 + ln tf) times ln(1 + 1 / (df / n + SMOOTH)), as 32-bit values.
+
+    The smoothing keeps what many copies share from weighing little beside what an edit makes unique: with a plain
+    ln(n / df), two texts of one large group of near copies grow less similar the larger the group is.
+    """
+    idf = np.log1p(1 / (np.maximum(df, 1) / max(n_docs, 1) + SMOOTH))
+    return ((1 + np.log(tf)) * idf).astype(np.float32).astype(np.float64)
 
 
 _TABLES: list = []
@@ -134,7 +138,7 @@ def signatures(docs: DataFrame, threshold: float, id_col: str = "doc_id", text_c
         df = total[np.searchsorted(keys, _df_key(h))]
         weight = weights(tf, df, int(total[0]))
         n = len(texts)
-        sums, common = np.bincount(doc, weights=weight, minlength=n), np.bincount(doc, weights=weight * (df > 1), minlength=n)
+        sums, common = (np.bincount(doc, weights=x, minlength=n).astype(float) for x in (weight, weight * (df > 1)))
         rows = np.flatnonzero((whole != 0) & (common >= threshold * sums * (1 - 1e-9)))
         begin = np.searchsorted(doc, np.arange(n + 1))
         take = np.concatenate([np.arange(begin[k], begin[k + 1]) for k in rows]) if len(rows) else np.zeros(0, np.int64)
@@ -145,8 +149,7 @@ def signatures(docs: DataFrame, threshold: float, id_col: str = "doc_id", text_c
             span = slice(begin[k], begin[k + 1])
             both = df[span] > 1
             shared.append(pack_sorted(h[span][both]))
-            some = weight[span][both].astype("<f4")
-            packed.append(some.tobytes() if (some != 1).any() else b"")
+            packed.append(squeeze(weight[span][both].astype("<f4").tobytes()))
         ids = table.column("id").combine_chunks().take(pa.array(rows))
         band_list = pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1, dtype=np.int32) * BANDS), pa.array(bands.view(np.int64).ravel()))
         return pa.table({"id": ids, "words": whole[rows].view(np.int64), "bands": band_list, "shared": pa.array(shared, pa.binary()), "weight": pa.array(packed, pa.binary()), "total": sums[rows]})
@@ -163,8 +166,7 @@ def similar(vectors: DataFrame, threshold: float):
             keep = []
             for i in range(batch.num_rows):
                 x, y = unpack_sorted(cols["shared"][i]), unpack_sorted(cols["shared2"][i])
-                wx = np.frombuffer(cols["weight"][i], "<f4") if cols["weight"][i] else np.ones(len(x), np.float32)
-                wy = np.frombuffer(cols["weight2"][i], "<f4") if cols["weight2"][i] else np.ones(len(y), np.float32)
+                wx, wy = (np.frombuffer(expand(cols[c][i]), "<f4") for c in ("weight", "weight2"))
                 _, p, q = np.intersect1d(x, y, assume_unique=True, return_indices=True)
                 both = float(np.minimum(wx[p], wy[q]).sum(dtype=np.float64))
                 keep.append(both >= threshold * (cols["total"][i] + cols["total2"][i] - both) - 1e-6)
@@ -208,7 +210,7 @@ def _block_check(threshold: float):
         vectors = []
         for shared, packed in zip(table.column("shared").to_pylist(), table.column("weight").to_pylist(), strict=True):
             keys = unpack_sorted(shared)
-            vectors.append((keys, np.frombuffer(packed, "<f4").astype(float) if packed else np.ones(len(keys))))
+            vectors.append((keys, np.frombuffer(expand(packed), "<f4").astype(float)))
         found = _similar_in_block(table.column("id").to_numpy(), table.column("label").to_numpy(), table.column("asks").to_numpy(), vectors, table.column("total").to_numpy(), threshold)
         return pa.table({"a": pa.array([a for a, _ in found], pa.int64()), "b": pa.array([b for _, b in found], pa.int64())})
 
@@ -220,13 +222,14 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, id_col: str = "doc_
 
     Shingles are runs of five words; weights are those of ``weights`` over counts of all documents. The class id is the
     least id of the class; a document without near copies is its own class. Texts of equal words are one class.
-    Null, empty and word-free texts are near nothing. Rows of one id count as one document. An empty table gives an
-    empty result; other columns are not read. Ids must be integers and not null.
+    Null, empty and word-free texts are near nothing. Rows of one id count as one document. Rows with a null id have
+    no name to be linked by: they count for the weights, and one row (null, null) stands for all of them. An empty table
+    gives an empty result; other columns are not read. Ids must be integers.
     """
     small_batches(docs.sparkSession)
+    clean_shuffles(docs.sparkSession)
     docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    found = cut_table(signatures(docs, threshold, "id", "text"))
-    release(found)
+    found = cut_table(signatures(docs, threshold, "id", "text").where("id is not null"))
     same = cut(found.groupBy("words").agg(F.min("id").alias("rep"), F.count("*").alias("copies")))
     members = found.select("id", "words").join(same, "words").select("id", "rep")
     # of texts of equal words one is compared; only ids and bands move here, vectors only where pairs need them

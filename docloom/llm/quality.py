@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docloom.llm._sample import labelled_texts
-from docloom.llm._text import Words, mix, steps
+from docloom.llm._text import Words, mix, small_batches, steps
 
 #: Words of a passage.
 PASSAGE = 64
@@ -153,6 +153,7 @@ def score_documents(docs: DataFrame, model: QualityModel, id_col: str = "doc_id"
     Null and empty texts are one passage without words. Repeated rows get a row each, an empty table an empty
     result; other columns are not read.
     """
+    small_batches(docs.sparkSession)
     kept = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     sent = docs.sparkSession.sparkContext.broadcast(model)  # a few thousand numbers
 

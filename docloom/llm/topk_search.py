@@ -12,7 +12,9 @@ from pyspark.sql import functions as F
 #: Lengths of one bucket differ by this factor at most.
 RATIO = 1.15
 #: Candidates and queries that one task compares at once.
-BLOCK, QUERY_BLOCK = 4096, 2048
+BLOCK, QUERY_BLOCK = 16_384, 8192
+#: Pairs of a bucket and a block of queries up to which their list is sent to every executor.
+PAIRS = 1_000_000
 #: From this local cosine threshold on, single coordinates prune better than lengths.
 COORDINATE_FROM = 0.35
 _SLACK = 1e-9
@@ -79,11 +81,12 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
 
     Both frames come from ``integer_vectors``. A query never meets its own id. Ties go to the smaller id. A query
     with fewer candidates gets all of them; vectors of another dimension are no candidates. Repeated candidate ids
-    count as separate rows; queries should be distinct.
+    count as separate rows. Queries of one id are one query, by the least of their vectors.
 
     Buckets hold vectors of one dimension and similar length, and large ones are split by a hash of the id into
     blocks of about ``BLOCK``. First each query meets the longest vectors alone, which bounds its k-th score from
-    below; then it goes only to the buckets whose longest vector can still reach that score.
+    below; then it goes only to the buckets whose longest vector can still reach that score. A block of candidates
+    meets only blocks of queries of which one goes to it.
     """
     spark = vectors.sparkSession
     bucket = F.when(F.col("norm") > 0, F.floor(F.log("norm") / float(np.log(RATIO)))).otherwise(-1_000_000).cast("int")
@@ -91,19 +94,25 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
     # one row for each dimension and length class: a few thousand at most, whatever the number of vectors
     sizes = data.groupBy("dim", "bucket").agg(F.count("*").alias("n"), F.max("norm").alias("longest")).collect()
     splits = {(r["dim"], r["bucket"]): max(1, -(-r["n"] // BLOCK)) for r in sizes}
+    queries = queries.groupBy("id").agg(F.min(F.struct("v", "norm", "dim")).alias("q")).select("id", "q.*")
     n_queries = queries.count()
     query_blocks = max(1, -(-n_queries // QUERY_BLOCK))
     buckets = spark.createDataFrame([(r["dim"], r["bucket"], float(r["longest"]), splits[r["dim"], r["bucket"]]) for r in sizes], "dim int, bucket int, longest double, splits int")
     q = queries.withColumn("qblock", F.pmod(F.xxhash64(F.lit(3), "id"), F.lit(query_blocks)).cast("int"))
 
-    def blocks_of(chosen: DataFrame) -> DataFrame:
-        """Candidates of the chosen buckets, each sent to its block for every block of queries."""
-        out = data.drop("norm").join(F.broadcast(chosen), ["dim", "bucket"])
+    def blocks_of(chosen: DataFrame, asked: DataFrame) -> DataFrame:
+        """Candidates of the chosen buckets, each sent to its block for every block of queries that asks the bucket."""
+        asking = asked.select("dim", "bucket", "qblock").distinct().groupBy("dim", "bucket").agg(F.collect_list("qblock").alias("qblocks"))
+        asking = chosen.join(asking, ["dim", "bucket"])
+        if len(sizes) * query_blocks <= PAIRS:
+            asking = F.broadcast(asking)
+        out = data.drop("norm").join(asking, ["dim", "bucket"])
         out = out.withColumn("split", F.pmod(F.xxhash64(F.lit(5), "id"), F.col("splits")).cast("int"))
-        return out.withColumn("qblock", F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1)))).select(*(F.col(c).alias(c) for c in ("dim", "bucket", "split", "qblock", "id", "v")))
+        return out.withColumn("qblock", F.explode("qblocks")).select(*(F.col(c).alias(c) for c in ("dim", "bucket", "split", "qblock", "id", "v")))
 
     def compare(asked: DataFrame, chosen: DataFrame) -> DataFrame:
         """asked: queries with ``least`` and the buckets they go to."""
+        candidates = blocks_of(chosen, asked)
         asked = asked.withColumn("split", F.explode(F.sequence(F.lit(0), F.col("splits") - 1)))
         # new names for columns that the candidates also come from
         asked = asked.select(*(F.col(c).alias(c) for c in ("dim", "bucket", "split", "qblock", "id", "v", "least")))
@@ -123,7 +132,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
             return pa.table({"query_id": cols[0], "vec_id": cols[1], "score": cols[2].astype(np.int64)})
 
         keys = ["dim", "bucket", "split", "qblock"]
-        found = asked.groupBy(*keys).cogroup(blocks_of(chosen).groupBy(*keys)).applyInArrow(run, "query_id long, vec_id long, score long")
+        found = asked.groupBy(*keys).cogroup(candidates.groupBy(*keys)).applyInArrow(run, "query_id long, vec_id long, score long")
         w = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
         return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 

@@ -10,10 +10,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docloom.llm._sample import distinct_texts, labelled_texts
-from docloom.llm._text import Words, mix, span_hashes, steps
+from docloom.llm._text import Words, mix, small_batches, span_hashes, steps
 
-#: Words of one chain; a longer text is several chains.
-CHAIN = 64
+#: Words of a block. A text is one chain whatever its length; its blocks are walked side by side.
+BLOCK = 64
 #: A word or shape has weights of its own from so many texts of the sample on.
 KNOWN_FROM = 3
 
@@ -56,72 +56,112 @@ class Crf:
         before[1:][same], after[:-1][same] = own[:-1][same], own[1:][same]
         return np.stack([own, before, after, _number(self.shapes, shapes(w))], axis=1)
 
-    @staticmethod
-    def chains(w: Words) -> np.ndarray:
-        """Numbers of words, a row for each chain, -1 behind a chain's end."""
-        cuts = -(-w.counts // CHAIN)
-        doc = np.repeat(np.arange(w.n_docs), cuts)
-        k = np.arange(len(doc)) - np.repeat(np.cumsum(cuts) - cuts, cuts)
-        at = (w.bounds[:-1][doc] + k * CHAIN)[:, None] + np.arange(CHAIN)
-        return np.where(at < w.bounds[1:][doc][:, None], at, -1)
-
     def emissions(self, features: np.ndarray) -> np.ndarray:
         return self.bias + sum(t[features[..., k]] for k, t in enumerate(self.tables))
 
-    def forward_backward(self, e: np.ndarray, valid: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Ratios of the toxic to the other tag: of the forward sums at each place, and of the backward sums."""
-        a, x = np.exp(self.move), np.exp(np.clip(e, -40, 40))
-        r, s = np.empty_like(x), np.ones_like(x)
-        r[:, 0] = x[:, 0]
-        for t in range(1, x.shape[1]):
-            r[:, t] = x[:, t] * (a[0, 1] + a[1, 1] * r[:, t - 1]) / (a[0, 0] + a[1, 0] * r[:, t - 1])
-        for t in range(x.shape[1] - 2, -1, -1):
-            y = x[:, t + 1] * s[:, t + 1]
-            s[:, t] = np.where(valid[:, t + 1], (a[1, 0] + a[1, 1] * y) / (a[0, 0] + a[0, 1] * y), 1.0)
+    def forward_backward(self, e: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ratios of the toxic to the other tag, of the forward and of the backward sums at each word; texts have ``counts`` words.
+
+        A step along a chain is a matrix of two by two. So the matrices of all blocks are multiplied side by side, then
+        the sums at the blocks' edges follow block by block, and then those inside all blocks side by side.
+        """
+        a = np.exp(self.move)
+        x = np.exp(np.clip(e, -40, 40))
+        n = -(-counts // BLOCK)
+        first = np.append(0, np.cumsum(n))
+        doc = np.repeat(np.arange(len(counts)), n)
+        number = np.arange(first[-1]) - first[:-1][doc]
+        begin = (np.append(0, np.cumsum(counts))[:-1])[doc] + number * BLOCK
+        size = np.minimum(BLOCK, counts[doc] - number * BLOCK)
+        r, s = np.empty_like(x), np.empty_like(x)
+        if not len(doc):
+            return r, s
+        # products of diag(1, x) a' over each block, scaled to a largest entry of one
+        step = np.zeros((len(doc), 2, 2))
+        step[:, 0, 0] = step[:, 1, 1] = 1
+        later = number > 0
+        for t in range(BLOCK if later.any() else 0):
+            live = np.flatnonzero(later & (size > t))
+            if not len(live):
+                break
+            p = a.T @ step[live]
+            p[:, 1] *= x[begin[live] + t][:, None]
+            step[live] = p / p.max(axis=(1, 2), keepdims=True)
+        # the forward ratio before each block but the first ones, and the backward ratio at each block's last word
+        enters, leaves = np.zeros(len(doc)), np.ones(len(doc))
+        self._inside(x, r, begin, size, enters, np.flatnonzero(number == 0))
+        for k in range(1, int(n.max())):
+            now = first[:-1][n > k] + k
+            before = now - 1
+            if k == 1:
+                enters[now] = r[begin[before] + size[before] - 1]
+            else:
+                m = step[before]
+                enters[now] = (m[:, 1, 0] + m[:, 1, 1] * enters[before]) / (m[:, 0, 0] + m[:, 0, 1] * enters[before])
+        self._inside(x, r, begin, size, enters, np.flatnonzero(later))
+        for k in range(int(n.max()) - 2, -1, -1):
+            now = first[:-1][n > k + 1] + k
+            m = step[now + 1]
+            leaves[now] = (m[:, 0, 1] + m[:, 1, 1] * leaves[now + 1]) / (m[:, 0, 0] + m[:, 1, 0] * leaves[now + 1])
+        s[begin + size - 1] = leaves
+        for t in range(BLOCK - 2, -1, -1):
+            at = begin[size > t + 1] + t
+            y = x[at + 1] * s[at + 1]
+            s[at] = (a[1, 0] + a[1, 1] * y) / (a[0, 0] + a[0, 1] * y)
         return r, s
 
+    def _inside(self, x: np.ndarray, r: np.ndarray, begin: np.ndarray, size: np.ndarray, enters: np.ndarray, blocks: np.ndarray) -> None:
+        """Forward ratios inside blocks, those of a text's first words or those entered with a ratio."""
+        if not len(blocks):
+            return
+        a = np.exp(self.move)
+        begin, size, before = begin[blocks], size[blocks], enters[blocks]
+        for t in range(int(size.max())):
+            live = size > t
+            at = begin[live] + t
+            if t == 0 and not before.any():
+                r[at] = x[at]
+            else:
+                was = before[live] if t == 0 else r[at - 1]
+                r[at] = x[at] * (a[0, 1] + a[1, 1] * was) / (a[0, 0] + a[1, 0] * was)
+
     def marginals(self, w: Words) -> np.ndarray:
-        """Each word's probability of being toxic."""
-        out = np.zeros(len(w.start))
-        rows = self.chains(w)
-        e = self.emissions(self.features(w))
-        for part in np.split(rows, range(4096, len(rows), 4096)):
-            valid = part >= 0
-            r, s = self.forward_backward(np.where(valid, e[part], -40.0), valid)
-            odds = r * s
-            out[part[valid]] = (odds / (1 + odds))[valid]
-        return out
-
-    def fit(self, w: Words, tags: np.ndarray, rounds: int = 12, batch: int = 256, rate: float = 0.3, decay: float = 1e-5, seed: int = 11) -> Crf:
-        """Maximises the likelihood of the tags by AdaGrad over batches of chains: every chain with a toxic word and four times as many others."""
+        """Each word's probability of being toxic, in the chain of its whole text."""
+        r, s = self.forward_backward(self.emissions(self.features(w)), w.counts)
+        odds = r * s
+        return odds / (1 + odds)
+
+    def fit(self, w: Words, tags: np.ndarray, rounds: int = 8, batch_words: int = 16_384, rate: float = 0.3, decay: float = 1e-5, seed: int = 11) -> Crf:
+        """Maximises the likelihood of the tags by AdaGrad over batches of whole texts of about ``batch_words`` words."""
         rng = np.random.default_rng(seed)
-        rows, features = self.chains(w), self.features(w)
-        toxic = ((rows >= 0) & tags[rows]).any(axis=1)
-        others = np.flatnonzero(~toxic)
-        chosen = np.concatenate([np.flatnonzero(toxic), rng.permutation(others)[: 4 * int(toxic.sum()) + 64]])
+        features = self.features(w)
+        chosen = np.flatnonzero(w.counts > 0)
         seen = [np.full(len(t), 1e-3) for t in self.tables]
         seen_bias, seen_move = 1e-3, np.full((2, 2), 1e-3)
         for _ in range(rounds):
-            for part in np.array_split(rng.permutation(chosen), max(1, len(chosen) // batch)):
-                at = rows[part]
-                valid = at >= 0
-                f, y = features[at], tags[at] & valid
-                e = np.where(valid, self.emissions(f), -40.0)
-                r, s = self.forward_backward(e, valid)
-                error = np.where(valid, r * s / (1 + r * s) - y, 0.0)
+            order = rng.permutation(chosen)
+            cuts = np.flatnonzero(np.diff(np.cumsum(w.counts[order]) // batch_words)) + 1
+            for part in np.split(order, cuts) if len(order) else []:
+                counts = w.counts[part]
+                at = np.arange(counts.sum()) + np.repeat(w.bounds[:-1][part] - np.append(0, np.cumsum(counts))[:-1], counts)
+                f, y, doc = features[at], tags[at], np.repeat(np.arange(len(part)), counts)
+                e = self.emissions(f)
+                r, s = self.forward_backward(e, counts)
+                error = r * s / (1 + r * s) - y
                 for k, (table, had) in enumerate(zip(self.tables, seen, strict=True)):
-                    where, which = np.unique(f[..., k][valid], return_inverse=True)
-                    g = np.bincount(which, weights=error[valid], minlength=len(where)) + decay * table[where]
+                    where, which = np.unique(f[:, k], return_inverse=True)
+                    g = np.bincount(which, weights=error, minlength=len(where)) + decay * table[where]
                     had[where] += g * g
                     table[where] -= rate * g / np.sqrt(had[where])
                 g = error.sum()
                 seen_bias += g * g
                 self.bias -= rate * g / np.sqrt(seen_bias)
-                pair, x, a = valid[:, 1:], np.exp(np.clip(e[:, 1:], -40, 40)), np.exp(self.move)
-                joint = np.stack([np.full(x.shape, a[0, 0]), a[0, 1] * x * s[:, 1:], a[1, 0] * r[:, :-1], a[1, 1] * r[:, :-1] * x * s[:, 1:]])
+                pair = np.flatnonzero(doc[1:] == doc[:-1])
+                x, a = np.exp(np.clip(e[pair + 1], -40, 40)), np.exp(self.move)
+                before, after = r[pair], x * s[pair + 1]
+                joint = np.stack([np.full(len(pair), a[0, 0]), a[0, 1] * after, a[1, 0] * before, a[1, 1] * before * after])
                 joint /= joint.sum(axis=0)
-                was = np.eye(4)[y[:, :-1] * 2 + y[:, 1:]].transpose(2, 0, 1)
-                g = ((joint - was) * pair).sum(axis=(1, 2)).reshape(2, 2)
+                g = (joint.sum(axis=1) - np.bincount(y[pair] * 2 + y[pair + 1], minlength=4)).reshape(2, 2)
                 seen_move += g * g
                 self.move -= rate * g / np.sqrt(seen_move)
         return self
@@ -188,7 +228,7 @@ def fit(texts: pa.Array, labels: np.ndarray, counts: dict | None = None) -> Toxi
     apart = distinct_texts(texts)
     single = Words(texts.take(pa.array(apart)))
     words = toxic_words(single, labels[apart])
-    crf = Crf(np.union1d(_known(single.hash, single.doc), words), _known(shapes(single), single.doc)).fit(single, np.isin(single.hash, words) & (labels[apart][single.doc] == 1))
+    crf = Crf(np.union1d(_known(single.hash, single.doc), words), _known(shapes(single), single.doc)).fit(single, (np.isin(single.hash, words) & (labels[apart][single.doc] == 1)).astype(np.int64))
     every = Words(texts)
     whole = np.array([(counts or {}).get(k, n[k]) for k in (0, 1)], dtype=float)
     weight = (whole / n)[labels]
@@ -206,6 +246,7 @@ def score_documents(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id
     Null and empty texts have no words and get the score of a text without toxic words. Repeated rows get a row
     each, an empty table an empty result; other columns are not read.
     """
+    small_batches(docs.sparkSession)
     kept = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     sent = docs.sparkSession.sparkContext.broadcast(model)  # as large as the vocabulary of its bounded sample
     span_type = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("p", pa.float64())]))
