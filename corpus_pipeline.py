@@ -14,28 +14,51 @@ from pyspark.sql import functions as F
 
 from docloom.llm import decontaminate, language_id, line_dedup, minhash_dedup, packing
 from docloom.llm._sample import id_remainder
-from docloom.session import ensure_checkpoint_dir, read_table
+from docloom.session import cut_table, ensure_checkpoint_dir, read_table
+
+
+#: Least posterior probability of a document's language.
+LANGUAGE_SCORE = 0.5
+#: Least share of the characters of a document's lines that must be left by line dedup.
+KEPT_SHARE = 0.5
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents without a language: null texts and texts without a letter. ``lang`` stays what it was."""
+    """Keeps documents whose language is sure: those without a letter and those below ``LANGUAGE_SCORE`` go. A null ``lang`` becomes the predicted one.
+
+    Learns from the documents whose crc32(doc_id as text) mod 4 is not 2. Where none has a text and a language there is
+    nothing to reject by, and all stay.
+    """
     model = language_id.train(docs.where(id_remainder("doc_id", 4) != 2))
-    if not model.languages:  # nothing to learn from, so nothing to reject by
+    if not model.languages:
         return docs
     found = language_id.identify(docs, model, carry=True)
-    return found.where(F.col("lang_pred") != language_id.UNKNOWN).select("row.*")
+    found = found.where((F.col("lang_pred") != language_id.UNKNOWN) & (F.col("score") >= LANGUAGE_SCORE))
+    return found.select(F.col("row").withField("lang", F.coalesce("row.lang", "lang_pred")).alias("row")).select("row.*")
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Removes repeated lines; a document of whose lines none stays is a repeat and goes."""
-    out = line_dedup.dedup_lines(docs).where("n_lines = 0 or n_kept > 0")
-    return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
+    """Removes repeated lines. A document of whose lines less than ``KEPT_SHARE`` stays is a copy of others: it goes, and no fragment of it stays."""
+    found = line_dedup.dedup_lines(docs).where(F.col("kept_chars") >= KEPT_SHARE * F.col("chars"))
+    row = F.col("row").withField("n_chars", F.length("row.text").cast(docs.schema["n_chars"].dataType))
+    return found.select(row.alias("row")).select("row.*")
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the least id of each class of near copies."""
-    copies = minhash_dedup.near_duplicates(docs).where("doc_id <> class_id").select("doc_id")
-    return docs.join(copies, "doc_id", "left_anti").select(*docs.columns)
+    """Keeps one document of each class of near copies, that with the least id, and of equal rows one.
+
+    A row without an id is known by a hash of its text, beyond all ids.
+    """
+    by_text = F.shiftrightunsigned(F.xxhash64("text"), 2).bitwiseOR(F.lit(1 << 62))
+    keyed = docs.select(F.struct("*").alias("row"), F.coalesce(F.col("doc_id").cast("long"), by_text).alias("key"), F.col("text").alias("text"))
+    near = minhash_dedup.near_duplicates(keyed, id_col="key").where("key <> class_id").select("key", F.lit(True).alias("gone"))
+    again = keyed.groupBy("key").count().where("count > 1").select("key", F.lit(False).alias("gone"))
+    # a table, so that Spark knows its size; few documents have copies
+    marks = cut_table(near.union(again.join(near, "key", "left_anti")))
+    out = keyed.join(marks, "key", "left_anti").select("row.*")
+    if not marks.where("not gone").isEmpty():
+        out = out.union(keyed.join(marks.where("not gone"), "key", "left_semi").dropDuplicates(["key", "text"]).select("row.*"))
+    return out
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -45,6 +68,7 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Tokens of all documents, packed into sequences of 4096: a row for each piece, see ``packing.pack_documents``."""
     return packing.pack_documents(docs)
 
 
@@ -56,7 +80,7 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
     ("packing", pack),
 ]
 
-#: Models and samplers have no SQL; the tests hold the stages against brute force.
+#: Models and samplers have no SQL; tests/llm/test_pipeline.py holds the stages against brute force.
 ORACLE_SQL = None
 
 
