@@ -65,16 +65,19 @@ def allowed(length, edits: int):
 def code_points(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """A number for each character of a string column (its UTF-8 bytes as one integer), and the characters before each text."""
     raw, offsets = text_bytes(texts)
-    if not len(raw):
-        return np.zeros(0, np.uint32), np.zeros(len(offsets), np.int64)
-    first = (raw & 0xC0) != 0x80
-    at = np.flatnonzero(first)
-    out, wide = raw[at].astype(np.uint32), np.append(raw, [0, 0, 0])
-    more = np.ones(len(at), dtype=bool)
+    lead = np.flatnonzero(raw >= 0xC0)
+    if not len(lead):
+        return raw, offsets
+    first = raw.view(np.int8) >= -64  # all but the bytes 80 to BF, which go on with a character
+    before = np.zeros(len(raw) + 1, dtype=np.int64)
+    np.cumsum(first, out=before[1:])
+    out = raw[first].astype(np.uint32)
+    wide, value, more = np.append(raw, [0, 0, 0]), raw[lead].astype(np.uint32), np.ones(len(lead), dtype=bool)
     for k in range(1, 4):
-        more &= (wide[at + k] & 0xC0) == 0x80
-        out = np.where(more, (out << np.uint32(8)) | wide[at + k], out)
-    return out, np.append(0, np.cumsum(first))[offsets]
+        more &= (wide[lead + k] & 0xC0) == 0x80
+        value = np.where(more, (value << np.uint32(8)) | wide[lead + k], value)
+    out[before[lead]] = value
+    return out, before[offsets]
 
 
 def segment_keys(data: np.ndarray, start: np.ndarray, end: np.ndarray, edits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -97,13 +100,13 @@ def segment_keys(data: np.ndarray, start: np.ndarray, end: np.ndarray, edits: in
 
 def _keys_of(data: np.ndarray, start: np.ndarray, n: np.ndarray, t: int, edits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The keys of ``segment_keys`` by shorter lengths that allow ``t`` edits."""
-    spans, tags, line, own = [], [], [], []
-    everyone = np.arange(len(n))
+    spans, tags, family, used, own = [], [], [], [], []
     for delta in range(t + 1):
         shorter = n - delta
         ok = allowed(shorter, edits) == t
         for i in range(t + 1):
             at, size = segment(shorter, i, t)
+            tag = mix(shorter.astype(np.uint64) * np.uint64(edits + 1) + np.uint64(i))
             # multi-match-aware: left and right of the segment there is room for the edits that are left
             low = np.maximum(np.maximum(at - i, at + delta - (t - i)), 0)
             high = np.minimum(np.minimum(at + i, at + delta + (t - i)), n - size)
@@ -113,20 +116,24 @@ def _keys_of(data: np.ndarray, start: np.ndarray, n: np.ndarray, t: int, edits:
                     continue
                 begin = np.where(use, start + low + shift, start)
                 spans.append((begin, np.where(use, begin + size, start)))
-                tags.append(mix(shorter.astype(np.uint64) * np.uint64(edits + 1) + np.uint64(i)))
-                line.append(np.where(use, everyone, -1))
+                tags.append(tag)
+                family.append((delta, i))
+                used.append(use)
                 own.append(use & (delta == 0) & (low + shift == at))
     if not spans:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, bool)
-    key = mix(family_hashes(data, start, np.stack([s for s, _ in spans]), np.stack([e for _, e in spans])) ^ np.stack(tags)).ravel()
-    line, own = np.stack(line).ravel(), np.stack(own).ravel()
-    good = line >= 0
-    return np.maximum(key[good], np.uint64(1)), line[good], own[good]
-
-
-def _once(key: np.ndarray, line: np.ndarray) -> np.ndarray:
-    """Places of the first of equal pairs of key and line."""
-    return np.unique(mix(key ^ mix(line.astype(np.uint64) + np.uint64(1))), return_index=True)[1]
+    key = family_hashes(data, start, np.stack([s for s, _ in spans]), np.stack([e for _, e in spans]))
+    # a line has a key once: only substrings for one segment of one length can be equal
+    for k, (mine, tag) in enumerate(zip(family, tags, strict=True)):
+        key[k] = np.maximum(mix(key[k] ^ tag), np.uint64(1))
+        for j in range(k - 1, -1, -1):
+            if family[j] != mine:
+                break
+            again = used[j] & used[k] & (key[j] == key[k])
+            own[j] |= own[k] & again
+            used[k] &= ~again
+    used, line = np.stack(used), np.broadcast_to(np.arange(len(n)), key.shape)
+    return key[used], line[used], np.stack(own)[used]
 
 
 def within(x: str, y: str, edits: int) -> bool:
@@ -202,9 +209,11 @@ def _few_edits(edits: int):
         table = table.combine_chunks()
         counts = np.frombuffer(b"".join(table.column("counts").to_pylist()), "<i4").reshape(-1, _KINDS)
         ids, labels, size = table.column("id").to_numpy(), table.column("label").to_numpy(), counts.sum(axis=1)
+        most, few = allowed(size, edits), np.minimum(counts, 255).astype(np.int16)  # a smaller count differs by no more
         a, b = [], []
         for i in np.flatnonzero(table.column("asks").to_numpy()):
-            near = np.flatnonzero((np.abs(counts - counts[i]).sum(axis=1) <= 2 * allowed(np.minimum(size, size[i]), edits)) & (labels != labels[i]))
+            near = np.flatnonzero((np.abs(size - size[i]) <= most[i]) & (labels != labels[i]))
+            near = near[np.abs(few[near] - few[i]).sum(axis=1) <= 2 * np.minimum(most[near], most[i])]
             a += [int(ids[i])] * len(near)
             b += ids[near].tolist()
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
@@ -264,16 +273,17 @@ def kept_lines(docs: DataFrame, edits: int = 2) -> DataFrame:
 
     def count(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
         _, data, offsets, long = distinct(table)
-        key, line, _ = segment_keys(data, offsets[:-1][long], offsets[1:][long], edits)
-        keys, counts = np.unique(key[_once(key, line)], return_counts=True)
+        key, _, _ = segment_keys(data, offsets[:-1][long], offsets[1:][long], edits)
+        keys, counts = np.unique(key, return_counts=True)
         return keys, counts.astype(np.uint64)
 
     def run(table: pa.Table, totals) -> pa.Table:
         table, data, offsets, long = distinct(table)
         key, line, own = segment_keys(data, offsets[:-1][long], offsets[1:][long], edits)
-        keys, which = np.unique(key, return_inverse=True)
-        counts = np.bincount(which[_once(key, line)], minlength=len(keys)).astype(np.uint64)
-        shared = (totals(keys, counts) > 1)[which] if len(keys) else np.zeros(0, bool)
+        keys, counts = np.unique(key, return_counts=True)
+        often = keys[totals(keys, counts.astype(np.uint64)) > 1]
+        at = np.minimum(np.searchsorted(often, key), max(len(often) - 1, 0))
+        shared = often[at] == key if len(often) else np.zeros(len(key), bool)
         meets = np.zeros(len(long), dtype=bool)
         meets[line[shared]] = True
         fuzzy = np.zeros(table.num_rows, dtype=bool)
