@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -46,6 +46,56 @@ def placeholders(column: Column) -> Column:
     return F.transform(found, lambda x: F.struct(F.substring_index(x, ":", 1).alias("kind"), F.regexp_replace(x, "^[a-z]+:", "").alias("id")))
 
 
+def assets(column: Column) -> Column:
+    """Assets in a JSON array: those with an id and an address, of kind ``asset`` if they tell none."""
+    raw = F.from_json(column, "array<struct<id:string,type:string,image_url:string>>")
+    good = F.filter(F.coalesce(raw, F.array().cast("array<struct<id:string,type:string,image_url:string>>")), lambda a: (F.coalesce(a["id"], F.lit("")) != "") & (F.coalesce(a["image_url"], F.lit("")) != ""))
+    return F.transform(good, lambda a: F.struct(a["id"].alias("id"), F.coalesce(a["type"], F.lit("asset")).alias("type"), a["image_url"].alias("image_url")))
+
+
+def own_assets(assets: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Assets (version_id, path, asset_id) that no section below has too. nodes: version_id, path (array of places on the way down)."""
+    below = assets.withColumn("above", F.explode(F.when(F.size("path") > 1, F.transform(F.sequence(F.lit(1), F.size("path") - 1), lambda n: F.slice("path", 1, n))))).select("version_id", F.col("above").alias("path"), "asset_id")
+    return assets.join(nodes.select("version_id", "path"), ["version_id", "path"], "left_semi").join(below.distinct(), ["version_id", "path", "asset_id"], "left_anti")
+
+
+def resolved(placeholders: DataFrame, assets: DataFrame, key: str = "section_id") -> DataFrame:
+    """Placeholders (section_id, kind, id) with the ``image_url`` of their section's asset (section_id, type, id, image_url): of the same kind first, else of the id alone."""
+    last = lambda by: assets.groupBy(key, *by).agg(F.max("image_url").alias("url"))
+    typed = last(["type", "id"]).withColumnsRenamed({"type": "kind", "url": "typed"})
+    plain = last(["id"]).withColumnRenamed("url", "plain")
+    return placeholders.join(typed, [key, "kind", "id"], "left").join(plain, [key, "id"], "left").select(key, "kind", "id", F.coalesce("typed", "plain").alias("image_url"))
+
+
+_TABLE, _CUSTOM, _ASSET = r"<table\b[^>]*>.*?</table>", r"<::.*?::>", r"\[(?:[a-z_]+):[^\]\s]+\]"
+
+
+def content_blocks(df: DataFrame, key: str, column: str) -> DataFrame:
+    """The blocks of rich texts in order: key, number, type (text, asset, table, flowchart or custom) and value.
+
+    Blocks are whole tables, ``<:: ::>`` and placeholders; what is between them is text. A block that does not end is text
+    without its mark, a table without rows its text. A custom block's last line may name its kind; one with arrows is a flowchart.
+    """
+    text = F.regexp_replace(F.coalesce(F.col(column), F.lit("")), "\u0000", "")
+    parts = F.split(F.regexp_replace(text, f"(?is)({_TABLE}|{_CUSTOM}|{_ASSET})", "\u0000$1\u0000"), "\u0000")
+    rows = df.select(key, F.posexplode(parts).alias("k", "part"))
+    part = F.col("part")
+    body = F.trim(F.regexp_replace(part, r"(?s)^<::|::>$", ""))
+    tidy = lambda c: F.regexp_replace(F.regexp_replace(c, r"^\s+|\s+$", ""), r"\n{3,}", "\n\n")
+    has_rows = part.rlike(r"(?is)<tr\b[^>]*>.*?<t[hd]\b")
+    kind = (
+        F.when(part.rlike(f"(?is)^{_TABLE}$"), F.when(has_rows, "table").otherwise("text"))
+        .when(part.rlike(f"(?is)^{_CUSTOM}$"), F.when(body == "", "text").when(body.rlike(r"-->|->|→|⇒|↓"), "flowchart").otherwise("custom"))
+        .when(part.rlike(f"(?is)^{_ASSET}$"), "asset")
+        .otherwise("text")
+    )
+    stray = F.regexp_replace(F.regexp_replace(part, r"(?i)</?table\b[^>]*>", ""), r"<::|::>", "")
+    value = F.when(F.col("type") == "table", part).when(F.col("type").isin("flowchart", "custom"), tidy(body)).when(F.col("type") == "asset", part).when(part.rlike(f"(?is)^{_TABLE}$"), plain(part)).otherwise(tidy(stray))
+    found = rows.withColumn("type", kind).withColumn("value", value).where("value <> ''")
+    number = F.row_number().over(Window.partitionBy(key).orderBy("k")) - 1
+    return found.select(key, number.alias("number"), "type", "value")
+
+
 def unplaced_assets(assets: DataFrame, texts: DataFrame, key: str = "section_id") -> DataFrame:
     """Assets (section_id, asset_id) that their section's text (section_id, text) has no placeholder for."""
     placed = texts.select(key, F.explode(placeholders(F.col("text"))).alias("p")).select(key, F.col("p.id").alias("asset_id"))
@@ -53,12 +103,20 @@ def unplaced_assets(assets: DataFrame, texts: DataFrame, key: str = "section_id"
 
 
 def pack_paragraphs(column: Column, longest: int) -> Column:
-    """A text's paragraphs joined into parts of ``longest`` characters at most; longer paragraphs are cut."""
-    pieces = F.flatten(F.transform(F.filter(F.split(F.coalesce(column, F.lit("")), r"\n\s*\n"), lambda p: F.trim(p) != ""), lambda p: F.transform(F.sequence(F.lit(0), F.floor((F.length(p) - 1) / longest).cast("int")), lambda k: F.substring(p, k * longest + 1, F.lit(longest)))))
-    fits = lambda done, p: (F.size(done) > 0) & (F.length(F.element_at(done, -1)) + 2 + F.length(p) <= longest)
+    """A text's paragraphs joined into parts of ``longest`` characters at most. A longer paragraph is cut, and its cuts stay parts of their own."""
+    strip = lambda c: F.regexp_replace(c, r"^\s+|\s+$", "")
+    piece = lambda text, whole: F.struct(text.alias("text"), whole.alias("whole"))
+    text = strip(F.coalesce(column, F.lit("")))
+    paragraphs = F.filter(F.transform(F.split(text, r"\n{2,}"), strip), lambda p: p != "")
+    cuts = lambda p: F.transform(F.sequence(F.lit(0), F.floor((F.length(p) - 1) / longest).cast("int")), lambda k: strip(F.substring(p, k * longest + 1, F.lit(longest))))
+    pieces = F.flatten(F.transform(paragraphs, lambda p: F.when(F.length(p) <= longest, F.array(piece(p, F.lit(True)))).otherwise(F.transform(F.filter(cuts(p), lambda x: x != ""), lambda x: piece(x, F.lit(False))))))
 
     def add(done: Column, p: Column) -> Column:
+        last = F.try_element_at(done, F.lit(-1))
+        fits = (F.size(done) > 0) & last["whole"] & p["whole"] & (F.length(last["text"]) + 2 + F.length(p["text"]) <= longest)
         head = F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0)))
-        return F.when(fits(done, p), F.concat(head, F.array(F.concat(F.try_element_at(done, F.lit(-1)), F.lit("\n\n"), p)))).otherwise(F.concat(done, F.array(p)))
+        return F.when(fits, F.concat(head, F.array(piece(F.concat(last["text"], F.lit("\n\n"), p["text"]), F.lit(True))))).otherwise(F.concat(done, F.array(p)))
 
-    return F.aggregate(pieces, F.array().cast("array<string>"), add)
+    packed = F.transform(F.aggregate(pieces, F.array().cast("array<struct<text:string,whole:boolean>>"), add), lambda x: x["text"])
+    # a text that fits is one part as it stands
+    return F.when(F.length(text) == 0, F.array().cast("array<string>")).when(F.length(text) <= longest, F.array(text)).otherwise(packed)

@@ -29,23 +29,51 @@ def literal_search_key(text: str | None) -> str:
     return "".join(c for c in text if unicodedata.category(c) != "Mn" and (c.isascii() and c.isalnum()))
 
 
+#: The specialty of health stations (a fixed value), and its search key.
+STATION_SPECIALTY = "Trạm y tế"
+STATION_KEY = literal_search_key(STATION_SPECIALTY)
+
+
+def specialty(column: Column) -> Column:
+    """A specialty without white space at its ends; every spelling of the stations' one becomes that, blank is null."""
+    text = F.nullif(strip_text(column), F.lit(""))
+    return F.when(search_key(text) == STATION_KEY, F.lit(STATION_SPECIALTY)).otherwise(text)
+
+
 def strip_text(column: Column) -> Column:
     """Without white space at either end."""
     return F.regexp_replace(column, r"^\s+|\s+$", "")
 
 
-def section_text(column: Column, page_break: str = r"<!--\s*PAGE[ _]BREAK\s*-->") -> Column:
+def section_text(column: Column, page_break: str = r"<!--\s*PAGE(?:\s*|_)BREAK\s*-->") -> Column:
     """A section's text without page breaks, lines that are numbers, and runs of empty lines."""
     text = F.regexp_replace(strip_text(F.coalesce(column, F.lit(""))), f"(?i){page_break}", "\n")
     text = F.regexp_replace(text, r"(?m)^[ \t]*\d+[ \t]*$", "")
     return strip_text(F.regexp_replace(text, r"\n{3,}", "\n\n"))
 
 
+#: A page break inside a comment: blanks between its words, an underscore, or nothing.
+_BREAK = r"<!--\s*PAGE(?:\s*|_)BREAK\s*-->"
+PAGE_BREAK = "<!-- PAGE_BREAK -->"
+
+
 def clean_markup(column: Column) -> Column:
     """Without empty anchors and comments; page-break comments stay, in one spelling."""
-    text = F.regexp_replace(column, r"(?is)<a\s+id='[^']*'>\s*</a>", "")
-    text = F.regexp_replace(text, r"(?is)<!--(?!\s*PAGE[ _]BREAK\s*-->).*?-->", "")
-    return F.regexp_replace(text, r"(?i)<!--\s*PAGE[ _]BREAK\s*-->", "<!-- PAGE_BREAK -->")
+    text = F.regexp_replace(column, r"(?i)<a\s[^>]*></a>", "")
+    text = F.regexp_replace(text, rf"(?is)<!--(?!{_BREAK[4:]}).*?-->", "")
+    return F.regexp_replace(text, f"(?i){_BREAK}", PAGE_BREAK)
+
+
+def cleaning_audit(raw: Column) -> Column:
+    """What ``clean_markup`` takes off: characters of anchors, of comments, of page breaks respelt; lengths expected and found; equal numbers of breaks."""
+    lengths = lambda x, pattern: F.aggregate(F.regexp_extract_all(x, F.lit(pattern), F.lit(0)), F.lit(0), lambda n, m: n + F.length(m))
+    no_anchor = F.regexp_replace(raw, r"(?i)<a\s[^>]*></a>", "")
+    anchors, comments = F.length(raw) - F.length(no_anchor), lengths(no_anchor, rf"(?is)<!--(?!{_BREAK[4:]}).*?-->")
+    breaks = F.size(F.regexp_extract_all(raw, F.lit(f"(?i){_BREAK}"), F.lit(0)))
+    respelt, clean = breaks * len(PAGE_BREAK) - lengths(raw, f"(?i){_BREAK}"), clean_markup(raw)
+    expected = F.length(raw) - anchors - comments + respelt
+    kept = F.size(F.regexp_extract_all(clean, F.lit(PAGE_BREAK), F.lit(0)))
+    return F.struct(anchors.alias("anchors"), comments.alias("comments"), respelt.alias("respelt"), expected.alias("expected"), F.length(clean).alias("found"), (breaks == kept).alias("same_breaks"))
 
 
 def words(column: Column) -> Column:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from docloom.functions.text import strip_text
+
 
 def in_order(*more: Column) -> Window:
     return Window.partitionBy("version_id").orderBy("pos", *more)
@@ -16,10 +18,11 @@ def with_offsets(sections: DataFrame) -> DataFrame:
     return sections.withColumn("start", F.coalesce(before, F.lit(0)).cast("long")).withColumn("end", F.col("start") + F.length("content"))
 
 
-def next_anchor(sections: DataFrame, start: str = "anchor") -> DataFrame:
-    """``until``: where the next anchored section begins, null for the last."""
+def next_anchor(sections: DataFrame, start: str = "anchor", end: Column | None = None) -> DataFrame:
+    """``until``: where the next anchored section begins; for the last ``end``, the text's length, or else null."""
     later = in_order().rowsBetween(1, Window.unboundedFollowing)
-    return sections.withColumn("until", F.first(F.when(F.col(start) >= 0, F.col(start)), ignorenulls=True).over(later))
+    until = F.first(F.when(F.col(start) >= 0, F.col(start)), ignorenulls=True).over(later)
+    return sections.withColumn("until", until if end is None else F.coalesce(until, end))
 
 
 def drop_consecutive_repeats(sections: DataFrame) -> DataFrame:
@@ -32,11 +35,43 @@ def last_heading(sections: DataFrame, is_heading: Column) -> DataFrame:
     return sections.withColumn("heading_pos", F.last(F.when(is_heading, F.col("pos")), ignorenulls=True).over(in_order()))
 
 
-def repeated_noise(sections: DataFrame, key: Column, times: int, longest: int = 200) -> DataFrame:
-    """Sections whose text stands ``times`` times or more among all, with the number; empty and long texts are no noise."""
-    keyed = sections.withColumn("key", key).where((F.length("key") > 0) & (F.length("key") <= longest))
-    often = keyed.groupBy("key").agg(F.count("*").alias("times")).where(F.col("times") >= times)
-    return keyed.join(often, "key")
+#: Where headers end and footers begin, as a share of the page's height (fixed values).
+HEADER_TOP, FOOTER_TOP = 0.10, 0.85
+
+
+def noise_key(text: Column) -> Column:
+    """A text without anchors and a page number before it, in lower case, white space collapsed; null if nothing or over 200 characters."""
+    bare = strip_text(F.regexp_replace(F.coalesce(text, F.lit("")), r"(?s)<a\s+id='[^']*'>.*?</a>", ""))
+    key = F.lower(F.regexp_replace(strip_text(F.regexp_replace(bare, r"^\d{1,4}\s*[|/\-]\s*", "")), r"\s+", " "))
+    return F.when((F.length(bare) <= 200) & (key != ""), key)
+
+
+def repeated_noise(chunks: DataFrame, times: int = 15) -> DataFrame:
+    """Text chunks at the top or foot of a page whose text stands there ``times`` times or more in one version, with the number.
+
+    chunks: version_id, id, type, text and top (of the first box, null without boxes).
+    """
+    at_edge = (F.col("top") < HEADER_TOP) | (F.col("top") > FOOTER_TOP)
+    keyed = chunks.where((F.col("type") == "text") & at_edge).withColumn("key", noise_key(F.col("text"))).where("key is not null")
+    same = Window.partitionBy("version_id", "key")
+    return keyed.withColumn("times", F.count("*").over(same)).where(F.col("times") >= times)
+
+
+def suspect_threshold(asked: float | None, default: float = 0.65) -> float:
+    """The threshold asked for, between 0 and 1, or the default."""
+    if asked is not None and not 0 < asked < 1:
+        raise ValueError("a threshold lies between 0 and 1")
+    return default if asked is None else asked
+
+
+def is_suspect(score: Column, stored: Column, threshold: float) -> Column:
+    """Whether a score is under the threshold; without a score, what was stored."""
+    return F.when(score.isNull(), stored).otherwise(score < threshold)
+
+
+def count_suspects(sections: DataFrame) -> DataFrame:
+    """(version_id, n_suspect) of sections with ``is_suspect``."""
+    return sections.groupBy("version_id").agg(F.count_if(F.coalesce("is_suspect", F.lit(False))).alias("n_suspect"))
 
 
 def with_parents(sections: DataFrame) -> DataFrame:
@@ -70,12 +105,13 @@ def overlapping_batches(sections: DataFrame, size: int, overlap: int) -> DataFra
 
 
 def spread(rows: DataFrame, keys: list[str], order: str, weight: Column) -> DataFrame:
-    """The place of each row within its group's unit interval, by weight; groups without weight are cut evenly."""
+    """``place`` and ``until``: each row's part of its group's unit interval, by weight; groups without weight are cut evenly."""
     by = Window.partitionBy(*keys)
     rows = rows.withColumn("w", weight)
     rows = rows.withColumn("w", F.when(F.sum("w").over(by) > 0, F.col("w")).otherwise(1))
     before = F.sum("w").over(by.orderBy(order).rowsBetween(Window.unboundedPreceding, -1))
-    return rows.withColumn("place", F.coalesce(before, F.lit(0)) / F.sum("w").over(by)).drop("w")
+    rows = rows.withColumn("place", F.coalesce(before, F.lit(0)) / F.sum("w").over(by))
+    return rows.withColumn("until", F.coalesce(F.lead("place").over(by.orderBy(order)), F.lit(1.0))).drop("w")
 
 
 def bounding_boxes(boxes: DataFrame, keys: list[str]) -> DataFrame:
@@ -84,7 +120,34 @@ def bounding_boxes(boxes: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def best_interval(points: DataFrame, intervals: DataFrame) -> DataFrame:
-    """For each point the shortest interval of its version that holds it, later starts first among equals."""
-    met = points.join(intervals, "version_id").where("page between first and coalesce(last, first)")
-    order = F.struct(-(F.coalesce("last", "first") - F.col("first")), F.col("first"), F.col("interval_id"))
-    return met.groupBy("version_id", "page").agg(F.max_by("interval_id", order).alias("interval_id"))
+    """For each point (version_id, page) the shortest interval of its version that holds it, later starts first among equals.
+
+    intervals: version_id, interval_id, first and last (null: its first page). An interval is dealt to the pages that
+    points of its version ask for, so that points meet only intervals that hold them.
+    """
+    asked = points.select("version_id", "page").distinct()
+    pages = asked.groupBy("version_id").agg(F.sort_array(F.collect_set("page")).alias("pages"))
+    held = intervals.withColumn("end", F.coalesce("last", "first")).join(pages, "version_id")
+    held = held.withColumn("page", F.explode(F.filter("pages", lambda p: (p >= F.col("first")) & (p <= F.col("end")))))
+    order = F.struct(-(F.col("end") - F.col("first")), F.col("first"), F.col("interval_id"))
+    return held.groupBy("version_id", "page").agg(F.max_by("interval_id", order).alias("interval_id"))
+
+
+def section_at(points: DataFrame, sections: DataFrame) -> DataFrame:
+    """For each point (version_id, page, y or null) the section that it is in: the smallest that holds it, deeper and later ones first; else the nearest that begins before it; else null.
+
+    sections: version_id, section_id, level, page_start, start_y, page_end, end_y (null ends: where they start).
+    """
+    at = F.struct(F.col("page").alias("page"), F.coalesce("y", F.lit(0.0)).alias("y"))
+    s = sections.select(
+        "version_id", "section_id", "level", F.struct(F.col("page_start").alias("page"), F.coalesce("start_y", F.lit(0.0)).alias("y")).alias("begins"),
+        F.struct(F.coalesce("page_end", "page_start").alias("page"), F.coalesce("end_y", F.lit(1.0)).alias("y")).alias("ends"),
+    ).where("begins.page is not null")
+    p = points.select("version_id", "page", "y", at.alias("at")).distinct()
+    met = p.join(s.withColumnRenamed("version_id", "of"), (F.col("version_id") == F.col("of")) & (F.col("begins") <= F.col("at")))
+    inside = F.col("at") <= F.col("ends")
+    span = F.struct((F.col("ends.page") - F.col("begins.page")).alias("pages"), (F.col("ends.y") - F.col("begins.y")).alias("ys"))
+    best = F.min(F.when(inside, F.struct(span.alias("span"), (-F.col("level")).alias("up"), F.struct(-F.col("begins.page"), -F.col("begins.y")).alias("back"), "section_id")))
+    near = F.max(F.struct("begins", "level", "section_id"))
+    found = met.groupBy("version_id", "at").agg(best.alias("best"), near.alias("near")).select(F.col("version_id").alias("of"), F.col("at").alias("place"), F.coalesce("best.section_id", "near.section_id").alias("section_id"))
+    return p.join(found, (F.col("version_id") == F.col("of")) & (F.col("at") == F.col("place")), "left").select("version_id", "page", "y", "section_id")

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -48,13 +51,33 @@ def shallowest_titles(nodes: DataFrame, title: Column) -> DataFrame:
     return nodes.join(gone, ["version_id", "path"], "left_anti")
 
 
-def levels_to_parents(rows: DataFrame, deepest: int = 6) -> DataFrame:
-    """``parent_pos``: of the nearest earlier row of a smaller level. rows: version_id, pos, level from 1 to ``deepest``."""
-    before = Window.partitionBy("version_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
-    of = [F.last(F.when(F.col("level") == k, F.col("pos")), ignorenulls=True).over(before) for k in range(1, deepest)]
-    rows = rows.withColumns({f"p{k}": c for k, c in enumerate(of, 1)})
-    parent = F.greatest(*(F.when(F.col("level") > k, F.col(f"p{k}")) for k in range(1, deepest)), F.lit(None).cast("int"))
-    return rows.withColumn("parent_pos", parent).drop(*(f"p{k}" for k in range(1, deepest)))
+def _nearest_smaller(levels: list[int]) -> list[int]:
+    """For each level the place of the nearest earlier smaller one, -1 without one: a stack of rising levels."""
+    out, stack = [], []
+    for i, level in enumerate(levels):
+        while stack and levels[stack[-1]] >= level:
+            stack.pop()
+        out.append(stack[-1] if stack else -1)
+        stack.append(i)
+    return out
+
+
+def levels_to_parents(rows: DataFrame) -> DataFrame:
+    """``parent_pos``: of the nearest earlier row of a smaller level. rows: version_id, pos, level (any integers).
+
+    One group is one document's outline; only positions and levels go to Python.
+    """
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.sort_by("pos").combine_chunks()
+        at = _nearest_smaller(table.column("level").to_pylist())
+        parents = table.column("pos").take(pa.array([i if i >= 0 else None for i in at], pa.int64()))
+        return pa.table({"version_id": table.column("version_id"), "pos": table.column("pos"), "parent_pos": parents})
+
+    kinds = dict(rows.dtypes)
+    slim = rows.select("version_id", "pos", F.col("level").cast("long").alias("level"))
+    found = slim.groupBy("version_id").applyInArrow(run, f"version_id {kinds['version_id']}, pos {kinds['pos']}, parent_pos {kinds['pos']}")
+    return rows.join(found, ["version_id", "pos"], "left")
 
 
 def headings_above(headings: DataFrame, blocks: DataFrame, tolerance: float = 3.0) -> DataFrame:
@@ -79,14 +102,14 @@ def pack_chunks(nodes: DataFrame, longest: int = 3000) -> DataFrame:
     joined = lambda parts: F.array_join(F.filter(parts, lambda x: x != ""), "\n\n")
     own = nodes.select("version_id", "path", joined(F.array(trim(F.col("heading")), trim(F.col("content")))).alias("own"))
     up = closure(own)
-    sizes = up.join(own.withColumnRenamed("path", "node"), ["version_id", "node"])
+    sizes = up.join(own.select("version_id", F.col("path").alias("node"), F.length("own").alias("n_own")), ["version_id", "node"])
     # lengths first: texts move only to the subtrees that are chunks
-    n = F.sum(F.when(F.col("own") != "", F.length("own") + 2).otherwise(0)) - 2
+    n = F.sum(F.when(F.col("n_own") > 0, F.col("n_own") + 2).otherwise(0)) - 2
     size = sizes.groupBy("version_id", F.col("above").alias("path")).agg(n.alias("size"), F.count("*").alias("nodes"))
     fit = size.where((F.col("size") > 0) & ((F.col("size") <= longest) | (F.col("nodes") == 1)))
     below = up.where("distance > 0").join(fit.select("version_id", F.col("path").alias("above")), ["version_id", "above"], "left_semi")
     top = fit.select("version_id", "path").join(below.select("version_id", F.col("node").alias("path")).distinct(), ["version_id", "path"], "left_anti")
-    texts = sizes.join(top.withColumnRenamed("path", "above"), ["version_id", "above"])
+    texts = up.join(top.withColumnRenamed("path", "above"), ["version_id", "above"]).join(own.withColumnRenamed("path", "node"), ["version_id", "node"])
     text = texts.groupBy("version_id", F.col("above").alias("path")).agg(F.sort_array(F.collect_list(F.struct("node", "own"))).alias("parts"))
     text = text.select("version_id", "path", joined(F.transform("parts", lambda x: x["own"])).alias("text"))
     over = up.where("distance > 0").join(top.withColumnRenamed("path", "node"), ["version_id", "node"], "left_semi")
@@ -99,8 +122,8 @@ def pack_chunks(nodes: DataFrame, longest: int = 3000) -> DataFrame:
 def _rising(values: np.ndarray, strict: bool) -> list[int]:
     """Places of a longest rising subsequence, by patience sorting."""
     tails, at, before = [], [], []
-    for i, x in enumerate(values):
-        k = int(np.searchsorted(tails, x, side="left" if strict else "right"))
+    for i, x in enumerate(values.tolist()):
+        k = (bisect_left if strict else bisect_right)(tails, x)
         before.append(at[k - 1] if k else -1)
         if k == len(tails):
             tails.append(x)

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from docloom import tree_queries
 from docloom.functions import text as T
 from docloom.operators import access, sections, versions
+from docloom.operators import users as users_ops
 from docloom.plans import listing
 from docloom.session import read_table
 from docloom.sources import roles
@@ -18,14 +19,20 @@ from docloom.sources.roles import ACTIVE
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = dict(tree_queries.QUERIES)
 ORACLE_SQL: dict[str, str] = dict(tree_queries.ORACLE_SQL)
 
-_USERS = """users AS (SELECT 1::BIGINT AS user_id, NULL::BIGINT AS parent_id, 'admin' AS role, true AS inherits
-  UNION ALL SELECT r_regionkey + 100, 1, 'organization', r_regionkey % 3 <> 0 FROM region
+_USERS = """users AS (SELECT 1::BIGINT AS user_id, NULL::BIGINT AS parent_id, 'admin' AS role, true AS inherits UNION ALL SELECT 2, 1, 'admin', true
+  UNION ALL SELECT r_regionkey + 100, CASE WHEN r_regionkey % 2 = 0 THEN 1 ELSE 2 END, CASE WHEN r_regionkey = 4 THEN 'health_station' ELSE 'hospital' END, r_regionkey % 3 <> 0 FROM region
   UNION ALL SELECT n_nationkey + 1000, n_regionkey + 100, CASE WHEN n_nationkey % 4 = 0 THEN 'health_station' ELSE 'doctor' END, n_nationkey % 3 <> 0 FROM nation),
 anc AS (SELECT user_id, user_id AS ancestor_id, 0 AS distance FROM users
   UNION ALL SELECT a.user_id, u.parent_id, a.distance + 1 FROM anc a JOIN users u ON u.user_id = a.ancestor_id WHERE u.parent_id IS NOT NULL)"""
-_VISIBLE = f"""{_USERS}, chain AS (SELECT a.*, u.role AS a_role, u.inherits AS a_inherits FROM anc a JOIN users u ON u.user_id = a.ancestor_id),
-visible AS (SELECT user_id, ancestor_id AS owner_id FROM chain WHERE a_role <> 'admin' OR distance = 0
-  UNION SELECT c.user_id, x.user_id FROM (SELECT user_id FROM chain GROUP BY user_id HAVING bool_or(a_role = 'admin') AND NOT bool_or(a_role <> 'admin' AND NOT a_inherits)) c, users x WHERE x.role = 'admin')"""
+_VISIBLE = f"""{_USERS}, full_chain AS (SELECT a.*, u.role AS a_role, u.inherits AS a_inherits FROM anc a JOIN users u ON u.user_id = a.ancestor_id),
+chain AS (SELECT *, distance = 0 OR a_role <> 'admin' AS near FROM full_chain c WHERE NOT EXISTS (SELECT 1 FROM full_chain b WHERE b.user_id = c.user_id AND b.a_role = 'admin' AND b.distance > 0 AND b.distance < c.distance)),
+state AS (SELECT user_id, bool_or(near AND NOT a_inherits) AS shut, bool_or(NOT near) AS met, bool_or(distance = 0 AND a_role = 'admin') AS is_admin FROM chain GROUP BY user_id),
+visible AS (SELECT c.user_id, ancestor_id AS owner_id FROM chain c JOIN state s ON s.user_id = c.user_id WHERE near OR NOT shut
+  UNION SELECT s.user_id, x.user_id FROM state s, users x WHERE x.role = 'admin' AND s.met AND NOT s.shut AND NOT s.is_admin),
+stations AS (SELECT user_id, bool_or(a_role = 'health_station') AS in_scope FROM chain GROUP BY user_id)"""
+_GUIDELINES = """g AS (SELECT c_custkey AS guideline_id, c_name AS title, CASE WHEN c_custkey % 3 = 0 THEN 'Bệnh số ' || c_custkey END AS disease, c_mktsegment AS publisher,
+  CASE WHEN c_custkey % 4 = 0 THEN 'Trạm y tế' WHEN c_custkey % 4 = 1 THEN ' TRAM Y-TE' ELSE c_mktsegment END AS specialty,
+  CAST(CASE WHEN c_custkey % 10 = 0 THEN 1 WHEN c_custkey % 10 = 1 THEN 2 ELSE c_nationkey + 1000 END AS BIGINT) AS owner_id FROM customer)"""
 _VERSIONS = "versions AS (SELECT o_orderkey AS version_id, o_custkey AS guideline_id, CAST(o_orderdate AS DATE) AS release_date, o_orderstatus AS status, o_orderpriority AS label FROM orders)"
 _SECTIONS = r"""sections AS (SELECT doc_id AS version_id, CAST(i - 1 AS INTEGER) AS pos, lines[i] AS content, CAST(CASE WHEN i > 1 THEN (i - 2) // 3 END AS INTEGER) AS parent_pos
   FROM (SELECT doc_id, string_split(text, chr(10)) AS lines, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS i FROM documents))"""
@@ -49,14 +56,37 @@ def query(sql: str | None = None):
 # Access and listing
 
 
-@query(f"""WITH RECURSIVE {_VISIBLE}, {_VERSIONS},
-g AS (SELECT c_custkey AS guideline_id, c_name AS title, c_mktsegment AS publisher, CAST(c_nationkey + 1000 AS BIGINT) AS owner_id FROM customer),
-page AS (SELECT * FROM g WHERE owner_id IN (SELECT owner_id FROM visible WHERE user_id = 1007) AND ({_key('title')} LIKE '%1%' OR {_key('publisher')} LIKE '%1%') ORDER BY guideline_id DESC LIMIT 20),
+_SEARCHED = " OR ".join(f"{_key(c)} LIKE '%1%'" for c in listing.SEARCHED)
+
+
+@query(f"""WITH RECURSIVE {_VISIBLE}, {_VERSIONS}, {_GUIDELINES},
+seen AS (SELECT * FROM g WHERE owner_id IN (SELECT owner_id FROM visible WHERE user_id = 1007) AND ({_SEARCHED}) AND {_key('publisher')} LIKE '%e%'),
+page AS (SELECT *, (SELECT count(*) FROM seen) AS total FROM seen ORDER BY guideline_id DESC LIMIT 20),
 act AS (SELECT *, row_number() OVER (PARTITION BY guideline_id ORDER BY release_date DESC NULLS LAST, version_id DESC) AS n FROM versions WHERE lower(status) = 'o')
-SELECT page.*, CASE WHEN u.role = 'admin' THEN 'global' WHEN page.owner_id = 1007 THEN 'owned' ELSE 'inherited' END AS scope, act.version_id, act.release_date
+SELECT page.guideline_id, title, publisher, page.owner_id, CASE WHEN u.role = 'admin' THEN 'global' WHEN page.owner_id = 1007 THEN 'owned' ELSE 'inherited' END AS scope, false AS can_manage, act.version_id, act.release_date, total
 FROM page LEFT JOIN users u ON u.user_id = page.owner_id LEFT JOIN act ON act.guideline_id = page.guideline_id AND act.n = 1""")
 def list_guidelines_page(spark, d):
-    return listing.list_guidelines(roles.guidelines(spark, d), roles.versions(spark, d), roles.users(spark, d), 1007, "doctor", ACTIVE, search=" 1 ", page=1, page_size=20)
+    return listing.list_guidelines(roles.guidelines(spark, d), roles.versions(spark, d), roles.users(spark, d), 1007, "doctor", ACTIVE, search=" 1 ", page=1, page_size=20, publisher="E")
+
+
+@query(f"""WITH RECURSIVE {_VISIBLE}, {_GUIDELINES} SELECT guideline_id, owner_id FROM g WHERE owner_id IN (SELECT owner_id FROM visible WHERE user_id = 1004) AND {_key('specialty')} = 'tramyte' AND (SELECT in_scope FROM stations WHERE user_id = 1004)""")
+def station_guidelines(spark, d):
+    return listing.tenant_guidelines(roles.guidelines(spark, d), roles.users(spark, d), 1004, "health_station").select("guideline_id", "owner_id")
+
+
+@query(f"WITH {_GUIDELINES} SELECT guideline_id FROM g WHERE owner_id = 2")
+def guidelines_of_owner(spark, d):
+    return listing.tenant_guidelines(roles.guidelines(spark, d), roles.users(spark, d), 1, "admin", owner_id=2).select("guideline_id")
+
+
+@query(f"WITH RECURSIVE {_VISIBLE}, {_GUIDELINES} SELECT count(*) AS total FROM g WHERE owner_id IN (SELECT owner_id FROM visible WHERE user_id = 1007)")
+def count_guidelines(spark, d):
+    return listing.total(listing.visible_guidelines(roles.guidelines(spark, d), roles.users(spark, d), 1007, "doctor"))
+
+
+@query(f"WITH {_VERSIONS} SELECT version_id, release_date, status FROM versions WHERE guideline_id = 85 AND lower(status) = 'f' ORDER BY release_date DESC NULLS LAST, version_id DESC LIMIT 5")
+def list_versions(spark, d):
+    return listing.list_versions(roles.guidelines(spark, d), roles.versions(spark, d), roles.users(spark, d), 1, "admin", 85, status=" F", page_size=5).select("version_id", "release_date", "status")
 
 
 @query(f"WITH RECURSIVE {_VISIBLE} SELECT user_id, owner_id FROM visible")
@@ -74,7 +104,7 @@ def subtree_height(spark, d):
     return access.subtree_height(roles.users(spark, d))
 
 
-@query(f"WITH RECURSIVE {_USERS} SELECT a.user_id, bool_or(u.role = 'health_station') AS in_scope FROM anc a JOIN users u ON u.user_id = a.ancestor_id GROUP BY a.user_id")
+@query(f"WITH RECURSIVE {_VISIBLE} SELECT user_id, in_scope FROM stations")
 def station_scope(spark, d):
     return access.station_scope(roles.users(spark, d))
 
@@ -86,7 +116,7 @@ def search_keys(spark, d):
 
 @query("SELECT DISTINCT c_mktsegment AS publisher FROM customer WHERE c_mktsegment IS NOT NULL AND c_mktsegment <> ''")
 def filter_options(spark, d):
-    return roles.guidelines(spark, d).where("publisher is not null and publisher <> ''").select("publisher").distinct().orderBy("publisher")
+    return listing.filter_options(roles.guidelines(spark, d), "publisher")
 
 
 # Versions and snapshots
@@ -99,8 +129,7 @@ def active_versions(spark, d):
 
 @query("SELECT o_custkey AS guideline_id, count(*) AS n_versions, CAST(count(*) + 1 AS VARCHAR) AS next_label FROM orders GROUP BY o_custkey")
 def count_versions(spark, d):
-    n = roles.versions(spark, d).groupBy("guideline_id").agg(F.count("*").alias("n_versions"))
-    return n.withColumn("next_label", (F.col("n_versions") + 1).cast("string"))
+    return versions.count_by(roles.versions(spark, d), "guideline_id", "n_versions").withColumn("next_label", versions.next_label(F.col("n_versions")))
 
 
 @query(f"""WITH {_VERSIONS}, keep AS (SELECT guideline_id, max(version_id) AS keep_id FROM versions GROUP BY guideline_id)
@@ -116,17 +145,17 @@ def cascade_delete(spark, d):
     return versions.survivors(read_table(spark, d, "orders").select("o_custkey", "o_orderkey"), doomed, "o_custkey")
 
 
-@query("SELECT c_custkey, c_name FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
+@query("SELECT c_custkey, c_name FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'P')")
 def guidelines_without_versions(spark, d):
-    c, o = read_table(spark, d, "customer"), read_table(spark, d, "orders")
-    return c.join(o, c["c_custkey"] == o["o_custkey"], "left_anti").select("c_custkey", "c_name")
+    g, v = read_table(spark, d, "customer"), roles.versions(spark, d).where("status = 'P'").select(F.col("guideline_id").alias("c_custkey"))
+    return versions.without(g, v, "c_custkey").select("c_custkey", "c_name")
 
 
-@query("SELECT l_orderkey, l_linenumber, coalesce(c.c_nationkey + 1000, -1) AS owner_id FROM lineitem LEFT JOIN orders ON o_orderkey = l_orderkey LEFT JOIN customer c ON c_custkey = o_custkey")
+@query("SELECT l_orderkey, l_linenumber, CAST(CASE WHEN c_custkey % 10 < 2 OR c_custkey IS NULL THEN -1 ELSE c.c_nationkey + 1000 END AS BIGINT) AS owner_id FROM lineitem LEFT JOIN orders ON o_orderkey = l_orderkey LEFT JOIN customer c ON c_custkey = o_custkey")
 def backfill_owner(spark, d):
-    li, o, c = (read_table(spark, d, t) for t in ("lineitem", "orders", "customer"))
-    j = li.join(o, li["l_orderkey"] == o["o_orderkey"], "left").join(c, o["o_custkey"] == c["c_custkey"], "left")
-    return j.select("l_orderkey", "l_linenumber", F.coalesce(F.col("c_nationkey") + 1000, F.lit(-1)).alias("owner_id"))
+    documents = read_table(spark, d, "lineitem").select("l_linenumber", F.col("l_orderkey").alias("version_id"), F.lit(None).cast("long").alias("owner_id"))
+    found = versions.backfill_owner(documents, roles.versions(spark, d), roles.guidelines(spark, d).withColumn("owner_id", F.when(F.col("owner_id") > 2, F.col("owner_id"))), -1)
+    return found.select(F.col("version_id").alias("l_orderkey"), "l_linenumber", "owner_id")
 
 
 @query("SELECT o.o_orderkey, o.o_custkey, count(*) AS n_documents, sum(l_quantity) AS quantity FROM orders o JOIN customer ON c_custkey = o_custkey JOIN lineitem ON l_orderkey = o.o_orderkey GROUP BY ALL")
@@ -148,9 +177,10 @@ def keep_first(spark, d):
     return versions.first_by(read_table(spark, d, "part"), ["p_name"], [F.col("p_partkey")]).select("p_name", "p_partkey", "p_brand")
 
 
-@query("SELECT l_orderkey, l_linenumber, CASE WHEN l_discount IS NULL THEN l_returnflag = 'R' ELSE l_discount < 0.05 END AS is_suspect FROM lineitem")
+@query("SELECT l_orderkey, l_linenumber, CASE WHEN l_linenumber % 3 = 0 THEN l_returnflag = 'R' ELSE l_discount < 0.05 END AS is_suspect FROM lineitem")
 def suspect_flags(spark, d):
-    return read_table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.when(F.col("l_discount").isNull(), F.col("l_returnflag") == "R").otherwise(F.col("l_discount") < 0.05).alias("is_suspect"))
+    score = F.when(F.col("l_linenumber") % 3 != 0, F.col("l_discount"))
+    return read_table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", sections.is_suspect(score, F.col("l_returnflag") == "R", 0.05).alias("is_suspect"))
 
 
 # Jobs
@@ -174,7 +204,7 @@ def enqueue_jobs(spark, d):
 
 @query(f"WITH {_JOBS} SELECT status, count(*) AS n, min(requested_at) AS earliest FROM jobs GROUP BY status")
 def job_counters(spark, d):
-    return roles.jobs(spark, d).groupBy("status").agg(F.count("*").alias("n"), F.min("requested_at").alias("earliest"))
+    return versions.outcomes(roles.jobs(spark, d))
 
 
 # Sections
@@ -186,10 +216,10 @@ def section_offsets(spark, d):
 
 
 @query(f"""WITH {_SECTIONS}, a AS (SELECT *, CASE WHEN pos % 3 = 0 THEN pos * 10 ELSE -1 END AS anchor FROM sections)
-SELECT version_id, pos, CAST(min(CASE WHEN anchor >= 0 THEN anchor END) OVER (PARTITION BY version_id ORDER BY pos ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS INTEGER) AS until FROM a""")
+SELECT version_id, pos, CAST(coalesce(min(CASE WHEN anchor >= 0 THEN anchor END) OVER (PARTITION BY version_id ORDER BY pos ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), 1000000) AS INTEGER) AS until FROM a""")
 def next_anchor(spark, d):
     s = roles.sections(spark, d).withColumn("anchor", F.when(F.col("pos") % 3 == 0, F.col("pos") * 10).otherwise(-1))
-    return sections.next_anchor(s).select("version_id", "pos", "until")
+    return sections.next_anchor(s, end=F.lit(10**6)).select("version_id", "pos", "until")
 
 
 @query(f"WITH {_SECTIONS} SELECT version_id, pos FROM (SELECT *, lag(content) OVER (PARTITION BY version_id ORDER BY pos) AS b FROM sections) WHERE b IS NULL OR b <> content")
@@ -202,10 +232,13 @@ def last_heading(spark, d):
     return sections.last_heading(roles.sections(spark, d), F.length("content") < 30).select("version_id", "pos", "heading_pos")
 
 
-@query(f"""WITH {_SECTIONS}, k AS (SELECT *, {_key('content')} AS key FROM sections), often AS (SELECT key, count(*) AS times FROM k WHERE length(key) BETWEEN 1 AND 200 GROUP BY key HAVING count(*) >= 15)
-SELECT version_id, pos, times FROM k JOIN often USING (key)""")
+@query(r"""WITH c AS (SELECT doc_id % 40 AS version_id, doc_id || '-' || (i - 1) AS id, lines[i] AS text, CASE WHEN (i - 1) % 3 = 2 THEN 'figure' ELSE 'text' END AS type, CASE WHEN (i - 1) % 7 <> 6 THEN (i - 1) % 10 / 10.0 + 0.05 END AS top
+  FROM (SELECT doc_id, string_split(text, chr(10)) AS lines, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS i FROM documents)),
+b AS (SELECT version_id, id, regexp_replace(text, '^\s+|\s+$', '', 'g') AS bare FROM c WHERE type = 'text' AND (top < 0.10 OR top > 0.85)),
+k AS (SELECT version_id, id, lower(regexp_replace(regexp_replace(regexp_replace(bare, '^\d{1,4}\s*[|/\-]\s*', ''), '^\s+|\s+$', '', 'g'), '\s+', ' ', 'g')) AS key FROM b WHERE length(bare) <= 200)
+SELECT version_id, id, count(*) OVER (PARTITION BY version_id, key) AS times FROM k WHERE key <> '' QUALIFY count(*) OVER (PARTITION BY version_id, key) >= 3""")
 def repeated_noise(spark, d):
-    return sections.repeated_noise(roles.sections(spark, d), T.search_key(F.col("content")), 15).select("version_id", "pos", "times")
+    return sections.repeated_noise(roles.chunks(spark, d), 3).select("version_id", "id", "times")
 
 
 @query(f"WITH {_SECTIONS} SELECT s.version_id, s.pos, p.pos IS NULL AS is_root, length(p.content) AS parent_length FROM sections s LEFT JOIN sections p ON p.version_id = s.version_id AND p.pos = s.parent_pos")
@@ -233,11 +266,12 @@ def overlapping_batches(spark, d):
     return sections.overlapping_batches(roles.sections(spark, d), 10, 3).select("version_id", "pos", "batch")
 
 
-@query(f"""WITH {_SECTIONS} SELECT version_id, pos, round(coalesce(sum(w) OVER (PARTITION BY version_id, coalesce(parent_pos, -1) ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) / sum(w) OVER (PARTITION BY version_id, coalesce(parent_pos, -1)), 9) AS place
+@query(f"""WITH {_SECTIONS} SELECT version_id, pos, round(coalesce(sum(w) OVER (PARTITION BY version_id, coalesce(parent_pos, -1) ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) / sum(w) OVER (PARTITION BY version_id, coalesce(parent_pos, -1)), 9) AS place,
+  round(sum(w) OVER (PARTITION BY version_id, coalesce(parent_pos, -1) ORDER BY pos) / sum(w) OVER (PARTITION BY version_id, coalesce(parent_pos, -1)), 9) AS until
 FROM (SELECT *, CASE WHEN sum(length(content)) OVER (PARTITION BY version_id, parent_pos) > 0 THEN length(content) ELSE 1 END AS w FROM sections)""")
 def shared_anchor_spread(spark, d):
     s = roles.sections(spark, d).withColumn("p", F.coalesce("parent_pos", F.lit(-1)))
-    return sections.spread(s, ["version_id", "p"], "pos", F.length("content")).select("version_id", "pos", F.round("place", 9).alias("place"))
+    return sections.spread(s, ["version_id", "p"], "pos", F.length("content")).select("version_id", "pos", F.round("place", 9).alias("place"), F.round("until", 9).alias("until"))
 
 
 @query("SELECT l_orderkey, l_suppkey % 3 AS page, round(min(l_discount), 6) AS \"left\", round(min(l_tax), 6) AS top, round(max(l_discount + 0.1), 6) AS \"right\", round(max(l_tax + 0.2), 6) AS bottom FROM lineitem GROUP BY ALL")
@@ -268,10 +302,15 @@ def turn_overlap(spark, d):
     return c.select("conv_id", "turn", F.round(T.dice(F.col("w"), F.col("before")), 9).alias("dice"))
 
 
-@query(r"SELECT page_id, md5(regexp_replace(html, '(?is)<!--.*?-->', '', 'g')) AS clean_md5, length(html) - length(regexp_replace(html, '(?is)<!--.*?-->', '', 'g')) AS removed FROM pages")
+@query(r"""WITH p AS (SELECT page_id, replace(html, '<h1>', '<!-- page BREAK --><A class="x"></a><a name=y>z</a>') AS html FROM pages),
+q AS (SELECT page_id, html, regexp_replace(html, '(?i)<a\s[^>]*></a>', '', 'g') AS a FROM p), b AS (SELECT *, regexp_replace(a, '(?i)<!--\s*PAGE\s*BREAK\s*-->', '<$BREAK$>', 'g') AS b FROM q),
+c AS (SELECT *, replace(regexp_replace(b, '(?is)<!--.*?-->', '', 'g'), '<$BREAK$>', '<!-- PAGE_BREAK -->') AS c FROM b)
+SELECT page_id, md5(c) AS clean_md5, length(c) AS found, length(html) - length(a) AS anchors, (length(c) - length(replace(c, '<!-- PAGE_BREAK -->', ''))) // 19 AS breaks, true AS as_expected FROM c""")
 def clean_markup(spark, d):
-    clean = T.clean_markup(F.col("html"))
-    return read_table(spark, d, "pages").select("page_id", F.md5(clean.cast("binary")).alias("clean_md5"), (F.length("html") - F.length(clean)).cast("long").alias("removed"))
+    html = F.replace("html", F.lit("<h1>"), F.lit('<!-- page BREAK --><A class="x"></a><a name=y>z</a>'))
+    p = read_table(spark, d, "pages").select("page_id", T.clean_markup(html).alias("clean"), T.cleaning_audit(html).alias("audit"))
+    breaks = (F.length("clean") - F.length(F.replace("clean", F.lit(T.PAGE_BREAK), F.lit("")))) / 19
+    return p.select("page_id", F.md5(F.col("clean").cast("binary")).alias("clean_md5"), F.length("clean").cast("long").alias("found"), F.col("audit.anchors").cast("long").alias("anchors"), breaks.cast("long").alias("breaks"), F.expr("audit.expected = audit.found and audit.same_breaks").alias("as_expected"))
 
 
 @query(r"""SELECT doc_id, md5(regexp_replace(regexp_replace(regexp_replace(regexp_replace(coalesce(text, ''), '^\s+|\s+$', '', 'g'), '(?m)^[ \t]*\d+[ \t]*$', '', 'g'), '\n{3,}', chr(10) || chr(10), 'g'), '^\s+|\s+$', '', 'g')) AS text_md5 FROM documents""")
@@ -298,6 +337,6 @@ def embedding_sizes(spark, d):
 
 @query("""SELECT s_suppkey, CASE WHEN c.c_custkey IS NULL THEN 'create' WHEN c.c_nationkey = s_nationkey THEN 'skip' ELSE 'conflict' END AS action FROM supplier LEFT JOIN customer c ON c.c_custkey = s_suppkey * 20""")
 def reconcile_import(spark, d):
-    s, c = read_table(spark, d, "supplier"), read_table(spark, d, "customer")
-    j = s.join(c, c["c_custkey"] == s["s_suppkey"] * 20, "left")
-    return j.select("s_suppkey", F.when(F.col("c_custkey").isNull(), "create").when(F.col("c_nationkey") == F.col("s_nationkey"), "skip").otherwise("conflict").alias("action"))
+    accounts = read_table(spark, d, "supplier").select("s_suppkey", (F.col("s_suppkey") * 20).cast("string").alias("email"), F.col("s_nationkey").alias("name"))
+    users = read_table(spark, d, "customer").select(F.col("c_custkey").cast("string").alias("email"), F.col("c_nationkey").alias("name"))
+    return users_ops.import_actions(accounts, users).select("s_suppkey", "action")

@@ -61,16 +61,19 @@ def assets_by_id(files: DataFrame, wanted: DataFrame, root: str) -> DataFrame:
 def byte_range(header: Column, size: Column) -> Column:
     """``start`` and ``end`` (both included) of a range header over ``size`` bytes; null if the header is not one satisfiable range.
 
-    No header asks for all. An end beyond the last byte is cut to it; ``bytes=-n`` asks for the last n bytes.
+    No header, or a blank one, asks for all. White space around its parts and the case of its unit do not matter. An end
+    beyond the last byte is cut to it; ``bytes=-n`` asks for the last n bytes, one at least.
     """
-    first, last = (F.regexp_extract(header, r"^bytes=(\d*)-(\d*)$", k) for k in (1, 2))
+    spec = r"(?i)^\s*bytes=\s*(\d*)\s*-\s*(\d*)\s*$"
+    first, last = (F.regexp_extract(header, spec, k) for k in (1, 2))
     a, b = first.try_cast("long"), last.try_cast("long")
     end = F.least(F.coalesce(b, size - 1), size - 1)
     start = F.when(first == "", F.greatest(size - b, F.lit(0).cast("long"))).otherwise(a)
     end = F.when(first == "", size - 1).otherwise(end)
-    good = header.rlike(r"^bytes=(\d+-\d*|-\d+)$") & (start < size) & (start <= end)
+    ordered = F.when(first == "", b > 0).otherwise((start < size) & F.coalesce(b >= a, last == ""))
+    good = header.rlike(spec) & ((first != "") | (last != "")) & ordered
     whole = F.struct(F.lit(0).cast("long").alias("start"), (size - 1).alias("end"))
-    return F.when(header.isNull(), whole).when(good, F.struct(start.alias("start"), end.alias("end")))
+    return F.when(header.isNull() | header.rlike(r"^\s*$"), whole).when(good, F.struct(start.alias("start"), end.alias("end")))
 
 
 def slice_bytes(content: Column, span: Column) -> Column:

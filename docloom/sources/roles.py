@@ -11,8 +11,11 @@ ACTIVE = ("o",)
 
 
 def guidelines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = read_table(spark, sf_dir, "customer")
-    return c.select(F.col("c_custkey").alias("guideline_id"), F.col("c_name").alias("title"), F.col("c_mktsegment").alias("publisher"), (F.col("c_nationkey") + 1000).cast("long").alias("owner_id"))
+    c, key = read_table(spark, sf_dir, "customer"), F.col("c_custkey")
+    owner = F.when(key % 10 == 0, 1).when(key % 10 == 1, 2).otherwise(F.col("c_nationkey") + 1000).cast("long")
+    disease = F.when(key % 3 == 0, F.concat(F.lit("Bệnh số "), key.cast("string")))
+    kind = F.when(key % 4 == 0, "Trạm y tế").when(key % 4 == 1, " TRAM Y-TE").otherwise(F.col("c_mktsegment"))
+    return c.select(key.alias("guideline_id"), F.col("c_name").alias("title"), disease.alias("disease"), F.col("c_mktsegment").alias("publisher"), kind.alias("specialty"), owner.alias("owner_id"))
 
 
 def versions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -21,9 +24,10 @@ def versions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def users(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A tree: an administrator, regions below, nations below these."""
-    root = spark.createDataFrame([(1, None, "admin", True)], "user_id long, parent_id long, role string, inherits boolean")
-    r = read_table(spark, sf_dir, "region").select((F.col("r_regionkey") + 100).cast("long").alias("user_id"), F.lit(1).cast("long").alias("parent_id"), F.lit("organization").alias("role"), (F.col("r_regionkey") % 3 != 0).alias("inherits"))
+    """Trees of users: two administrators, one below the other; regions below them, nations below these."""
+    root = spark.createDataFrame([(1, None, "admin", True), (2, 1, "admin", True)], "user_id long, parent_id long, role string, inherits boolean")
+    key = F.col("r_regionkey")
+    r = read_table(spark, sf_dir, "region").select((key + 100).cast("long").alias("user_id"), F.when(key % 2 == 0, 1).otherwise(2).cast("long").alias("parent_id"), F.when(key == 4, "health_station").otherwise("hospital").alias("role"), (key % 3 != 0).alias("inherits"))
     n = read_table(spark, sf_dir, "nation").select((F.col("n_nationkey") + 1000).cast("long").alias("user_id"), (F.col("n_regionkey") + 100).cast("long").alias("parent_id"), F.when(F.col("n_nationkey") % 4 == 0, "health_station").otherwise("doctor").alias("role"), (F.col("n_nationkey") % 3 != 0).alias("inherits"))
     return root.union(r).union(n)
 
@@ -41,6 +45,14 @@ def section_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sections(spark, sf_dir).withColumn("path", up)
 
 
+def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chunks of scanned pages: the lines of all documents of one kind, ten to a page; every third one is no text."""
+    d = read_table(spark, sf_dir, "documents")
+    s = d.select((F.col("doc_id") % 40).alias("version_id"), "doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "text"))
+    top = F.col("pos") % 10 / 10.0 + 0.05
+    return s.select("version_id", F.concat_ws("-", "doc_id", "pos").alias("id"), F.when(F.col("pos") % 3 == 2, "figure").otherwise("text").alias("type"), "text", F.when(F.col("pos") % 7 != 6, top).alias("top"))
+
+
 def jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = read_table(spark, sf_dir, "events")
     return e.select(F.col("event_id").alias("job_id"), F.col("user_id").alias("version_id"), F.col("ts").alias("requested_at"), F.col("event_type").alias("status"))
