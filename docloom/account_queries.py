@@ -155,8 +155,8 @@ def changed_sections(spark, d):
     return versions.changed_sections(s, e).select("section_id")
 
 
-@query("""WITH e AS (SELECT user_id AS job_id, ts AS at, CASE event_type WHEN 'view' THEN 'queued' WHEN 'click' THEN 'running' WHEN 'purchase' THEN 'succeeded' WHEN 'error' THEN 'failed' ELSE 'seen' END AS event FROM events),
-f AS (SELECT job_id, min(at) FILTER (WHERE event = 'queued') AS q, min(at) FILTER (WHERE event = 'running') AS r, min(at) FILTER (WHERE event = 'succeeded') AS s, min(at) FILTER (WHERE event = 'failed') AS f FROM e GROUP BY job_id),
+@query("""WITH e AS (SELECT user_id AS job_id, ts AS moment, CASE event_type WHEN 'view' THEN 'queued' WHEN 'click' THEN 'running' WHEN 'purchase' THEN 'succeeded' WHEN 'error' THEN 'failed' ELSE 'seen' END AS event FROM events),
+f AS (SELECT job_id, min(moment) FILTER (WHERE event = 'queued') AS q, min(moment) FILTER (WHERE event = 'running') AS r, min(moment) FILTER (WHERE event = 'succeeded') AS s, min(moment) FILTER (WHERE event = 'failed') AS f FROM e GROUP BY job_id),
 g AS (SELECT job_id, CASE WHEN r >= q THEN r END AS started_at, s, f FROM f WHERE q IS NOT NULL), h AS (SELECT job_id, started_at, CASE WHEN s >= started_at THEN s END AS s, CASE WHEN f >= started_at THEN f END AS f FROM g)
 SELECT job_id, started_at, CASE WHEN started_at IS NULL THEN 'queued' WHEN s IS NULL AND f IS NULL THEN 'running' WHEN f IS NULL OR s < f THEN 'succeeded' ELSE 'failed' END AS state, least(s, f) AS finished_at FROM h""")
 def job_states(spark, d):

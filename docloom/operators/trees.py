@@ -77,7 +77,7 @@ def levels_to_parents(rows: DataFrame) -> DataFrame:
     kinds = dict(rows.dtypes)
     slim = rows.select("version_id", "pos", F.col("level").cast("long").alias("level"))
     found = slim.groupBy("version_id").applyInArrow(run, f"version_id {kinds['version_id']}, pos {kinds['pos']}, parent_pos {kinds['pos']}")
-    return rows.join(found, ["version_id", "pos"], "left")
+    return rows.drop("parent_pos").join(found, ["version_id", "pos"], "left")
 
 
 def headings_above(headings: DataFrame, blocks: DataFrame, tolerance: float = 3.0) -> DataFrame:

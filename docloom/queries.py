@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from docloom import tree_queries
+from docloom import account_queries, document_queries, tree_queries
 from docloom.functions import text as T
 from docloom.operators import access, sections, versions
 from docloom.operators import users as users_ops
@@ -16,8 +16,8 @@ from docloom.session import read_table
 from docloom.sources import roles
 from docloom.sources.roles import ACTIVE
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = dict(tree_queries.QUERIES)
-ORACLE_SQL: dict[str, str] = dict(tree_queries.ORACLE_SQL)
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = tree_queries.QUERIES | account_queries.QUERIES | document_queries.QUERIES
+ORACLE_SQL: dict[str, str] = tree_queries.ORACLE_SQL | account_queries.ORACLE_SQL | document_queries.ORACLE_SQL
 
 _USERS = """users AS (SELECT 1::BIGINT AS user_id, NULL::BIGINT AS parent_id, 'admin' AS role, true AS inherits UNION ALL SELECT 2, 1, 'admin', true
   UNION ALL SELECT r_regionkey + 100, CASE WHEN r_regionkey % 2 = 0 THEN 1 ELSE 2 END, CASE WHEN r_regionkey = 4 THEN 'health_station' ELSE 'hospital' END, r_regionkey % 3 <> 0 FROM region

@@ -12,7 +12,7 @@ from docloom.sources import files, sinks
 
 
 def test_byte_range(spark):
-    cases = {None: (0, 9), "bytes=2-4": (2, 4), "bytes=7-": (7, 9), "bytes=-3": (7, 9), "bytes=-99": (0, 9), "bytes=5-99": (5, 9), "bytes=10-": None, "bytes=4-2": None, "bytes=-": None, "bytes=0-1,3-4": None, "x": None}
+    cases = {None: (0, 9), "bytes=2-4": (2, 4), "bytes=7-": (7, 9), "bytes=-3": (7, 9), "bytes=-99": (0, 9), "bytes=5-99": (5, 9), "bytes=10-": None, "bytes=4-2": None, "bytes=-": None, "bytes=0-1,3-4": None, "x": None, "": (0, 9), "  ": (0, 9), " Bytes= 2 - 4 ": (2, 4), "bytes=-0": None}
     df = spark.createDataFrame([(h, b"0123456789") for h in cases], "h string, content binary").withColumn("r", files.byte_range(F.col("h"), F.length("content").cast("long")))
     rows = df.withColumn("part", files.slice_bytes(F.col("content"), F.col("r"))).collect()
     assert {r["h"]: r["r"] and tuple(r["r"]) for r in rows} == cases
@@ -92,4 +92,4 @@ def test_markup(spark):
         markup.pack_paragraphs(F.lit("aaaa\n\nbb\n\ncccccccccccc\n\nd"), 8).alias("parts"), markup.pack_paragraphs(F.lit(None), 8).alias("none"),
     ).first()
     assert row["steps"] == ["a", "b", "c"] and row["bold"] == ["y z", "w"]
-    assert row["parts"] == ["aaaa\n\nbb", "cccccccc", "cccc\n\nd"] and row["none"] == []
+    assert row["parts"] == ["aaaa\n\nbb", "cccccccc", "cccc", "d"] and row["none"] == []
