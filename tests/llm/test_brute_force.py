@@ -148,7 +148,7 @@ def test_op8_on_random_lines(spark, tmp_path):
 
 
 def test_op8_on_documents(spark, documents):
-    rows = list(documents.itertuples(index=False, name=None))[:120]
+    rows = list(documents.itertuples(index=False, name=None))[:60]
     want, _ = kept_lines(rows)
     got = line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string"))
     assert {r["row"]["doc_id"]: r["row"]["text"] for r in got.collect()} == want
