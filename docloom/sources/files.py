@@ -12,6 +12,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from docloom.functions.outline import header_key
+
 #: A chunk of a scanned document, as the OCR service writes it.
 CHUNK_SCHEMA = "id string, type string, markdown string, bboxes array<struct<page:int,left:double,top:double,right:double,bottom:double>>"
 _SHEET = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
@@ -116,10 +118,16 @@ def read_workbooks(spark: SparkSession, path: str) -> DataFrame:
     return files.select("path", "content").mapInPandas(run, "path string, row int, column int, value string")
 
 
-def account_rows(cells: DataFrame, name_header: str = r"(?i)\b(name|ten|tên)\b", email_header: str = r"(?i)e-?mail") -> DataFrame:
-    """Name and e-mail below the first row that holds a header of both kinds: path, row, name, email."""
-    at = lambda pattern: F.min(F.when(F.col("value").rlike(pattern) & ~F.col("value").contains("@"), F.col("column")))
-    heads = cells.groupBy("path", "row").agg(at(name_header).alias("name_at"), at(email_header).alias("email_at")).where("name_at is not null and email_at is not null")
+#: Headers of names and of e-mails, as ``header_key`` spells them (fixed values).
+NAME_HEADERS = ("ho va ten", "hoten", "ten", "full name", "name")
+EMAIL_HEADERS = ("email", "mail", "e mail")
+
+
+def account_rows(cells: DataFrame, names: tuple[str, ...] = NAME_HEADERS, emails: tuple[str, ...] = EMAIL_HEADERS) -> DataFrame:
+    """Name and e-mail below the first row that holds a header of both kinds, with or without its blanks; the last of several counts: path, row, name, email."""
+    key = header_key(F.col("value"))
+    at = lambda keys: F.max(F.when(key.isin(*keys) | F.replace(key, F.lit(" "), F.lit("")).isin(*keys), F.col("column")))
+    heads = cells.groupBy("path", "row").agg(at(names).alias("name_at"), at(emails).alias("email_at")).where("name_at is not null and email_at is not null")
     head = heads.groupBy("path").agg(F.min_by(F.struct(F.col("row").alias("head"), "name_at", "email_at"), "row").alias("h")).select("path", "h.*")
     below = cells.join(head, "path").where("row > head")
     pick = lambda at: F.max(F.when(F.col("column") == F.col(at), F.col("value")))

@@ -1,18 +1,24 @@
-"""Tables as files: versions replaced as a whole, artifacts and trees."""
+"""Tables as files: versions replaced as a whole, artifacts, texts and trees."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from docloom.functions.text import clean_markup
+from docloom.operators.positions import stored_position
+
 
 def replace_versions(rows: DataFrame, path: str, key: str = "version_id") -> None:
-    """Replaces the rows of every version that ``rows`` has; other versions stay. ``rows`` must not be read from ``path``."""
+    """Replaces the rows of every version that ``rows`` has; other versions stay. ``rows`` must not be read from ``path``.
+
+    A version is one folder, so its rows are one task's; the versions of a batch are dealt over all tasks.
+    """
     rows.repartition(key).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(key).parquet(path)
 
 
 def section_rows(tree: DataFrame) -> DataFrame:
-    """Sections (version_id, section_path, heading, content) with ids that a rerun repeats, parents, level and order."""
+    """Sections (version_id, section_path, heading, content, any others) with ids that a rerun repeats, parents, level and order."""
     steps = F.split("section_path", r"\.")
     parent = F.when(F.size(steps) > 1, F.array_join(F.slice(steps, 1, F.size(steps) - 1), "."))
     return tree.withColumns({
@@ -23,11 +29,53 @@ def section_rows(tree: DataFrame) -> DataFrame:
     })
 
 
+def placed_sections(tree: DataFrame, documents: DataFrame, threshold: float = 0.65) -> DataFrame:
+    """``section_rows`` with the version's first document, the place on its pages, the score to 4 digits and whether it is suspect.
+
+    tree: also heading_box, boxes, page_start, page_end, start_y, end_y and score; what is given comes before what the boxes say.
+    """
+    first = documents.groupBy("version_id").agg(F.min("document_id").alias("document_id"))
+    at = stored_position(*(F.col(c) for c in ("heading_box", "boxes", "page_start", "page_end", "start_y", "end_y")))
+    rows = section_rows(tree).join(first, "version_id", "left").withColumn("at", at)
+    rows = rows.withColumns({c: F.col("at")[c] for c in ("page_start", "page_end", "start_y", "end_y")}).drop("at")
+    return rows.withColumns({"score": F.round("score", 4), "is_suspect": F.coalesce(F.col("score") < threshold, F.lit(False))})
+
+
+def half_precision(vector: Column, size: int = 3072) -> Column:
+    """A vector as the text of half-precision numbers, ``[0.5,1.25]``; null unless it has ``size`` of them.
+
+    A half has 11 significant bits: a number is rounded to the nearest multiple of its size over 1024, half to even.
+    """
+
+    def half(x: Column) -> Column:
+        step = F.pow(F.lit(2.0), F.greatest(F.floor(F.log2(F.abs(x))), F.lit(-14)) - 10)
+        return F.when(x == 0, 0.0).otherwise(F.rint(x / step) * step)
+
+    return F.when(F.size(vector) == size, F.concat(F.lit("["), F.array_join(F.transform(vector, lambda x: half(x.cast("double")).cast("string")), ","), F.lit("]")))
+
+
+def chunk_rows(chunks: DataFrame, vectors: DataFrame, size: int = 3072) -> DataFrame:
+    """Chunks (version_id, path, context, text) with ids that a rerun repeats, and the vector of their text (version_id, path, vector)."""
+    v = vectors.select("version_id", "path", half_precision(F.col("vector"), size).alias("embedding"))
+    return chunks.join(v, ["version_id", "path"], "left").withColumn("chunk_id", F.xxhash64("version_id", "path"))
+
+
 def write_artifacts(rows: DataFrame, path: str) -> None:
     """One JSON folder for each guideline and version."""
     rows.write.mode("overwrite").partitionBy("guideline_id", "version_id").json(path)
 
 
+def write_clean_markdown(texts: DataFrame, path: str) -> None:
+    """Cleaned markdown (stem, text): a folder for each stem."""
+    clean = texts.select("stem", clean_markup(F.col("text")).alias("value"))
+    clean.repartition("stem").write.mode("overwrite").option("lineSep", "").partitionBy("stem").text(path)
+
+
+def write_trees(trees: DataFrame, path: str) -> None:
+    """Tables of contents (stem, toc) as JSON: a folder for each stem."""
+    trees.repartition("stem").write.mode("overwrite").partitionBy("stem").json(path)
+
+
 def conform(df: DataFrame, schema: str) -> DataFrame:
     """The columns of ``schema`` (DDL), in its order; those that ``df`` lacks are null."""
     wanted = df.sparkSession.createDataFrame([], schema).schema

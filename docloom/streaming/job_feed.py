@@ -1,10 +1,16 @@
-"""Jobs as a stream: the first request of each version, once, across micro-batches."""
+"""Jobs as a stream: the first request of each version, once, across micro-batches; a worker; and states of jobs."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
+from docloom.operators.versions import next_states
+
 
 def read_jobs(spark: SparkSession, path: str, schema: StructType, files_per_batch: int = 1) -> DataFrame:
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(path)
@@ -13,3 +19,20 @@ def read_jobs(spark: SparkSession, path: str, schema: StructType, files_per_batc
 def accept_once(jobs: DataFrame, delay: str = "1 hour") -> DataFrame:
     """One job of each version within the watermark's reach; state older than ``delay`` is dropped."""
     return jobs.withWatermark("requested_at", delay).dropDuplicatesWithinWatermark(["version_id"])
+
+
+def work_off(jobs: DataFrame, work: Callable[[DataFrame], DataFrame], out: str, checkpoint: str) -> StreamingQuery:
+    """Runs ``work`` on the jobs of each micro-batch that is there, and stops when none is left.
+
+    A batch writes a folder of its own under ``out``, so one that is run again after a failure replaces what it wrote.
+    """
+
+    def run(batch: DataFrame, number: int) -> None:
+        work(batch).write.mode("overwrite").parquet(f"{out}/batch={number}")
+
+    return jobs.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def failed_jobs(events: DataFrame) -> DataFrame:
+    """Jobs that have failed, with their error; of a table of events as ``next_states`` takes."""
+    return next_states(events).where(F.col("state") == "failed").select("job_id", "finished_at", "error")

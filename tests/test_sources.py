@@ -63,6 +63,47 @@ def test_replace_versions(spark, tmp_path):
     assert sinks.conform(spark.range(1), "x string, id int").dtypes == [("x", "string"), ("id", "int")]
 
 
+def test_sinks(spark, tmp_path):
+    texts = spark.createDataFrame([("a", "x<a id='1'></a>\ny<!-- PAGE BREAK -->"), ("b", "z")], "stem string, text string")
+    sinks.write_clean_markdown(texts, f"{tmp_path}/md")
+    got = {r["stem"]: r["value"] for r in spark.read.option("wholetext", True).text(f"{tmp_path}/md").collect()}
+    assert got == {"a": "x\ny<!-- PAGE_BREAK -->", "b": "z"}
+    sinks.write_trees(texts.select("stem", F.array(F.struct("text")).alias("toc")), f"{tmp_path}/toc")
+    assert spark.read.json(f"{tmp_path}/toc").where("stem = 'b'").first()["toc"][0]["text"] == "z"
+    sinks.write_artifacts(texts.selectExpr("1 as guideline_id", "2 as version_id", "text"), f"{tmp_path}/art")
+    assert spark.read.json(f"{tmp_path}/art").where("guideline_id = 1 and version_id = 2").count() == 2
+    box = "struct<page:int,left:double,top:double,right:double,bottom:double>"
+    tree = spark.createDataFrame([(1, "1", "h", "c", None, None, 3, None, None, None, 0.123456), (1, "1.2", "i", "d", (1, 0.1, 0.2, 0.3, 0.4), None, None, None, None, None, None)], f"version_id long, section_path string, heading string, content string, heading_box {box}, boxes array<{box}>, page_start int, page_end int, start_y double, end_y double, score double")
+    rows = {r["section_path"]: r for r in sinks.placed_sections(tree, spark.createDataFrame([(1, 9), (1, 8)], "version_id long, document_id long")).collect()}
+    assert (rows["1"]["document_id"], rows["1"]["page_start"], rows["1"]["score"], rows["1"]["is_suspect"]) == (8, 3, 0.1235, True)
+    assert (rows["1.2"]["page_start"], rows["1.2"]["start_y"], rows["1.2"]["is_suspect"], rows["1.2"]["parent_id"]) == (2, 0.2, False, rows["1"]["section_id"])
+
+
+def test_half_precision(spark):
+    import numpy as np
+
+    values = [0.0, 1.0, -0.1, 3.14159, 65000.0, 1e-5, 1e-7, 0.333251953125, 2049.0, 2051.0]
+    text = spark.range(1).select(sinks.half_precision(F.array(*map(F.lit, values)), len(values))).first()[0]
+    assert [float(x) for x in text.strip("[]").split(",")] == [float(np.float16(v)) for v in values]
+    assert spark.range(1).select(sinks.half_precision(F.array(F.lit(1.0)), 2)).first()[0] is None
+
+
+def test_jobs_as_a_stream(spark, tmp_path):
+    import datetime
+
+    from docloom.streaming import job_feed
+
+    at = datetime.datetime(2024, 1, 1)
+    schema = "job_id long, version_id long, requested_at timestamp, status string"
+    for k, rows in enumerate([[(1, 7, at, "queued"), (2, 8, at, "queued")], [(3, 7, at + datetime.timedelta(minutes=5), "queued"), (4, 9, at, "queued")]]):
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(f"{tmp_path}/in/{k}")
+    jobs = job_feed.read_jobs(spark, f"{tmp_path}/in/*", spark.createDataFrame([], schema).schema)
+    job_feed.work_off(job_feed.accept_once(jobs), lambda b: b.select("version_id"), f"{tmp_path}/out", f"{tmp_path}/cp").awaitTermination()
+    assert sorted(r["version_id"] for r in spark.read.parquet(f"{tmp_path}/out").collect()) == [7, 8, 9]
+    events = spark.createDataFrame([(1, at, "queued", None), (1, at, "running", None), (1, at, "failed", "x" * 5000)], "job_id long, at timestamp, event string, message string")
+    assert len(job_feed.failed_jobs(events).first()["error"]) == 4000
+
+
 @pytest.mark.parametrize("strict", [True, False])
 def test_rising_anchors(spark, strict):
     rows = [(v, i, (i * 37 + v * 11) % 5) for v in range(3) for i in range(7)]
