@@ -19,8 +19,8 @@ from docloom.session import cut_table, ensure_checkpoint_dir, read_table
 
 #: Least posterior probability of a document's language.
 LANGUAGE_SCORE = 0.5
-#: Least share of the characters of a document's lines that must be left by line dedup.
-KEPT_SHARE = 0.5
+#: Least share of the characters of a document's lines that must be left by line dedup: with less, 0.8 of it or more is a copy.
+KEPT_SHARE = 0.2
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
