@@ -176,3 +176,8 @@ def specialties(spark, d):
     k = F.col("c_custkey") % 4
     raw = F.when(k == 0, " trạm Y tế ").when(k == 1, "Tram-y-te").when(k == 2, "  ").otherwise(F.concat(F.lit(" "), "c_mktsegment"))
     return read_table(spark, d, "customer").select("c_custkey", T.specialty(raw).alias("specialty"))
+
+
+@query(f"WITH RECURSIVE {_BELOW}, h AS (SELECT user_id AS top, user_id, 0 AS d FROM below UNION ALL SELECT h.top, a.user_id, h.d + 1 FROM h JOIN acc a ON a.parent_id = h.user_id) SELECT top AS user_id, max(d) AS height FROM h GROUP BY top")
+def delete_order(spark, d):
+    return access.delete_order(accounts(spark, d), 12)

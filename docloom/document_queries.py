@@ -429,3 +429,33 @@ def viewer_texts(spark, d):
 def first_pages(spark, d):
     t = F.regexp_replace("text", "\n", T.PAGE_BREAK)
     return read_table(spark, d, "documents").select("doc_id", (outline.first_pages(t, 1) == F.split("text", "\n")[0]).alias("same"), F.col("text").rlike(r"^\S").alias("starts"), (F.col("n_chars") > 0).alias("some")).select("doc_id", (F.col("starts") & F.col("some") & F.col("same")).alias("starts"))
+
+
+@query(r"""SELECT page_id, CASE page_id % 4 WHEN 0 THEN true WHEN 1 THEN false WHEN 2 THEN true ELSE false END AS heading_only FROM pages""")
+def heading_only_chunks(spark, d):
+    k = F.col("page_id") % 4
+    text = F.when(k == 0, "<a id='1'></a># One\n\n## Two").when(k == 1, "# One\ntext").when(k == 2, "CHAPTER ONE\nOF TWO").otherwise(F.repeat(F.lit("CAPITALS "), 20))
+    return read_table(spark, d, "pages").select("page_id", outline.heading_only(text).alias("heading_only"))
+
+
+@query("""WITH c AS (SELECT l_orderkey AS version_id, l_linenumber * 10 AS position, l_linenumber AS page FROM lineitem WHERE l_linenumber % 2 = 1), g AS (SELECT DISTINCT l_orderkey AS version_id, l_linenumber AS page FROM lineitem WHERE l_quantity > 10),
+v AS (SELECT o_orderkey AS version_id, o_custkey % 60 AS cutoff FROM orders), l AS (SELECT v.version_id, max(page) AS last FROM v LEFT JOIN c ON c.version_id = v.version_id AND position < cutoff GROUP BY 1),
+r AS (SELECT l.version_id, last, (SELECT min(p) FROM (SELECT unnest(range(CAST(last AS INTEGER) + 1, 20)) AS p) WHERE p NOT IN (SELECT page FROM g WHERE g.version_id = l.version_id)) AS stop FROM l)
+SELECT version_id, CAST(coalesce(stop - 1, last, 99) AS INTEGER) AS page FROM r""")
+def last_contents_page(spark, d):
+    li = read_table(spark, d, "lineitem")
+    c = li.where("l_linenumber % 2 = 1").select(F.col("l_orderkey").alias("version_id"), (F.col("l_linenumber") * 10).alias("position"), F.col("l_linenumber").alias("page"))
+    cut = read_table(spark, d, "orders").select(F.col("o_orderkey").alias("version_id"), (F.col("o_custkey") % 60).alias("cutoff"), F.lit(99).alias("fallback"))
+    more = li.where("l_quantity > 10").select(F.col("l_orderkey").alias("version_id"), F.col("l_linenumber").alias("page"))
+    return toc.last_toc_page(c, cut, more).select("version_id", F.col("page").cast("int").alias("page"))
+
+
+@query("""SELECT l_orderkey, l_linenumber, row_number() OVER (PARTITION BY l_orderkey ORDER BY CASE WHEN l_suppkey % 5 = 4 THEN 9999 ELSE l_suppkey % 5 END, CASE WHEN l_suppkey % 5 = 4 THEN 0 ELSE l_discount END, CASE WHEN l_suppkey % 5 = 4 THEN 0 ELSE l_tax END, l_linenumber * 1000000 + l_partkey) AS place FROM lineitem""")
+def reading_order(spark, d):
+    from pyspark.sql import Window
+
+    page = F.col("l_suppkey") % 5
+    box = F.when(page != 4, F.struct(page.alias("page"), F.col("l_discount").alias("top"), F.col("l_tax").alias("left")))
+    c = read_table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", box.alias("box"), (F.col("l_linenumber") * 1000000 + F.col("l_partkey")).alias("id"))
+    place = F.row_number().over(Window.partitionBy("l_orderkey").orderBy(*positions.reading_order(c)))
+    return c.select("l_orderkey", "l_linenumber", place.cast("long").alias("place"))

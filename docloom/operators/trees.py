@@ -149,3 +149,61 @@ def rising_anchors(anchors: DataFrame, strict: bool = False) -> DataFrame:
 
     a = anchors.select("version_id", "idx", "position")
     return a.groupBy("version_id").applyInPandas(run, a.schema)
+
+
+def dotted_paths(rows: DataFrame) -> DataFrame:
+    """``dotted``: the sibling numbers from the root down, 1.2.3. rows: version_id, path (array of positions), pos.
+
+    A node's number among its siblings is one window; the numbers on its way down come by joins on the ways up, without a step for each level.
+    """
+    parent = F.when(F.size("path") > 1, F.slice("path", 1, F.size("path") - 1)).otherwise(F.array().cast("array<int>"))
+    number = F.row_number().over(Window.partitionBy("version_id", parent).orderBy("pos"))
+    numbers = rows.select("version_id", F.col("path").alias("above"), number.alias("number"))
+    ways = closure(rows).join(numbers, ["version_id", "above"])
+    dotted = ways.groupBy("version_id", F.col("node").alias("path")).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(-F.col("distance"), F.col("number")))), lambda x: x["number"].cast("string")), ".").alias("dotted"))
+    return rows.join(dotted, ["version_id", "path"])
+
+
+def tree_order(rows: DataFrame) -> DataFrame:
+    """``order``: places in pre-order, from 0. rows: version_id, dotted (or null, which comes last), order_index, section_id."""
+    key = F.transform(F.split(F.coalesce("dotted", F.lit("")), r"\."), lambda x: F.coalesce(x.try_cast("int"), F.lit(1_000_000_000)))
+    w = Window.partitionBy("version_id").orderBy(key, F.col("order_index").asc_nulls_last(), "section_id")
+    return rows.withColumn("order", F.row_number().over(w) - 1)
+
+
+def empty_leaves(rows: DataFrame, assets: DataFrame) -> DataFrame:
+    """Sections (version_id, section_id, parent_id, content) with neither children, nor text, nor an asset (version_id, section_id, image_url) with an address."""
+    parents = rows.select("version_id", F.col("parent_id").alias("section_id")).where("section_id is not null").distinct()
+    shown = assets.where("trim(coalesce(image_url, '')) <> ''").select("version_id", "section_id").distinct()
+    bare = rows.where(~F.coalesce("content", F.lit("")).rlike(r"\S"))
+    return bare.join(parents, ["version_id", "section_id"], "left_anti").join(shown, ["version_id", "section_id"], "left_anti")
+
+
+def nested(nodes: DataFrame, depth: int = 4) -> DataFrame:
+    """(version_id, children): trees as nested arrays of structs of title and children, in the order of idx, ``depth`` levels deep.
+
+    nodes: version_id, idx, path (array of positions), title. The deepest level is built first; one grouping for each level.
+    """
+    up = F.slice("path", 1, F.size("path") - 1)
+    below = None
+    for level in range(depth, 0, -1):
+        own = nodes.where(F.size("path") == level).select("version_id", "idx", "path", "title")
+        if below is None:
+            own = own.withColumn("node", F.struct("idx", "title"))
+        else:
+            kind = below.schema["children"].dataType
+            own = own.join(below, ["version_id", "path"], "left").withColumn("node", F.struct("idx", "title", F.coalesce("children", F.array().cast(kind)).alias("children")))
+        below = own.groupBy("version_id", (up if level > 1 else F.array().cast("array<int>")).alias("path")).agg(F.sort_array(F.collect_list("node")).alias("children"))
+    return below.select("version_id", "children")
+
+
+def first_mode(rows: DataFrame, key: str, value: str, order: str) -> DataFrame:
+    """The most frequent value of each key; of several the one that comes first in order."""
+    counts = rows.groupBy(key, value).agg(F.count("*").alias("n"), F.min(order).alias("first"))
+    return counts.groupBy(key).agg(F.max_by(value, F.struct("n", -F.col("first"))).alias(value))
+
+
+def last_of_key(nodes: DataFrame, chunks: DataFrame) -> DataFrame:
+    """Nodes (title_key, page) with the content of the last chunk (title_key, page, pos, content) of the same title and page; empty without one."""
+    last = chunks.groupBy("title_key", "page").agg(F.max_by("content", "pos").alias("content"))
+    return nodes.join(last, ["title_key", "page"], "left").withColumn("content", F.coalesce("content", F.lit("")))

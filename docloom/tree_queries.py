@@ -107,3 +107,51 @@ def assets_without_place(spark, d):
 def table_cells(spark, d):
     html = F.concat(F.lit("<table><tr><th>Region</th><th colspan='2'>Key</th></tr><tr><td><b>"), "r_name", F.lit("</b></td><td>"), F.col("r_regionkey").cast("string"), F.lit("</td></tr></table>"))
     return markup.html_cells(read_table(spark, d, "region").select("r_regionkey", html.alias("html")), "r_regionkey", "html")
+
+
+_DOTTED = f"""{_UP}, sib AS (SELECT version_id, pos, CAST(CASE WHEN pos = 0 THEN 1 ELSE (pos - 1) % 3 + 1 END AS VARCHAR) AS number FROM sections),
+dot AS (SELECT up.version_id, up.node AS pos, string_agg(sib.number, '.' ORDER BY up.d DESC) AS dotted FROM up JOIN sib ON sib.version_id = up.version_id AND sib.pos = up.above GROUP BY 1, 2)"""
+
+
+@query(f"WITH RECURSIVE {_DOTTED} SELECT version_id, pos, dotted FROM dot")
+def dotted_paths(spark, d):
+    return trees.dotted_paths(roles.section_paths(spark, d)).select("version_id", "pos", "dotted")
+
+
+@query(f"""WITH RECURSIVE {_DOTTED} SELECT version_id, pos, row_number() OVER (PARTITION BY version_id ORDER BY CASE WHEN pos % 9 = 8 THEN [1000000000] ELSE list_transform(string_split(dotted, '.'), lambda x: CAST(x AS INTEGER)) END, pos) - 1 AS "order" FROM dot""")
+def tree_order(spark, d):
+    s = trees.dotted_paths(roles.section_paths(spark, d)).select("version_id", F.col("pos").alias("section_id"), F.when(F.col("pos") % 9 != 8, F.col("dotted")).alias("dotted"), F.lit(None).cast("int").alias("order_index"))
+    return trees.tree_order(s).select("version_id", F.col("section_id").alias("pos"), F.col("order").cast("long").alias("order"))
+
+
+@query(f"WITH {_SECTIONS}, m AS (SELECT version_id, max(pos) AS last FROM sections GROUP BY 1) SELECT s.version_id, pos FROM sections s JOIN m ON m.version_id = s.version_id WHERE pos * 3 + 1 > last AND pos % 2 = 0 AND pos % 4 <> 0")
+def empty_leaves(spark, d):
+    s = roles.sections(spark, d).select("version_id", F.col("pos").alias("section_id"), F.col("parent_pos").alias("parent_id"), F.when(F.col("pos") % 2 == 0, " \n").otherwise("x").alias("content"))
+    assets = s.select("version_id", "section_id", F.when(F.col("section_id") % 4 == 0, "u").otherwise(" ").alias("image_url"))
+    return trees.empty_leaves(s, assets).select("version_id", F.col("section_id").alias("pos"))
+
+
+@query(f"WITH {_SECTIONS} SELECT version_id, count(*) AS n_nodes FROM sections WHERE pos < 13 GROUP BY version_id")
+def nested_trees(spark, d):
+    s = roles.section_paths(spark, d).select("version_id", F.col("pos").alias("idx"), "path", F.col("content").alias("title"))
+    count = F.aggregate("children", F.lit(0), lambda n, x: n + 1 + F.aggregate(x["children"], F.lit(0), lambda m, y: m + 1 + F.size(y["children"])))
+    return trees.nested(s, 3).select("version_id", count.cast("long").alias("n_nodes"))
+
+
+@query("SELECT l_orderkey, CAST(arg_max(q, n * 1000 - first) AS INTEGER) AS size FROM (SELECT l_orderkey, CAST(l_quantity AS INTEGER) % 3 AS q, count(*) AS n, min(l_linenumber * 3 + CAST(l_quantity AS INTEGER) % 3) AS first FROM lineitem GROUP BY 1, 2) GROUP BY l_orderkey")
+def font_modes(spark, d):
+    li = read_table(spark, d, "lineitem").select("l_orderkey", (F.col("l_quantity").cast("int") % 3).alias("size"), "l_linenumber")
+    # equal line numbers of one order make equal first places, so the larger size would be taken by chance
+    return trees.first_mode(li.withColumn("place", F.col("l_linenumber") * 3 + F.col("size")), "l_orderkey", "size", "place")
+
+
+@query("""WITH c AS (SELECT lower(p_name) AS k, p_size AS page, p_partkey AS pos, p_brand AS content FROM part), l AS (SELECT k, page, arg_max(content, pos) AS content FROM c GROUP BY 1, 2)
+SELECT p_partkey, coalesce(content, '') AS content FROM part LEFT JOIN l ON k = lower(p_name) AND page = p_size + p_partkey % 2""")
+def contents_by_title(spark, d):
+    from docloom.functions.outline import outline_key
+
+    p = read_table(spark, d, "part")
+    key = outline_key(F.concat(F.lit(" "), F.replace("p_name", F.lit(" "), F.lit("\t "))))
+    chunks = p.select(key.alias("title_key"), F.col("p_size").alias("page"), F.col("p_partkey").alias("pos"), F.col("p_brand").alias("content"))
+    nodes = p.select("p_partkey", key.alias("title_key"), (F.col("p_size") + F.col("p_partkey") % 2).alias("page"))
+    return trees.last_of_key(nodes, chunks).select("p_partkey", "content")
