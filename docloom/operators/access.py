@@ -71,12 +71,12 @@ def visible_chain(users: DataFrame, of: DataFrame | None = None) -> tuple[DataFr
 def visible_owners(users: DataFrame, of: DataFrame | None = None) -> DataFrame:
     """(user_id, owner_id) of all owners that users see, ``visible_chain`` with the administrators written out.
 
-    The administrators are one row, an array, beside each user that sees them; they are few. A query about guidelines
-    should test the owner's role instead, as the listing does.
+    The administrators are one array, a subquery's, beside each user that sees them. A query about guidelines should test
+    the owner's role instead, as the listing does.
     """
     own, sharing = visible_chain(users, of)
     admins = users.where(F.col("role") == ADMIN).agg(F.collect_set("user_id").alias("admins"))
-    return own.union(sharing.join(F.broadcast(admins)).select("user_id", F.explode("admins"))).distinct()
+    return own.union(sharing.select("user_id", F.explode(admins.scalar()))).distinct()
 
 
 def station_scope(users: DataFrame, of: DataFrame | None = None) -> DataFrame:

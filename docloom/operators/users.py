@@ -68,7 +68,7 @@ def create_users(users: DataFrame, requests: DataFrame, creator_id: int) -> tupl
     r = r.withColumn("problem", F.coalesce("problem", F.when(F.col("taken") | (F.col("n") > 1), "e-mail taken"))).drop("taken", "n")
     top = users.agg(F.coalesce(F.max("user_id"), F.lit(0)).alias("top"))
     number = F.row_number().over(Window.orderBy("row"))
-    new = r.where("problem is null").withColumn("k", number).join(F.broadcast(top)).withColumn("user_id", F.col("top") + F.col("k"))
+    new = r.where("problem is null").withColumn("user_id", top.scalar() + number)
     new = new.withColumn("created_by", F.lit(creator_id).cast("long"))
     return users.unionByName(new.select(*[c for c in users.columns if c in new.columns]), allowMissingColumns=True), r.where("problem is not null")
 

@@ -69,7 +69,7 @@ def list_guidelines(guidelines: DataFrame, versions: DataFrame, users: DataFrame
     """
     check_page(page, page_size)
     all_rows = visible_guidelines(guidelines, users, user_id, user_role, search, owner_id, **columns)
-    rows = page_of(all_rows, [F.col("guideline_id").desc()], page, page_size).crossJoin(total(all_rows))
+    rows = page_of(all_rows, [F.col("guideline_id").desc()], page, page_size).withColumn("total", total(all_rows).scalar())
     roles = users.select(F.col("user_id").alias("owner_id"), F.col("role").alias("owner_role"))
     rows = rows.join(roles, "owner_id", "left").withColumn("scope", access_scope(F.col("owner_id"), F.col("owner_role"), user_id, user_role))
     latest = active_versions(versions.join(rows.select("guideline_id"), "guideline_id", "left_semi"), active)
