@@ -30,15 +30,20 @@ def by_class(labels: DataFrame, id_col: str, class_col: str, per_class: int) ->
     return labels.where(u < share), counts
 
 
-def labelled_texts(docs: DataFrame, labels: DataFrame, label_col: str, per_class: int, id_col: str = "doc_id", text_col: str = "text") -> tuple[pa.Array, np.ndarray, dict]:
+#: Bytes of the longest text that a sample may hold, so that its rows bound its bytes too.
+LONGEST = 1 << 20
+
+
+def labelled_texts(docs: DataFrame, labels: DataFrame, label_col: str, per_class: int, id_col: str = "doc_id", text_col: str = "text", longest: int = LONGEST) -> tuple[pa.Array, np.ndarray, dict]:
     """Texts and 0/1 labels of a bounded sample of the rows of ``labels``, in the order of a hash.
 
-    Only rows whose label is 0 or 1 and whose document is there count; ``labels`` should hold training rows alone.
+    Only rows whose label is 0 or 1 and whose document is there count; ``labels`` should hold training rows alone. Texts over
+    ``longest`` bytes teach nothing.
     """
     labels = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y")).where("id is not null and y in (0, 1)")
     sample, counts = by_class(labels, "id", "y", per_class)
     # the sample is bounded by its parameter, so it may be sent to every executor
-    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where(F.coalesce(F.octet_length("text"), F.lit(0)) <= longest)
     found = texts.join(F.broadcast(sample), "id").select(F.xxhash64("id", "text").alias("h"), "text", "y").toArrow().sort_by([("h", "ascending"), ("y", "ascending")]).combine_chunks()
     text = found.column("text").combine_chunks() if found.num_rows else pa.array([], pa.string())
     return text, found.column("y").to_numpy().astype(np.int64), counts

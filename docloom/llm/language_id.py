@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from docloom.llm._sample import by_class
+from docloom.llm._sample import LONGEST, by_class
 from docloom.llm._text import Words, small_batches, steps, whole_row, with_rest
 
 #: Words up to so many bytes are segmented together with others of equal length; longer ones place by place, in logs.
@@ -258,15 +258,15 @@ def fit(texts: pa.Array, langs: list[str], pieces: list[bytes], prior: dict[str,
     return LanguageModel(names, p, np.array([np.log(prior.get(n, 1) / total) for n in names]), pieces)
 
 
-def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = 800, vocabulary_path: str | None = None) -> LanguageModel:
+def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = 800, vocabulary_path: str | None = None, longest: int = LONGEST) -> LanguageModel:
     """Fits a model on about ``per_language`` documents of each language of ``docs``, chosen by a hash of their ids from all of them.
 
-    ``docs`` should hold training rows only. Rows with null language or text teach nothing. Priors are the
+    ``docs`` should hold training rows only. Rows with null language or text, or a text over ``longest`` bytes, teach nothing. Priors are the
     numbers of documents of each language among all rows.
     """
     known = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang")).where("lang is not null and text is not null and id is not null")
     sample, counts = by_class(known, "id", "lang", per_language)
-    rows = sample.select(F.xxhash64("id", "text").alias("h"), "text", "lang").toArrow().sort_by([("h", "ascending"), ("lang", "ascending")]).combine_chunks()
+    rows = sample.where(F.octet_length("text") <= longest).select(F.xxhash64("id", "text").alias("h"), "text", "lang").toArrow().sort_by([("h", "ascending"), ("lang", "ascending")]).combine_chunks()
     texts = rows.column("text").combine_chunks() if rows.num_rows else pa.array([], pa.string())
     return fit(texts, rows.column("lang").to_pylist(), public_pieces(vocabulary_path), counts)
 
