@@ -66,9 +66,9 @@ def write_artifacts(rows: DataFrame, path: str) -> None:
 
 
 def write_clean_markdown(texts: DataFrame, path: str) -> None:
-    """Cleaned markdown (stem, text): a folder for each stem."""
+    """Cleaned markdown (stem, text): a folder for each stem; a line feed ends each text."""
     clean = texts.select("stem", clean_markup(F.col("text")).alias("value"))
-    clean.repartition("stem").write.mode("overwrite").option("lineSep", "").partitionBy("stem").text(path)
+    clean.repartition("stem").write.mode("overwrite").partitionBy("stem").text(path)
 
 
 def write_trees(trees: DataFrame, path: str) -> None:
