@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docloom.llm._text import small_batches, steps, text_bytes
+from docloom.llm._text import free_memory, small_batches, steps, text_bytes
 from docloom.session import clean_shuffles, cut_table
 
 #: Bytes of text of a block, at most, and keys of a part, on average.
@@ -140,14 +140,17 @@ class CorpusCounts:
             })
 
         def ask(table: pa.Table) -> pa.Table:
+            free_memory()  # of the block before
             return entries(table.column("block")[0].as_py(), *count(table))
 
         def ask_packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 for block, rows in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                     yield from entries(block, *count(_texts(unpacked(rows.as_py())))).to_batches()
+                    free_memory()
 
         def answer(table: pa.Table) -> pa.Table:
+            free_memory()
             table = table.combine_chunks()
             each = [unpack_sorted(x) for x in table.column("keys").to_pylist()]
             own = [unpack_counts(x) for x in table.column("counts").to_pylist()]
@@ -172,6 +175,7 @@ class CorpusCounts:
         me, whole = self._plain(), self.whole
 
         def both(docs: pa.Table, answers: pa.Table) -> pa.Table:
+            free_memory()
             docs = docs if whole else unpacked(docs.column("rows")[0].as_py())
 
             def totals(keys: np.ndarray, counts: np.ndarray) -> np.ndarray:

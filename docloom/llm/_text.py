@@ -6,6 +6,7 @@ letters and digits, and every byte of a non-ASCII character. Words are known by
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -96,6 +97,16 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
+_TRIM = getattr(ctypes.CDLL(None), "malloc_trim", None)
+
+
+def free_memory() -> None:
+    """Give the system back what is not in use: Python workers are kept for later stages, which share the executor's memory with them."""
+    pa.default_memory_pool().release_unused()
+    if _TRIM is not None:
+        _TRIM(0)
+
+
 def steps(batch: pa.RecordBatch, text: str | int, step_bytes: int = STEP_BYTES) -> Iterator[pa.RecordBatch]:
     """Slices of ``batch`` of about ``step_bytes`` bytes of text each, one row at least."""
     if batch.num_rows == 0:
@@ -107,6 +118,7 @@ def steps(batch: pa.RecordBatch, text: str | int, step_bytes: int = STEP_BYTES)
         to = min(batch.num_rows, max(to, at + 1))
         yield batch.slice(at, to - at)
         at = to
+    free_memory()
 
 
 def small_batches(spark: SparkSession) -> None:
