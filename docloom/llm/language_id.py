@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from docloom.llm._sample import LONGEST, by_class
-from docloom.llm._text import Words, small_batches, steps, whole_row, with_rest
+from docloom.llm._text import Words, free_memory, small_batches, steps, whole_row, with_rest
 
 #: Words up to so many bytes are segmented together with others of equal length; longer ones place by place, in logs.
 SHORT = 32
@@ -268,7 +268,10 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     sample, counts = by_class(known, "id", "lang", per_language)
     rows = sample.where(F.octet_length("text") <= longest).select(F.xxhash64("id", "text").alias("h"), "text", "lang").toArrow().sort_by([("h", "ascending"), ("lang", "ascending")]).combine_chunks()
     texts = rows.column("text").combine_chunks() if rows.num_rows else pa.array([], pa.string())
-    return fit(texts, rows.column("lang").to_pylist(), public_pieces(vocabulary_path), counts)
+    model = fit(texts, rows.column("lang").to_pylist(), public_pieces(vocabulary_path), counts)
+    del rows, texts
+    free_memory()  # the driver lives on
+    return model
 
 
 def _has_letter(texts: pa.Array) -> np.ndarray:

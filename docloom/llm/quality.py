@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docloom.llm._sample import labelled_texts
-from docloom.llm._text import Words, mix, small_batches, steps
+from docloom.llm._text import Words, free_memory, mix, small_batches, steps
 
 #: Words of a passage.
 PASSAGE = 64
@@ -144,7 +144,9 @@ def fit(texts: pa.Array, labels: np.ndarray, counts: dict | None = None, rounds:
 
 def train(docs: DataFrame, labels: DataFrame, label_col: str = "quality", per_class: int = 1500, id_col: str = "doc_id", text_col: str = "text") -> QualityModel:
     """Fits a model on about ``per_class`` labelled documents of each class, chosen by a hash from all rows of ``labels``."""
-    return fit(*labelled_texts(docs, labels, label_col, per_class, id_col, text_col))
+    model = fit(*labelled_texts(docs, labels, label_col, per_class, id_col, text_col))
+    free_memory()  # the driver lives on
+    return model
 
 
 def score_documents(docs: DataFrame, model: QualityModel, id_col: str = "doc_id", text_col: str = "text", attention: bool = False) -> DataFrame:

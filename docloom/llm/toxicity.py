@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docloom.llm._sample import distinct_texts, labelled_texts
-from docloom.llm._text import Words, mix, small_batches, span_hashes, steps
+from docloom.llm._text import Words, free_memory, mix, small_batches, span_hashes, steps
 
 #: Words of a block. A text is one chain whatever its length; its blocks are walked side by side.
 BLOCK = 64
@@ -237,7 +237,9 @@ def fit(texts: pa.Array, labels: np.ndarray, counts: dict | None = None) -> Toxi
 
 def train(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", per_class: int = 1500, id_col: str = "doc_id", text_col: str = "text") -> ToxicityModel:
     """Fits a model on about ``per_class`` labelled documents of each class, chosen by a hash from all rows of ``labels``."""
-    return fit(*labelled_texts(docs, labels, label_col, per_class, id_col, text_col))
+    model = fit(*labelled_texts(docs, labels, label_col, per_class, id_col, text_col))
+    free_memory()  # the driver lives on
+    return model
 
 
 def score_documents(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id", text_col: str = "text", spans: bool = False, span_threshold: float = 0.5) -> DataFrame:
