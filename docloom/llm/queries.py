@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docloom.llm import decontaminate, language_id, line_dedup, lm_scoring, minhash_dedup, packing, quality, token_counts, topk_search, toxicity
+from docloom.llm import decontaminate, fill_in_middle, importance_resampling, language_id, line_dedup, lm_scoring, minhash_dedup, packing, quality, simhash_dedup, token_counts, topk_search, toxicity
 from docloom.llm._sample import id_remainder
 from docloom.session import read_table
 
@@ -68,8 +68,23 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(read_table(spark, sf_dir, "documents"), limit=1024)
 
 
+def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = importance_resampling.score_documents(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"), buckets=10_000)
+    return importance_resampling.resample(scored, min_words=20, percent=10).select("doc_id", "n_features", "weight", "score", "rank")
+
+
+def op12_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_dedup.near_duplicates(read_table(spark, sf_dir, "documents"), radius=2)
+
+
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = fill_in_middle.transform(read_table(spark, sf_dir, "documents"), seed="1:")
+    digest = {"output_sha256": F.sha2(F.col("output").cast("binary"), 256), "restored_sha256": F.sha2(fill_in_middle.restored(F.col("output"), F.col("form")).cast("binary"), 256)}
+    return cut.withColumns(digest).drop("output")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_lm_scoring, op1_lm_scoring_bigrams, op2_topk_search, op3_decontamination, op4_toxicity, op5_packing, op6_quality, op7_minhash_dedup, op8_line_dedup, op9_language_id, op10_token_counts)
+    f.__name__: f for f in (op1_lm_scoring, op1_lm_scoring_bigrams, op2_topk_search, op3_decontamination, op4_toxicity, op5_packing, op6_quality, op7_minhash_dedup, op8_line_dedup, op9_language_id, op10_token_counts, op11_importance_resampling, op12_simhash_dedup, op13_fill_in_middle)
 }
 
 _DOC_WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
@@ -119,4 +134,27 @@ it AS (SELECT doc_id, count(*) AS n_items, string_agg(x, ',' ORDER BY x) AS ids
 SELECT d.doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
        sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM d LEFT JOIN h ON h.doc_id = d.doc_id LEFT JOIN it ON it.doc_id = d.doc_id""",
+    "op11_importance_resampling": rf"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_DOC_WORDS} AS words FROM documents), b AS (SELECT {_DOC_WORDS} AS words FROM benchmark),
+dw AS (SELECT r, unnest(words) AS w FROM d), bw AS (SELECT unnest(words) AS w FROM b),
+crc AS (SELECT list_transform(range(256), lambda i: list_reduce([0, 0, 0, 0, 0, 0, 0, 0], lambda c, x: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, i)) AS tab),
+v AS (SELECT w, hex(encode(w)) AS h FROM (SELECT w FROM dw UNION SELECT w FROM bw)),
+f AS (SELECT w, xor(list_reduce(list_transform(range(0, len(h) // 2), lambda i: CAST('0x' || substr(h, 2 * i + 1, 2) AS BIGINT)), lambda c, x: xor(c >> 8, tab[(xor(c, x) & 255) + 1]), CAST(4294967295 AS BIGINT)), 4294967295) % 10000 AS k FROM v, crc),
+s AS (SELECT k, count(*) AS s FROM dw JOIN f USING (w) GROUP BY k), t AS (SELECT k, count(*) AS t FROM bw JOIN f USING (w) GROUP BY k),
+n AS (SELECT (SELECT count(*) FROM dw) AS s, (SELECT count(*) FROM bw) AS t),
+g AS (SELECT s.k, CAST(floor(1000 * ln(CAST(coalesce(t.t, 0) + 1 AS DOUBLE) * (n.s + 10000) / (CAST(s.s + 1 AS DOUBLE) * (n.t + 10000)))) AS BIGINT) AS gain FROM s LEFT JOIN t ON t.k = s.k, n),
+w AS (SELECT r, CAST(sum(gain) AS BIGINT) AS weight FROM dw JOIN f USING (w) JOIN g USING (k) GROUP BY r),
+x AS (SELECT doc_id, CAST(len(words) AS BIGINT) AS n_features, coalesce(weight, 0) AS weight, CAST('0x' || substr(sha256('2024:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 8) AS BIGINT) AS h FROM d LEFT JOIN w ON w.r = d.r),
+y AS (SELECT doc_id, n_features, weight, weight + CAST(floor(-1000 * ln(-ln((h + 0.5) / CAST(4294967296 AS DOUBLE)))) AS BIGINT) AS score FROM x),
+z AS (SELECT *, row_number() OVER (PARTITION BY n_features >= 20 ORDER BY score DESC, doc_id) AS place, count(*) OVER (PARTITION BY n_features >= 20) AS n FROM y)
+SELECT doc_id, n_features, weight, score, CASE WHEN n_features >= 20 AND place <= 10 * n // 100 THEN place END AS rank FROM z""",
+    "op13_fill_in_middle": r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[A-Za-z]+|[^A-Za-z]') AS u, sha256('1:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS x FROM documents),
+h AS (SELECT doc_id, text, u, CAST(len(u) AS BIGINT) AS n, list_transform([1, 9, 17, 25], lambda i: CAST('0x' || substr(x, i, 8) AS BIGINT)) AS h FROM d),
+c AS (SELECT *, least(h[1] % (n + 1), h[2] % (n + 1)) AS a, greatest(h[1] % (n + 1), h[2] % (n + 1)) AS b,
+      CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR h[3] % 100 >= 90 THEN 'plain' WHEN h[4] % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM h),
+p AS (SELECT *, array_to_string(u[1 : a], '') AS p, array_to_string(u[a + 1 : b], '') AS m, array_to_string(u[b + 1 : n], '') AS s FROM c)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(p) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(m) END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256,
+       sha256(p || m || s) AS restored_sha256 FROM p""",
 }
