@@ -62,7 +62,7 @@ def _local_tuples(codes: np.ndarray, sizes: np.ndarray, n: int) -> tuple[np.ndar
     at = np.flatnonzero(doc[: len(doc) - n + 1] == doc[n - 1 :]) if len(doc) >= n else np.zeros(0, np.int64)
     key = codes[at].astype(np.uint64)
     for k in range(1, n):  # pairs of a number and a number of a word, told apart step by step
-        _, key = np.unique(key * np.uint64(int(codes.max()) + 1) + codes[at + k], return_inverse=True)
+        _, key = np.unique(key * np.uint64(int(codes.max(initial=0)) + 1) + codes[at + k], return_inverse=True)
         key = key.astype(np.uint64)
     _, first, which = np.unique(key, return_index=True, return_inverse=True)
     return codes[at[first][:, None] + np.arange(n)] if len(at) else np.zeros((0, n), np.int64), which, doc[at]

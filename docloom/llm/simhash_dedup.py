@@ -138,23 +138,22 @@ def near_links(values: DataFrame, radius: int = 2, members: int = MEMBERS) -> Da
     leaves fewer bits that can differ, until no bucket can hold more than ``members`` values. So values move a bounded number of
     times, no bucket is cut short, and no pair in reach is lost.
     """
-    n = (1 << (radius + 1)) - 1
+    spark = values.sparkSession
     live = values.select(F.lit("").alias("path"), F.lit(0).cast("long").alias("fixed"), F.col("fp"))
     paths = {"": list(range(BITS))}
     found = None
     while paths:
-        # masks by path: a path names the masks taken so far
+        # masks by path, which names the masks taken so far: n ** level rows at most
         table = {f"{p}{v:02d}": mask for p, free in paths.items() for v, mask in enumerate(covering_masks(free, radius))}
-        masks = F.create_map(*(x for p in paths for x in (F.lit(p), F.array(*(F.struct(F.lit(f"{p}{v:02d}").alias("path"), F.lit(_signed(table[f"{p}{v:02d}"])).alias("mask")) for v in range(n))))))
-        dealt = live.select("fp", "fixed", F.explode(masks[F.col("path")]).alias("m"))
-        dealt = dealt.select(F.col("m.path").alias("path"), F.col("fixed").bitwiseOR(F.col("fp").bitwiseAND(F.col("m.mask"))).alias("fixed"), "fp")
+        masks = spark.createDataFrame([(k[:-2], k, _signed(mask)) for k, mask in table.items()], "path string, next string, mask long")
+        dealt = live.join(F.broadcast(masks), "path").select(F.col("next").alias("path"), F.col("fixed").bitwiseOR(F.col("fp").bitwiseAND(F.col("mask"))).alias("fixed"), "fp")
         sizes = dealt.groupBy("path", "fixed").agg(F.count("*").alias("size")).where("size > 1")
         shared = cut_table(dealt.join(sizes, ["path", "fixed"]))
         groups = shared.where(F.col("size") <= members).groupBy("path", "fixed").agg(F.collect_list("fp").alias("fps")).select("fps")
         links = cut(groups.mapInArrow(_link_members(radius), "a long, b long").distinct())
         found = links if found is None else found.union(links)
         live = shared.where(F.col("size") > members).select("path", "fixed", "fp")
-        open_ = [r[0] for r in live.select("path").distinct().collect()]  # n ** level names at most
+        open_ = [r[0] for r in live.select("path").distinct().collect()]
         paths = {p: [b for b in paths[p[:-2]] if not table[p] >> b & 1] for p in open_}
     return found
 
