@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docloom.llm._counts import expand, squeeze
+from docloom.llm._counts import pack_counts, unpack_counts
 from docloom.llm._text import Words, free_memory, small_batches, span_strings, steps, text_bytes
 from docloom.session import clean_shuffles, cut_table
 
@@ -21,12 +21,18 @@ _BLOCK = "target boolean, ids array<{kind}>, sizes array<int>, words array<strin
 
 
 def _numbered(rows: list[pa.RecordBatch], schema: pa.Schema) -> pa.RecordBatch:
-    """One row: the ids of documents, their numbers of words, the distinct words, how often each occurs, and the text as numbers of words."""
+    """One row: the ids of documents, their numbers of words, the distinct words, how often each occurs, and the text as numbers of words.
+
+    Frequent words have small numbers, which makes the text as numbers about half as large as its own bytes compressed.
+    """
     texts = pa.concat_arrays([r.column(2).cast(pa.large_string()) for r in rows])
     w = Words(texts)
-    _, first, which = np.unique(w.hash, return_index=True, return_inverse=True)
-    words = span_strings(w.data, w.start[first], w.end[first])
-    row = [rows[0].column(0)[:1], [pa.concat_arrays([r.column(1) for r in rows]).to_pylist()], [w.counts.tolist()], [words], [np.bincount(which, minlength=len(words)).tolist()], [squeeze(which.astype("<u4").tobytes())]]
+    _, first, which, counts = np.unique(w.hash, return_index=True, return_inverse=True, return_counts=True)
+    order = np.argsort(-counts, kind="stable")
+    number = np.empty(len(order), dtype=np.int64)
+    number[order] = np.arange(len(order))
+    words = span_strings(w.data, w.start[first[order]], w.end[first[order]])
+    row = [rows[0].column(0)[:1], [pa.concat_arrays([r.column(1) for r in rows]).to_pylist()], [w.counts.tolist()], [words], [counts[order].tolist()], [pack_counts(number[which])]]
     return pa.RecordBatch.from_arrays([pa.array(x, f.type) if isinstance(x, list) else x for x, f in zip(row, schema, strict=True)], schema=schema)
 
 
@@ -69,7 +75,7 @@ def _local_tuples(codes: np.ndarray, sizes: np.ndarray, n: int) -> tuple[np.ndar
 
 
 def _codes(row: dict) -> tuple[np.ndarray, np.ndarray]:
-    return np.frombuffer(expand(row["codes"]), "<u4").astype(np.int64), np.array(row["sizes"], dtype=np.int64)
+    return unpack_counts(row["codes"]).astype(np.int64), np.array(row["sizes"], dtype=np.int64)
 
 
 def score_documents(docs: DataFrame, target: DataFrame, min_n: int = 1, max_n: int = 1, buckets: int = 10_000, seed: str = "2024:", id_col: str = "doc_id", text_col: str = "text", target_text_col: str = "text") -> DataFrame:
@@ -120,22 +126,27 @@ def score_documents(docs: DataFrame, target: DataFrame, min_n: int = 1, max_n: i
         back.append(grams.where("not target").join(gain_of, "gram").select("block", F.size("gram").alias("size"), "k", "gain"))
     back = back[0] if len(back) == 1 else back[0].unionAll(back[1])
 
-    def weigh(left: pa.Table, right: pa.Table) -> pa.Table:
-        free_memory()
-        row = left.to_pylist()[0]
-        codes, sizes = _codes(row)
-        size, k, gain = (right.column(c).to_numpy() for c in ("size", "k", "gain"))
-        weight = np.zeros(len(sizes), dtype=np.int64)
-        for n in range(min_n, max_n + 1):
-            which, doc = (codes, np.repeat(np.arange(len(sizes)), sizes)) if n == 1 else _local_tuples(codes, sizes, n)[1:]
-            of = np.zeros(int(which.max(initial=-1)) + 1, dtype=np.int64)
-            of[k[size == n]] = gain[size == n]
-            weight += np.bincount(doc, weights=of[which], minlength=len(sizes)).astype(np.int64)
-        features = sum(np.maximum(sizes - n + 1, 0) for n in range(min_n, max_n + 1))
-        return pa.table({"id": pa.array(row["ids"], left.schema.field("ids").type.value_type), "n_words": sizes, "n_features": features, "weight": weight})
+    # the gains of a block's distinct runs in the order of its own numbers; a table, so that what was joined leaves the disk
+    back = back.groupBy("block").agg(F.sort_array(F.collect_list(F.struct("size", "k", "gain"))).alias("x")).select(F.col("block").alias("of"), F.col("x.gain").alias("gains"))
+    back = cut_table(back)
+
+    def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in (batch.slice(k, 1).to_pylist()[0] for k in range(batch.num_rows)):
+                codes, sizes = _codes(row)
+                gains, at, weight = np.array(row["gains"] or [], dtype=np.int64), 0, np.zeros(len(sizes), dtype=np.int64)
+                for n in range(min_n, max_n + 1):
+                    which, doc = (codes, np.repeat(np.arange(len(sizes)), sizes)) if n == 1 else _local_tuples(codes, sizes, n)[1:]
+                    own = int(which.max(initial=-1)) + 1
+                    weight += np.bincount(doc, weights=gains[at : at + own][which], minlength=len(sizes)).astype(np.int64)
+                    at += own
+                features = sum(np.maximum(sizes - n + 1, 0) for n in range(min_n, max_n + 1))
+                yield pa.RecordBatch.from_arrays([pa.array(row["ids"], batch.schema.field("ids").type.value_type), pa.array(sizes), pa.array(features), pa.array(weight)], names=["id", "n_words", "n_features", "weight"])
+                free_memory()
 
     kind = docs.schema[id_col].dataType.simpleString()
-    weighed = blocks.where("not target").select("block", "ids", "sizes", "codes").groupBy("block").cogroup(back.groupBy("block")).applyInArrow(weigh, f"id {kind}, n_words long, n_features long, weight long")
+    both = blocks.where("not target").select("block", "ids", "sizes", "codes").join(back, F.col("block") == F.col("of"), "left").select("ids", "sizes", "codes", "gains")
+    weighed = both.mapInArrow(weigh, f"id {kind}, n_words long, n_features long, weight long")
     digest = F.sha2(F.concat(F.lit(seed), F.coalesce(F.col("id").cast("string"), F.lit(""))).cast("binary"), 256)
     u = (F.conv(F.substring(digest, 1, 8), 16, 10).cast("double") + 0.5) / 4294967296.0
     return weighed.select(F.col("id").alias(id_col), "n_words", "n_features", "weight", (F.col("weight") + F.floor(F.log(-F.log(u)) * -1000)).alias("score"))
