@@ -12,6 +12,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import StructType
 
 from docloom.llm._text import Words, small_batches, steps, whole_row, with_rest
+from docloom.session import cut_table
 
 #: ASCII letters in lower case; other ASCII characters that are in no word become spaces.
 _NORMAL = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
@@ -26,64 +27,81 @@ def _key(words: list[bytes]) -> str:
     return (b" " + b" ".join(words) + b" ").decode("latin-1")
 
 
-#: Bytes of benchmark text that every executor may be sent.
-MAX_ITEM_BYTES = 256 << 20
+#: Bytes of items that one automaton holds; more are looked for part by part, one scan of the texts for each.
+PART_BYTES = 8 << 20
 
 
 class Index:
-    """One automaton over all items: as large as their texts.
+    """One automaton over all items, and their windows.
 
     Its patterns are the blocks of ``width`` // 2 words that an item is made of from its first word on, and all words of
-    an item shorter than ``width``. Every ``width`` words in a row of an item hold a whole block; so a hit that is
-    followed up on both sides finds each run of words that a text shares with an item.
+    an item shorter than ``width``. Every window of an item holds a whole block in its first words; so where a text has a block,
+    the few windows that can hold it there are looked up by their words. A place of a text is looked up once, and
+    a window that a text has shown before adds nothing, so texts and items of any repetition take steps in proportion to the text.
     """
 
     def __init__(self, items: list[tuple], width: int):
         import ahocorasick
 
-        self.width, self.items, places = width, [(i, normal_words(text)) for i, text in items], {}
-        size = max(1, width // 2)
-        for k, (_, words) in enumerate(self.items):
+        self.width, self.size = width, max(1, width // 2)
+        #: items by the words of each window, a number or a list of them
+        self.windows: dict[bytes, int | list[int]] = {}
+        self.ids, patterns = [i for i, _ in items], {}
+        for k, (_, text) in enumerate(items):
+            words = normal_words(text)
             if 0 < len(words) < width:
-                places.setdefault(_key(words), []).append((k, 0, len(words)))
-            elif words:
-                for at in range(0, len(words) - size + 1, size):
-                    places.setdefault(_key(words[at : at + size]), []).append((k, at, size))
+                patterns[_key(words)] = True
+                self._add(b" ".join(words), k)
+            for at in range(0, len(words) - self.size + 1, self.size) if len(words) >= width else ():
+                patterns.setdefault(_key(words[at : at + self.size]), False)
+            for at in range(len(words) - width + 1):
+                self._add(b" ".join(words[at : at + width]), k)
         self.automaton = ahocorasick.Automaton()
-        for key, found in places.items():
-            self.automaton.add_word(key, (len(key), found))
-        if places:
+        for key, whole in patterns.items():
+            self.automaton.add_word(key, (len(key), whole))
+        if patterns:
             self.automaton.make_automaton()
 
+    def _add(self, window: bytes, k: int) -> None:
+        known = self.windows.setdefault(window, k)
+        if isinstance(known, list):
+            if known[-1] != k:
+                known.append(k)
+        elif known != k:
+            self.windows[window] = [known, k]
+
     def find(self, words: list[bytes]) -> tuple[list[tuple[int, int]], list]:
         """Merged ranges of words (first, and the one behind the last) inside windows, and the ids of their items."""
         if not words or not len(self.automaton):
             return [], []
         key = _key(words)
-        hits = list(self.automaton.iter(key))
+        hits = [(end - n + 1, end, whole) for end, (n, whole) in self.automaton.iter(key)]
         if not hits:
             return [], []
-        spaces = np.flatnonzero(np.frombuffer(key.encode("latin-1"), np.uint8) == 32)
-        firsts = np.searchsorted(spaces, np.array([end for end, _ in hits]) - np.array([n for _, (n, _) in hits]) + 1).tolist()
-        reached: dict[tuple[int, int], int] = {}
-        ranges, found = [], set()
-        for first, (_, (_, places)) in zip(firsts, hits, strict=True):
-            for k, at, size in places:
-                item, own = self.items[k]
-                if reached.get((k, first - at), -1) > first:
-                    continue
-                left, right = 0, size
-                if len(own) >= self.width:
-                    most = min(first, at)
-                    while left < most and words[first - left - 1] == own[at - left - 1]:
-                        left += 1
-                    most = min(len(words) - first, len(own) - at)
-                    while right < most and words[first + right] == own[at + right]:
-                        right += 1
-                reached[k, first - at] = first + right
-                if left + right >= min(self.width, len(own)):
-                    ranges.append((first - left, first + right))
-                    found.add(item)
+        raw = key.encode("latin-1")
+        spaces = np.flatnonzero(np.frombuffer(raw, np.uint8) == 32)
+        firsts, lasts = (np.searchsorted(spaces, np.array([h[j] for h in hits])).tolist() for j in (0, 1))
+        spaces = spaces.tolist()
+        tried, seen = bytearray(len(words)), set()
+        ranges: list[tuple[int, int]] = []
+
+        def look(first: int, last: int) -> None:
+            window = raw[spaces[first] + 1 : spaces[last]]
+            if window in self.windows:
+                seen.add(window)
+                ranges.append((first, last))
+
+        for first, last, (_, _, whole) in zip(firsts, lasts, hits, strict=True):
+            if whole:
+                look(first, last)
+            for at in range(max(0, first - self.size + 1), min(first, len(words) - self.width) + 1):
+                if not tried[at]:
+                    tried[at] = 1
+                    look(at, at + self.width)
+        found = set()
+        for window in seen:
+            k = self.windows[window]
+            found.update(self.ids[x] for x in (k if isinstance(k, list) else (k,)))
         return _merge(ranges), sorted(found - {None})
 
 
@@ -125,7 +143,8 @@ def find_contamination(docs: DataFrame, items: DataFrame, width: int = 10, id_co
 
     Words are ASCII letters and digits and non-ASCII characters, in ASCII lower case. A window is ``width``
     consecutive words of an item, or all words of a shorter one. Texts are scanned once, by one automaton, without a
-    shuffle. Items of more than ``MAX_ITEM_BYTES`` are refused, as every executor holds them all.
+    shuffle. Items of over ``PART_BYTES`` are dealt into parts by a hash, each with an automaton that is sent to every
+    executor; each part's scan adds to the ranges and items of those before, which are kept in a table.
 
     Returns id, text, row (with ``carry``: all columns as one struct), n_words, ranges (merged ranges of words: first, and the one behind the last) and items
     (ids of items with occurring windows, ascending; an item with a null id counts only for the ranges). Null and empty
@@ -135,29 +154,39 @@ def find_contamination(docs: DataFrame, items: DataFrame, width: int = 10, id_co
     small_batches(spark)
     chosen = items.select(F.col(item_col).alias("item"), F.col(item_text_col).alias("text")).where("text is not null").distinct()
     size = chosen.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    if size > MAX_ITEM_BYTES:
-        raise ValueError(f"the items have {size} bytes of text, over {MAX_ITEM_BYTES}; look for parts of them one after the other")
-    sent = _Sent(spark.sparkContext.broadcast(([(r["item"], r["text"]) for r in chosen.collect()], width)))
-    item_kind = items.schema[item_col].dataType.simpleString()
+    parts = max(1, -(-size // PART_BYTES))
+    if parts > 1:
+        chosen = cut_table(chosen.withColumn("part", F.pmod(F.xxhash64("item", "text"), F.lit(parts))))
+    item_kind, item_type = items.schema[item_col].dataType.simpleString(), to_arrow_type(items.schema[item_col].dataType)
     kept = with_rest(docs, id_col, text_col, carry)
     n_back = len(kept.columns)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = _index(sent)
-        for batch in batches:
-            for step in steps(batch, "text"):
-                n_words, ranges, found = [], [], []
-                for text in step.column(1).to_pylist():
-                    words = normal_words(text)
-                    spans, ids = index.find(words)
-                    n_words.append(len(words))
-                    ranges.append([{"first": a, "last": b} for a, b in spans])
-                    found.append(ids)
-                yield pa.RecordBatch.from_arrays([*step.columns, pa.array(n_words, pa.int64()), pa.array(ranges, span_type), pa.array(found, pa.list_(item_type))], names=[*step.schema.names, "n_words", "ranges", "items"])
-
-    span_type, item_type = pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32())])), to_arrow_type(items.schema[item_col].dataType)
     added = spark.createDataFrame([], f"n_words long, ranges array<struct<first:int,last:int>>, items array<{item_kind}>").schema
-    out = kept.mapInArrow(run, StructType([*kept.schema.fields[:n_back], *added.fields]))
+    schema, span_type = StructType([*kept.schema.fields, *added.fields]), pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32())]))
+
+    def scan(sent: _Sent):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            index = _index(sent)
+            for batch in batches:
+                for step in steps(batch, "text"):
+                    n_words, ranges, found = [], [], []
+                    before = (step.column(k).to_pylist() if step.num_columns > n_back else [None] * step.num_rows for k in (n_back + 1, n_back + 2))
+                    for text, old_ranges, old_items in zip(step.column(1).to_pylist(), *before, strict=True):
+                        words = normal_words(text)
+                        spans, ids = index.find(words)
+                        if old_items or old_ranges:
+                            spans, ids = _merge([*spans, *((r["first"], r["last"]) for r in old_ranges)]), sorted({*ids, *old_items})
+                        n_words.append(len(words))
+                        ranges.append([{"first": a, "last": b} for a, b in spans])
+                        found.append(ids)
+                    yield pa.RecordBatch.from_arrays([*step.columns[:n_back], pa.array(n_words, pa.int64()), pa.array(ranges, span_type), pa.array(found, pa.list_(item_type))], names=schema.names)
+
+        return run
+
+    out = kept
+    for k in range(parts):
+        own = chosen if parts == 1 else chosen.where(F.col("part") == k)
+        sent = _Sent(spark.sparkContext.broadcast(([(r["item"], r["text"]) for r in own.select("item", "text").collect()], width)))
+        out = (cut_table(out) if k else out).mapInArrow(scan(sent), schema)
     row = [whole_row(docs, id_col, text_col).alias("row")] if carry else []
     return out.select(F.col("id").alias(id_col), F.col("text").alias(text_col), *row, "n_words", "ranges", "items")
 

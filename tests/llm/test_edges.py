@@ -1,5 +1,9 @@
 """Each operator on odd tables: nulls in any column, empty and very long texts, equal rows, clashing names, no rows."""
 
+import time
+
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -41,10 +45,33 @@ def test_decontamination(spark, docs):
     rows = {r["doc_id"]: (r["n_hit"], r["n_items"]) for r in got.collect()}
     assert rows[1] == (10, 1) and rows[8] == (1, 1) and rows[3] == (0, 0) and rows[6] == (0, 0)
     assert row_for_row(docs, lambda d: decontaminate.find_contamination(d, items.limit(0), carry=True).select("row.doc_id")).count() == docs.count()
+    whole = sorted(map(repr, decontaminate.find_contamination(docs, items, carry=True).select("row.doc_id", "n_words", "ranges", "items").collect()))
     with pytest.MonkeyPatch.context() as m:
-        m.setattr(decontaminate, "MAX_ITEM_BYTES", 3)
-        with pytest.raises(ValueError):
-            decontaminate.find_contamination(docs, items)
+        m.setattr(decontaminate, "PART_BYTES", 20)
+        assert sorted(map(repr, decontaminate.find_contamination(docs, items, carry=True).select("row.doc_id", "n_words", "ranges", "items").collect())) == whole
+
+
+def test_decontamination_of_repeated_words():
+    for pattern in ("same ", "a b ", "one two three four five six seven "):
+        text = (pattern * 50_000).strip()
+        items = [(1, text), (2, pattern * 20), (3, pattern * 3), (4, "other words that are nowhere")]
+        began = time.time()
+        index = decontaminate.Index(items, 10)
+        ranges, found = index.find(decontaminate.normal_words(text))
+        assert ranges == [(0, len(text.split()))] and found == [1, 2, 3]
+        assert time.time() - began < 8  # it grew with the square: minutes
+
+
+def test_rare_bytes_do_not_underflow():
+    pieces = [bytes([b]) for b in range(256)]
+    p = np.full((len(pieces), 2), 1e-12)
+    p[:, 1] = 1e-11
+    model = language_id.LanguageModel(["a", "b"], p, np.zeros(2), pieces)
+    got = model.log_likelihoods(pa.array(["\U0001f600" * 7, "\U0001f600" * 8, "x"]))
+    assert np.isfinite(got).all() and (got[:, 1] > got[:, 0]).all()
+    assert abs(got[0, 0] - 29 * np.log(1e-12)) < 1e-6  # 28 bytes and the space before
+    fitted = language_id.fit(pa.array(["\U0001f600\U0001f64f" * 4 + " plain words"] * 3), ["x", "x", "y"], pieces, {"x": 2, "y": 1}, smooth=1e-9)
+    assert np.isfinite(fitted.p).all() and (fitted.p > 0).all()
 
 
 def test_models(docs, labels):
