@@ -17,6 +17,8 @@ from docloom.llm._text import Words, free_memory, small_batches, steps, whole_ro
 SHORT = 32
 #: Places of long words whose pieces are looked up at once.
 PLACES = 200_000
+#: Sums of short words below this are taken again in logs, before any product can underflow.
+TINY = 1e-200
 UNKNOWN = "und"
 
 
@@ -188,9 +190,9 @@ class LongWords:
         return out
 
 
-def long_words(data: np.ndarray, begin: np.ndarray, end: np.ndarray, most: int | None = None) -> Iterator[LongWords]:
-    """All words of more than ``SHORT`` bytes; with ``most``, a few at a time of about that many bytes when all are as long as the longest."""
-    rows = np.flatnonzero(end - begin > SHORT)
+def long_words(data: np.ndarray, begin: np.ndarray, end: np.ndarray, most: int | None = None, more: list[np.ndarray] = ()) -> Iterator[LongWords]:
+    """All words of more than ``SHORT`` bytes, and the rows ``more``; with ``most``, a few at a time of about that many bytes when all are as long as the longest."""
+    rows = np.concatenate([np.flatnonzero(end - begin > SHORT), *more])
     rows = rows[np.argsort(begin[rows] - end[rows], kind="stable")]
     while len(rows):
         take = len(rows) if most is None else max(1, most // int(end[rows[0]] - begin[rows[0]]))
@@ -216,9 +218,12 @@ class LanguageModel:
         if len(w.start):
             begin, end, which = distinct_words(w)
             logs = np.zeros((len(begin), len(self.languages)))
+            rare = []
             for rows, runs in equal_lengths(w.data, begin, end):
-                logs[rows] = np.log(forward(self.finder, runs, self.p)[:, -1])
-            for words in long_words(w.data, begin, end):
+                sums = forward(self.finder, runs, self.p)[:, -1]
+                logs[rows] = np.log(np.maximum(sums, TINY))
+                rare.append(rows[(sums < TINY).any(axis=1)])
+            for words in long_words(w.data, begin, end, more=rare):
                 logs[words.rows] = words.forward(self.finder, np.log(self.p))[0]
             for k in range(len(self.languages)):
                 out[:, k] = np.bincount(w.doc, weights=logs[which, k], minlength=len(texts))
@@ -239,19 +244,21 @@ def fit(texts: pa.Array, langs: list[str], pieces: list[bytes], prior: dict[str,
         lang = np.array([names.index(x) for x in langs])[w.doc]
         weight = np.stack([np.bincount(which, weights=lang == k, minlength=len(begin)) for k in range(len(names))], axis=1)
         for _ in range(rounds):
-            uses = np.zeros_like(p)
+            uses, rare = np.zeros_like(p), []
             for rows, runs in equal_lengths(w.data, begin, end):
                 edges = list(finder.edges(runs))
                 alpha = forward(finder, runs, p, edges)
+                low = (alpha[:, -1] < TINY).any(axis=1)
+                rare.append(rows[low])
                 beta = np.zeros_like(alpha)
-                beta[:, -1] = weight[rows] / alpha[:, -1]
+                beta[:, -1] = np.where(low[:, None], 0, weight[rows] / np.maximum(alpha[:, -1], TINY))
                 for i, n, at, piece in sorted(edges, key=lambda e: -e[0]):  # by where they begin, last first
                     use = p[piece] * beta[at, i + n]
                     beta[at, i] += use
                     use *= alpha[at, i]
                     for k in range(len(names)):
                         uses[:, k] += np.bincount(piece, weights=use[:, k], minlength=finder.n)
-            for words in long_words(w.data, begin, end, most=1 << 18):
+            for words in long_words(w.data, begin, end, most=1 << 18, more=rare):
                 uses += words.uses(finder, np.log(p), weight)
             p = (uses + smooth) / (uses.sum(axis=0) + smooth * finder.n)
     total = sum(prior.get(n, 1) for n in names) or 1
@@ -262,16 +269,27 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     """Fits a model on about ``per_language`` documents of each language of ``docs``, chosen by a hash of their ids from all of them.
 
     ``docs`` should hold training rows only. Rows with null language or text, or a text over ``longest`` bytes, teach nothing. Priors are the
-    numbers of documents of each language among all rows.
+    numbers of documents of each language among all rows. The sample, which its parameters bound, is fitted in one task; the driver
+    gets the probabilities alone.
     """
     known = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang")).where("lang is not null and text is not null and id is not null")
     sample, counts = by_class(known, "id", "lang", per_language)
-    rows = sample.where(F.octet_length("text") <= longest).select(F.xxhash64("id", "text").alias("h"), "text", "lang").toArrow().sort_by([("h", "ascending"), ("lang", "ascending")]).combine_chunks()
-    texts = rows.column("text").combine_chunks() if rows.num_rows else pa.array([], pa.string())
-    model = fit(texts, rows.column("lang").to_pylist(), public_pieces(vocabulary_path), counts)
-    del rows, texts
-    free_memory()  # the driver lives on
-    return model
+    pieces = public_pieces(vocabulary_path)
+    small_batches(docs.sparkSession)
+
+    def run(table: pa.Table) -> pa.Table:
+        rows = table.sort_by([("h", "ascending"), ("lang", "ascending")]).combine_chunks()
+        model = fit(rows.column("text").combine_chunks(), rows.column("lang").to_pylist(), public_pieces(vocabulary_path), counts)
+        free_memory()
+        return pa.table({"languages": pa.array([model.languages], pa.list_(pa.string())), "p": pa.array([model.p.tobytes()], pa.binary())})
+
+    rows = sample.where(F.octet_length("text") <= longest).select(F.lit(0).alias("all"), F.xxhash64("id", "text").alias("h"), "text", "lang")
+    found = rows.groupBy("all").applyInArrow(run, "languages array<string>, p binary").collect()
+    if not found:
+        return fit(pa.array([], pa.string()), [], pieces, counts)
+    names, total = found[0]["languages"], sum(counts.get(n, 1) for n in found[0]["languages"])
+    p = np.frombuffer(bytes(found[0]["p"])).reshape(len(pieces), len(names))
+    return LanguageModel(names, p, np.array([np.log(counts.get(n, 1) / total) for n in names]), pieces)
 
 
 def _has_letter(texts: pa.Array) -> np.ndarray:
