@@ -94,3 +94,11 @@ def test_near_copies_without_ids_and_equal_rows(spark, folder):
     rows = [(None, text, *rest), (None, text, *rest), (3, text, *rest), (3, text, *rest), (4, other, *rest), (None, None, *rest), (None, "alone and only", *rest), (7, "", *rest), (7, "", *rest)]
     got = [tuple(r)[:2] for r in P.drop_near_duplicates(spark, spark.createDataFrame(rows, COLUMNS), folder).collect()]
     assert sorted(got, key=str) == sorted([(3, text), (4, other), (None, None), (None, "alone and only"), (7, "")], key=str)
+
+
+def test_texts_that_share_an_id_stay(spark):
+    one, other = ("alpha beta gamma delta epsilon zeta eta theta iota kappa " * 3).strip(), "nothing of this is like the other text at all, it has words of its own"
+    docs = spark.createDataFrame([(1, one), (5, one), (5, other), (5, other), (None, one), (None, None), (7, None), (7, "")], "doc_id long, text string")
+    got = sorted(map(repr, (tuple(r) for r in P.drop_near_duplicates(spark, docs, "").collect())))
+    assert got == sorted(map(repr, [(1, one), (5, other), (None, None), (7, None), (7, "")]))
+    assert P.drop_near_duplicates(spark, docs.limit(0), "").count() == 0
