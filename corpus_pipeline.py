@@ -45,30 +45,35 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each class of near copies, that with the least id, and of equal rows one.
+    """Keeps one document of each class of near copies, that with the least id (null ids last), and of equal rows one.
 
-    A row without an id is known by a hash of its text, beyond all ids.
+    A row is known by a hash of its id and its text, so different texts under one id are different documents. Null, empty and
+    word-free texts are near nothing, and equal rows of them are one; an empty table stays empty.
     """
-    by_text = F.shiftrightunsigned(F.xxhash64("text"), 2).bitwiseOR(F.lit(1 << 62))
-    keyed = docs.select(F.struct("*").alias("row"), F.coalesce(F.col("doc_id").cast("long"), by_text).alias("key"), F.col("text").alias("text"))
-    near = minhash_dedup.near_duplicates(keyed, id_col="key").where("key <> class_id").select("key", F.lit(True).alias("gone"))
+    keyed = docs.select(F.struct("*").alias("row"), F.xxhash64("doc_id", "text").alias("key"), F.col("doc_id").alias("id"), F.col("text").alias("text"))
+    near = cut_table(minhash_dedup.near_duplicates(keyed, id_col="key"))
+    several = near.where("key <> class_id").select("class_id").distinct()
+    members = near.join(several, "class_id", "left_semi").join(keyed.select("key", "id"), "key").groupBy("class_id", "key").agg(F.min("id").alias("id"))
+    stays = members.groupBy("class_id").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "key")).alias("best"))
+    near = members.join(stays, "class_id").where("key <> best.key").select("key", F.lit(True).alias("gone"))
     again = keyed.groupBy("key").count().where("count > 1").select("key", F.lit(False).alias("gone"))
     # a table, so that Spark knows its size; few documents have copies
-    marks = cut_table(near.union(again.join(near, "key", "left_anti")))
+    marks = cut_table(near.union(again)).groupBy("key").agg(F.max("gone").alias("gone"))
     out = keyed.join(marks, "key", "left_anti").select("row.*")
-    if not marks.where("not gone").isEmpty():
-        out = out.union(keyed.join(marks.where("not gone"), "key", "left_semi").dropDuplicates(["key", "text"]).select("row.*"))
-    return out
+    return out.union(keyed.join(marks.where("not gone"), "key", "left_semi").dropDuplicates(["key", "id", "text"]).select("row.*"))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents that hold a benchmark window."""
+    """Drops documents that hold a benchmark window. Null, empty and word-free texts hold none and stay, equal rows share their fate, an empty table stays empty."""
     found = decontaminate.find_contamination(docs, read_table(spark, sf_dir, "benchmark"), carry=True)
     return found.where(F.size("ranges") == 0).select("row.*")
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Tokens of all documents, packed into sequences of 4096: a row for each piece, see ``packing.pack_documents``."""
+    """Tokens of all documents, packed into sequences of 4096: a row for each piece, see ``packing.pack_documents``.
+
+    Null and empty texts are one token, the end; equal rows are packed each; an empty table has no pieces.
+    """
     return packing.pack_documents(docs)
 
 
