@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from docloom.functions import jsons, markup, outline
 from docloom.functions import text as T
-from docloom.operators import chunks, positions, sections, toc
+from docloom.operators import boundaries, chunks, positions, sections, toc
 from docloom.plans import workspace
 from docloom.session import read_table
 from docloom.sources import roles
@@ -163,7 +163,7 @@ def stored_positions(spark, d):
 @query(f"""WITH {_SECTIONS}, s AS (SELECT version_id, pos, pos // 4 AS grp, CAST(length(regexp_replace(content, '^\\s+|\\s+$', '', 'g')) AS DOUBLE) AS w FROM sections),
 g AS (SELECT *, CASE WHEN sum(w) OVER (PARTITION BY version_id, grp) > 0 THEN w ELSE 1 END AS v, count(*) OVER (PARTITION BY version_id, grp) AS n FROM s),
 c AS (SELECT *, coalesce(sum(v) OVER (PARTITION BY version_id, grp ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) / sum(v) OVER (PARTITION BY version_id, grp) AS f FROM g)
-SELECT version_id, pos, CASE WHEN n > 1 THEN round(0.2 + 0.5 * f, 6) ELSE 0.9 END AS start_y FROM c""")
+SELECT version_id, pos, CASE WHEN n > 1 THEN CAST(printf('%.6f', least(CAST(0.7 AS DOUBLE), CAST(0.2 AS DOUBLE) + (CAST(0.7 AS DOUBLE) - CAST(0.2 AS DOUBLE)) * f)) AS DOUBLE) ELSE 0.9 END AS start_y FROM c""")
 def shared_heading_boxes(spark, d):
     s = roles.sections(spark, d)
     grp = F.floor(F.col("pos") / 4).cast("int")
@@ -197,13 +197,15 @@ def highlight_boxes(spark, d):
     return positions.highlight_boxes(s).select("section_id", "page", "top", "bottom")
 
 
-@query("""WITH s AS (SELECT l_orderkey AS v, l_linenumber AS id, CAST(l_quantity AS INTEGER) % 10 AS a, CAST(l_quantity AS INTEGER) % 10 + l_linenumber % 3 AS b, l_linenumber % 2 AS level, l_discount AS y FROM lineitem),
-p AS (SELECT o_orderkey AS v, CAST(o_custkey % 12 AS INTEGER) AS page FROM orders), m AS (SELECT p.*, s.*, (a < page OR a = page AND y <= 0.05) AND (b > page OR b = page AND 0.05 <= 0.5) AS inside FROM p JOIN s ON s.v = p.v AND (a < page OR a = page AND y <= 0.05)),
-r AS (SELECT v, page, id, row_number() OVER (PARTITION BY v, page ORDER BY NOT inside, CASE WHEN inside THEN b - a END, CASE WHEN inside THEN 0.5 - y END, CASE WHEN inside THEN -level END, CASE WHEN inside THEN -a END, CASE WHEN inside THEN -y END, CASE WHEN inside THEN id END, a DESC, y DESC, level DESC, id DESC) AS n FROM m)
+@query("""WITH s AS (SELECT DISTINCT l_orderkey AS v, l_linenumber AS id, CAST(l_quantity AS INTEGER) % 10 AS a, CAST(l_quantity AS INTEGER) % 10 + l_linenumber % 3 AS b, l_linenumber % 2 AS level, CASE WHEN l_linenumber % 5 > 0 THEN l_discount END AS y, CASE WHEN l_linenumber % 4 > 0 THEN 0.5 END AS z FROM lineitem),
+p AS (SELECT o_orderkey AS v, CAST(o_custkey % 12 AS INTEGER) AS page, 0.05 AS py FROM orders), m AS (SELECT p.*, s.id, s.a, s.b, s.level, coalesce(y, 0) AS lo, coalesce(z, 0) AS hi, y, z FROM p JOIN s ON s.v = p.v),
+c AS (SELECT *, CASE WHEN a = b THEN y IS NULL AND z IS NULL OR lo <= py AND py <= hi ELSE NOT (page = a AND y IS NOT NULL AND py < lo) AND NOT (page = b AND z IS NOT NULL AND py > hi) END AND a <= page AND page <= b AS inside, a <= page AND page <= b AS on_page,
+  CASE WHEN a < b THEN b - a + 1 WHEN y IS NULL AND z IS NULL THEN 1 ELSE greatest(hi - lo, 0) END AS span FROM m WHERE a <= page),
+r AS (SELECT v, page, id, row_number() OVER (PARTITION BY v, page ORDER BY CASE WHEN inside THEN 0 WHEN on_page THEN 1 ELSE 2 END, CASE WHEN on_page THEN b - a END, CASE WHEN inside THEN span END, CASE WHEN on_page THEN -level END, -a, CASE WHEN inside THEN -lo END, -level, id) AS n FROM c)
 SELECT p.v AS version_id, p.page, r.id AS section_id FROM p LEFT JOIN r ON r.v = p.v AND r.page = p.page AND n = 1""")
 def sections_at(spark, d):
     q = F.col("l_quantity").cast("int") % 10
-    s = read_table(spark, d, "lineitem").select(F.col("l_orderkey").alias("version_id"), F.col("l_linenumber").alias("section_id"), (F.col("l_linenumber") % 2).alias("level"), q.alias("page_start"), F.col("l_discount").alias("start_y"), (q + F.col("l_linenumber") % 3).cast("int").alias("page_end"), F.lit(0.5).alias("end_y"))
+    s = read_table(spark, d, "lineitem").select(F.col("l_orderkey").alias("version_id"), F.col("l_linenumber").alias("section_id"), (F.col("l_linenumber") % 2).alias("level"), q.alias("page_start"), F.when(F.col("l_linenumber") % 5 > 0, F.col("l_discount")).alias("start_y"), (q + F.col("l_linenumber") % 3).cast("int").alias("page_end"), F.when(F.col("l_linenumber") % 4 > 0, 0.5).alias("end_y"))
     p = read_table(spark, d, "orders").select(F.col("o_orderkey").alias("version_id"), (F.col("o_custkey") % 12).cast("int").alias("page"), F.lit(0.05).alias("y"))
     return sections.section_at(p, s.distinct()).select("version_id", "page", "section_id")
 
@@ -346,15 +348,49 @@ def section_spans(spark, d):
     return chunks.section_spans(nodes, placed, texts).select("version_id", "idx", "start", "end")
 
 
-@query()
-def section_contents(spark, d):
+def _outline(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Nodes, placed chunks and texts of documents whose lines are chunks: every other line is the title of a section, by turns a chapter and what is below it, and every fourth stands in the chunk before."""
     texts, c = _marked(spark, d)
     placed = chunks.chunk_offsets(c, texts)
-    nodes = placed.where("pos % 2 = 0").select("version_id", F.col("pos").alias("idx"), (F.col("pos") % 4 + 1).alias("level"), F.col("id").alias("title"), F.col("id").alias("chunk_id"))
-    found = chunks.section_contents(chunks.section_spans(nodes, placed, texts), texts, chunks.noise_intervals(placed))
+    n = placed.where("pos % 2 = 0").withColumn("at", F.col("pos") - F.when(F.col("pos") % 8 == 4, 1).otherwise(0))
+    ids = placed.select("version_id", F.col("pos").alias("at"), F.col("id").alias("chunk_id"))
+    title = F.substring(F.trim(F.regexp_replace("text", r"\s+", " ")), 1, 60)
+    n = n.select("version_id", F.col("pos").alias("idx"), F.when(F.col("pos") % 6 == 0, 1).otherwise(2).alias("level"), F.concat(F.col("pos").cast("string"), F.lit(" "), title).alias("title"), "at")
+    chapter = F.last(F.when(F.col("level") == 1, F.col("title")), ignorenulls=True).over(Window.partitionBy("version_id").orderBy("idx"))
+    n = n.withColumn("path", F.when(F.col("level") == 1, F.col("title")).otherwise(F.concat_ws("/", chapter, "title")))
+    return n.join(ids, ["version_id", "at"], "left").select("version_id", "idx", "path", "level", "title", "chunk_id"), placed, texts
+
+
+@query()
+def section_boundaries(spark, d):
+    return boundaries.section_bounds(*_outline(spark, d)).select("version_id", "idx", "first", "until", "start", "end", "own_end", "score")
+
+
+@query()
+def section_nodes(spark, d):
+    found = chunks.section_nodes(*_outline(spark, d))
+    return found.select("version_id", "idx", "node_id", "start", "end", F.md5(F.col("content").cast("binary")).alias("content_md5"), "page_start", "page_end", "score", F.size("boxes").alias("n_boxes"), F.size("landing_chunks").alias("n_landing"))
+
+
+@query()
+def section_contents(spark, d):
+    nodes, placed, texts = _outline(spark, d)
+    found = chunks.section_contents(boundaries.section_bounds(nodes, placed, texts), texts, chunks.noise_intervals(placed))
     return found.select("version_id", "idx", F.md5(F.col("content").cast("binary")).alias("content_md5"), "page_start", "page_end")
 
 
+@query()
+def find_numbered_headings(spark, d):
+    """Titles with numbers, in lines, behind other cells of a line, and with more behind them."""
+    s = roles.sections(spark, d)
+    number = lambda k: F.concat(F.floor(k / 7 + 1).cast("string"), F.lit("."), (k % 7 + 1).cast("string"))
+    titled = F.concat(number(F.col("pos")), F.lit(" "), "content")
+    line = F.when(F.col("pos") % 3 == 0, F.concat(F.lit("| cell | "), titled, F.lit(" | more of it"))).when(F.col("pos") % 3 == 1, F.concat(F.lit("## "), titled)).otherwise(titled)
+    texts = s.groupBy("version_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pos", line.alias("line")))), lambda x: x["line"]), "\n").alias("text"))
+    titles = s.select("version_id", F.col("pos").alias("section_id"), titled.alias("title"), F.lit(0).alias("low"), F.lit(None).cast("int").alias("high"))
+    return boundaries.find_headings(titles, texts).select("version_id", "section_id", "offset", F.round("score", 9).alias("score"))
+
+
 @query(rf"""WITH {_SECTIONS}, o AS (SELECT version_id, pos, content, CAST(coalesce(sum(length(content) + 1) OVER (PARTITION BY version_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS INTEGER) AS start FROM sections),
 w AS (SELECT *, list_distinct(list_filter(string_split(regexp_replace(lower(regexp_replace(regexp_replace(content, '<[^>]+>', ' ', 'g'), '^#{{1,6}}\s*', '')), '[^\p{{L}}\p{{N}}_]+', ' ', 'g'), ' '), lambda x: x <> '')) AS b FROM o),
 t AS (SELECT version_id, pos, list_distinct(list_filter(string_split(regexp_replace(lower(content), '[^\p{{L}}\p{{N}}_]+', ' ', 'g'), ' '), lambda x: x <> '')) AS a FROM sections WHERE pos % 5 = 0 AND NOT regexp_matches(trim(content), '^\d')),
@@ -364,14 +400,14 @@ def find_headings(spark, d):
     s = roles.sections(spark, d)
     titles = s.where(r"pos % 5 = 0 and not trim(content) rlike '^\\d'").select("version_id", F.col("pos").alias("section_id"), F.col("content").alias("title"), F.lit(0).alias("low"), F.lit(None).cast("int").alias("high"))
     texts = read_table(spark, d, "documents").select(F.col("doc_id").alias("version_id"), "text")
-    return chunks.find_headings(titles, texts).select("version_id", "section_id", "offset", F.round("score", 9).alias("score"))
+    return boundaries.find_headings(titles, texts).select("version_id", "section_id", "offset", F.round("score", 9).alias("score"))
 
 
-@query(r"""WITH t AS (SELECT page_id, '<table><tr><td>a</td></tr></table>' || url || ' [figure:' || page_id || '] <:: x -> y ::> <:: ::>' || '<table>' || page_id || '</table>' AS t FROM pages)
+@query(r"""WITH t AS (SELECT page_id, '<table><tr><td>a</td></tr></table>' || url || ' [figure:' || page_id || '] <:: flow : x -> y ::> <:: ::>' || '<table>' || page_id || '</table>' AS t FROM pages)
 SELECT page_id, CAST(k AS INTEGER) AS number, CASE k WHEN 0 THEN 'table' WHEN 1 THEN 'text' WHEN 2 THEN 'asset' WHEN 3 THEN 'flowchart' ELSE 'text' END AS type FROM pages, (SELECT unnest(range(0, 5)) AS k)""")
 def content_blocks(spark, d):
     k = F.col("page_id").cast("string")
-    rich = F.concat(F.lit("<table><tr><td>a</td></tr></table>"), "url", F.lit(" [figure:"), k, F.lit("] <:: x -> y ::> <:: ::>"), F.lit("<table>"), k, F.lit("</table>"))
+    rich = F.concat(F.lit("<table><tr><td>a</td></tr></table>"), "url", F.lit(" [figure:"), k, F.lit("] <:: flow : x -> y ::> <:: ::>"), F.lit("<table>"), k, F.lit("</table>"))
     return markup.content_blocks(read_table(spark, d, "pages").select("page_id", rich.alias("rich")), "page_id", "rich").select("page_id", "number", "type")
 
 

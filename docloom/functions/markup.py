@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import re
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -37,13 +40,13 @@ def bold_spans(column: Column) -> Column:
 
 def flow_steps(column: Column) -> Column:
     """The steps of a flow chart written with arrows."""
-    return F.filter(F.transform(F.split(F.coalesce(column, F.lit("")), r"\s*(?:-->|->|→|⇒|↓)\s*"), lambda x: F.trim(x)), lambda x: x != "")
+    return F.filter(F.transform(F.split(F.coalesce(column, F.lit("")), r"\s*(?:-->|->|=>|→|⇒|↓|⬇)\s*"), lambda x: F.trim(x)), lambda x: x != "")
 
 
 def placeholders(column: Column) -> Column:
-    """``[type:id]`` in a text, as structs of kind and id."""
-    found = _all(column, r"\[([a-z]+:[^\]\s]+)\]")
-    return F.transform(found, lambda x: F.struct(F.substring_index(x, ":", 1).alias("kind"), F.regexp_replace(x, "^[a-z]+:", "").alias("id")))
+    """``[figure:id]`` and ``[table:id]`` in a text, whatever their case, as structs of kind and id."""
+    found = _all(column, r"(?i)\[((?:figure|table):[^\]]*[^\]\s][^\]]*)\]")
+    return F.transform(found, lambda x: F.struct(F.lower(F.substring_index(x, ":", 1)).alias("kind"), F.trim(F.regexp_replace(x, "^[A-Za-z]+:", "")).alias("id")))
 
 
 def assets(column: Column) -> Column:
@@ -67,33 +70,87 @@ def resolved(placeholders: DataFrame, assets: DataFrame, key: str = "section_id"
     return placeholders.join(typed, [key, "kind", "id"], "left").join(plain, [key, "id"], "left").select(key, "kind", "id", F.coalesce("typed", "plain").alias("image_url"))
 
 
-_TABLE, _CUSTOM, _ASSET = r"<table\b[^>]*>.*?</table>", r"<::.*?::>", r"\[(?:[a-z_]+):[^\]\s]+\]"
+# What opens a block, how a block may end and be named, and arrows between the steps of a flow chart.
+_ASSET = r"\[(?i:figure|table):(?=[^\]]*[^\]\s])[^\]]+\]"
+_OPENS = re.compile(rf"(?P<table><table)|(?P<custom><::)|(?P<asset>{_ASSET})")
+_WHOLE_TABLE = re.compile(r"(?is)<table\b.*?</table>")
+_TYPED_END, _LAST_TYPE, _FIRST_TYPE = re.compile(r":\s*[A-Za-z][\w-]*\s*::>"), re.compile(r":\s*([A-Za-z][\w-]*(?:\s+[A-Za-z][\w-]*)*)\s*::>\s*$"), re.compile(r"^<::\s*([A-Za-z][\w-]*)\s*:(?!:>)\s*")
+_ARROW, _ARROWS_ONLY = re.compile(r"->|=>|→|↓|⬇"), re.compile(r"^(?:↓|⬇|->|=>|→)+$")
+_MARKS = re.compile(rf"(?i)<::\s*[a-z][\w-]*(?:\s+[a-z][\w-]*)*\s*::>|</?(?:table|tbody|thead|tfoot|tr|td|th)\b[^>]*>|{_ASSET}|<::\s*|\n?[ \t]*:[ \t]*[a-z][\w-]*(?:\s+[a-z][\w-]*)*[ \t]*::>\s*$|\s*::>", re.MULTILINE)
+
+
+def _tidy(text: str) -> str:
+    return re.sub(r"\n{3,}", "\n\n", re.sub(r"[ \t]{2,}", " ", _MARKS.sub(" ", text))).strip()
+
+
+def _custom_end(text: str, at: int) -> tuple[int, bool]:
+    """Where the custom block at ``at`` ends, and whether by its own mark: before the next whole table, placeholder, or block that begins a line."""
+    limit = len(text)
+    for m in _OPENS.finditer(text, at + 3):
+        line = text[text.rfind("\n", 0, m.start()) + 1 : m.start()]
+        if m["asset"] or (m["table"] and _WHOLE_TABLE.match(text, m.start())) or (m["custom"] and not line.strip()):
+            limit = m.start()
+            break
+    typed = _TYPED_END.search(text, at + 3, limit)
+    plain_end = text.find("::>", at + 3, limit)
+    return (typed.end(), True) if typed else (plain_end + 3, True) if plain_end >= 0 else (limit, False)
+
+
+def _custom(raw: str, closed: bool) -> tuple[str, str]:
+    """Type and value of a custom block; one that does not end counts only if it looks like one."""
+    last, first = _LAST_TYPE.search(raw), _FIRST_TYPE.match(raw)
+    name = re.sub(r"[\s_]+", "-", (last or first)[1].strip().lower()) if last or first else ""
+    body = raw[first.end() :] if first else re.sub(r"^<::\s*", "", raw)
+    value = _tidy(_LAST_TYPE.sub("", body) if last else body)
+    if not value:
+        return "text", _tidy(raw)
+    rows = [x.strip() for x in value.split("\n") if x.strip()]
+    if name in ("flow", "flowchart", "flow-chart"):
+        sure = len(rows) == 1 and _ARROW.search(rows[0]) and not _ARROWS_ONLY.match(rows[0]) or len(rows) > 2 and any(map(_ARROWS_ONLY.match, rows))
+        kind = "flowchart"
+    else:
+        sure, kind = name or re.match(r"^<::\s*[A-Za-z][\w-]*\s*:[^\n]+$", raw), "custom"
+    return (kind, value) if closed or sure else ("text", _tidy(raw))
+
+
+def blocks_of(text: str | None) -> list[tuple[str, str]]:
+    """Type and value of the blocks of one rich text, in order."""
+    text, out, at = text or "", [], 0
+    while m := _OPENS.search(text, at):
+        out.append(("text", _tidy(text[at : m.start()])))
+        at = m.start()
+        if m["asset"]:
+            out.append(("asset", m[0]))
+            at = m.end()
+        elif m["table"]:
+            whole = _WHOLE_TABLE.match(text, at)
+            if whole:
+                has_rows = re.search(r"(?is)<tr\b[^>]*>.*?<t[hd]\b", whole[0])
+                out.append(("table", whole[0]) if has_rows else ("text", _tidy(whole[0])))
+                at = whole.end()
+            else:  # only its own mark goes
+                at = max(at, text.find(">", at)) + 1
+        else:
+            end, closed = _custom_end(text, at)
+            out.append(_custom(text[at:end], closed))
+            at = max(at + 3, end)
+    out.append(("text", _tidy(text[at:])))
+    return [(kind, value) for kind, value in out if value]
+
+
+def _blocks(texts: pd.Series) -> pd.Series:
+    return texts.map(lambda t: [{"type": kind, "value": value} for kind, value in blocks_of(t)])
 
 
 def content_blocks(df: DataFrame, key: str, column: str) -> DataFrame:
     """The blocks of rich texts in order: key, number, type (text, asset, table, flowchart or custom) and value.
 
-    Blocks are whole tables, ``<:: ::>`` and placeholders; what is between them is text. A block that does not end is text
-    without its mark, a table without rows its text. A custom block's last line may name its kind; one with arrows is a flowchart.
+    Blocks are tables, custom blocks between ``<::`` and ``::>``, and placeholders of figures and tables; what is between them is text. A custom block may name its
+    type first or last (``<:: flow : A -> B``). One that does not end goes on to the next block or the end, if it is of a type or looks
+    like one, else it is text. A table that does not end loses its mark, one without rows is text. Null and empty texts have no blocks; the key may have any name.
     """
-    text = F.regexp_replace(F.coalesce(F.col(column), F.lit("")), "\u0000", "")
-    parts = F.split(F.regexp_replace(text, f"(?is)({_TABLE}|{_CUSTOM}|{_ASSET})", "\u0000$1\u0000"), "\u0000")
-    rows = df.select(key, F.posexplode(parts).alias("k", "part"))
-    part = F.col("part")
-    body = F.trim(F.regexp_replace(part, r"(?s)^<::|::>$", ""))
-    tidy = lambda c: F.regexp_replace(F.regexp_replace(c, r"^\s+|\s+$", ""), r"\n{3,}", "\n\n")
-    has_rows = part.rlike(r"(?is)<tr\b[^>]*>.*?<t[hd]\b")
-    kind = (
-        F.when(part.rlike(f"(?is)^{_TABLE}$"), F.when(has_rows, "table").otherwise("text"))
-        .when(part.rlike(f"(?is)^{_CUSTOM}$"), F.when(body == "", "text").when(body.rlike(r"-->|->|→|⇒|↓"), "flowchart").otherwise("custom"))
-        .when(part.rlike(f"(?is)^{_ASSET}$"), "asset")
-        .otherwise("text")
-    )
-    stray = F.regexp_replace(F.regexp_replace(part, r"(?i)</?table\b[^>]*>", ""), r"<::|::>", "")
-    value = F.when(F.col("type") == "table", part).when(F.col("type").isin("flowchart", "custom"), tidy(body)).when(F.col("type") == "asset", part).when(part.rlike(f"(?is)^{_TABLE}$"), plain(part)).otherwise(tidy(stray))
-    found = rows.withColumn("type", kind).withColumn("value", value).where("value <> ''")
-    number = F.row_number().over(Window.partitionBy(key).orderBy("k")) - 1
-    return found.select(key, number.alias("number"), "type", "value")
+    found = df.select(F.col(f"`{key}`").alias("of"), F.posexplode(F.pandas_udf(_blocks, "array<struct<type:string,value:string>>")(F.col(f"`{column}`"))).alias("number", "block"))
+    return found.select(F.col("of").alias(key), "number", F.col("block.type").alias("type"), F.col("block.value").alias("value"))
 
 
 def unplaced_assets(assets: DataFrame, texts: DataFrame, key: str = "section_id") -> DataFrame:

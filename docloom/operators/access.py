@@ -46,7 +46,7 @@ def descendants(users: DataFrame, root: int) -> DataFrame:
     return found
 
 
-def _chains(users: DataFrame, of: DataFrame | None) -> DataFrame:
+def chains(users: DataFrame, of: DataFrame | None = None) -> DataFrame:
     """``ancestors`` with roles, up to and with the first administrator above the user (at ``stop``, null without one)."""
     about = users.select(F.col("user_id").alias("ancestor_id"), F.col("role").alias("a_role"), F.col("inherits").alias("a_inherits"))
     chain = ancestors(users, of).join(about, "ancestor_id")
@@ -54,13 +54,15 @@ def _chains(users: DataFrame, of: DataFrame | None) -> DataFrame:
     return chain.join(first, "user_id", "left").where("stop is null or distance <= stop")
 
 
-def visible_chain(users: DataFrame, of: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+def visible_chain(users: DataFrame, of: DataFrame | None = None, chain: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """(user_id, owner_id) of the user and those above it, and (user_id) of the users that see what all administrators own.
 
+    ``chain``, if it is there already, is what ``chains`` gives.
+
     A chain ends at the first administrator above. That one is on it unless the user, or one between, does not inherit;
     a user who is no administrator then sees all administrators.
     """
-    chain = _chains(users, of)
+    chain = chains(users, of) if chain is None else chain
     between = (F.col("distance") == 0) | (F.col("a_role") != ADMIN)
     shut = F.bool_or(between & ~F.coalesce("a_inherits", F.lit(False)))
     state = chain.groupBy("user_id").agg(shut.alias("shut"), F.max("stop").alias("at"), F.max(F.when(F.col("distance") == 0, F.col("a_role"))).alias("role"))
@@ -79,9 +81,9 @@ def visible_owners(users: DataFrame, of: DataFrame | None = None) -> DataFrame:
     return own.union(sharing.select("user_id", F.explode(admins.scalar()))).distinct()
 
 
-def station_scope(users: DataFrame, of: DataFrame | None = None) -> DataFrame:
+def station_scope(users: DataFrame, of: DataFrame | None = None, chain: DataFrame | None = None) -> DataFrame:
     """(user_id, in_scope): whether the user, or one above it before the first administrator, is a health station."""
-    hit = _chains(users, of).groupBy("user_id").agg(F.bool_or((F.col("a_role") == STATION)).alias("in_scope"))
+    hit = (chains(users, of) if chain is None else chain).groupBy("user_id").agg(F.bool_or((F.col("a_role") == STATION)).alias("in_scope"))
     return hit.select("user_id", F.coalesce("in_scope", F.lit(False)).alias("in_scope"))
 
 

@@ -5,6 +5,7 @@ texts: version_id, text. chunks: version_id, pos (order), id, type, text, boxes
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 import pandas as pd
@@ -12,6 +13,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docloom.functions import text as T
+from docloom.operators.boundaries import section_bounds, without_heading
+from docloom.operators.positions import BOX, break_offsets, page_of_offset
 from docloom.operators.sections import repeated_noise
 
 # Kinds of chunks that are noise; what the last line of an attribute block says of media, and what its first one says of no text.
@@ -24,7 +27,6 @@ MEDIA = (
 NO_TEXT = ("flowchart", "figure", "table", "chart", "diagram", "start", "end", "image", "photo", "visual content", "transcription of the content")
 ALT_TEXT = r"(?i)^(A |An |The |This |Two |Three |Four |Five |Several |Multiple |logo:|attestation:|flowchart:|table:|image:|figure:|diagram:|Image |Images |Image showing|A close-up|A composite|A split|A visual)"
 _ANCHOR = r"<a id='([^']*)'></a>"
-_HEADING_SCORE = 0.55
 
 
 def anchors(texts: DataFrame) -> DataFrame:
@@ -94,41 +96,6 @@ def without_attributes(text: Column) -> Column:
     return F.regexp_replace(out, r"\n{3,}", "\n\n")
 
 
-def bare_line(line: Column) -> Column:
-    """A line without tags and heading marks."""
-    return T.strip_text(F.regexp_replace(F.regexp_replace(line, r"<[^>]+>", " "), r"^#{1,6}\s*", ""))
-
-
-def text_lines(texts: DataFrame) -> DataFrame:
-    """(version_id, offset, line) of the lines of each text."""
-    rows = texts.select("version_id", F.posexplode(F.split("text", "\n")).alias("k", "line"))
-    before = Window.partitionBy("version_id").orderBy("k").rowsBetween(Window.unboundedPreceding, -1)
-    return rows.select("version_id", F.coalesce(F.sum(F.length("line") + 1).over(before), F.lit(0)).cast("int").alias("offset"), "line")
-
-
-def find_headings(titles: DataFrame, texts: DataFrame, score: float = _HEADING_SCORE, window: int = 60_000) -> DataFrame:
-    """Where each title's heading stands: (version_id, section_id, offset, score) of the line with the largest Dice coefficient of words, the first of equal ones.
-
-    titles: version_id, section_id, title, low (offset from which to look) and high (or null: ``window`` characters on). A line that begins with
-    the title's number, and is not much longer, counts as 0.9 at least. Lines and titles meet by the words they share, so pairs
-    without one are never made.
-    """
-    number = F.regexp_extract(F.trim("title"), r"^(\d[\d.]*)", 1)
-    t = titles.select("version_id", "section_id", "low", F.coalesce("high", F.col("low") + window).alias("high"), T.words(F.col("title")).alias("a"), F.nullif(F.lower(F.regexp_replace(number, r"\.+$", "")), F.lit("")).alias("number"))
-    clean = bare_line(F.col("line"))
-    rows = text_lines(texts).select("version_id", "offset", clean.alias("clean"), T.words(clean).alias("b"))
-    met = t.withColumn("word", F.explode("a")).join(rows.withColumn("word", F.explode("b")), ["version_id", "word"]).where("offset >= low and offset < high")
-    met = met.groupBy("version_id", "section_id", "offset").agg(F.count("*").alias("both"), F.first("a").alias("a"), F.first("b").alias("b"), F.first("clean").alias("clean"), F.first("number").alias("number"))
-    dice = 2.0 * F.col("both") / (F.size("a") + F.size("b"))
-    met = met.withColumn("score", dice).where(F.col("score") >= score)
-    after = F.substring("clean", F.length("number") + 1, F.lit(1))
-    numbered = F.lower("clean").startswith(F.col("number")) & (after.isin("", ".", " ") | after.rlike(r"^\s$"))
-    boosted = F.coalesce(numbered, F.lit(False)) & (F.size("b") <= F.greatest(2 * F.size("a") + 2, F.lit(8)))
-    met = met.withColumn("score", F.when(boosted, F.greatest("score", F.lit(0.9))).otherwise(F.col("score")))
-    best = met.groupBy("version_id", "section_id").agg(F.max(F.struct("score", -F.col("offset"))).alias("best"))
-    return best.select("version_id", "section_id", (-F.col("best.col2")).alias("offset"), F.col("best.score").alias("score"))
-
-
 def with_boxes(sections: DataFrame, chunks: DataFrame) -> DataFrame:
     """Sections (version_id, section_id, chunk_ids) with ``chunks``: structs of id, type, box and boxes of theirs, in their order; unknown ids keep their place."""
     at = sections.select("version_id", "section_id", F.posexplode("chunk_ids").alias("k", "id"))
@@ -189,37 +156,94 @@ def section_spans(nodes: DataFrame, placed: DataFrame, texts: DataFrame) -> Data
 
 
 def section_contents(spans: DataFrame, texts: DataFrame, noise: DataFrame, mark: str = T.PAGE_BREAK) -> DataFrame:
-    """Spans with ``content`` (spliced, without anchors, page breaks and attributes; null if empty), ``page_start`` and ``page_end``.
+    """Spans with ``content`` (spliced, without heading, anchors, page breaks and attributes; null if empty), ``page_start`` and ``page_end``.
 
-    Marks of a figure or table that went with its heading come first. A text moves once to its sections, in one group.
+    spans: version_id, title, start, end and, if what belongs to children is to be left out, own_end. Marks of a figure or table that went with its heading come first.
+    A text meets all its spans in one row, which cuts it: only the pieces move on.
     """
     marks = noise.groupBy("version_id").agg(F.sort_array(F.collect_list(F.struct("start", "end", "mark"))).alias("noise"))
-    s = spans.join(texts, "version_id").join(marks, "version_id", "left")
-    raw = spliced(F.col("text"), F.col("start"), F.col("end"), F.col("noise"))
-    bare = F.replace(F.regexp_replace(raw, r"(?s)<a\s+id='[^']*'>.*?</a>", ""), F.lit(mark), F.lit(""))
-    content = T.strip_text(without_attributes(bare))
-    inside = F.filter(F.coalesce("noise", F.array().cast("array<struct<start:int,end:int,mark:string>>")), lambda x: (x["mark"] != "") & (x["start"] >= F.col("start")) & (x["start"] < F.col("end")))
-    s = s.withColumn("content", content).withColumn("missing", F.filter(F.transform(inside, lambda x: x["mark"]), lambda m: ~F.col("content").contains(m)))
+    upto = F.col("own_end") if "own_end" in spans.columns else F.col("end")
+    s = spans.withColumn("upto", upto).groupBy("version_id").agg(F.collect_list(F.struct(*(F.col(f"`{c}`") for c in spans.columns if c != "version_id"), "upto")).alias("spans"))
+    s = s.join(texts.select("version_id", "text", break_offsets(F.col("text"), mark).alias("breaks")), "version_id").join(marks, "version_id", "left")
+    none = F.array().cast("array<struct<start:int,end:int,mark:string>>")
+
+    def piece(x: Column) -> Column:
+        inside = F.filter(F.coalesce("noise", none), lambda n: (n["mark"] != "") & (n["start"] >= x["start"]) & (n["start"] < x["upto"]))
+        raw = F.when(x["upto"] > x["start"], spliced(F.col("text"), x["start"], x["upto"], F.col("noise")))
+        return F.struct(x.alias("of"), raw.alias("raw"), F.transform(inside, lambda n: n["mark"]).alias("marks"), page_of_offset(x["start"], F.col("breaks")).alias("page_start"), page_of_offset(x["end"] - 1, F.col("breaks")).alias("page_end"))
+
+    s = s.select("version_id", F.explode(F.transform("spans", piece)).alias("p"))
+    bare = F.replace(F.regexp_replace("p.raw", r"(?s)<a\s+id='[^']*'>.*?</a>", ""), F.lit(mark), F.lit(""))
+    content = T.strip_text(without_heading(without_attributes(bare), F.col("p.of.title")))
+    s = s.withColumn("content", content).withColumn("missing", F.filter("p.marks", lambda m: ~F.coalesce(F.col("content"), F.lit("")).contains(m)))
     whole = F.array_join(F.filter(F.array(F.array_join("missing", "\n\n"), F.col("content")), lambda x: x != ""), "\n\n")
-    breaks = lambda upto: (F.length(F.substring("text", F.lit(1), upto)) - F.length(F.replace(F.substring("text", F.lit(1), upto), F.lit(mark), F.lit("")))) / len(mark)
-    return s.select(*spans.columns, F.when(F.col("end").isNotNull(), F.nullif(whole, F.lit(""))).alias("content"), (breaks(F.col("start")) + 1).cast("int").alias("page_start"), (breaks(F.col("end") - 1) + 1).cast("int").alias("page_end"))
+    page = lambda c, at: F.when(F.col(f"p.of.{at}").isNotNull(), F.col(f"p.{c}")).cast("int").alias(c)
+    own = [F.col("version_id") if c == "version_id" else F.col(f"p.of.`{c}`").alias(c) for c in spans.columns]
+    return s.select(*own, F.when(F.col("p.raw").isNotNull(), F.nullif(whole, F.lit(""))).alias("content"), page("page_start", "start"), page("page_end", "end"))
 
 
-def overlap_end(before: str, after: str, reach: int = 4000) -> int:
-    """Where what ``after`` repeats of the end of ``before`` ends: behind the furthest piece of that end that is found at its beginning."""
+def section_nodes(nodes: DataFrame, placed: DataFrame, texts: DataFrame, mark: str = T.PAGE_BREAK) -> DataFrame:
+    """The sections of a table of contents with all that is stored of them.
+
+    nodes: version_id, idx, path (titles joined by ``/``), level, title, chunk_id; placed: chunks with start and end. Returns version_id, idx, node_id, level, title, start, end, content,
+    page_start, page_end, score, heading_box (the first of the node's chunk), boxes (of its chunks before its first child's, by page) and
+    landing_chunks (id and type of tables and figures there).
+    """
+    bounds = section_bounds(nodes, placed, texts)
+    found = section_contents(bounds, texts, noise_intervals(placed), mark)
+    n = bounds.select("version_id", "idx", "first", F.when(F.col("child") > F.col("first"), F.col("child")).otherwise(F.col("until")).alias("last"))
+    reach = n.where("first is not null").withColumn("place", F.explode(F.sequence("first", F.greatest("first", F.col("last") - 1))))
+    number = F.row_number().over(Window.partitionBy("version_id").orderBy("pos")) - 1
+    c = placed.select("version_id", "id", "type", "boxes", number.alias("place"))
+    met = reach.join(c, ["version_id", "place"])
+    heads = F.max(F.when(F.col("place") == F.col("first"), F.struct(F.try_element_at("boxes", F.lit(1)).alias("box"), "boxes", "type")))
+    landing = F.transform(F.sort_array(F.collect_list(F.when(F.col("type").isin("table", "figure"), F.struct("place", "id", "type")))), lambda x: F.struct(x["id"].alias("id"), x["type"].alias("type")))
+    rows = F.flatten(F.transform(F.sort_array(F.collect_list(F.when((F.col("place") > F.col("first")) & (F.col("type") != "marginalia"), F.struct("place", "boxes")))), lambda x: F.coalesce(x["boxes"], F.array().cast(f"array<{BOX}>"))))
+    a = met.groupBy("version_id", "idx").agg(heads.alias("head"), landing.alias("landing_chunks"), rows.alias("rest"))
+    boxes = F.when(F.size("rest") > 0, F.col("rest")).when(F.col("head.type") != "marginalia", F.coalesce("head.boxes", F.array().cast(f"array<{BOX}>"))).otherwise(F.array().cast(f"array<{BOX}>"))
+    at = lambda f, c: lambda p: f(F.transform(F.filter("boxes", lambda b: b["page"] == p), lambda b: F.round(b[c], 6)))
+    by_page = lambda p: F.struct(p.alias("page"), at(F.array_min, "left")(p).alias("left"), at(F.array_min, "top")(p).alias("top"), at(F.array_max, "right")(p).alias("right"), at(F.array_max, "bottom")(p).alias("bottom"))
+    a = a.withColumn("boxes", boxes).withColumn("boxes", F.transform(F.array_sort(F.array_distinct(F.transform("boxes", lambda b: b["page"]))), by_page))
+    out = found.join(nodes.select("version_id", "idx", T.node_id(F.col("path")).alias("node_id")), ["version_id", "idx"]).join(a, ["version_id", "idx"], "left")
+    return out.select("version_id", "idx", "node_id", "level", "title", "start", "end", "content", "page_start", "page_end", "score", F.col("head.box").alias("heading_box"), "boxes", "landing_chunks")
+
+
+def overlap_end(before: str, after: str, reach: int = 4000, size: int = 60) -> int:
+    """Where what ``after`` repeats of the end of ``before`` ends: behind the last ``size`` characters in a row of its beginning that are in that end too."""
     tail, head = before[-reach:].strip(), after[: 2 * reach]
-    best = 0
-    for size in (300, 200, 150, 100, 60):
-        for at in range(0, len(tail) - size, max(size // 3, 20)):
-            piece = tail[at : at + size].strip()
-            found = head.find(piece) if len(piece) >= 40 else -1
-            best = max(best, found + len(piece) if found >= 0 else 0)
-    return best
+    known = {tail[k : k + size] for k in range(len(tail) - size + 1)}
+    return next((k + size for k in range(len(head) - size, -1, -1) if head[k : k + size] in known), 0)
+
+
+_TABLE_ID, _ANY_ID = re.compile(r'<table id="(\d+)-'), re.compile(r'\bid="(\d+)-')
+#: Pages that two parts have in common (a fixed value).
+OVERLAP_PAGES = 3
+
+
+def _table_shift(before: str, after: str, mark: str = T.PAGE_BREAK) -> int:
+    """What must be added to the numbers of tables in ``after``: the first table of the pages in common has one number, else they go on."""
+    numbers = lambda text: [int(x) for x in _TABLE_ID.findall(text)]
+    old, new = before.split(mark), after.split(mark)
+    common = numbers(mark.join(old[-OVERLAP_PAGES:]) if len(old) > OVERLAP_PAGES else before), numbers(mark.join(new[:OVERLAP_PAGES]))
+    if all(common):
+        return common[0][0] - common[1][0]
+    every = numbers(before), numbers(after)
+    return max(every[0]) + 1 - min(every[1]) if all(every) else 0
+
+
+def numbered_tables(parts: list[str]) -> list[str]:
+    """Parts of a document whose tables (``id="3-..."``) are numbered on from part to part, cells with them."""
+    out = parts[:1]
+    for part in parts[1:]:
+        shift = _table_shift(out[-1], part)
+        out.append(_ANY_ID.sub(lambda m, n=shift: f'id="{int(m[1]) + n}-', part) if shift else part)
+    return out
 
 
 def _joined(parts: list[str]) -> str:
-    out = parts[0].strip()
-    for part in map(str.strip, parts[1:]):
+    parts = numbered_tables([p.strip() for p in parts])
+    out = parts[0]
+    for part in parts[1:]:
         at = overlap_end(out, part)
         if at:
             line = part.find("\n", at)
@@ -229,7 +253,7 @@ def _joined(parts: list[str]) -> str:
 
 
 def join_parts(parts: DataFrame, join: Callable[[list[str]], str] = _joined) -> DataFrame:
-    """(version_id, text) of documents scanned in parts (version_id, part, text) whose ends overlap. One group is one document."""
+    """(version_id, text) of documents scanned in parts (version_id, part, text) whose ends overlap; tables are numbered on from part to part. One group is one document."""
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values("part")

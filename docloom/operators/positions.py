@@ -59,6 +59,11 @@ def stored_position(heading: Column, contents: Column, page_start: Column, page_
     return F.struct(*(F.coalesce(c, seen[k]).alias(k) for k, c in given.items()))
 
 
+def binary_round(x: Column, digits: int = 6) -> Column:
+    """A double to so many digits by its binary value, halves to even; ``round`` goes by its shortest decimal text instead."""
+    return F.replace(F.format_number(x, digits), F.lit(","), F.lit("")).cast("double")
+
+
 def apart(sections: DataFrame) -> DataFrame:
     """Sections whose headings share a box get places of their own inside it, by the lengths of their texts.
 
@@ -72,10 +77,10 @@ def apart(sections: DataFrame) -> DataFrame:
     s = s.withColumn("weight", F.when(F.col("all") > 0, F.col("weight")).otherwise(1.0)).withColumn("all", F.sum("weight").over(group))
     before = F.coalesce(F.sum("weight").over(group.orderBy("order").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
     top, bottom = F.col("heading_box.top"), F.col("heading_box.bottom")
-    s = s.withColumn("start", F.least(bottom, top + (bottom - top) * before / F.col("all")))
+    s = s.withColumn("start", F.least(bottom, top + (bottom - top) * (before / F.col("all"))))
     s = s.withColumn("next", F.coalesce(F.lead("start").over(group.orderBy("order")), bottom))
-    start = F.round(F.greatest(top, F.col("start")), 6)
-    end = F.round(F.greatest(start, F.least(bottom, F.col("next"))), 6)
+    start = binary_round(F.greatest(top, F.col("start")))
+    end = binary_round(F.greatest(start, F.least(bottom, F.col("next"))))
     shared = F.col("heading_box").isNotNull() & (F.col("n") > 1) & (bottom > top)
     moved = F.when(shared, F.col("position").withField("start_y", start).withField("end_y", end)).otherwise(F.col("position"))
     return s.withColumn("position", moved).select(*sections.columns)

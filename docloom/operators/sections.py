@@ -134,20 +134,36 @@ def best_interval(points: DataFrame, intervals: DataFrame) -> DataFrame:
 
 
 def section_at(points: DataFrame, sections: DataFrame) -> DataFrame:
-    """For each point (version_id, page, y or null) the section that it is in: the smallest that holds it, deeper and later ones first; else the nearest that begins before it; else null.
+    """For each point (version_id, page, y or null) the section that it is in: version_id, page, y, section_id.
 
-    sections: version_id, section_id, level, page_start, start_y, page_end, end_y (null ends: where they start).
+    Of the sections that hold the point: the one over the fewest pages, then the lowest on its page, the deepest, and the latest. If none does, of those that are
+    on its page by the same order without heights; else the latest that begins on an earlier page, the deepest of these; else null.
+
+    sections: version_id, section_id, level, page_start, start_y, page_end, end_y (a null last page: the first; on one page a single null height counts as 0).
+    A section is dealt to the pages that points of its version ask for, so that points meet by equality those that are on their page.
     """
-    at = F.struct(F.col("page").alias("page"), F.coalesce("y", F.lit(0.0)).alias("y"))
-    s = sections.select(
-        "version_id", "section_id", "level", F.struct(F.col("page_start").alias("page"), F.coalesce("start_y", F.lit(0.0)).alias("y")).alias("begins"),
-        F.struct(F.coalesce("page_end", "page_start").alias("page"), F.coalesce("end_y", F.lit(1.0)).alias("y")).alias("ends"),
-    ).where("begins.page is not null")
-    p = points.select("version_id", "page", "y", at.alias("at")).distinct()
-    met = p.join(s.withColumnRenamed("version_id", "of"), (F.col("version_id") == F.col("of")) & (F.col("begins") <= F.col("at")))
-    inside = F.col("at") <= F.col("ends")
-    span = F.struct((F.col("ends.page") - F.col("begins.page")).alias("pages"), (F.col("ends.y") - F.col("begins.y")).alias("ys"))
-    best = F.min(F.when(inside, F.struct(span.alias("span"), (-F.col("level")).alias("up"), F.struct(-F.col("begins.page"), -F.col("begins.y")).alias("back"), "section_id")))
-    near = F.max(F.struct("begins", "level", "section_id"))
-    found = met.groupBy("version_id", "at").agg(best.alias("best"), near.alias("near")).select(F.col("version_id").alias("of"), F.col("at").alias("place"), F.coalesce("best.section_id", "near.section_id").alias("section_id"))
-    return p.join(found, (F.col("version_id") == F.col("of")) & (F.col("at") == F.col("place")), "left").select("version_id", "page", "y", "section_id")
+    unit = lambda c: F.least(F.greatest(F.coalesce(c, F.lit(0.0)), F.lit(0.0)), F.lit(1.0))
+    p = points.select("version_id", "page", "y").distinct()
+    s = sections.where("page_start is not null").select("version_id", "section_id", F.coalesce("level", F.lit(0)).alias("level"), F.col("page_start").alias("first"), F.coalesce("page_end", "page_start").alias("last"), "start_y", "end_y")
+    asked = p.groupBy("version_id").agg(F.sort_array(F.collect_set("page")).alias("pages"))
+    held = s.join(asked, "version_id").withColumn("page", F.explode(F.filter("pages", lambda x: (x >= F.col("first")) & (x <= F.col("last"))))).drop("pages")
+    pages = F.col("last") - F.col("first")
+    by_page = held.groupBy("version_id", "page").agg(F.min(F.struct(pages.alias("pages"), -F.col("level"), -F.col("first"), "section_id")).alias("best")).select("version_id", "page", F.col("best.section_id").alias("on_page"))
+    one, y = F.col("first") == F.col("last"), unit(F.col("y"))
+    low, high = unit(F.col("start_y")), unit(F.col("end_y"))
+    blank = F.col("start_y").isNull() & F.col("end_y").isNull()
+    above = (F.col("page") == F.col("first")) & F.coalesce(y < low, F.lit(False)) & F.col("start_y").isNotNull()
+    under = (F.col("page") == F.col("last")) & F.col("end_y").isNotNull() & (y > high)
+    holds = F.when(one, blank | ((low <= y) & (y <= high))).otherwise(~above & ~under)
+    span = F.when(~one, (pages + 1).cast("double")).when(blank, 1.0).otherwise(F.greatest(high - low, F.lit(0.0)))
+    inside = p.join(held, ["version_id", "page"]).where(holds)
+    best = inside.groupBy("version_id", "page", "y").agg(F.min(F.struct(pages.alias("pages"), span.alias("span"), -F.col("level"), -F.col("first"), -low, "section_id")).alias("best")).select("version_id", F.col("page"), F.col("y"), F.col("best.section_id").alias("at_point"))
+    # pages and beginnings in one order: the latest beginning before each page
+    starts = s.groupBy("version_id", F.col("first").alias("page")).agg(F.max_by("section_id", F.struct("level", F.col("section_id") * -1)).alias("begins"))
+    order = Window.partitionBy("version_id").orderBy("page", F.col("begins").isNull()).rowsBetween(Window.unboundedPreceding, 0)
+    both = starts.union(p.select("version_id", "page", F.lit(None).cast(starts.schema["begins"].dataType)).distinct())
+    before = both.withColumn("before", F.last("begins", ignorenulls=True).over(order)).where("begins is null").select("version_id", "page", "before")
+    same_y = (F.col("p.version_id") == F.col("b.version_id")) & (F.col("p.page") == F.col("b.page")) & F.col("p.y").eqNullSafe(F.col("b.y"))
+    out = p.alias("p").join(best.alias("b"), same_y, "left").select("p.version_id", "p.page", "p.y", "b.at_point")
+    out = out.join(by_page, ["version_id", "page"], "left").join(before, ["version_id", "page"], "left")
+    return out.select("version_id", "page", "y", F.coalesce("at_point", "on_page", "before").alias("section_id"))

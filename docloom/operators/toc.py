@@ -126,55 +126,65 @@ def clear_contradictions(nodes: DataFrame, kept: DataFrame, landmark: Column) ->
     return nodes.join(mark, ["version_id", "idx"], "left").withColumn("chunk_id", F.when(keep, F.col("chunk_id"))).select(*nodes.columns)
 
 
-def _merge(base: list[dict], updated: list[dict], lock: int) -> list[dict]:
-    """Both lists of rows of one document: nodes of ``base``, each followed by new nodes that ``updated`` has below it."""
-    children: dict[str, list[dict]] = {}
-    for row in updated:
-        children.setdefault(row["path"].rpartition("/")[0], []).append(row)
-    keys_at: dict[str, set] = {}
-    known = {r["path"] for r in base}
-    for r in base:
-        keys_at.setdefault(r["path"].rpartition("/")[0], set()).add(r["key"])
+def _tree(rows: list[dict]) -> list[dict]:
+    """Rows in pre-order as roots with ``below``."""
+    roots, open_ = [], []
+    for r in rows:
+        node = {**r, "below": []}
+        open_ = [x for x in open_ if x["level"] < r["level"]]
+        (open_[-1]["below"] if open_ else roots).append(node)
+        open_.append(node)
+    return roots
+
+
+def _names(nodes: Iterable[dict]) -> set[str]:
+    return {n["name"] for n in nodes} | {x for n in nodes for x in _names(n["below"])}
+
+
+def _without(nodes: list[dict], name: str) -> list[dict]:
+    return [{**n, "below": _without(n["below"], name)} for n in nodes if n["name"] != name]
+
+
+def _merge(base: list[dict], updated: list[dict], lock: int, depth: int = 1, above: frozenset = frozenset()) -> list[dict]:
+    """Siblings of both trees at one depth: those of the base in their order, then new ones."""
+    if not updated:
+        return base
+    new, known = {n["name"]: n for n in updated}, {n["name"] for n in base}
+    for name in (n["name"] for n in updated if depth > lock and n["name"] not in known):
+        # what stands deeper in the base moves up to where the update has it
+        k = next((k for k, n in enumerate(base) if name in _names(n["below"])), None)
+        if k is not None:
+            base = [*base[:k], {**base[k], "below": _without(base[k]["below"], name)}, *base[k + 1 :]]
+    keys = frozenset(n["key"] for n in base if n["key"])
     out = []
-
-    def new_below(parent: str, level: int) -> Iterable[dict]:
-        above = keys_at.get(parent.rpartition("/")[0], set()) if parent else set()
-        for row in children.get(parent, ()):
-            if row["path"] not in known and level > lock and (row["key"] is None or row["key"] not in above):
-                known.add(row["path"])
-                yield row
-                yield from new_below(row["path"], level + 1)
-
-    # pre-order of the base; new nodes come behind the last node below their parent
-    open_: list[dict] = []
-    for r in base + [{"path": "", "level": 0}]:
-        while open_ and open_[-1]["level"] >= r["level"]:
-            done = open_.pop()
-            out += new_below(done["path"], done["level"] + 1)
-        if r["level"]:
-            out.append(r)
-            open_.append(r)
-    out += new_below("", 1)
-    return out
+    for n in base:
+        theirs = new[n["name"]]["below"] if n["name"] in new else []
+        # a node without children takes all that are offered, whatever is locked, but none that is numbered like its siblings
+        out.append({**n, "below": _merge(n["below"], theirs, lock, depth + 1, keys) if n["below"] else [c for c in theirs if c["key"] not in keys]})
+    return out + [n for n in updated if depth > lock and n["name"] not in known and not (n["key"] and n["key"] in above)]
 
 
 def merge(base: DataFrame, updated: DataFrame, lock_level: int = 1) -> DataFrame:
-    """Two tables of contents of each version as one: nodes of ``base`` stay in their order, and nodes of ``updated`` that it lacks follow below their parent.
+    """Two tables of contents of each version as one: nodes of ``base`` stay in their order, and nodes of ``updated`` that it lacks follow behind their siblings.
 
-    Nodes are the same if the titles on their way are, headings' marks aside. Levels up to ``lock_level`` get no new nodes, and a node with the
+    Siblings are the same if their titles are, headings' marks aside; the tree is that of idx and level, so titles may hold anything. A node that the update has
+    higher up moves there. Levels up to ``lock_level`` get no new nodes, but a node without children takes those of the update, and a node with the
     structural key (chapter 3) of a node of its parent's level is no child of that. One group is one document's table of contents.
     """
     columns = ["version_id", "idx", "path", "level", "title", "chunk_id"]
-    keyed = lambda df, side: df.select(*columns, F.concat_ws(" ", structural_key(F.col("title"))).alias("key"), F.lit(side).alias("side"))
-    both = keyed(base, 0).union(keyed(updated, 1)).withColumn("path", F.array_join(F.transform(F.split("path", "/"), title_key), "/"))
+    keyed = lambda df, side: df.select(*columns, title_key(F.col("title")).alias("name"), F.concat_ws(" ", structural_key(F.col("title"))).alias("key"), F.lit(side).alias("side"))
+    both = keyed(base, 0).union(keyed(updated, 1))
+
+    def rows(nodes: list[dict], path: str = "", level: int = 1) -> Iterable[dict]:
+        for n in nodes:
+            own = f"{path}/{n['name']}" if path else n["name"]
+            yield {**n, "path": own, "level": level}
+            yield from rows(n["below"], own, level + 1)
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values(["side", "idx"]).astype(object).where(lambda f: f.notna(), None)
-        rows = frame.to_dict("records")
-        for r in rows:
-            r["key"] = r["key"] or None
-        out = _merge([r for r in rows if r["side"] == 0], [r for r in rows if r["side"] == 1], lock_level)
-        return pd.DataFrame([{**r, "idx": i} for i, r in enumerate(out)], columns=columns)
+        sides = [_tree([{**r, "key": r["key"] or None} for r in frame[frame["side"] == k].to_dict("records")]) for k in (0, 1)]
+        return pd.DataFrame([{**r, "idx": i} for i, r in enumerate(rows(_merge(*sides, lock_level)))], columns=columns)
 
     kinds = dict(base.dtypes)
     return both.groupBy("version_id").applyInPandas(run, f"version_id {kinds['version_id']}, idx int, path string, level int, title string, chunk_id string")

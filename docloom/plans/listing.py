@@ -9,8 +9,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docloom.functions.text import STATION_KEY, literal_search_key, search_key
-from docloom.operators.access import ADMIN, access_scope, can_manage, station_scope, visible_chain
+from docloom.operators.access import ADMIN, access_scope, can_manage, chains, station_scope, visible_chain
 from docloom.operators.versions import active_versions
+from docloom.session import cut
 
 SEARCHED = ("title", "disease", "publisher", "specialty")
 
@@ -35,11 +36,13 @@ def tenant_guidelines(guidelines: DataFrame, users: DataFrame, user_id: int, use
     if user_role == ADMIN:
         return wanted
     me = users.where(F.col("user_id") == user_id).select("user_id")
-    own, sharing = visible_chain(users, me)
+    # one walk for both rules; a row for each user above this one
+    chain = cut(chains(users, me))
+    own, sharing = visible_chain(users, chain=chain)
     admins = users.where(F.col("role") == ADMIN).select(F.col("user_id").alias("owner_id"))
     seen = own.select("owner_id") if sharing.isEmpty() else own.select("owner_id").union(admins).distinct()
     out = wanted.join(seen, "owner_id", "left_semi")
-    if not station_scope(users, me).where("in_scope").isEmpty():
+    if not station_scope(users, chain=chain).where("in_scope").isEmpty():
         out = out.where(search_key(F.col("specialty")) == STATION_KEY)
     return out.select(*guidelines.columns)
 
