@@ -209,10 +209,12 @@ def section_nodes(nodes: DataFrame, placed: DataFrame, texts: DataFrame, mark: s
 
 
 def overlap_end(before: str, after: str, reach: int = 4000, size: int = 60) -> int:
-    """Where what ``after`` repeats of the end of ``before`` ends: behind the last ``size`` characters in a row of its beginning that are in that end too."""
+    """Where what ``after`` repeats of the end of ``before`` ends: behind the furthest place at which ``size`` characters of that end stand first in its beginning."""
     tail, head = before[-reach:].strip(), after[: 2 * reach]
-    known = {tail[k : k + size] for k in range(len(tail) - size + 1)}
-    return next((k + size for k in range(len(head) - size, -1, -1) if head[k : k + size] in known), 0)
+    first: dict[str, int] = {}
+    for k in range(len(head) - size + 1):
+        first.setdefault(head[k : k + size], k + size)
+    return max((first.get(tail[k : k + size], 0) for k in range(len(tail) - size + 1)), default=0)
 
 
 _TABLE_ID, _ANY_ID = re.compile(r'<table id="(\d+)-'), re.compile(r'\bid="(\d+)-')
