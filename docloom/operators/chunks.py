@@ -6,6 +6,7 @@ texts: version_id, text. chunks: version_id, pos (order), id, type, text, boxes
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Callable
 
 import pandas as pd
@@ -209,12 +210,20 @@ def section_nodes(nodes: DataFrame, placed: DataFrame, texts: DataFrame, mark: s
 
 
 def overlap_end(before: str, after: str, reach: int = 4000, size: int = 60) -> int:
-    """Where what ``after`` repeats of the end of ``before`` ends: behind the furthest place at which ``size`` characters of that end stand first in its beginning."""
+    """Where what ``after`` repeats of the end of ``before`` ends.
+
+    Runs of ``size`` characters that both have are counted by how far the two texts are shifted there; the end is that of the furthest run whose
+    shift is within 200 of the commonest one, so that a stray sentence that both have elsewhere does not count.
+    """
     tail, head = before[-reach:].strip(), after[: 2 * reach]
     first: dict[str, int] = {}
     for k in range(len(head) - size + 1):
-        first.setdefault(head[k : k + size], k + size)
-    return max((first.get(tail[k : k + size], 0) for k in range(len(tail) - size + 1)), default=0)
+        first.setdefault(head[k : k + size], k)
+    met = [(k - first[tail[k : k + size]], first[tail[k : k + size]]) for k in range(len(tail) - size + 1) if tail[k : k + size] in first]
+    if not met:
+        return 0
+    shift = Counter(x for x, _ in met).most_common(1)[0][0]
+    return max(at for x, at in met if abs(x - shift) <= 200) + size
 
 
 _TABLE_ID, _ANY_ID = re.compile(r'<table id="(\d+)-'), re.compile(r'\bid="(\d+)-')
