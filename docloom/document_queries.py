@@ -267,6 +267,18 @@ def search_windows(spark, d):
     return toc.windows(r, toc.landmarks(m), r.select("version_id").distinct().withColumn("n", F.lit(500))).select("version_id", "first", "low", "high")
 
 
+@query("""WITH w AS (SELECT o_custkey AS version_id, o_orderkey AS first, o_custkey % 700 AS low, least(900, o_custkey % 700 + 10 + o_orderkey % 400) AS high FROM orders), h AS (SELECT o_orderkey AS first, o_custkey % 700 + l_partkey % (10 + o_orderkey % 200) AS p FROM lineitem JOIN orders ON l_orderkey = o_orderkey),
+e AS (SELECT first, min(p) AS least, max(p) AS largest FROM h GROUP BY 1), x AS (SELECT w.*, least, largest, high - low AS size, greatest(5, CAST(floor((high - low) * CAST(0.15 AS DOUBLE)) AS BIGINT)) AS edge FROM w JOIN e ON e.first = w.first),
+y AS (SELECT *, CASE WHEN least < low + edge THEN greatest(0, low - size) ELSE low END AS a, CASE WHEN largest > high - 1 - edge THEN least(900, high + size) ELSE high END AS b, greatest(0, (least + largest) // 2 - 300) AS m FROM x)
+SELECT version_id, first, CAST(CASE WHEN b - a > 600 THEN greatest(0, least(900, m + 600) - 600) ELSE a END AS INTEGER) AS low, CAST(CASE WHEN b - a > 600 THEN least(900, m + 600) ELSE b END AS INTEGER) AS high FROM y WHERE a <> low OR b <> high""")
+def windows_at_edges(spark, d):
+    o, item = read_table(spark, d, "orders"), read_table(spark, d, "lineitem").select("l_orderkey", "l_partkey")
+    low = F.col("o_custkey") % 700
+    w = o.select(F.col("o_custkey").alias("version_id"), F.col("o_orderkey").alias("first"), low.alias("low"), F.least(F.lit(900), low + 10 + F.col("o_orderkey") % 400).alias("high"))
+    hits = o.join(item, F.col("o_orderkey") == F.col("l_orderkey")).select(F.col("o_custkey").alias("version_id"), F.col("o_orderkey").alias("first"), (low + F.col("l_partkey") % (F.col("o_orderkey") % 200 + 10)).alias("position"))
+    return toc.expand_at_edges(w, hits, w.select("version_id").distinct().withColumn("n", F.lit(900))).select("version_id", "first", "low", "high")
+
+
 @query("""WITH p AS (SELECT user_id AS version_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS page, event_type FROM events), f AS (SELECT version_id, min(page) AS first FROM p WHERE event_type = 'click' AND page < 20 GROUP BY 1)
 SELECT f.version_id, f.first, coalesce((SELECT min(page) FROM p WHERE p.version_id = f.version_id AND page > first AND page <= first + 14 AND event_type = 'error') - 1, (SELECT max(page) FROM p WHERE p.version_id = f.version_id AND page > first AND page <= first + 14), f.first) AS last FROM f""")
 def contiguous_contents(spark, d):

@@ -66,6 +66,31 @@ def windows(ranges: DataFrame, marks: DataFrame, n_chunks: DataFrame, buffer: in
     return r.select(*ranges.columns, low.cast("int").alias("low"), high.cast("int").alias("high"))
 
 
+# The share of a window that is its edge (5 positions at least), how often as wide it becomes, and its most positions.
+EDGE, WIDER, WIDEST = 0.15, 2, 600
+
+
+def expand_at_edges(found: DataFrame, hits: DataFrame, n_chunks: DataFrame) -> DataFrame:
+    """Windows (version_id, first, low, high) to look in again, as what was found in them lies at an edge: with new ``low`` and ``high``.
+
+    hits: version_id, first, position; n_chunks: version_id, n. A window grows by its own size on the side, or sides, of the edge; one that would be
+    over ``WIDEST`` lies around the middle of its hits instead. Windows without hits, or with none at an edge, or that cannot grow, are left out. Only
+    the least and largest hit of a window move.
+    """
+    ends = hits.groupBy("version_id", "first").agg(F.min("position").alias("least"), F.max("position").alias("largest"))
+    w = found.join(ends, ["version_id", "first"]).join(n_chunks, "version_id")
+    size = F.greatest(F.lit(1), F.col("high") - F.col("low"))
+    edge = F.greatest(F.lit(5), F.floor(size * EDGE))
+    w = w.withColumn("left", F.when(F.col("least") < F.col("low") + edge, F.greatest(F.lit(0), F.col("low") - size * (WIDER - 1))).otherwise(F.col("low")))
+    w = w.withColumn("right", F.when(F.col("largest") > F.col("high") - 1 - edge, F.least(F.col("n"), F.col("high") + size * (WIDER - 1))).otherwise(F.col("high")))
+    w = w.where((F.col("left") != F.col("low")) | (F.col("right") != F.col("high")))
+    middle = F.greatest(F.lit(0), F.floor((F.col("least") + F.col("largest")) / 2) - WIDEST // 2)
+    end = F.least(F.col("n"), middle + WIDEST)
+    wide = F.col("right") - F.col("left") > WIDEST
+    low, high = F.when(wide, F.greatest(F.lit(0), end - WIDEST)).otherwise(F.col("left")), F.when(wide, end).otherwise(F.col("right"))
+    return w.select(*(c for c in found.columns if c not in ("low", "high")), low.cast("int").alias("low"), high.cast("int").alias("high"))
+
+
 def inherit_deep(nodes: DataFrame, from_level: int = DEEP + 1) -> DataFrame:
     """Nodes of level ``from_level`` and deeper without a chunk take that of the nearest node above that has one, if all between are as deep.
 

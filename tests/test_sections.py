@@ -230,3 +230,30 @@ def test_heights_round_by_their_binary_value(spark, share):
     y = 0.2 + (0.7 - 0.2) * (share[0] / share[1])
     df = spark.createDataFrame(pd.DataFrame({"y": [y, 0.0000005, 0.0000015]}))
     assert [r[0] for r in df.select(positions.binary_round(F.col("y"))).collect()] == [round(y, 6), round(0.0000005, 6), round(0.0000015, 6)]
+
+
+def test_contradictions_lose_their_chunks_but_landmarks_do_not(spark):
+    nodes = spark.createDataFrame([(1, k, f"t{k}", 1, f"t{k}", c) for k, c in enumerate(["a", "z", "b", "y", None])], NODE)
+    kept = spark.createDataFrame([(1, 0), (1, 2)], "version_id long, idx int")
+    got = toc.clear_contradictions(nodes, kept, F.col("idx") == 3).orderBy("idx").collect()
+    assert [r["chunk_id"] for r in got] == ["a", None, "b", "y", None]
+
+
+def test_pages_and_anchors_of_offsets(spark):
+    text = "one <br> two <br> three <a id='x'></a>"
+    df = spark.createDataFrame([(text,)], "t string").withColumn("b", positions.break_offsets(F.col("t"), "<br>"))
+    r = df.select("b", *(positions.page_of_offset(F.lit(k), F.col("b")).alias(f"p{k}") for k in (0, 4, 12, 13, 30)), positions.anchor_offset(F.col("t"), F.lit("x")).alias("a"), positions.anchor_offset(F.col("t"), F.lit("y")).alias("n")).first()
+    assert r["b"] == [4, 13] and [r[f"p{k}"] for k in (0, 4, 12, 13, 30)] == [1, 2, 2, 3, 3] and (r["a"], r["n"]) == (text.index("<a"), -1)
+
+
+def test_boxes_of_chunks_in_their_order(spark):
+    box = (0, 0.1, 0.2, 0.9, 0.3)
+    c = spark.createDataFrame([(1, "a", "text", [box]), (1, "b", "figure", [])], f"version_id long, id string, type string, boxes array<{positions.BOX}>")
+    s = spark.createDataFrame([(1, 7, ["b", "zz", "a"])], "version_id long, section_id int, chunk_ids array<string>")
+    got = chunks.with_boxes(s, c).first()["chunks"]
+    assert [(x["id"], x["type"]) for x in got] == [("b", "figure"), ("zz", None), ("a", "text")] and got[0]["box"] is None and tuple(got[2]["box"]) == box
+
+
+def test_pixels_and_flipped_heights(spark):
+    r = spark.range(1).select(positions.in_pixels(F.struct(*(F.lit(v).alias(k) for k, v in zip(("left", "top", "right", "bottom"), (0.1, 0.2, 0.5, 0.4), strict=True))), F.lit(100), F.lit(200)).alias("p"), positions.flipped(F.lit(30.0), F.lit(100.0)).alias("y")).first()
+    assert [round(x, 6) for x in r["p"]] == [10, 40, 40, 40] and r["y"] == 70
