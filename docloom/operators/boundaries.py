@@ -48,12 +48,12 @@ def _numbers_inside(line: Column, number: Column) -> Column:
     return F.slice(ends, 1, F.size(ends) - 1)
 
 
-def heading_candidates(titles: DataFrame, texts: DataFrame, least: float = SCORE) -> DataFrame:
+def heading_candidates(titles: DataFrame, texts: DataFrame, least: float = SCORE, beginnings: bool = True) -> DataFrame:
     """Places in texts whose words have a Dice coefficient of ``least`` or more with a title: version_id, section_id, offset, kind, score.
 
     titles: version_id, section_id, title. A line counts with its words; one that begins with the title's number only up to a `` | ``. A number
     inside a line counts with what follows up to a `` | ``. Either is 0.9 at least if it begins with the number and is not much longer
-    than the title. Of kind ``BEGINNING`` a line counts with its first words, and not if its number or letter is another.
+    than the title. Of kind ``BEGINNING`` (with ``beginnings``) a line counts with its first words, and not if its number or letter is another.
 
     A coefficient of t needs t / (2 - t) of a title's words in the line. So a line that has none of the title's rarest words but that many
     can't reach it: titles and lines meet by those alone, and a word that is on every line brings no pairs. Titles without words have
@@ -68,7 +68,7 @@ def heading_candidates(titles: DataFrame, texts: DataFrame, least: float = SCORE
     # what is said of a line is computed once, before it meets titles
     in_order = F.filter(F.split(F.regexp_replace(F.lower("clean"), r"[^\p{L}\p{N}_]+", " "), " "), lambda w: w != "")
     lines = lines.withColumns({
-        "every": T.words(F.col("line")), "b": T.words(F.col("clean")), "bar": T.words(_to_bar(F.col("clean"))), "in_order": in_order,
+        "every": T.words(F.col("line")), "b": T.words(F.col("clean")), "bar": F.when(F.contains("clean", F.lit(" | ")), T.words(_to_bar(F.col("clean")))), "in_order": in_order,
         "line_letter": F.nullif(F.upper(F.regexp_extract("clean", _LETTER, 1)), F.lit("")), "line_number": F.nullif(F.regexp_replace(F.regexp_extract("clean", _NUMBER, 1), r"\.+$", ""), F.lit("")),
     })
     by_word = lines.select("version_id", "offset", F.explode("every").alias("word"))
@@ -85,7 +85,7 @@ def heading_candidates(titles: DataFrame, texts: DataFrame, least: float = SCORE
     raised = lambda s: F.when(s["near"], F.greatest(s["dice"], F.lit(0.9))).otherwise(s["dice"])
     met = met.withColumn("numbered", starts(F.col("clean")))
     numbered = F.col("numbered")
-    line = F.struct(F.lit(LINE).alias("kind"), F.lit(0).alias("at"), scored(F.when(numbered, F.col("bar")).otherwise(F.col("b")), numbered).alias("s"))
+    line = F.struct(F.lit(LINE).alias("kind"), F.lit(0).alias("at"), scored(F.when(numbered, F.coalesce("bar", "b")).otherwise(F.col("b")), numbered).alias("s"))
     # a number's part of a line, with its words
     parts = F.transform(_numbers_inside(F.col("line"), F.col("number")), lambda p: F.struct(p.alias("at"), bare_line(_to_bar(F.substring(F.col("line"), p + 1, F.length("line")))).alias("sub")))
     parts = F.transform(parts, lambda x: F.struct(x["at"].alias("at"), starts(x["sub"]).alias("begins"), T.words(x["sub"]).alias("b")))
@@ -94,7 +94,7 @@ def heading_candidates(titles: DataFrame, texts: DataFrame, least: float = SCORE
     first_words = F.array_distinct(F.slice("in_order", 1, F.greatest(2 * F.size("a"), F.lit(10))))
     other = F.coalesce(F.when(F.col("letter").isNotNull(), F.coalesce(F.col("line_letter") != F.col("letter"), F.col("line_number").isNotNull())).otherwise(F.col("line_number") != F.col("own")), F.lit(False))
     beginning = F.struct(F.lit(BEGINNING).alias("kind"), F.lit(0).alias("at"), F.struct(F.when(other, 0.0).otherwise(T.dice(F.col("a"), first_words)).alias("dice"), F.lit(False).alias("near")).alias("s"))
-    found = met.withColumn("x", F.explode(F.concat(F.array(line, beginning), F.coalesce(inside, F.array().cast("array<struct<kind:int,at:int,s:struct<dice:double,near:boolean>>>"))))).where(F.col("x.s.dice") >= least)
+    found = met.withColumn("x", F.explode(F.concat(F.array(line, beginning) if beginnings else F.array(line), F.coalesce(inside, F.array().cast("array<struct<kind:int,at:int,s:struct<dice:double,near:boolean>>>"))))).where(F.col("x.s.dice") >= least)
     return found.select("version_id", "section_id", (F.col("offset") + F.col("x.at")).alias("offset"), F.col("x.kind").alias("kind"), raised(F.col("x.s")).alias("score"))
 
 
@@ -105,7 +105,7 @@ def find_headings(titles: DataFrame, texts: DataFrame, score: float = SCORE, win
     belongs to it if it begins there.
     """
     reach = titles.select("version_id", "section_id", "low", F.coalesce("high", F.col("low") + window).alias("high"))
-    met = heading_candidates(titles, texts, score).where(F.col("kind") != BEGINNING).join(reach, ["version_id", "section_id"]).where("offset >= low and offset < high")
+    met = heading_candidates(titles, texts, score, beginnings=False).join(reach, ["version_id", "section_id"]).where("offset >= low and offset < high")
     best = met.groupBy("version_id", "section_id").agg(F.max(F.struct("score", -F.col("offset"))).alias("best"))
     return best.select("version_id", "section_id", (-F.col("best.col2")).alias("offset"), F.col("best.score").alias("score"))
 
