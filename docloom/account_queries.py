@@ -7,11 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from docloom.functions import outline
 from docloom.functions import text as T
 from docloom.operators import access, users, versions
-from docloom.session import read_table
+from docloom.session import new_folder, read_table
 from docloom.sources import roles
 from docloom.sources.roles import ACTIVE
+from docloom.streaming import job_feed
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -181,3 +183,37 @@ def specialties(spark, d):
 @query(f"WITH RECURSIVE {_BELOW}, h AS (SELECT user_id AS top, user_id, 0 AS d FROM below UNION ALL SELECT h.top, a.user_id, h.d + 1 FROM h JOIN acc a ON a.parent_id = h.user_id) SELECT top AS user_id, max(d) AS height FROM h GROUP BY top")
 def delete_order(spark, d):
     return access.delete_order(accounts(spark, d), 12)
+
+
+@query("""WITH RECURSIVE e AS (SELECT user_id // 3 AS version_id, user_id AS job_id, ts AS moment, CASE event_type WHEN 'view' THEN 'queued' WHEN 'click' THEN 'running' WHEN 'purchase' THEN 'succeeded' WHEN 'error' THEN 'failed' END AS event FROM events WHERE event_type IN ('view', 'click', 'purchase', 'error')),
+o AS (SELECT *, row_number() OVER (PARTITION BY version_id ORDER BY moment, job_id, CASE event WHEN 'queued' THEN 1 WHEN 'running' THEN 2 WHEN 'succeeded' THEN 3 ELSE 4 END) AS n FROM e),
+w AS (SELECT DISTINCT version_id, CAST(0 AS BIGINT) AS n, CAST(NULL AS BIGINT) AS active, CAST(NULL AS VARCHAR) AS state, CAST(NULL AS VARCHAR) AS outcome FROM o
+  UNION ALL SELECT w.version_id, o.n, CASE WHEN active IS NULL AND event = 'queued' THEN job_id WHEN active = job_id AND state = 'running' AND event IN ('succeeded', 'failed') THEN NULL ELSE active END,
+    CASE WHEN active IS NULL THEN CASE WHEN event = 'queued' THEN 'queued' END WHEN active = job_id AND state = 'queued' AND event = 'running' THEN 'running' WHEN active = job_id AND state = 'running' AND event IN ('succeeded', 'failed') THEN NULL ELSE state END,
+    CASE WHEN event = 'queued' THEN CASE WHEN active IS NULL THEN 'accepted' ELSE 'refused' END WHEN active = job_id AND state = 'queued' AND event = 'running' THEN 'started' WHEN active = job_id AND state = 'running' AND event IN ('succeeded', 'failed') THEN 'ended' ELSE 'ignored' END
+  FROM w JOIN o ON o.version_id = w.version_id AND o.n = w.n + 1)
+SELECT o.version_id, job_id, moment AS at, event, outcome FROM w JOIN o ON o.version_id = w.version_id AND o.n = w.n""")
+def job_admissions(spark, d):
+    """The table of events read as a stream into a table of outcomes, in the shared checkpoint folder."""
+    kind = F.when(F.col("event_type") == "view", "queued").when(F.col("event_type") == "click", "running").when(F.col("event_type") == "purchase", "succeeded").when(F.col("event_type") == "error", "failed")
+    e = spark.readStream.schema(read_table(spark, d, "events").schema).parquet(f"{d}/events.parquet*")
+    out = job_feed.admit(e.select(F.floor(F.col("user_id") / 3).alias("version_id"), F.col("user_id").alias("job_id"), F.col("ts").alias("at"), kind.alias("event")))
+    folder = new_folder(spark, "job-admissions")
+    job_feed.append_to(out, f"{folder}/table", f"{folder}/checkpoint").awaitTermination()
+    return spark.read.schema(out.schema).parquet(f"{folder}/table")
+
+
+@query("""SELECT c_custkey, CASE WHEN c_mktsegment = 'BUILDING' AND c_custkey % 2 = 0 THEN 'station' || substr(lower(c_name), 9) || '@health.vn' END AS moved, 'a' || c_custkey || '_ocr.md' AS scanned,
+  CASE c_mktsegment WHEN 'BUILDING' THEN 'Bảng biểu' WHEN 'MACHINERY' THEN 'Hình ảnh' ELSE upper(substr(c_mktsegment, 1, 1)) || substr(lower(c_mktsegment), 2) END AS kind FROM customer""")
+def display_names(spark, d):
+    """Addresses under another domain, names of scanned texts, and what kinds of assets are called."""
+    k, segment = F.col("c_custkey").cast("string"), F.lower("c_mktsegment")
+    address = F.concat(F.lit("mailto: "), F.when(F.col("c_custkey") % 2 == 0, F.col("c_name")).otherwise(F.concat(F.lit("x"), "c_name")), F.lit("@"), segment, F.lit(".vn;"))
+    name = F.when(F.col("c_custkey") % 3 == 0, F.concat(F.lit(" a"), k, F.lit(".pdf "))).when(F.col("c_custkey") % 3 == 1, "  ")
+    kind = F.when(segment == "building", "table").when(segment == "machinery", "chart").otherwise(segment)
+    return read_table(spark, d, "customer").select("c_custkey", T.moved_email(address, "building.vn", "health.vn", "customer", "station").alias("moved"), outline.source_name(name, F.concat(F.lit("/data/9/a"), k, F.lit(".pdf"))).alias("scanned"), outline.asset_label(kind).alias("kind"))
+
+
+@query(f"""WITH {_ACCOUNTS} SELECT user_id, CASE role WHEN 'admin' THEN 'Admin' WHEN 'health_department' THEN 'Sở y tế' WHEN 'hospital' THEN 'Bệnh viện' WHEN 'health_station' THEN 'Trạm y tế' WHEN 'doctor' THEN 'Bác sĩ' END AS label FROM acc""")
+def role_labels(spark, d):
+    return accounts(spark, d).select("user_id", outline.role_label(F.col("role")).alias("label"))

@@ -100,6 +100,23 @@ def route_documents(spark, d):
     return toc.route(m).select("version_id", "reason")
 
 
+@query(rf"""WITH {_SECTIONS}, l AS (SELECT version_id, content AS c FROM sections),
+m AS (SELECT d.doc_id AS version_id, source AS creator, CAST(length(text) // 500 + 1 AS BIGINT) AS page_count, count(c) FILTER (length(c) BETWEEN 1 AND 60) AS entries, count(c) FILTER (length(c) BETWEEN 1 AND 60 AND NOT regexp_matches(c, '\d')) AS actionable, CASE WHEN bool_or(contains(c, ':')) THEN 2 ELSE 1 END AS depth, lang = 'en' AS visible, source = 'web' AS struct_tree,
+  CAST(length(text) - length(replace(text, ' ', '')) AS BIGINT) AS words FROM documents d LEFT JOIN l ON l.version_id = d.doc_id GROUP BY ALL),
+x AS (SELECT *, entries >= 1 AND actionable >= CAST(0.7 AS DOUBLE) * entries AS native, entries >= 8 AND (depth >= 2 OR entries >= CAST(0.12 AS DOUBLE) * page_count) AS rich FROM m WHERE page_count IS NOT NULL),
+y AS (SELECT *, native AND CASE WHEN contains(creator, 'coreldraw') AND NOT visible THEN true ELSE NOT (visible OR struct_tree OR rich) AND depth <= 1 AND entries <= least(6, greatest(3, page_count // 8)) END AS weak FROM x)
+SELECT version_id, rich, weak, CASE WHEN NOT native THEN 'missing_native_outline_tree' WHEN words < 30 THEN 'native_outline_but_text_layer_unextractable' WHEN weak THEN 'extractable_text_but_weak_document_structure' ELSE 'native_outline_tree_and_extractable_text' END AS reason FROM y""")
+def document_structure(spark, d):
+    """Short lines as bookmarks, those without a digit leading somewhere: which documents have a rich or a weak structure, and the way each goes."""
+    t, lines = F.col("text"), F.filter(F.split("text", "\n"), lambda x: F.length(x).between(1, 60))
+    m = read_table(spark, d, "documents").where("text is not null").select(
+        F.col("doc_id").alias("version_id"), F.col("source").alias("creator"), (F.floor(F.length(t) / 500) + 1).alias("page_count"), F.lit(True).alias("outline_root"),
+        F.size(lines).cast("long").alias("entries"), F.size(F.filter(lines, lambda x: ~x.rlike(r"[0-9]"))).cast("long").alias("actionable"), F.when(t.contains(":"), 2).otherwise(1).alias("depth"), (F.col("lang") == "en").alias("visible"),
+        (F.col("source") == "web").alias("struct_tree"), (F.length(t) - F.length(F.replace(t, F.lit(" "), F.lit("")))).cast("long").alias("words"), *(F.lit(None).cast("string").alias(c) for c in ("title", "producer", "format")), F.lit(None).cast("boolean").alias("vietnamese"),
+    )
+    return toc.route(toc.with_structure(m)).select("version_id", "rich", "weak", "reason")
+
+
 @query(r"""SELECT c_custkey, trim(regexp_replace(lower(c_name), '[^a-z0-9]+', ' ', 'g')) || ' ten benh' AS header, substr(regexp_replace(replace(c_name, '#', ''), '\s+', '_', 'g') || '_a', 1, 20) AS file_name FROM customer""")
 def header_keys(spark, d):
     n = F.col("c_name")
@@ -252,6 +269,14 @@ def from_parent(spark, d):
     return toc.from_parent(_nodes(spark, d), _chunk_places(spark, d), distance=40).select("version_id", "idx", "chunk_id")
 
 
+@query()
+def settled_contents(spark, d):
+    """Nodes matched to chunks in any order: those against the document's order give theirs up, but the second level is sure, and gaps are filled."""
+    places = _chunk_places(spark, d).withColumn("position", F.col("position") * 7919 % 1009)
+    nodes = _nodes(spark, d)
+    return toc.settle(nodes, places, nodes.where("level = 2")).select("version_id", "idx", "chunk_id")
+
+
 @query()
 def fill_gaps(spark, d):
     return toc.fill_gaps(_nodes(spark, d), _chunk_places(spark, d)).select("version_id", "idx", "chunk_id")

@@ -98,7 +98,7 @@ def _array_type(depth: int, most: int) -> ArrayType:
     return at
 
 
-def toc_of(text: Column, depth: int = 3) -> Column:
+def toc_of(text: Column, depth: int = 6) -> Column:
     """Metadata and ``children`` of a table of contents in JSON: missing keys are null, titles lose their marks, pages are a number or null."""
     parsed = F.from_json(text, toc_schema(depth))
     chapters = F.coalesce(parsed["chapters"], F.array().cast(toc_schema(depth)["chapters"].dataType))

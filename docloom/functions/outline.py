@@ -203,6 +203,38 @@ def safe_name(text: Column, longest: int = 80) -> Column:
     return F.substring(F.regexp_replace(bare, _SPACES, "_"), 1, longest)
 
 
+def source_name(original: Column, stored: Column) -> Column:
+    """The name of a document's scanned text: the stem of its original file name, or else of the stored file's, and ``_ocr.md``."""
+
+    def stem(name: Column) -> Column:
+        file = F.regexp_extract(strip_text(F.coalesce(name, F.lit(""))), r"([^/]*)/*$", 1)
+        return F.nullif(F.regexp_replace(file, r"^(.+)\.[^.]+$", "$1"), F.lit(""))
+
+    return F.concat(F.coalesce(stem(original), stem(stored), F.lit("")), F.lit("_ocr.md"))
+
+
+#: What kinds of assets and roles are called (fixed values).
+ASSET_LABELS = {"table": "Bảng biểu", "figure": "Hình ảnh", "diagram": "Hình ảnh", "chart": "Hình ảnh", "image": "Hình ảnh", "logo": "Hình ảnh"}
+ROLE_LABELS = {"admin": "Admin", "health_department": "Sở y tế", "central_hospital": "Bệnh viện Trung ương", "hospital": "Bệnh viện", "health_station": "Trạm y tế", "doctor": "Bác sĩ"}
+
+
+def _labelled(value: Column, labels: dict[str, str]) -> Column:
+    known = F.create_map(*(F.lit(x) for pair in labels.items() for x in pair))
+    return F.try_element_at(known, value)
+
+
+def asset_label(kind: Column) -> Column:
+    """What an asset of a kind is called; an unknown kind by its name with a capital, none as a document."""
+    text = F.coalesce(kind, F.lit(""))
+    capital = F.concat(F.upper(F.substring(text, 1, 1)), F.substring(text, 2, 2**31 - 1))
+    return F.coalesce(_labelled(text, ASSET_LABELS), F.when(text == "", F.lit("Tài liệu")).otherwise(capital))
+
+
+def role_label(role: Column) -> Column:
+    """What a role is called; an unknown one by its name, null is empty."""
+    return F.coalesce(_labelled(role, ROLE_LABELS), role, F.lit(""))
+
+
 def joined(*parts: Column) -> Column:
     """Non-blank parts, stripped, with an empty line between them."""
     return F.array_join(F.filter(F.array(*(strip_text(F.coalesce(p, F.lit(""))) for p in parts)), lambda x: x != ""), "\n\n")

@@ -94,6 +94,15 @@ def email(column: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(text, "^mailto:", ""), "^[;,.]+|[;,.]+$", "")
 
 
+def moved_email(address: Column, from_domain: str, to_domain: str, from_prefix: str = "", to_prefix: str = "") -> Column:
+    """A normalised address with another domain and another start of its name; null if it has not the domain and the start that it should, or is none."""
+    clean = email(address)
+    name = F.regexp_extract(clean, r"^(.+)@[^@]*$", 1)
+    fits = (F.substring_index(clean, "@", -1) == from_domain) & (name != "") & name.startswith(from_prefix)
+    moved = F.concat(F.lit(to_prefix), F.substring(name, len(from_prefix) + 1, 2**31 - 1), F.lit(f"@{to_domain}"))
+    return F.when(fits & is_email(moved), moved)
+
+
 def is_email(column: Column) -> Column:
     return column.rlike(r"^[^@\s]+@[^@\s]+\.[^@\s]+$")
 

@@ -13,6 +13,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docloom.functions.outline import structural_key, title_key
+from docloom.operators.trees import rising_anchors
+from docloom.session import cut_table
 
 #: Positions that a chapter may lie before a landmark, and levels from which nodes inherit (fixed values).
 BUFFER, DEEP = 25, 4
@@ -144,6 +146,21 @@ def fill_gaps(nodes: DataFrame, chunks: DataFrame) -> DataFrame:
     return from_parent(from_below(from_predecessor(inherit_deep(nodes)), chunks), chunks)
 
 
+def settle(nodes: DataFrame, chunks: DataFrame, landmarks: DataFrame) -> DataFrame:
+    """Nodes with their last chunks: those that break the document's order lose theirs, then the gaps are filled.
+
+    landmarks (version_id, idx) are sure: they neither lose their chunk nor judge others. Of the other nodes that have a known chunk, those outside a
+    longest run of positions that do not fall lose it. A node whose chunk is not among ``chunks`` keeps it. Only places of nodes are gathered, a group for
+    each table of contents.
+    """
+    sure = landmarks.select("version_id", "idx").distinct()
+    placed = nodes.where("chunk_id is not null").join(chunks, ["version_id", "chunk_id"]).join(sure, ["version_id", "idx"], "left_anti").select("version_id", "idx", "position")
+    wrong = placed.join(rising_anchors(placed), ["version_id", "idx"], "left_anti").select("version_id", "idx", F.lit(True).alias("wrong"))
+    kept = nodes.join(wrong, ["version_id", "idx"], "left").withColumn("chunk_id", F.when(F.col("wrong").isNull(), F.col("chunk_id"))).select(*nodes.columns)
+    # a table, as the rules for gaps read the nodes many times
+    return fill_gaps(cut_table(kept), chunks)
+
+
 def clear_contradictions(nodes: DataFrame, kept: DataFrame, landmark: Column) -> DataFrame:
     """Nodes whose chunk is not among those ``kept`` (version_id, idx) by a longest rising run lose it, but landmarks do not."""
     mark = kept.select("version_id", "idx", F.lit(True).alias("kept"))
@@ -247,12 +264,43 @@ def outline_summary(entries: DataFrame) -> DataFrame:
     return entries.groupBy("version_id").agg(F.count("*").alias("entries"), F.count_if(F.coalesce(F.col("page") > 0, F.lit(False))).alias("actionable"), F.max("level").alias("depth"))
 
 
+#: Programs whose documents have bookmarks but no structure, a title's mark of Vietnamese, and the least of a rich outline: entries, and entries a page (fixed values).
+POOR_AUTHORS, VIETNAMESE_TITLE = ("coreldraw",), "việt"
+RICH_ENTRIES, RICH_DENSITY = 8, 0.12
+#: A weak outline's most levels, most entries, and pages to an entry (fixed values).
+WEAK_DEPTH, WEAK_ENTRIES, WEAK_PAGES = 1, 6, 8
+
+
+def _native() -> Column:
+    """Whether the bookmarks are an outline that leads somewhere."""
+    return F.col("outline_root") & (F.col("entries") >= 1) & (F.col("actionable") >= 0.7 * F.col("entries"))
+
+
+def with_structure(metrics: DataFrame) -> DataFrame:
+    """Adds ``rich`` and ``weak``, and the title's test to ``vietnamese``; for ``route``.
+
+    metrics: page_count, outline_root, entries, actionable, depth, visible (contents are seen), struct_tree, vietnamese (by the text), title, creator,
+    producer, format. Rich is an outline of 8 entries with two levels or 0.12 entries a page. Weak is a native outline of a program known for
+    poor ones without visible contents; or one level of few entries where nothing else (visible contents, a tree of tags, a rich outline) speaks for it.
+    Null names are empty, null depths 0, null tests false.
+    """
+    sure = lambda name: F.coalesce(F.col(name), F.lit(False))
+    depth = F.coalesce("depth", F.lit(0))
+    made_by = F.lower(F.concat_ws(" ", "creator", "producer", "format"))
+    poor = F.exists(F.array(*map(F.lit, POOR_AUTHORS)), lambda w: made_by.contains(w))
+    rich = (F.col("entries") >= RICH_ENTRIES) & ((depth >= 2) | (F.col("entries") >= RICH_DENSITY * F.greatest("page_count", F.lit(1))))
+    few = F.col("entries") <= F.least(F.lit(WEAK_ENTRIES), F.greatest(F.lit(3), F.floor(F.col("page_count") / WEAK_PAGES)))
+    weak = _native() & F.when(poor & ~sure("visible"), True).otherwise(~(sure("visible") | sure("struct_tree") | rich) & (depth <= WEAK_DEPTH) & few)
+    titled = F.lower(F.coalesce("title", F.lit(""))).contains(VIETNAMESE_TITLE)
+    return metrics.withColumns({"rich": rich, "weak": weak, "vietnamese": sure("vietnamese") | titled})
+
+
 def route(metrics: DataFrame) -> DataFrame:
     """``mode`` and ``reason`` of each document by the first rule that holds, from its metrics.
 
-    metrics: page_count, vietnamese, outline_root, entries, actionable, words (of the sampled pages), weak.
+    metrics: page_count, vietnamese, outline_root, entries, actionable, words (of the sampled pages), weak (see ``with_structure``).
     """
-    native = F.col("outline_root") & (F.col("entries") >= 1) & (F.col("actionable") >= 0.7 * F.col("entries"))
+    native = _native()
     reason = (
         F.when(F.col("page_count") == 0, "empty_pdf")
         .when(F.col("vietnamese"), "detected_vietnamese_forced_ocr")

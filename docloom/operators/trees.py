@@ -179,11 +179,14 @@ def empty_leaves(rows: DataFrame, assets: DataFrame) -> DataFrame:
     return bare.join(parents, ["version_id", "section_id"], "left_anti").join(shown, ["version_id", "section_id"], "left_anti")
 
 
-def nested(nodes: DataFrame, depth: int = 4) -> DataFrame:
-    """(version_id, children): trees as nested arrays of structs of title and children, in the order of idx, ``depth`` levels deep.
+def nested(nodes: DataFrame, depth: int = 6) -> DataFrame:
+    """(version_id, children): trees as nested arrays of structs of title and children, in the order of idx, up to ``depth`` levels deep.
 
-    nodes: version_id, idx, path (array of positions), title. The deepest level is built first; one grouping for each level.
+    nodes: version_id, idx, path (array of positions), title. The deepest level is built first; one grouping for each level. A node deeper than
+    ``depth`` is an error when the result is read, as a schema has a fixed depth.
     """
+    shallow = F.when(F.size("path") > depth, F.raise_error(F.lit(f"a node lies deeper than {depth} levels"))).otherwise(F.col("path"))
+    nodes = nodes.withColumn("path", shallow)
     up = F.slice("path", 1, F.size("path") - 1)
     below = None
     for level in range(depth, 0, -1):

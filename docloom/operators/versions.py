@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 
@@ -130,18 +130,29 @@ def create_guideline(guidelines: DataFrame, versions: DataFrame, documents: Data
 def edit_sections(sections: DataFrame, updates: DataFrame) -> DataFrame:
     """Sections with new headings and contents. updates: section_id, heading, content; null leaves a value, a blank heading becomes null.
 
-    A section twice, an update of nothing and an unknown section are errors, and then nothing is changed.
+    A section twice, an update of nothing and an unknown or null section are errors of the job that reads the result, so that what writes it writes
+    nothing; no action comes before.
     """
-    if not updates.groupBy("section_id").count().where("count > 1").isEmpty():
-        raise ValueError("a section is updated twice")
-    if not updates.where("heading is null and content is null").isEmpty():
-        raise ValueError("an update changes nothing")
-    if not updates.join(sections.select("section_id"), "section_id", "left_anti").isEmpty():
-        raise LookupError("no such section")
-    new = updates.select("section_id", F.col("heading").alias("new_heading"), F.col("content").alias("new_content"))
+    new = updates.groupBy(F.col("section_id").alias("new_id")).agg(F.count("*").alias("n"), F.first("heading").alias("new_heading"), F.first("content").alias("new_content"))
+    both = sections.join(new.withColumn("update", F.lit(True)), F.col("section_id") == F.col("new_id"), "full")
+    fault = (
+        F.when(F.col("n") > 1, "a section is updated twice")
+        .when(F.col("update") & F.col("new_heading").isNull() & F.col("new_content").isNull(), "an update changes nothing")
+        .when(F.col("update") & (F.col("section_id").isNull() | F.col("new_id").isNull()), "no such section")
+    )
     heading = F.when(F.col("new_heading").isNotNull(), F.nullif(F.trim("new_heading"), F.lit(""))).otherwise(F.col("heading"))
-    out = sections.join(new, "section_id", "left").withColumns({"heading": heading, "content": F.coalesce("new_content", "content")})
-    return out.select(*sections.columns)
+    out = both.withColumns({"heading": heading, "content": F.coalesce("new_content", "content"), "fault": fault})
+    # a condition on the rows, so that no choice of columns skips it
+    return out.where(F.when(F.col("fault").isNotNull(), F.raise_error(F.col("fault")).cast("boolean")).otherwise(True)).select(*sections.columns)
+
+
+def counted(rows: DataFrame, name: str, **tests: Column) -> tuple[DataFrame, Observation]:
+    """The same rows, and an observation with the number of rows (``rows``) and of those that meet each test, counted in the job that writes them.
+
+    ``observation.get`` waits for that job. A test that is null counts as not met; of an empty table all counts are 0.
+    """
+    seen = Observation(name)
+    return rows.observe(seen, F.count("*").alias("rows"), *(F.count_if(F.coalesce(test, F.lit(False))).alias(key) for key, test in tests.items())), seen
 
 
 def changed_sections(stored: DataFrame, edited: DataFrame) -> DataFrame:

@@ -31,6 +31,12 @@ def clean_shuffles(spark: SparkSession) -> None:
         spark.conf.set(key, "true")
 
 
+def new_folder(spark: SparkSession, name: str) -> str:
+    """A folder of its own in the shared checkpoint folder."""
+    ensure_checkpoint_dir(spark)
+    return f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/{name}-{uuid.uuid4().hex}"
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared checkpoint folder and read it back: a cut lineage that outlives executors."""
     ensure_checkpoint_dir(df.sparkSession)

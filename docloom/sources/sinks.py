@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docloom.functions.text import clean_markup
 from docloom.operators.positions import stored_position
+from docloom.session import cut_table
 
 
 def replace_versions(rows: DataFrame, path: str, key: str = "version_id") -> None:
@@ -76,6 +81,37 @@ def write_trees(trees: DataFrame, path: str) -> None:
     trees.repartition("stem").write.mode("overwrite").partitionBy("stem").json(path)
 
 
+def delete_folders(doomed: DataFrame, root: str) -> DataFrame:
+    """Deletes the folders ``root``/guidelines/guideline/version of deleted versions: guideline_id, version_id (null: all of the guideline), outcome.
+
+    doomed: guideline_id, version_id; rows without a guideline are left out, equal ones are one. Ids are numbers, so no folder outside ``root`` is met. An
+    outcome is ``deleted`` or ``absent``: a second run, or a task that is run again, finds nothing left and does not fail. Folders are dealt by guideline over the
+    tasks, each guideline's in one, which then deletes its folder if it is empty. The work is done when this returns; the outcomes are a table.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        files, base = fs.FileSystem.from_uri(root)
+
+        def kind(path: str) -> fs.FileType:
+            return files.get_file_info(path).type
+
+        for batch in batches:
+            rows, outcomes = batch.to_pylist(), []
+            for row in rows:
+                guideline = f"{base}/guidelines/{row['guideline_id']}"
+                path = guideline if row["version_id"] is None else f"{guideline}/{row['version_id']}"
+                there = kind(path) == fs.FileType.Directory
+                outcomes.append("deleted" if there else "absent")
+                if there:
+                    files.delete_dir(path)
+                if path != guideline and kind(guideline) == fs.FileType.Directory and not files.get_file_info(fs.FileSelector(guideline)):
+                    files.delete_dir(guideline)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(outcomes, pa.string())], names=["guideline_id", "version_id", "outcome"])
+
+    slim = doomed.select(F.col("guideline_id").cast("long"), F.col("version_id").cast("long")).where("guideline_id is not null").distinct()
+    return cut_table(slim.repartition("guideline_id").mapInArrow(run, "guideline_id long, version_id long, outcome string"))
+
+
 def conform(df: DataFrame, schema: str) -> DataFrame:
     """The columns of ``schema`` (DDL), in its order; those that ``df`` lacks are null."""
     wanted = df.sparkSession.createDataFrame([], schema).schema

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docloom.functions import markup
-from docloom.operators import trees
+from docloom.operators import trees, typography
 from docloom.session import read_table
 from docloom.sources import roles
 
@@ -131,11 +131,12 @@ def empty_leaves(spark, d):
     return trees.empty_leaves(s, assets).select("version_id", F.col("section_id").alias("pos"))
 
 
-@query(f"WITH {_SECTIONS} SELECT version_id, count(*) AS n_nodes FROM sections WHERE pos < 13 GROUP BY version_id")
+@query(f"WITH {_SECTIONS} SELECT version_id, count(*) AS n_nodes FROM sections GROUP BY version_id")
 def nested_trees(spark, d):
     s = roles.section_paths(spark, d).select("version_id", F.col("pos").alias("idx"), "path", F.col("content").alias("title"))
-    count = F.aggregate("children", F.lit(0), lambda n, x: n + 1 + F.aggregate(x["children"], F.lit(0), lambda m, y: m + 1 + F.size(y["children"])))
-    return trees.nested(s, 3).select("version_id", count.cast("long").alias("n_nodes"))
+    # trees of three children to a node have some 88,000 nodes at 11 levels
+    below = lambda nodes, level: F.aggregate(nodes, F.lit(0), lambda n, x: n + 1 + (below(x["children"], level - 1) if level > 1 else 0))
+    return trees.nested(s, 11).select("version_id", below(F.col("children"), 11).cast("long").alias("n_nodes"))
 
 
 @query("SELECT l_orderkey, CAST(arg_max(q, n * 1000 - first) AS INTEGER) AS size FROM (SELECT l_orderkey, CAST(l_quantity AS INTEGER) % 3 AS q, count(*) AS n, min(l_linenumber * 3 + CAST(l_quantity AS INTEGER) % 3) AS first FROM lineitem GROUP BY 1, 2) GROUP BY l_orderkey")
@@ -155,3 +156,20 @@ def contents_by_title(spark, d):
     chunks = p.select(key.alias("title_key"), F.col("p_size").alias("page"), F.col("p_partkey").alias("pos"), F.col("p_brand").alias("content"))
     nodes = p.select("p_partkey", key.alias("title_key"), (F.col("p_size") + F.col("p_partkey") % 2).alias("page"))
     return trees.last_of_key(nodes, chunks).select("p_partkey", "content")
+
+
+@query(rf"""WITH {_SECTIONS}, s AS (SELECT version_id, pos AS seq, pos // 10 + 1 AS page, pos // 2 % 5 * 180.0 AS y0, CASE WHEN length(content) < 40 THEN 12.04 WHEN length(content) < 200 THEN 10.02 ELSE 11.06 END AS size, content LIKE '%.' AS plain, CASE WHEN length(content) % 4 = 0 THEN content WHEN pos % 3 = 0 THEN (pos // 3 + 1) || '. ' || content ELSE (pos // 3 + 1) || '.' || (pos % 3) || ' ' || content END AS text FROM sections),
+t AS (SELECT *, round(size, 1) AS rounded, trim(regexp_replace(replace(text, chr(173), ''), '[ \t]+', ' ', 'g')) AS title FROM s WHERE regexp_matches(text, '\S')),
+b AS (SELECT version_id, arg_max(rounded, n * 1000000 - first) AS body FROM (SELECT version_id, rounded, count(*) AS n, min(seq) AS first FROM t GROUP BY 1, 2) GROUP BY 1),
+c AS (SELECT t.version_id, page, y0, seq, title, CASE WHEN regexp_matches(title, '^\d+\.\d') THEN 2 ELSE 1 END AS level FROM t JOIN b ON b.version_id = t.version_id WHERE (rounded > body + 1.5 OR NOT plain) AND regexp_matches(title, '^\d+(\.\d+)*[\s.)]')),
+h AS (SELECT version_id, page, y0, arg_min(title, seq) AS title, arg_min(level, seq) AS level FROM c GROUP BY 1, 2, 3), o AS (SELECT *, row_number() OVER (PARTITION BY version_id ORDER BY page, y0) - 1 AS pos FROM h)
+SELECT version_id, CAST(pos AS INTEGER) AS pos, CAST(page AS INTEGER) AS page, CASE WHEN page % 4 = 0 THEN 0.0 ELSE round(CAST(least(y0 / CAST(842 AS DOUBLE), 1) AS DOUBLE), 6) END AS y, level, title, CAST((SELECT max(a.pos) FROM o a WHERE a.version_id = o.version_id AND a.pos < o.pos AND a.level < o.level) AS INTEGER) AS parent_pos FROM o""")
+def headings_by_type(spark, d):
+    n, p = F.length("content"), F.col("pos")
+    group = F.floor(p / 3) + 1
+    number = F.when(n % 4 == 0, "").when(p % 3 == 0, F.concat(group.cast("string"), F.lit(". "))).otherwise(F.concat(group.cast("string"), F.lit("."), (p % 3).cast("string"), F.lit(" ")))
+    page, y0 = (F.floor(p / 10) + 1).cast("int"), F.floor(p / 2) % 5 * 180.0
+    size, flags = F.when(n < 40, 12.04).when(n < 200, 10.02).otherwise(11.06), F.when(F.col("content").endswith("."), 0).otherwise(20)
+    s = roles.sections(spark, d).select("version_id", p.alias("seq"), page.alias("page"), y0.alias("y0"), size.alias("size"), flags.alias("flags"), F.concat(number, "content").alias("text"))
+    pages = s.select("version_id", "page").distinct().withColumn("height", F.when(F.col("page") % 4 == 0, 0.0).otherwise(842.0))
+    return typography.headings_by_type(s, pages)
