@@ -9,10 +9,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from docloom.session import cut_table
+
 #: Lengths of one bucket differ by this factor at most.
 RATIO = 1.15
-#: Candidates and queries that one task compares at once.
-BLOCK, QUERY_BLOCK = 16_384, 8192
+#: Bytes of candidates, and of queries, that one task compares at once; and the fewest vectors of each, however long.
+BLOCK_BYTES, LEAST_BLOCK = 16 << 20, 256
 #: Pairs of a bucket and a block of queries up to which their list is sent to every executor.
 PAIRS = 1_000_000
 #: From this local cosine threshold on, single coordinates prune better than lengths.
@@ -29,6 +31,32 @@ def integer_vectors(df: DataFrame, id_col: str, vector_col: str, scale: int = 25
     return out.withColumns({"norm": F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, c: a + c * c)), "dim": F.size("v")})
 
 
+def block_rows(dim: int) -> int:
+    """Vectors of so many doubles that make a block."""
+    return max(LEAST_BLOCK, BLOCK_BYTES // (8 * max(dim, 1)))
+
+
+def deal(classes: list[tuple[int, int, int]]) -> list[tuple[int, int, int, int]]:
+    """Blocks for classes of queries (dim, lowest, n): dim, lowest, the number of the first block, and how many.
+
+    Classes of one dimension that follow each other share a block while they fit into it; one that is larger has blocks of its own.
+    """
+    out, block, room, before = [], -1, 0, None
+    for dim, lowest, n in sorted(classes):
+        size = block_rows(dim)
+        if n > size:
+            blocks = -(-n // size)
+            out.append((dim, lowest, block + 1, blocks))
+            block, room = block + blocks, 0
+        else:
+            if dim != before or n > room:
+                block, room = block + 1, size
+            room -= n
+            out.append((dim, lowest, block, 1))
+        before = dim
+    return out
+
+
 def _best(ids: np.ndarray, scores: np.ndarray, k: int) -> np.ndarray:
     if len(ids) > 4 * k:
         least = np.partition(scores, len(scores) - k)[len(scores) - k]
@@ -84,35 +112,36 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
     count as separate rows. Queries of one id are one query, by the least of their vectors.
 
     Buckets hold vectors of one dimension and similar length, and large ones are split by a hash of the id into
-    blocks of about ``BLOCK``. First each query meets the longest vectors alone, which bounds its k-th score from
-    below; then it goes only to the buckets whose longest vector can still reach that score. A block of candidates
-    meets only blocks of queries of which one goes to it.
+    blocks of about ``BLOCK_BYTES``. First each query meets the longest vectors alone, which bounds its k-th score from
+    below; then it goes only to the buckets whose longest vector can still reach that score. Queries that reach down to
+    the same bucket, or to neighbours of it, share their blocks: a block of candidates meets only blocks whose queries, or their
+    neighbours, ask for it. Bounds are a table in the shared checkpoint folder, so the first search runs once.
     """
     spark = vectors.sparkSession
     bucket = F.when(F.col("norm") > 0, F.floor(F.log("norm") / float(np.log(RATIO)))).otherwise(-1_000_000).cast("int")
     data = vectors.withColumn("bucket", bucket)
     # one row for each dimension and length class: a few thousand at most, whatever the number of vectors
     sizes = data.groupBy("dim", "bucket").agg(F.count("*").alias("n"), F.max("norm").alias("longest")).collect()
-    splits = {(r["dim"], r["bucket"]): max(1, -(-r["n"] // BLOCK)) for r in sizes}
+    splits = {(r["dim"], r["bucket"]): max(1, -(-r["n"] // block_rows(r["dim"]))) for r in sizes}
     queries = queries.groupBy("id").agg(F.min(F.struct("v", "norm", "dim")).alias("q")).select("id", "q.*")
-    n_queries = queries.count()
-    query_blocks = max(1, -(-n_queries // QUERY_BLOCK))
+    query_blocks = [(r["dim"], max(1, -(-r["n"] // block_rows(r["dim"])))) for r in queries.groupBy("dim").agg(F.count("*").alias("n")).collect()]
     buckets = spark.createDataFrame([(r["dim"], r["bucket"], float(r["longest"]), splits[r["dim"], r["bucket"]]) for r in sizes], "dim int, bucket int, longest double, splits int")
-    q = queries.withColumn("qblock", F.pmod(F.xxhash64(F.lit(3), "id"), F.lit(query_blocks)).cast("int"))
+    dealt = F.xxhash64(F.lit(3), "id")
+    by_dim = spark.createDataFrame(query_blocks, "dim int, blocks int")
 
-    def blocks_of(chosen: DataFrame, asked: DataFrame) -> DataFrame:
+    def blocks_of(chosen: DataFrame, asked: DataFrame, n_blocks: int) -> DataFrame:
         """Candidates of the chosen buckets, each sent to its block for every block of queries that asks the bucket."""
         asking = asked.select("dim", "bucket", "qblock").distinct().groupBy("dim", "bucket").agg(F.collect_list("qblock").alias("qblocks"))
         asking = chosen.join(asking, ["dim", "bucket"])
-        if len(sizes) * query_blocks <= PAIRS:
+        if len(sizes) * n_blocks <= PAIRS:
             asking = F.broadcast(asking)
         out = data.drop("norm").join(asking, ["dim", "bucket"])
         out = out.withColumn("split", F.pmod(F.xxhash64(F.lit(5), "id"), F.col("splits")).cast("int"))
         return out.withColumn("qblock", F.explode("qblocks")).select(*(F.col(c).alias(c) for c in ("dim", "bucket", "split", "qblock", "id", "v")))
 
-    def compare(asked: DataFrame, chosen: DataFrame) -> DataFrame:
-        """asked: queries with ``least`` and the buckets they go to."""
-        candidates = blocks_of(chosen, asked)
+    def compare(asked: DataFrame, chosen: DataFrame, n_blocks: int) -> DataFrame:
+        """asked: queries with ``least``, their block, and the buckets they go to."""
+        candidates = blocks_of(chosen, asked, n_blocks)
         asked = asked.withColumn("split", F.explode(F.sequence(F.lit(0), F.col("splits") - 1)))
         # new names for columns that the candidates also come from
         asked = asked.select(*(F.col(c).alias(c) for c in ("dim", "bucket", "split", "qblock", "id", "v", "least")))
@@ -139,13 +168,24 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
     # the longest vectors of each dimension, a block of them at least
     seeds, have = [], {}
     for r in sorted(sizes, key=lambda r: -r["bucket"]):
-        if have.get(r["dim"], 0) < BLOCK:
+        if have.get(r["dim"], 0) < block_rows(r["dim"]):
             have[r["dim"]] = have.get(r["dim"], 0) + r["n"]
             seeds.append((r["dim"], r["bucket"], splits[r["dim"], r["bucket"]]))
     seed = spark.createDataFrame(seeds, "dim int, bucket int, splits int")
-    first = q.withColumn("least", F.lit(float("-inf"))).join(F.broadcast(seed), "dim")
-    bounds = compare(first, seed).groupBy(F.col("query_id").alias("id")).agg(F.when(F.count("*") >= k, F.min("score").cast("double")).alias("bound"))
-    asked = q.join(bounds, "id", "left").withColumn("least", F.coalesce("bound", F.lit(float("-inf"))))
-    asked = asked.join(F.broadcast(buckets), "dim").where(F.col("norm") * F.col("longest") * (1 + _SLACK) >= F.col("least"))
-    out = compare(asked, buckets.select("dim", "bucket", "splits"))
+    first = queries.join(F.broadcast(by_dim), "dim").withColumn("qblock", F.pmod(dealt, F.col("blocks")).cast("int")).drop("blocks")
+    first = first.withColumn("least", F.lit(float("-inf"))).join(F.broadcast(seed), "dim")
+    found = compare(first, seed, sum(n for _, n in query_blocks))
+    bounds = cut_table(found.groupBy(F.col("query_id").alias("id")).agg(F.when(F.count("*") >= k, F.min("score").cast("double")).alias("bound")))
+
+    # a few thousand buckets at most in all, as above
+    ladder = buckets.groupBy("dim").agg(F.collect_list(F.struct("bucket", "longest", "splits")).alias("ladder"))
+    asked = queries.join(bounds, "id", "left").withColumn("least", F.coalesce("bound", F.lit(float("-inf")))).join(F.broadcast(ladder), "dim")
+    asked = asked.withColumn("asks", F.filter("ladder", lambda b: F.col("norm") * b["longest"] * (1 + _SLACK) >= F.col("least"))).drop("ladder", "bound")
+    asked = asked.withColumn("lowest", F.array_min(F.transform("asks", lambda b: b["bucket"])))
+    classes = [(r["dim"], r["lowest"], r["n"]) for r in asked.where("lowest is not null").groupBy("dim", "lowest").agg(F.count("*").alias("n")).collect()]
+    blocks = deal(classes)
+    places = spark.createDataFrame(blocks, "dim int, lowest int, first int, blocks int")
+    asked = asked.join(F.broadcast(places), ["dim", "lowest"]).withColumn("qblock", (F.col("first") + F.pmod(dealt, F.col("blocks"))).cast("int"))
+    asked = asked.withColumn("ask", F.explode("asks")).select("dim", "id", "v", "least", "qblock", "ask.bucket", "ask.splits")
+    out = compare(asked, buckets.select("dim", "bucket", "splits"), max((at + n for _, _, at, n in blocks), default=0))
     return out.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")

@@ -321,3 +321,28 @@ def test_repeated_queries_are_one(spark):
     got = sorted(map(tuple, topk_search.top_k(v, v.where("id = 0"), k=3).collect()))
     assert got == [(0, 1, 1, 128 * 256), (0, 2, 1, 128 * 256), (0, 3, 2, 64 * 256)]
     assert topk_search.top_k(v.limit(0), v.limit(0)).count() == 0
+
+
+def test_query_blocks_follow_the_buckets_they_reach():
+    size = topk_search.block_rows(64)
+    got = topk_search.deal([(64, 5, 10), (64, 3, size), (64, 4, size - 10), (64, 9, 2 * size + 1), (64, 10, 1), (8, 1, 3)])
+    # another dimension has its own; 4 and 5 share one; 9 is cut into three; 10 comes behind
+    assert got == [(8, 1, 0, 1), (64, 3, 1, 1), (64, 4, 2, 1), (64, 5, 2, 1), (64, 9, 3, 3), (64, 10, 6, 1)]
+    assert topk_search.deal([]) == []
+
+
+def test_topk_over_many_blocks_against_all_products(spark, monkeypatch):
+    """Lengths from short to long, ties, two dimensions and a query that stands for many, with blocks so small that buckets and queries have several."""
+    monkeypatch.setattr(topk_search, "BLOCK_BYTES", 8 * 6 * 40)
+    monkeypatch.setattr(topk_search, "LEAST_BLOCK", 16)
+    r = np.random.default_rng(4)
+    rows = [(i, (r.normal(size=6 if i % 9 else 3) * np.exp(r.normal())).tolist()) for i in range(900)]
+    rows += [(i, rows[1][1]) for i in range(900, 1000)] + [(1000, [0.0] * 6), (1001, None)]
+    v = topk_search.integer_vectors(spark.createDataFrame(rows, "vec_id long, e array<double>"), "vec_id", "e")
+    got = sorted(map(tuple, topk_search.top_k(v, v.where("id % 5 = 0"), k=4).collect()))
+    whole = {i: np.floor(np.array(e) * 256) for i, e in rows if e is not None}
+    want = []
+    for q in (i for i in whole if i % 5 == 0):
+        scores = sorted((-int(whole[q] @ x), i) for i, x in whole.items() if i != q and len(x) == len(whole[q]))[:4]
+        want += [(q, k + 1, i, -s) for k, (s, i) in enumerate(scores)]
+    assert got == sorted(want)
