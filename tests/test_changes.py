@@ -186,3 +186,12 @@ def test_trees_of_six_levels(spark):
         titles.append(at[0]["title"])
         at = at[0]["children"] if "children" in at[0] else None
     assert Counter(titles) == Counter("123456")
+
+
+def test_chunks_with_their_vectors(spark):
+    chunks = spark.createDataFrame([(1, [1], "", "a"), (1, [1, 2], "a", "b"), (2, [1], "", "c")], "version_id long, path array<int>, context string, text string")
+    vectors = spark.createDataFrame([(1, [1], [0.5, 1.25]), (1, [1, 2], [0.1]), (9, [1], [1.0, 1.0])], "version_id long, path array<int>, vector array<double>")
+    once, again = ({(r["version_id"], tuple(r["path"])): (r["chunk_id"], r["embedding"]) for r in sinks.chunk_rows(chunks, vectors, 2).collect()} for _ in range(2))
+    # a vector of another size is none; ids are their own and come again
+    assert {k: v[1] for k, v in once.items()} == {(1, (1,)): "[0.5,1.25]", (1, (1, 2)): None, (2, (1,)): None}
+    assert once == again and len({v[0] for v in once.values()}) == 3
