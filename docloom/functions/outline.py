@@ -119,7 +119,7 @@ def heading_only(text: Column) -> Column:
 
 def number_level(title: Column) -> Column:
     """The level that a title's number tells (1.2 is 2); chapters and parts by name are 1; null without either."""
-    first = F.regexp_replace(F.split(title, _SPACES)[0], r"\.+$", "")
+    first = F.regexp_replace(F.regexp_extract(title, r"(?U)^\S*", 0), r"\.+$", "")
     dots = F.length(first) - F.length(F.replace(first, F.lit("."), F.lit("")))
     return F.when(title.rlike(r"(?iu)^(CHƯƠNG|PHẦN)\s+[IVX\d]+") | title.rlike(r"^\d+(\.\d+)*[\s.)]"), dots + 1)
 

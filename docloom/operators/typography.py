@@ -30,8 +30,10 @@ def headings_by_type(spans: DataFrame, pages: DataFrame) -> DataFrame:
     to meet the body's size, which comes from counts of sizes.
     """
     title = strip_text(F.regexp_replace(F.replace("text", F.lit("\u00ad"), F.lit("")), r"[ \t]+", " "))
-    s = spans.where(F.col("text").rlike(r"\S")).select("version_id", "seq", "page", "y0", binary_round(F.col("size"), 1).alias("size"), "flags", title.alias("title"))
-    numbered = s.withColumn("level", number_level(F.col("title"))).where("level is not null")
+    s = spans.where(F.col("text").rlike(r"\S")).select("version_id", "seq", "page", "y0", binary_round(F.col("size"), 1).alias("size"), "flags", "text")
+    # titles are cleaned once and only where a number or a chapter may begin: as a plain column the cleaning would be put into every use of the title
+    numbered = s.where(F.col("text").rlike(r"^[\s\u00ad]*[\dCcPp]")).withColumn("title", F.explode(F.array(title))).drop("text")
+    numbered = numbered.withColumn("level", number_level(F.col("title"))).where("level is not null")
     large = F.coalesce(F.col("size") > F.col("body") + LARGER, F.lit(False))
     bold = F.coalesce(F.col("flags").bitwiseAND(BOLD) > 0, F.lit(False))
     found = numbered.join(body_sizes(s.where("size is not null").select("version_id", "seq", "size")), "version_id", "left").where(large | bold)
