@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from docloom.functions import outline
@@ -65,11 +65,16 @@ def owner_choices(spark, d):
     return access.owner_choices(accounts(spark, d)).select("user_id", "role")
 
 
-@query("SELECT p_partkey, CASE WHEN p_partkey % 5 < 3 THEN CASE p_partkey % 5 WHEN 0 THEN 'admin' WHEN 1 THEN 'doctor' ELSE 'health_department' END ELSE 'health_department' END AS stored, CASE p_partkey % 5 WHEN 0 THEN 'admin' WHEN 1 THEN 'doctor' WHEN 2 THEN NULL ELSE 'health_department' END AS asked FROM part")
+@query(r"""WITH n AS (SELECT conv_id * 1000 + turn AS id, CASE WHEN length(text) % 2 = 0 THEN upper(role) ELSE ' ' || role || ' ' END AS name FROM conversations UNION ALL SELECT -1 - n_nationkey, CASE WHEN n_nationkey % 4 = 0 THEN 'Health_Station' ELSE 'DOCTOR ' END FROM nation UNION ALL SELECT -100 - c_custkey, c_mktsegment FROM customer)
+SELECT id, CASE WHEN lower(name) IN ('admin', 'health_department', 'central_hospital', 'hospital', 'health_station', 'doctor') THEN lower(name) ELSE 'health_department' END AS stored, CASE WHEN lower(trim(name)) IN ('user', 'editor', 'viewer') THEN 'health_department' WHEN lower(trim(name)) IN ('admin', 'health_department', 'central_hospital', 'hospital', 'health_station', 'doctor') THEN lower(trim(name)) END AS asked FROM n""")
 def role_names(spark, d):
-    k = F.col("p_partkey") % 5
-    name = F.when(k == 0, "ADMIN").when(k == 1, "Doctor").when(k == 2, "chief").when(k == 3, "Viewer").otherwise("editor")
-    return read_table(spark, d, "part").select("p_partkey", access.stored_role(name).alias("stored"), access.asked_role(name).alias("asked"))
+    """Roles of turns of conversations, of nations as accounts, and names that are no role."""
+    role = F.col("role")
+    turns = read_table(spark, d, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), F.when(F.length("text") % 2 == 0, F.upper(role)).otherwise(F.concat(F.lit(" "), role, F.lit(" "))).alias("name"))
+    nations = read_table(spark, d, "nation").select((-1 - F.col("n_nationkey")).alias("id"), F.when(F.col("n_nationkey") % 4 == 0, "Health_Station").otherwise("DOCTOR ").alias("name"))
+    rest = read_table(spark, d, "customer").select((-100 - F.col("c_custkey")).alias("id"), F.col("c_mktsegment").alias("name"))
+    n = turns.union(nations).union(rest)
+    return n.select("id", access.stored_role(F.col("name")).alias("stored"), access.asked_role(F.col("name")).alias("asked"))
 
 
 @query(f"""WITH {_ACCOUNTS}, r AS (SELECT s_suppkey AS row, 'u' || (s_suppkey * 31) || '@x.vn' AS email, CASE s_suppkey % 4 WHEN 0 THEN 'doctor' WHEN 1 THEN 'hospital' WHEN 2 THEN 'central_hospital' ELSE 'nurse' END AS role,
@@ -135,10 +140,11 @@ def count_deactivated(spark, d):
     return versions.count_deactivated(v, v.groupBy("guideline_id").agg(F.max("version_id").alias("keep_id")), ACTIVE)
 
 
-@query("SELECT o_orderkey, CASE WHEN o_orderkey % 5 = 0 THEN true ELSE CAST(o_orderdate AS DATE) >= DATE '1996-01-01' END AS valid FROM orders")
+@query("SELECT o_orderkey, coalesce(CAST(o_orderdate AS DATE) >= lag(CAST(o_orderdate AS DATE)) OVER (PARTITION BY o_custkey ORDER BY o_orderkey), true) AS valid FROM orders")
 def version_dates(spark, d):
-    end = F.when(F.col("o_orderkey") % 5 != 0, F.to_date("o_orderdate"))
-    return read_table(spark, d, "orders").select("o_orderkey", versions.valid_interval(F.lit("1996-01-01").cast("date"), end).alias("valid"))
+    """Intervals from the date of a customer's order before to this one's, open where there is none."""
+    before = F.lag(F.to_date("o_orderdate")).over(Window.partitionBy("o_custkey").orderBy("o_orderkey"))
+    return read_table(spark, d, "orders").select("o_orderkey", versions.valid_interval(before, F.to_date("o_orderdate")).alias("valid"))
 
 
 @query("""WITH s AS (SELECT p_partkey AS section_id, p_name AS heading, p_type AS content FROM part), u AS (SELECT section_id, CASE WHEN section_id % 3 = 0 THEN '  ' WHEN section_id % 3 = 1 THEN ' New ' END AS heading, CASE WHEN section_id % 3 = 2 THEN 'text' END AS content FROM s WHERE section_id % 2 = 0)
@@ -150,11 +156,14 @@ def edit_sections(spark, d):
     return versions.edit_sections(s, u)
 
 
-@query("SELECT p_partkey AS section_id FROM part WHERE p_partkey % 2 = 0 AND NOT (p_partkey % 4 = 0)")
+@query(r"""WITH s AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS i FROM documents), e AS (SELECT doc_id * 100000 + i AS section_id, substr(line, 1, 20) AS heading, line AS content, CASE WHEN i % 2 = 0 THEN trim(substr(line, 1, 20)) ELSE substr(line, 1, 20) END AS new_heading, regexp_replace(line, '([.,])\s*([.,])', '\1', 'g') AS new_content FROM s)
+SELECT section_id, md5(new_content) AS content FROM e WHERE heading <> new_heading OR content <> new_content""")
 def changed_sections(spark, d):
-    s = read_table(spark, d, "part").select(F.col("p_partkey").alias("section_id"), F.col("p_name").alias("heading"), F.lit(None).cast("string").alias("content"))
-    e = s.where("section_id % 2 = 0").select("section_id", "heading", F.when(F.col("section_id") % 4 == 0, "").otherwise("x").alias("content"))
-    return versions.changed_sections(s, e).select("section_id")
+    """Edits that strip every other heading and take doubled stops out of contents; an empty content stands as null on one side."""
+    s = roles.sections(spark, d).select((F.col("version_id") * 100000 + F.col("pos")).alias("section_id"), F.substring("content", 1, 20).alias("heading"), "content", "pos")
+    new = F.regexp_replace("content", r"([.,])\s*([.,])", "$1")
+    e = s.select("section_id", F.when(F.col("pos") % 2 == 0, F.trim("heading")).otherwise(F.col("heading")).alias("heading"), F.nullif(new, F.lit("")).alias("content"))
+    return versions.changed_sections(s.drop("pos"), e).select("section_id", F.md5(F.coalesce("content", F.lit(""))).alias("content"))
 
 
 @query("""WITH e AS (SELECT user_id AS job_id, ts AS moment, CASE event_type WHEN 'view' THEN 'queued' WHEN 'click' THEN 'running' WHEN 'purchase' THEN 'succeeded' WHEN 'error' THEN 'failed' ELSE 'seen' END AS event FROM events),

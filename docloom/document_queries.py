@@ -34,23 +34,35 @@ def query(sql: str | None = None):
 # Texts
 
 
-@query(r"""WITH s AS (SELECT version_id, pos, trim(content) AS c FROM (SELECT version_id, pos, regexp_replace(content, '^\s+|\s+$', '', 'g') AS content FROM (WITH %s SELECT * FROM sections))),
-h AS (SELECT version_id, pos AS number, CASE WHEN c = '' OR regexp_full_match(c, '[\d\s,.\-/]+') THEN NULL WHEN regexp_matches(lower(c), '^(chương|phần|bước|mục|điều|phụ lục|phụlục|chuyên đề|chuyênđề|phan|chuong|buoc|muc|dieu)\s+\S') OR regexp_matches(c, '(?i)^(XIV|XIII|XII|XI|IX|VIII|VII|VI|IV|III|II|XV|I|X|V)\.\s+\S') THEN c
+@query(rf"""WITH {_SECTIONS}, s AS (SELECT version_id AS doc_id, pos AS number, CASE WHEN content <> '' AND length(content) < 70 AND pos % 2 = 0 THEN repeat('#', length(content) % 7 + 1) || ' ' || content WHEN length(content) % 5 = 0 THEN '**' || content || '**' WHEN length(content) % 5 = 1 THEN '<b>' || pos || '.' || (pos % 4) || '. ' || content || '</b>' ELSE content END AS line FROM sections),
+a AS (SELECT doc_id, number, regexp_replace(line, '^\s+|\s+$', '', 'g') AS s FROM s), b AS (SELECT *, regexp_replace(regexp_replace(regexp_replace(regexp_replace(s, '<[^>]+>', '', 'g'), '^\s+|\s+$', '', 'g'), '<::.*?::>', '', 'g'), '^\s+|\s+$', '', 'g') AS plain FROM a),
+c AS (SELECT *, regexp_replace(regexp_replace(plain, '\*{{1,3}}|_{{1,3}}', '', 'g'), '^\s+|\s+$', '', 'g') AS c, regexp_extract(s, '^(#{{1,6}})\s+(.+)', 1) AS marks, regexp_replace(regexp_replace(regexp_extract(s, '^(#{{1,6}})\s+(.+)', 2), '\*{{1,3}}|_{{1,3}}', '', 'g'), '^\s+|\s+$', '', 'g') AS marked FROM b),
+h AS (SELECT doc_id, number, CASE WHEN regexp_full_match(s, '[\d\s,.\-/]*') OR c = '' THEN NULL WHEN marks <> '' THEN CASE WHEN marked <> '' THEN marks || ' ' || marked END WHEN regexp_matches(lower(c), '^(chương|phần|bước|mục|điều|phụ lục|phụlục|chuyên đề|chuyênđề|phan|chuong|buoc|muc|dieu)\s+\S') OR regexp_matches(c, '(?i)^(XIV|XIII|XII|XI|IX|VIII|VII|VI|IV|III|II|XV|I|X|V)\.\s+\S') THEN c
   WHEN regexp_matches(c, '^\d+(\.\d+)*\s*[.)]\s*.+') THEN CASE WHEN contains(regexp_extract(c, '^(\d+(\.\d+)*)', 1), '.') THEN c END
-  WHEN length(c) > 4 AND c = upper(c) AND NOT regexp_full_match(c, '[\-=*_\s|/\\.]+') AND (length(c) >= 10 OR contains(c, ' ')) THEN c END AS heading FROM s WHERE NOT regexp_matches(c, '[<>#*_]'))
-SELECT version_id AS doc_id, number, heading FROM (SELECT *, lag(heading) OVER (PARTITION BY version_id ORDER BY number) AS b FROM h WHERE heading IS NOT NULL) WHERE b IS NULL OR b <> heading""" % _SECTIONS)
+  WHEN length(c) > 4 AND c = upper(c) AND NOT contains(c, 'ß') AND NOT regexp_full_match(c, '[\-=*_\s|/\\.]+') AND NOT regexp_full_match(c, '[\d\s,.\-/]+') AND (length(c) >= 10 OR contains(c, ' ')) THEN c END AS heading FROM c)
+SELECT doc_id, number, heading FROM (SELECT *, lag(heading) OVER (PARTITION BY doc_id ORDER BY number) AS b FROM h WHERE heading IS NOT NULL) WHERE b IS NULL OR b <> heading""")
 def heading_outline(spark, d):
-    plain = F.array_join(F.transform(F.split("text", "\n"), lambda x: F.when(x.rlike("[<>#*_]"), "").otherwise(x)), "\n")
-    return outline.heading_outline(read_table(spark, d, "documents").select("doc_id", plain.alias("text")), "doc_id", "text")
-
-
-@query(r"SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN 'chương IV' WHEN 1 THEN 'tàiliệu ' || p_size ELSE '' END AS key, CASE p_partkey % 4 WHEN 0 THEN 'Chương iv ' || p_name WHEN 1 THEN 'TÀI  LIỆU ' || p_size WHEN 2 THEN p_size || '.2.1 ' || p_name ELSE 'Annex 1 ' || p_name END AS title, CASE p_partkey % 4 WHEN 2 THEN 3 WHEN 3 THEN 1 ELSE 9 END AS level, CASE p_partkey % 4 WHEN 0 THEN 1 WHEN 2 THEN 3 END AS number_level FROM part")
+    """Whole documents, short lines marked with up to seven marks, others bold or numbered inside tags."""
+    n, c, p, lit = F.length("content"), F.col("content"), F.col("pos"), F.lit
+    line = F.when((c != "") & (n < 70) & (p % 2 == 0), F.concat(F.repeat(lit("#"), n % 7 + 1), lit(" "), c)).when(n % 5 == 0, F.concat(lit("**"), c, lit("**")))
+    line = line.when(n % 5 == 1, F.concat(lit("<b>"), p.cast("string"), lit("."), (p % 4).cast("string"), lit(". "), c, lit("</b>"))).otherwise(c)
+    s = roles.sections(spark, d).groupBy("version_id").agg(F.array_sort(F.collect_list(F.struct("pos", line.alias("line")))).alias("rows"))
+    return outline.heading_outline(s.select(F.col("version_id").alias("doc_id"), F.array_join("rows.line", "\n").alias("text")), "doc_id", "text")
+
+
+@query(rf"""WITH {_SECTIONS}, t AS (SELECT version_id, pos, CASE length(content) % 6 WHEN 0 THEN '## ' || content WHEN 1 THEN ' Chương ' || pos || '.' || length(content) || ' ' || content WHEN 2 THEN pos || '.' || (length(content) % 7) || '. ' || content WHEN 3 THEN 'TÀI  LIỆU ' || pos || ' ' || content WHEN 4 THEN 'annex ' || pos || ' ' || content ELSE pos || ' ' || content END AS raw FROM sections),
+k AS (SELECT version_id, pos, regexp_replace(regexp_replace(raw, '^#+\s*', ''), '^\s+|\s+$', '', 'g') AS title FROM t), m AS (SELECT *, regexp_extract(title, '^(\d+(?:\.\d+)*)[.\s]', 1) AS number, regexp_replace(regexp_extract(title, '^\S*', 0), '\.+$', '') AS first, '(?i)^(tài\s*liệu|chương|phần|mục|bài)\s+([0-9]+|[IVX]+)' AS p FROM k)
+SELECT version_id, pos, CASE WHEN regexp_matches(title, p) THEN regexp_replace(lower(regexp_extract(title, p, 1)), '\s+', '', 'g') || ' ' || upper(regexp_extract(title, p, 2)) ELSE '' END AS key, md5(title) AS title, CASE WHEN number <> '' THEN length(number) - length(replace(number, '.', '')) + 1 WHEN regexp_matches(title, '(?i)^Annex\s+\d+') THEN 1 ELSE 9 END AS level,
+  CASE WHEN regexp_matches(title, '(?i)^(CHƯƠNG|PHẦN)\s+[IVX\d]+') OR regexp_matches(title, '^\d+(\.\d+)*[\s.)]') THEN length(first) - length(replace(first, '.', '')) + 1 END AS number_level FROM m""")
 def title_keys(spark, d):
-    k, size, name = F.col("p_partkey") % 4, F.col("p_size").cast("string"), F.col("p_name")
-    title = F.when(k == 0, F.concat(F.lit("## Chương iv "), name)).when(k == 1, F.concat(F.lit("TÀI  LIỆU "), size)).when(k == 2, F.concat(size, F.lit(".2.1 "), name)).otherwise(F.concat(F.lit(" Annex 1 "), name))
-    p = read_table(spark, d, "part").select("p_partkey", outline.title_key(title).alias("title"))
+    """The lines of documents as titles, marked and numbered by their lengths."""
+    n, c, p = F.length("content"), F.col("content"), F.col("pos").cast("string")
+    text = lambda *parts: F.concat(*(F.lit(x) if isinstance(x, str) else x for x in parts))
+    title = F.when(n % 6 == 0, text("## ", c)).when(n % 6 == 1, text(" Chương ", p, ".", n.cast("string"), " ", c)).when(n % 6 == 2, text(p, ".", (n % 7).cast("string"), ". ", c))
+    title = title.when(n % 6 == 3, text("TÀI  LIỆU ", p, " ", c)).when(n % 6 == 4, text("annex ", p, " ", c)).otherwise(text(p, " ", c))
+    s = roles.sections(spark, d).select("version_id", "pos", outline.title_key(title).alias("title"))
     t = F.col("title")
-    return p.select("p_partkey", F.coalesce(F.array_join(outline.structural_key(t), " "), F.lit("")).alias("key"), "title", outline.corrected_level(t, F.lit(9)).alias("level"), outline.number_level(t).alias("number_level"))
+    return s.select("version_id", "pos", F.coalesce(F.array_join(outline.structural_key(t), " "), F.lit("")).alias("key"), F.md5("title").alias("title"), outline.corrected_level(t, F.lit(9)).alias("level"), outline.number_level(t).alias("number_level"))
 
 
 @query(r"""SELECT page_id, md5(substr(trim(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<a[^>]+>.*?</a>', '', 'g'), '<[^>]+>', ' ', 'g'), '\s+', ' ', 'g')), 1, CASE WHEN page_id % 2 = 0 THEN 1500 ELSE 1100 END)) AS preview_md5 FROM pages""")
@@ -67,14 +79,21 @@ def plain_tables(spark, d):
     return read_table(spark, d, "pages").select("page_id", F.md5(outline.without_tables(html).cast("binary")).alias("plain_md5"))
 
 
-@query(r"""SELECT p_partkey, CASE WHEN p_partkey % 2 = 0 THEN '978-1-' || lpad(CAST(p_partkey AS VARCHAR), 7, '0') END AS isbn_electronic, '978-2-' || lpad(CAST(p_partkey AS VARCHAR), 7, '0') AS isbn_print, '1234-' || lpad(CAST(p_partkey % 1000 AS VARCHAR), 3, '0') || 'X' AS issn,
-  CAST(1950 + p_partkey % 100 AS VARCHAR) AS date, CASE WHEN p_partkey % 3 = 0 THEN 'World Health Organization' END AS publisher, CASE WHEN p_partkey % 5 = 0 THEN 'HIV' END AS specialty FROM part""")
+@query(r"""WITH t AS (SELECT doc_id, text || chr(10) || CASE n_chars % 4 WHEN 0 THEN 'ISBN (e-book) 978-' || lpad(CAST(n_chars AS VARCHAR), 9, '1') || chr(10) || 'isbn: 979-' || lpad(CAST(doc_id AS VARCHAR), 8, '0') || 'X' WHEN 1 THEN 'ISBN 978-' || lpad(CAST(n_chars AS VARCHAR), 9, '2') || ' ISBN: 978-' || lpad(CAST(doc_id AS VARCHAR), 9, '3') WHEN 2 THEN 'ISSN: 1234-' || lpad(CAST(doc_id % 1000 AS VARCHAR), 3, '0') || 'X' || chr(10) || 'No. ' || doc_id || '/' || (1950 + n_chars % 100) ELSE 'Published by ' || source || ', ' || lang || ' ' || (1950 + n_chars % 100) END AS text FROM documents),
+m AS (SELECT doc_id, regexp_extract_all(text, 'ISBN[:\s]+([\d\-X]{10,17})', 1) AS bare, regexp_extract(text, '(?i)ISBN\s*[(（]?(?:electronic|online|e-?book|epub)[)）]?\s*[:\-]?\s*([\d\-X]{10,17})', 1) AS e, regexp_extract(text, '(?i)ISBN\s*[(（]?(?:print|hardcover|softcover|pbk)?[)）]?\s*[:\-]?\s*([\d\-X]{10,17})', 1) AS p,
+  regexp_extract(text, '(?i)ISSN[:\s]+(\d{4}-\d{3}[\dX])', 1) AS issn, regexp_extract(text, '(?i)(?:WHO/[\w/\-.]+|No\.?\s*[\w/\-.]+(?:/\d{4})|(?:Thông tư|Nghị định|Quyết định)\s+[\d/\-]+(?:/\w+)*)', 0) AS decision, regexp_extract(text, '\b(?:19|20)\d{2}\b', 0) AS date, regexp_matches(text, '(?i)World Health Organization|WHO\b') AS who,
+  regexp_extract(text, '(?i)((?:Published by|©\s*\d{4}\s+)[^\n]{0,80})', 1) AS named, regexp_extract(text, '(?i)(?:sexually transmitted|STI|HIV|antibiotic|dược lâm sàng|oncology)', 0) AS topic FROM t)
+SELECT doc_id, coalesce(nullif(e, ''), bare[2]) AS isbn_electronic, coalesce(nullif(p, ''), bare[1]) AS isbn_print, nullif(issn, '') AS issn, trim(nullif(decision, '')) AS decision, nullif(date, '') AS date, CASE WHEN who THEN 'World Health Organization' ELSE trim(substr(nullif(named, ''), 1, 80)) END AS publisher, nullif(topic, '') AS specialty FROM m""")
 def scrape_metadata(spark, d):
-    k = F.col("p_partkey")
-    number = F.lpad(k.cast("string"), 7, "0")
-    isbn = F.concat(F.lit("ISBN (print): 978-2-"), number, F.when(k % 2 == 0, F.concat(F.lit("\nISBN (e-book) 978-1-"), number)).otherwise(""))
-    text = F.concat(isbn, F.lit("\nISSN 1234-"), F.lpad((k % 1000).cast("string"), 3, "0"), F.lit("X\nin "), (F.lit(1950) + k % 100).cast("string"), F.when(k % 3 == 0, " by WHO").otherwise(""), F.when(k % 5 == 0, " on HIV").otherwise(""))
-    return read_table(spark, d, "part").select("p_partkey", outline.metadata(text).alias("m")).select("p_partkey", "m.isbn_electronic", "m.isbn_print", "m.issn", "m.date", "m.publisher", "m.specialty")
+    """What whole documents tell, with an imprint behind them made of their columns."""
+    n, k, lit = F.col("n_chars"), F.col("doc_id"), F.lit
+    pad = lambda c, size, fill: F.lpad(c.cast("string"), size, fill)
+    year = (1950 + n % 100).cast("string")
+    imprint = F.when(n % 4 == 0, F.concat(lit("ISBN (e-book) 978-"), pad(n, 9, "1"), lit("\nisbn: 979-"), pad(k, 8, "0"), lit("X"))).when(n % 4 == 1, F.concat(lit("ISBN 978-"), pad(n, 9, "2"), lit(" ISBN: 978-"), pad(k, 9, "3")))
+    imprint = imprint.when(n % 4 == 2, F.concat(lit("ISSN: 1234-"), pad(k % 1000, 3, "0"), lit("X\nNo. "), k.cast("string"), lit("/"), year)).otherwise(F.concat(lit("Published by "), "source", lit(", "), "lang", lit(" "), year))
+    t = read_table(spark, d, "documents").select("doc_id", F.concat("text", lit("\n"), imprint).alias("text"))
+    names = ("isbn_electronic", "isbn_print", "issn", "decision", "date", "publisher", "specialty")
+    return t.select("doc_id", outline.metadata(F.col("text")).alias("m")).select("doc_id", *(f"m.{x}" for x in names))
 
 
 @query(r"""WITH p AS (SELECT doc_id % 50 AS version_id, doc_id // 50 AS page, text FROM documents), l AS (SELECT version_id, page, trim(regexp_replace(unnest(string_split(text, chr(10))), '\s+', ' ', 'g')) AS line FROM p WHERE page < 8)
@@ -117,29 +136,36 @@ def document_structure(spark, d):
     return toc.route(toc.with_structure(m)).select("version_id", "rich", "weak", "reason")
 
 
-@query(r"""SELECT c_custkey, trim(regexp_replace(lower(c_name), '[^a-z0-9]+', ' ', 'g')) || ' ten benh' AS header, substr(regexp_replace(replace(c_name, '#', ''), '\s+', '_', 'g') || '_a', 1, 20) AS file_name FROM customer""")
+@query(rf"""WITH {_SECTIONS} SELECT version_id, pos, trim(regexp_replace(translate(lower(substr(content, 1, 60)), '{T.accent_table()[0]}', '{T.accent_table()[1]}'), '[^a-z0-9]+', ' ', 'g')) AS header,
+  substr(regexp_replace(regexp_replace(regexp_replace(content, '[^\pL\pM\pN_\s.\-]', '', 'g'), '^\s+|\s+$', '', 'g'), '\s+', '_', 'g'), 1, 80) AS file_name FROM sections""")
 def header_keys(spark, d):
-    n = F.col("c_name")
-    return read_table(spark, d, "customer").select("c_custkey", outline.header_key(F.concat(n, F.lit(" Tên_Bệnh:"))).alias("header"), outline.safe_name(F.concat(n, F.lit(" a?")), 20).alias("file_name"))
+    s = roles.sections(spark, d)
+    return s.select("version_id", "pos", outline.header_key(F.substring("content", 1, 60)).alias("header"), outline.safe_name(F.col("content")).alias("file_name"))
 
 
-@query(r"""SELECT o_orderkey, CASE o_orderkey % 3 WHEN 0 THEN 'A' || o_custkey WHEN 1 THEN 'A' || o_custkey || chr(10) || chr(10) || 'b' ELSE 'Section ' || o_custkey END AS text FROM orders""")
+@query(rf"""WITH {_SECTIONS}, t AS (SELECT version_id, pos, regexp_replace(content, '^\s+|\s+$', '', 'g') AS a, regexp_replace(coalesce(lead(content) OVER (PARTITION BY version_id ORDER BY pos), ''), '^\s+|\s+$', '', 'g') AS b, CASE WHEN length(content) < 60 THEN trim(content) ELSE '' END AS h FROM sections)
+SELECT version_id, pos, md5(a || CASE WHEN a <> '' AND b <> '' THEN chr(10) || chr(10) ELSE '' END || b) AS text, CASE WHEN h <> '' THEN h WHEN pos % 2 = 0 THEN 'Section ' || version_id || '.' || pos ELSE 'Section ' || pos END AS label FROM t""")
 def section_labels(spark, d):
-    k, a = F.col("o_orderkey") % 3, F.concat(F.lit("A"), F.col("o_custkey").cast("string"))
-    text = F.when(k == 0, outline.joined(a, F.lit("  "))).when(k == 1, outline.joined(a, F.lit(None).cast("string"), F.lit(" b\n"))).otherwise(outline.section_label(F.lit(" "), F.col("o_custkey").cast("string"), F.col("o_orderkey")))
-    return read_table(spark, d, "orders").select("o_orderkey", text.alias("text"))
+    """Lines joined with the next, and what they are called: short ones by their text, others by a path or their number."""
+    after = F.lead("content").over(Window.partitionBy("version_id").orderBy("pos"))
+    s = roles.sections(spark, d).select("version_id", "pos", "content", after.alias("after"))
+    path = F.when(F.col("pos") % 2 == 0, F.concat_ws(".", "version_id", "pos")).otherwise(" ")
+    label = outline.section_label(F.when(F.length("content") < 60, F.col("content")), path, F.col("pos"))
+    return s.select("version_id", "pos", F.md5(outline.joined(F.col("content"), F.lit("  "), F.col("after"))).alias("text"), label.alias("label"))
 
 
-@query("SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN o_custkey WHEN 1 THEN NULL WHEN 2 THEN o_custkey ELSE o_custkey END AS pages, CASE o_orderkey % 4 WHEN 1 THEN 0 ELSE 2 END AS n_nodes, CASE WHEN o_orderkey % 4 <> 1 THEN 'T' || o_custkey END AS first FROM orders")
+@query(r"""WITH l AS (SELECT doc_id, string_split(text, chr(10)) AS lines FROM documents), t AS (SELECT doc_id, lines, list_transform(lines, lambda x: trim(regexp_replace(x, '^#+\s*', '')) || '|' || trim(regexp_replace(substr(x, 1, 12), '^#+\s*', ''))) AS titles FROM l)
+SELECT doc_id, len(lines) AS pages, CAST(2 * len(lines) AS INTEGER) AS n_nodes, md5(array_to_string(titles, '|')) AS titles FROM t""")
 def parse_tables_of_contents(spark, d):
-    k, c = F.col("o_orderkey") % 4, F.col("o_custkey").cast("string")
-    whole = F.concat(F.lit('{"total_pages": '), c, F.lit(', "chapters": [{"title": "## T'), c, F.lit('", "sections": [{"title": "a"}]}]}'))
-    fenced = F.concat(F.lit("```json\n"), whole, F.lit("\n```"))
-    cut = F.concat(F.lit('{"total_pages": '), c, F.lit(', "chapters": [{"title": "T'), c, F.lit('", "sections": [{"title": "a lo'))
-    text = F.when(k == 0, whole).when(k == 1, "none").when(k == 2, fenced).otherwise(cut)
-    fixed = jsons.repair(read_table(spark, d, "orders").select("o_orderkey", text.alias("answer")), "answer", "json")
-    tree = fixed.select("o_orderkey", jsons.toc_of(F.col("json")).alias("t"))
-    return tree.select("o_orderkey", F.col("t.total_pages").alias("pages"), F.coalesce(F.size("t.children") + F.aggregate("t.children", F.lit(0), lambda n, x: n + F.size(x["children"])), F.lit(0)).alias("n_nodes"), F.try_element_at("t.children", F.lit(1))["title"].alias("first"))
+    """Answers of a model with each document's lines as chapters: whole, fenced, or broken off at its end; the same tree comes out of each."""
+    n = F.col("n_chars")
+    chapters = F.transform(F.split("text", "\n"), lambda x: F.struct(F.concat(F.lit("## "), x).alias("title"), F.array(F.struct(F.substring(x, 1, 12).alias("title"))).alias("sections")))
+    whole = F.to_json(F.struct(F.size(F.split("text", "\n")).alias("total_pages"), chapters.alias("chapters")))
+    text = F.when(n % 3 == 0, F.concat(F.lit("Here it is:\n```json\n"), whole, F.lit("\n```"))).when(n % 3 == 1, whole.substr(F.lit(1), F.length(whole) - n % 6 - 1)).otherwise(whole)
+    fixed = jsons.repair(read_table(spark, d, "documents").select("doc_id", text.alias("answer")), "answer", "json")
+    tree = fixed.select("doc_id", jsons.toc_of(F.col("json")).alias("t"))
+    titles = F.transform("t.children", lambda x: F.concat_ws("|", x["title"], x["children"][0]["title"]))
+    return tree.select("doc_id", F.col("t.total_pages").cast("long").alias("pages"), F.aggregate("t.children", F.lit(0), lambda s, x: s + 1 + F.size(x["children"])).alias("n_nodes"), F.md5(F.array_join(titles, "|")).alias("titles"))
 
 
 # Places on pages
@@ -161,7 +187,7 @@ def _boxed(spark: SparkSession, d: str) -> DataFrame:
     second = F.struct((page + 1).alias("page"), F.lit(0.1).alias("left"), F.col("l_tax").alias("top"), F.lit(0.9).alias("right"), (F.col("l_tax") + 0.3).alias("bottom"))
     k = F.col("l_linenumber") % 3
     none = F.lit(None).cast(positions.BOX)
-    return li.select(F.col("l_orderkey").alias("version_id"), F.col("l_linenumber").alias("section_id"), F.when(k == 0, box.cast(positions.BOX)).otherwise(none).alias("heading_box"), F.when(k == 1, F.array(box.cast(positions.BOX), second.cast(positions.BOX))).alias("boxes"), F.lit(7).alias("page_start"), F.lit(8).alias("page_end"), F.lit(0.25).alias("start_y"), F.lit(0.75).alias("end_y"))
+    return li.select(F.col("l_orderkey").alias("version_id"), F.col("l_linenumber").alias("section_id"), F.when(k == 0, box.cast(positions.BOX)).otherwise(none).alias("heading_box"), F.when(k == 1, F.array(box.cast(positions.BOX), second.cast(positions.BOX))).alias("boxes"), F.lit(7).alias("page_start"), F.lit(8).alias("page_end"), F.lit(0.25).alias("start_y"), F.lit(0.75).alias("end_y"), F.col("l_quantity").alias("q"))
 
 
 @query(f"""WITH {_BOXES} SELECT version_id, section_id, CASE WHEN section_id % 3 = 2 THEN 7 ELSE page + 1 END AS page_start, CASE section_id % 3 WHEN 0 THEN page + 1 WHEN 1 THEN page + 2 ELSE 8 END AS page_end, round(CASE WHEN section_id % 3 = 2 THEN 0.25 ELSE top END, 9) AS start_y,
@@ -171,10 +197,14 @@ def viewer_positions(spark, d):
     return _boxed(spark, d).withColumn("p", p).select("version_id", "section_id", "p.page_start", "p.page_end", F.round("p.start_y", 9).alias("start_y"), F.round("p.end_y", 9).alias("end_y"))
 
 
-@query("SELECT l_orderkey, l_linenumber, 7 AS page_start, 0.25::DOUBLE AS start_y FROM lineitem")
+@query(f"""WITH {_BOXES} SELECT version_id AS l_orderkey, section_id AS l_linenumber, CASE WHEN q < 20 THEN CAST(q AS INTEGER) WHEN section_id % 3 <> 2 THEN page + 1 END AS page_start, CASE WHEN q >= 40 THEN CAST(q AS INTEGER) WHEN section_id % 3 = 0 THEN page + 1 WHEN section_id % 3 = 1 THEN page + 2 END AS page_end,
+  round(CASE WHEN q % 2 = 0 THEN q / 100 WHEN section_id % 3 <> 2 THEN top END, 9) AS start_y, round(CASE WHEN q % 4 = 1 THEN q / 50 WHEN section_id % 3 = 0 THEN bottom WHEN section_id % 3 = 1 THEN tax + 0.3 END, 9) AS end_y FROM b""")
 def stored_positions(spark, d):
-    p = positions.stored_position(*(F.col(c) for c in ("heading_box", "boxes", "page_start", "page_end", "start_y", "end_y")))
-    return _boxed(spark, d).withColumn("p", p).select(F.col("version_id").alias("l_orderkey"), F.col("section_id").alias("l_linenumber"), "p.page_start", "p.start_y")
+    """What is told explicitly, by the quantity of a line item, before what the boxes say."""
+    q = F.col("q")
+    given = F.when(q < 20, q.cast("int")), F.when(q >= 40, q.cast("int")), F.when(q % 2 == 0, q / 100), F.when(q % 4 == 1, q / 50)
+    p = _boxed(spark, d).withColumn("p", positions.stored_position(F.col("heading_box"), F.col("boxes"), *given))
+    return p.select(F.col("version_id").alias("l_orderkey"), F.col("section_id").alias("l_linenumber"), "p.page_start", "p.page_end", F.round("p.start_y", 9).alias("start_y"), F.round("p.end_y", 9).alias("end_y"))
 
 
 @query(f"""WITH {_SECTIONS}, s AS (SELECT version_id, pos, pos // 4 AS grp, CAST(length(regexp_replace(content, '^\\s+|\\s+$', '', 'g')) AS DOUBLE) AS w FROM sections),
@@ -320,15 +350,16 @@ def outline_summary(spark, d):
     return toc.outline_summary(e)
 
 
-@query("""SELECT o_orderkey AS version_id, idx, path, level FROM orders, (VALUES (0, 'a', 1), (1, 'a/b', 2), (2, 'a/b/c', 3), (3, 'd', 1)) t(idx, path, level) WHERE o_orderkey % 2 = 0 OR level < 3 AND idx < 2 OR idx = 3 AND false""")
+@query(r"""WITH a AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS i FROM documents), b AS (SELECT doc_id, i, line, unnest(string_split(line, '. ')) AS part, unnest(range(len(string_split(line, '. ')))) AS j FROM a),
+n AS (SELECT doc_id, i, -1 AS j, -1 AS k, line AS path, 1 AS level FROM a UNION ALL SELECT doc_id, i, j, -1, line || '/' || part, 2 FROM b UNION ALL SELECT doc_id, i, j, 0, line || '/' || part || '/' || string_split(part, ' ')[1], 3 FROM b)
+SELECT doc_id AS version_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY i, j, k) - 1 AS INTEGER) AS idx, md5(path) AS path, level FROM n""")
 def flatten_contents(spark, d):
-    node = lambda t, below=None: F.struct(F.lit(t).alias("title"), F.lit(None).cast("string").alias("chunk_id"), *([] if below is None else [below.alias("children")]))
-    deep, none = F.array(node("c")), F.array().cast("array<struct<title:string,chunk_id:string>>")
-    two = lambda leaves: F.array(node("b", leaves))
-    full = F.array(node("a", two(deep)), node("d", F.array().cast("array<struct<title:string,chunk_id:string,children:array<struct<title:string,chunk_id:string>>>>")))
-    small = F.array(node("a", two(none)))
-    o = read_table(spark, d, "orders").select(F.col("o_orderkey").alias("version_id"), F.when(F.col("o_orderkey") % 2 == 0, full).otherwise(small).alias("children"))
-    return toc.flatten(o, 3).select("version_id", "idx", "path", "level")
+    """Every document as a tree: its lines, their sentences, and the first word of each."""
+    node = lambda t, *below: F.struct(t.alias("title"), F.lit(None).cast("string").alias("chunk_id"), *below)
+    word = lambda s: F.array(node(F.substring_index(s, " ", 1))).alias("children")
+    sentences = lambda line: F.transform(F.split(line, r"\. "), lambda s: node(s, word(s))).alias("children")
+    tree = F.transform(F.split("text", "\n"), lambda line: node(line, sentences(line)))
+    return toc.flatten(read_table(spark, d, "documents").select(F.col("doc_id").alias("version_id"), tree.alias("children")), 3).select("version_id", "idx", F.md5("path").alias("path"), "level")
 
 
 # Chunks in texts
@@ -504,11 +535,17 @@ def first_pages(spark, d):
     return read_table(spark, d, "documents").select("doc_id", (outline.first_pages(t, 1) == F.split("text", "\n")[0]).alias("same"), F.col("text").rlike(r"^\S").alias("starts"), (F.col("n_chars") > 0).alias("some")).select("doc_id", (F.col("starts") & F.col("some") & F.col("same")).alias("starts"))
 
 
-@query(r"""SELECT page_id, CASE page_id % 4 WHEN 0 THEN true WHEN 1 THEN false WHEN 2 THEN true ELSE false END AS heading_only FROM pages""")
+@query(rf"""WITH {_SECTIONS}, m AS (SELECT version_id, pos, CASE WHEN length(content) < 60 THEN '## ' || content WHEN length(content) < 110 THEN upper(replace(content, 'ß', 'ss')) ELSE content END AS line FROM sections),
+c AS (SELECT version_id, pos // 2 AS chunk, '<a id=''' || (pos // 2) || '''></a>' || string_agg(line, chr(10) || chr(10) ORDER BY pos) AS text FROM m GROUP BY 1, 2), b AS (SELECT version_id, chunk, regexp_replace(regexp_replace(text, '<a\s+id=''[^'']*''>.*?</a>', '', 'gs'), '^\s+|\s+$', '', 'g') AS body FROM c)
+SELECT version_id, chunk, length(body) BETWEEN 1 AND 500 AND len(list_filter(string_split(body, chr(10)), lambda x: trim(x) <> '')) > 0 AND len(list_filter(string_split(body, chr(10)), lambda x: trim(x) <> '' AND NOT (regexp_matches(trim(x), '^#{{1,6}}') OR (length(body) <= 100 AND trim(x) = upper(trim(x)))))) = 0 AS heading_only FROM b""")
 def heading_only_chunks(spark, d):
-    k = F.col("page_id") % 4
-    text = F.when(k == 0, "<a id='1'></a># One\n\n## Two").when(k == 1, "# One\ntext").when(k == 2, "CHAPTER ONE\nOF TWO").otherwise(F.repeat(F.lit("CAPITALS "), 20))
-    return read_table(spark, d, "pages").select("page_id", outline.heading_only(text).alias("heading_only"))
+    """Chunks of two lines: short lines as marked headings, middling ones in capitals."""
+    n, c = F.length("content"), F.col("content")
+    line = F.when(n < 60, F.concat(F.lit("## "), c)).when(n < 110, F.upper(F.replace(c, F.lit("ß"), F.lit("ss")))).otherwise(c)
+    s = roles.sections(spark, d).select("version_id", F.floor(F.col("pos") / 2).cast("int").alias("chunk"), "pos", line.alias("line"))
+    texts = s.groupBy("version_id", "chunk").agg(F.array_sort(F.collect_list(F.struct("pos", "line"))).alias("rows"))
+    text = F.concat(F.lit("<a id='"), F.col("chunk").cast("string"), F.lit("'></a>"), F.array_join("rows.line", "\n\n"))
+    return texts.select("version_id", "chunk", outline.heading_only(text).alias("heading_only"))
 
 
 @query("""WITH c AS (SELECT l_orderkey AS version_id, l_linenumber * 10 AS position, l_linenumber AS page FROM lineitem WHERE l_linenumber % 2 = 1), g AS (SELECT DISTINCT l_orderkey AS version_id, l_linenumber AS page FROM lineitem WHERE l_quantity > 10),

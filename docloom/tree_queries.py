@@ -95,18 +95,27 @@ def page_outline(spark, d):
     return read_table(spark, d, "pages").select("page_id", F.size(markup.list_items(F.col("html"))).cast("long").alias("n_items"), F.array_join(markup.html_headings(F.col("html")), "|").alias("headings"))
 
 
-@query("SELECT o_orderkey AS section_id, CAST(o_custkey AS VARCHAR) AS asset_id FROM orders WHERE o_orderkey % 3 <> 0")
+@query(rf"""WITH {_SECTIONS}, s AS (SELECT version_id * 100000 + pos AS section_id, string_split(content, ' ') AS w, length(content) AS n FROM sections), a AS (SELECT DISTINCT section_id, w[1] AS asset_id FROM s UNION SELECT section_id, w[2] FROM s WHERE len(w) > 1)
+SELECT a.section_id, asset_id FROM a JOIN s ON s.section_id = a.section_id WHERE NOT ((n % 3 = 0 AND asset_id = trim(w[1]) AND asset_id <> '') OR (n % 3 = 1 AND asset_id = trim(coalesce(w[2], 'none'))))""")
 def assets_without_place(spark, d):
-    o = read_table(spark, d, "orders")
-    assets = o.select(F.col("o_orderkey").alias("section_id"), F.col("o_custkey").cast("string").alias("asset_id"))
-    text = F.when(F.col("o_orderkey") % 3 == 0, F.concat(F.lit("see [table:"), F.col("o_custkey").cast("string"), F.lit("] and [figure:x]"))).otherwise("none")
-    return markup.unplaced_assets(assets, o.select(F.col("o_orderkey").alias("section_id"), text.alias("text")))
-
-
-@query("SELECT r_regionkey, \"row\", \"column\", CASE WHEN \"row\" = 0 THEN CASE \"column\" WHEN 0 THEN 'Region' ELSE 'Key' END WHEN \"column\" = 0 THEN r_name ELSE CAST(r_regionkey AS VARCHAR) END AS text, CASE WHEN \"row\" = 0 AND \"column\" = 1 THEN 2 ELSE 1 END AS colspan, 1 AS rowspan, \"row\" = 0 AS is_header FROM region, (SELECT unnest([0, 1]) AS \"row\"), (SELECT unnest([0, 1]) AS \"column\")")
+    """The first two words of each line as its assets; a third of lines has a place for the first, a third for the second."""
+    w, n, lit = F.split("content", " "), F.length("content"), F.lit
+    second = F.try_element_at(w, lit(2))
+    s = roles.sections(spark, d).select((F.col("version_id") * 100000 + F.col("pos")).alias("section_id"), w[0].alias("w1"), second.alias("w2"), n.alias("n"), "content")
+    assets = s.select("section_id", F.col("w1").alias("asset_id")).union(s.where("w2 is not null").select("section_id", "w2")).distinct()
+    mark = F.when(F.col("n") % 3 == 0, F.concat(lit(" [Table: "), "w1", lit("] "))).when(F.col("n") % 3 == 1, F.concat(lit("[figure:"), F.coalesce("w2", lit("none")), lit(" ]"))).otherwise("")
+    return markup.unplaced_assets(assets, s.select("section_id", F.concat(mark, "content").alias("text")))
+
+
+@query(r"""WITH h AS (SELECT page_id, replace(replace(replace(replace(html, '<li>', '<tr class="i"><td COLSPAN="' || (page_id % 4 + 1) || '">'), '</li>', '</td ><TH rowspan=2><i>x</i>  y</th></tr>'), '<p>', '<tr><th>'), '</p>', '</th></tr >') AS html FROM pages),
+r AS (SELECT page_id, unnest(regexp_extract_all(html, '(?is)<tr\b[^>]*>(.*?)</tr\s*>', 1)) AS html, unnest(range(len(regexp_extract_all(html, '(?is)<tr\b[^>]*>(.*?)</tr\s*>', 1)))) AS "row" FROM h), c AS (SELECT page_id, "row", unnest(regexp_extract_all(html, '(?is)<t[hd]\b[^>]*>.*?</t[hd]\s*>')) AS cell, unnest(range(len(regexp_extract_all(html, '(?is)<t[hd]\b[^>]*>.*?</t[hd]\s*>')))) AS "column" FROM r)
+SELECT page_id, CAST("row" AS INTEGER) AS "row", CAST("column" AS INTEGER) AS "column", trim(regexp_replace(regexp_replace(cell, '<[^>]*>', ' ', 'gs'), '\s+', ' ', 'g')) AS text, coalesce(TRY_CAST(regexp_extract(cell, '(?i)^<t[hd]\b[^>]*\bcolspan\s*=\s*[''"]?(\d+)', 1) AS INTEGER), 1) AS colspan, coalesce(TRY_CAST(regexp_extract(cell, '(?i)^<t[hd]\b[^>]*\browspan\s*=\s*[''"]?(\d+)', 1) AS INTEGER), 1) AS rowspan, starts_with(lower(cell), '<th') AS is_header FROM c""")
 def table_cells(spark, d):
-    html = F.concat(F.lit("<table><tr><th>Region</th><th colspan='2'>Key</th></tr><tr><td><b>"), "r_name", F.lit("</b></td><td>"), F.col("r_regionkey").cast("string"), F.lit("</td></tr></table>"))
-    return markup.html_cells(read_table(spark, d, "region").select("r_regionkey", html.alias("html")), "r_regionkey", "html")
+    """Whole pages whose list items and paragraphs are rows of tables."""
+    html, lit = F.col("html"), F.lit
+    html = F.replace(F.replace(html, lit("<li>"), F.concat(lit('<tr class="i"><td COLSPAN="'), (F.col("page_id") % 4 + 1).cast("string"), lit('">'))), lit("</li>"), lit("</td ><TH rowspan=2><i>x</i>  y</th></tr>"))
+    html = F.replace(F.replace(html, lit("<p>"), lit("<tr><th>")), lit("</p>"), lit("</th></tr >"))
+    return markup.html_cells(read_table(spark, d, "pages").select("page_id", html.alias("html")), "page_id", "html")
 
 
 _DOTTED = f"""{_UP}, sib AS (SELECT version_id, pos, CAST(CASE WHEN pos = 0 THEN 1 ELSE (pos - 1) % 3 + 1 END AS VARCHAR) AS number FROM sections),
