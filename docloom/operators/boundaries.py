@@ -71,9 +71,10 @@ def heading_candidates(titles: DataFrame, texts: DataFrame, least: float = SCORE
         "every": T.words(F.col("line")), "b": T.words(F.col("clean")), "bar": F.when(F.contains("clean", F.lit(" | ")), T.words(_to_bar(F.col("clean")))), "in_order": in_order,
         "line_letter": F.nullif(F.upper(F.regexp_extract("clean", _LETTER, 1)), F.lit("")), "line_number": F.nullif(F.regexp_replace(F.regexp_extract("clean", _NUMBER, 1), r"\.+$", ""), F.lit("")),
     })
-    by_word = lines.select("version_id", "offset", F.explode("every").alias("word"))
+    # words move as 64-bit hashes: two words of one hash can only bring titles and lines together that the count of common words parts again
+    by_word = lines.select("version_id", "offset", F.explode("every").alias("word")).withColumn("word", F.xxhash64("word"))
     often = by_word.groupBy("version_id", "word").agg(F.count("*").alias("n"))
-    words = t.select("version_id", "section_id", F.size("a").alias("size"), F.explode("a").alias("word")).join(often, ["version_id", "word"], "left")
+    words = t.select("version_id", "section_id", F.size("a").alias("size"), F.explode("a").alias("word")).withColumn("word", F.xxhash64("word")).join(often, ["version_id", "word"], "left")
     rank = F.row_number().over(Window.partitionBy("version_id", "section_id").orderBy(F.coalesce("n", F.lit(0)), "word"))
     needed = F.ceil(least / (2 - least) * F.col("size") - 1e-9)
     rare = words.withColumn("rank", rank).where(F.col("rank") <= F.col("size") - needed + 1)
