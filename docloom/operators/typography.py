@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docloom.functions.outline import number_level
@@ -20,20 +22,20 @@ def body_sizes(spans: DataFrame) -> DataFrame:
     return counts.groupBy("version_id").agg(F.max_by("size", F.struct("n", -F.col("first"))).alias("body"))
 
 
-def headings_by_type(spans: DataFrame, pages: DataFrame) -> DataFrame:
+def headings_by_type(spans: DataFrame, pages: DataFrame, level: Callable[[Column], Column] = number_level) -> DataFrame:
     """Headings by their type: version_id, pos (from 0), page, y (share of the page), level, title, parent_pos.
 
     spans: version_id, seq (unique place in the document), page, y0 (of the span's block), size, flags, text; pages: version_id, page, height. A heading
     is numbered (1.2 is of level 2; chapters and parts by name are of level 1) and either larger than the body or bold; of several at one height the
     first counts. Its parent is the nearest earlier heading of a smaller level. Blank and null spans count for nothing, also not for the body's
-    size; a missing page or null height is 1 point, one of 0 or less gives y 0; a null size is no size, null flags are none. Only spans that are numbered move
+    size; ``level`` tells another rule of titles' levels (null: no heading; a number or a c or p must begin the title); a missing page or null height is 1 point, one of 0 or less gives y 0; a null size is no size, null flags are none. Only spans that are numbered move
     to meet the body's size, which comes from counts of sizes.
     """
     title = strip_text(F.regexp_replace(F.replace("text", F.lit("\u00ad"), F.lit("")), r"[ \t]+", " "))
     s = spans.where(F.col("text").rlike(r"\S")).select("version_id", "seq", "page", "y0", binary_round(F.col("size"), 1).alias("size"), "flags", "text")
     # titles are cleaned once and only where a number or a chapter may begin: as a plain column the cleaning would be put into every use of the title
     numbered = s.where(F.col("text").rlike(r"^[\s\u00ad]*[\dCcPp]")).withColumn("title", F.explode(F.array(title))).drop("text")
-    numbered = numbered.withColumn("level", number_level(F.col("title"))).where("level is not null")
+    numbered = numbered.withColumn("level", level(F.col("title"))).where("level is not null")
     large = F.coalesce(F.col("size") > F.col("body") + LARGER, F.lit(False))
     bold = F.coalesce(F.col("flags").bitwiseAND(BOLD) > 0, F.lit(False))
     found = numbered.join(body_sizes(s.where("size is not null").select("version_id", "seq", "size")), "version_id", "left").where(large | bold)
