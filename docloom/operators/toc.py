@@ -51,20 +51,27 @@ def windows(ranges: DataFrame, marks: DataFrame, n_chunks: DataFrame, buffer: in
     """Where the chunks of a run of nodes are to be looked for: ranges (version_id, first, last) with ``low`` and ``high``.
 
     From the middle of the last two landmarks, but no more than ``buffer`` before the last, to two behind the next; if that is empty, around
-    the last. marks: version_id, idx, position; n_chunks: version_id, n. Landmarks of a version are one array beside each of its ranges.
+    the last. marks: version_id, idx, position; n_chunks: version_id, n. Ranges and landmarks of a version go in one order, upwards by a range's
+    first place and downwards by its last, and carry the largest and the least position along: no range meets the landmarks one by one.
     """
-    m = marks.groupBy("version_id").agg(F.collect_list(F.struct("idx", "position")).alias("marks"))
-    r = ranges.join(m, "version_id", "left").join(n_chunks, "version_id")
-    some = lambda keep, fold, default: F.coalesce(fold(F.transform(F.filter("marks", keep), lambda x: x["position"])), default)
-    before = some(lambda x: x["idx"] <= F.col("first"), F.array_max, F.lit(0))
-    behind = some(lambda x: x["idx"] >= F.col("last"), F.array_min, F.col("n"))
-    earlier = some(lambda x: x["idx"] < F.col("first"), F.array_max, F.lit(0))
-    r = r.withColumns({"before": before, "behind": behind, "earlier": earlier})
+    r = ranges.join(n_chunks, "version_id").select("version_id", F.struct(*ranges.columns, "n").alias("of"))
+    r = r.join(marks.select("version_id", F.lit(True).alias("marked")).distinct(), "version_id", "left")
+    m = marks.where("idx is not null").select("version_id", F.col("idx").alias("at"), F.lit(1).alias("turn"), "position")
+    both = m.unionByName(r.withColumns({"at": F.col("of.first"), "turn": F.lit(0)}), allowMissingColumns=True)
+    way = Window.partitionBy("version_id").orderBy("at", "turn")
+    # in front of the landmarks of its own place a range sees the earlier ones, behind them all that count
+    earlier = F.max("position").over(way.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    before = F.max("position").over(Window.partitionBy("version_id").orderBy("at").rangeBetween(Window.unboundedPreceding, Window.currentRow))
+    r = both.withColumns({"earlier": earlier, "before": before}).where("turn = 0").select("version_id", "of", "marked", "earlier", "before")
+    both = m.unionByName(r.withColumns({"at": F.col("of.last"), "turn": F.lit(0)}), allowMissingColumns=True)
+    back = Window.partitionBy("version_id").orderBy(F.desc_nulls_first("at")).rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    r = both.withColumn("behind", F.min("position").over(back)).where("turn = 0")
+    r = r.select("of.*", "marked", F.coalesce("before", F.lit(0)).alias("before"), F.coalesce("behind", "of.n").alias("behind"), F.coalesce("earlier", F.lit(0)).alias("earlier"))
     middle = F.when(F.col("earlier") > 0, F.floor((F.col("earlier") + F.col("before")) / 2)).otherwise(0)
     r = r.withColumns({"low": F.greatest(middle, F.col("before") - buffer), "high": F.least(F.col("n"), F.col("behind") + 2)})
     empty = F.col("low") >= F.col("high")
-    low = F.when(F.col("marks").isNull(), 0).when(empty, F.greatest(F.lit(0), F.col("before") - buffer)).otherwise(F.col("low"))
-    high = F.when(F.col("marks").isNull(), F.col("n")).when(empty, F.least(F.col("n"), F.col("before") + 4 * buffer)).otherwise(F.col("high"))
+    low = F.when(F.col("marked").isNull(), 0).when(empty, F.greatest(F.lit(0), F.col("before") - buffer)).otherwise(F.col("low"))
+    high = F.when(F.col("marked").isNull(), F.col("n")).when(empty, F.least(F.col("n"), F.col("before") + 4 * buffer)).otherwise(F.col("high"))
     return r.select(*ranges.columns, low.cast("int").alias("low"), high.cast("int").alias("high"))
 
 
