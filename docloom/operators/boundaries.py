@@ -6,8 +6,10 @@ is a fold over each document's table of contents that sees only titles' numbers,
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -28,13 +30,6 @@ def bare_line(line: Column) -> Column:
     return T.strip_text(F.regexp_replace(F.regexp_replace(line, r"<[^>]+>", " "), r"^#{1,6}\s*", ""))
 
 
-def text_lines(texts: DataFrame) -> DataFrame:
-    """(version_id, offset, line) of the lines of each text."""
-    rows = texts.select("version_id", F.posexplode(F.split("text", "\n")).alias("k", "line"))
-    before = Window.partitionBy("version_id").orderBy("k").rowsBetween(Window.unboundedPreceding, -1)
-    return rows.select("version_id", F.coalesce(F.sum(F.length("line") + 1).over(before), F.lit(0)).cast("int").alias("offset"), "line")
-
-
 def _to_bar(text: Column) -> Column:
     at = F.instr(text, " | ")
     return F.when(at > 1, F.substring(text, F.lit(1), at - 1)).otherwise(text)
@@ -48,6 +43,77 @@ def _numbers_inside(line: Column, number: Column) -> Column:
     return F.slice(ends, 1, F.size(ends) - 1)
 
 
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """A column that ``use`` makes of a value which is computed once."""
+    return F.transform(F.array(value), use)[0]
+
+
+#: Titles of one document that meet its lines at once, and pairs of titles and words that one step holds.
+TITLES_AT_ONCE, PAIRS_AT_ONCE = 256, 1 << 21
+
+
+def _blocks(n: np.ndarray) -> Iterator[slice]:
+    """Runs of items whose numbers add up to ``PAIRS_AT_ONCE`` at most, or of one item."""
+    ends, at = np.cumsum(n), 0
+    while at < len(n):
+        upto = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + PAIRS_AT_ONCE, "right")))
+        yield slice(at, upto)
+        at = upto
+
+
+def _spread(start: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """The numbers from each start on, so many of each."""
+    return np.repeat(start - np.cumsum(n) + n, n) + np.arange(n.sum())
+
+
+def _meetings(least: float) -> Callable:
+    """Of rows with titles and lines as hashed words: the pairs that have enough words in common, with the line's offset."""
+    share = least / (2 - least)
+
+    @F.arrow_udf("array<struct<title:int,line:int,offset:int>>")
+    def meet(titles: pa.Array, lines: pa.Array, lengths: pa.Array) -> pa.Array:
+        def words(rows: pa.Array) -> tuple:
+            items = rows.flatten()
+            n, size = (np.asarray(x.value_lengths().fill_null(0), np.int64) for x in (rows, items))
+            return n, size, np.repeat(np.arange(len(n)), n), np.repeat(np.arange(len(size)), size), items.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
+
+        mixed = lambda word, of: (word ^ (of.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))) * np.uint64(0xD6E8FEB86659FD93)
+        n_titles, size, row_of_title, title_of, asked = words(titles)
+        n_lines, _, row_of_line, line_of, there = words(lines)
+        needed, begin = np.ceil(share * size - 1e-9).astype(np.int64), np.cumsum(size) - size
+        by_row = mixed(there, row_of_line[line_of])
+        order = np.argsort(by_row)
+        by_row, at_line = by_row[order], line_of[order]
+        key = mixed(asked, row_of_title[title_of])
+        low = np.searchsorted(by_row, key, "left")
+        often = np.searchsorted(by_row, key, "right") - low
+        # the rarest words of each title, as many as must hold one that any line with enough of them has
+        rank = np.empty(len(key), np.int64)
+        rank[np.lexsort((often, title_of))] = np.arange(len(key)) - begin[title_of]
+        rare = np.flatnonzero((rank <= size[title_of] - needed[title_of]) & (often > 0))
+        in_line, found = np.sort(mixed(there, line_of)), []
+        per_title = np.bincount(title_of[rare], often[rare], len(size)).astype(np.int64)
+        first = np.searchsorted(title_of[rare], np.arange(len(size) + 1))
+        for part in _blocks(per_title):
+            some = rare[first[part.start] : first[part.stop]]
+            pairs = np.unique(np.repeat(title_of[some], often[some]) * len(row_of_line) + at_line[_spread(low[some], often[some])])
+            for few in _blocks(size[pairs // max(1, len(row_of_line))]):
+                title, line = np.divmod(pairs[few], max(1, len(row_of_line)))
+                probe = mixed(asked[_spread(begin[title], size[title])], np.repeat(line, size[title]))
+                k = np.minimum(np.searchsorted(in_line, probe), max(0, len(in_line) - 1))
+                common = np.bincount(np.repeat(np.arange(len(title)), size[title]), in_line[k] == probe, len(title))
+                found.append(pairs[few][common >= needed[title]])
+        title, line = np.divmod(np.concatenate([np.empty(0, np.int64), *found]), max(1, len(row_of_line)))
+        step = np.asarray(lengths.flatten(), np.int64) + 1
+        start, first_line, first_title = np.cumsum(step) - step, np.cumsum(n_lines) - n_lines, np.cumsum(n_titles) - n_titles
+        row = row_of_title[title]
+        columns = title - first_title[row], line - first_line[row], start[line] - start[first_line[row]]
+        ends = np.concatenate([[0], np.cumsum(np.bincount(row, minlength=len(n_titles)))])
+        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays([pa.array(c, pa.int32()) for c in columns], ["title", "line", "offset"]))
+
+    return meet
+
+
 def heading_candidates(titles: DataFrame, texts: DataFrame, least: float = SCORE, beginnings: bool = True) -> DataFrame:
     """Places in texts whose words have a Dice coefficient of ``least`` or more with a title: version_id, section_id, offset, kind, score.
 
@@ -57,46 +123,60 @@ def heading_candidates(titles: DataFrame, texts: DataFrame, least: float = SCORE
 
     A coefficient of t needs t / (2 - t) of a title's words in the line. So a line that has none of the title's rarest words but that many
     can't reach it: titles and lines meet by those alone, and a word that is on every line brings no pairs. Titles without words have
-    no candidates.
+    no candidates. A text meets all its titles in one row, ``TITLES_AT_ONCE`` at a time: words move nowhere but to Python as hashes, which tells the pairs.
     """
-    bare = T.strip_text(F.regexp_replace(F.trim("title"), r"^#{1,6}\s*", ""))
-    number = F.nullif(F.lower(F.regexp_replace(F.regexp_extract(F.trim("title"), _NUMBER, 1), r"\.+$", "")), F.lit(""))
-    letter = F.nullif(F.upper(F.regexp_extract(bare, _LETTER, 1)), F.lit(""))
-    own = F.when(letter.isNull(), F.nullif(F.regexp_replace(F.regexp_extract(bare, _NUMBER, 1), r"\.+$", ""), F.lit("")))
-    t = titles.select("version_id", "section_id", T.words(F.col("title")).alias("a"), number.alias("number"), letter.alias("letter"), own.alias("own")).where(F.size("a") > 0)
-    lines = text_lines(texts).withColumn("clean", bare_line(F.col("line"))).where("clean <> ''")
-    # what is said of a line is computed once, before it meets titles
-    in_order = F.filter(F.split(F.regexp_replace(F.lower("clean"), r"[^\p{L}\p{N}_]+", " "), " "), lambda w: w != "")
-    lines = lines.withColumns({
-        "every": T.words(F.col("line")), "b": T.words(F.col("clean")), "bar": F.when(F.contains("clean", F.lit(" | ")), T.words(_to_bar(F.col("clean")))), "in_order": in_order,
-        "line_letter": F.nullif(F.upper(F.regexp_extract("clean", _LETTER, 1)), F.lit("")), "line_number": F.nullif(F.regexp_replace(F.regexp_extract("clean", _NUMBER, 1), r"\.+$", ""), F.lit("")),
-    })
-    # words move as 64-bit hashes: two words of one hash can only bring titles and lines together that the count of common words parts again
-    by_word = lines.select("version_id", "offset", F.explode("every").alias("word")).withColumn("word", F.xxhash64("word"))
-    often = by_word.groupBy("version_id", "word").agg(F.count("*").alias("n"))
-    words = t.select("version_id", "section_id", F.size("a").alias("size"), F.explode("a").alias("word")).withColumn("word", F.xxhash64("word")).join(often, ["version_id", "word"], "left")
-    rank = F.row_number().over(Window.partitionBy("version_id", "section_id").orderBy(F.coalesce("n", F.lit(0)), "word"))
-    needed = F.ceil(least / (2 - least) * F.col("size") - 1e-9)
-    rare = words.withColumn("rank", rank).where(F.col("rank") <= F.col("size") - needed + 1)
-    pairs = rare.select("version_id", "section_id", "word").join(by_word, ["version_id", "word"]).select("version_id", "section_id", "offset").distinct()
-    met = pairs.join(t.withColumn("size", F.size("a")), ["version_id", "section_id"]).join(lines, ["version_id", "offset"]).where(F.size(F.array_intersect("a", "every")) >= needed)
-    limit = F.greatest(2 * F.size("a") + 2, F.lit(8))
-    starts = lambda text: F.coalesce(F.lower(text).startswith(F.col("number")) & F.substring(text, F.length("number") + 1, F.lit(1)).rlike(r"^[.\s]?$"), F.lit(False))
-    scored = lambda b, begins: F.struct(T.dice(F.col("a"), b).alias("dice"), (begins & (F.size(b) <= limit)).alias("near"))
+    words_in_order = lambda text: F.filter(F.split(F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}_]+", " "), " "), lambda w: w != "")
+    hashed = lambda words: F.transform(words, lambda w: F.xxhash64(w))
+
+    def title_of(t: Column) -> Column:
+        bare, number = T.strip_text(F.regexp_replace(F.trim(t["title"]), r"^#{1,6}\s*", "")), F.regexp_replace(F.regexp_extract(F.trim(t["title"]), _NUMBER, 1), r"\.+$", "")
+        letter = F.nullif(F.upper(F.regexp_extract(bare, _LETTER, 1)), F.lit(""))
+        own = F.when(letter.isNull(), F.nullif(F.regexp_replace(F.regexp_extract(bare, _NUMBER, 1), r"\.+$", ""), F.lit("")))
+        return F.struct(t["section_id"].alias("section_id"), T.words(t["title"]).alias("a"), F.nullif(F.lower(number), F.lit("")).alias("number"), letter.alias("letter"), own.alias("own"))
+
+    def line_of(line: Column, clean: Column) -> Column:
+        # a line's words in order, without its tags; those of the line as it is are others only where it has tags
+        shown = words_in_order(clean)
+        every = lambda b: F.when(clean == "", F.array().cast("array<bigint>")).when(F.contains(line, F.lit("<")), hashed(T.words(line))).otherwise(hashed(b))
+        return _let(shown, lambda w: _let(F.array_distinct(w), lambda b: F.struct(line.alias("line"), clean.alias("clean"), w.alias("in_order"), b.alias("b"), every(b).alias("every"))))
+
+    t = titles.groupBy("version_id").agg(F.collect_list(F.struct("section_id", "title")).alias("titles"))
+    rows = texts.where("text is not null").select("version_id", "text").join(t, "version_id")
+    lines = F.transform(F.split("text", "\n"), lambda x: _let(bare_line(x), lambda clean: line_of(x, clean)))
+    # arrays of one element, exploded, keep what is computed from being put into each of its uses
+    rows = rows.select("version_id", F.explode(F.array(F.struct(F.filter(F.transform("titles", title_of), lambda t: F.size(t["a"]) > 0).alias("titles"), lines.alias("lines")))).alias("x"))
+    parts = F.transform(F.sequence(F.lit(1), F.size("x.titles"), F.lit(TITLES_AT_ONCE)), lambda k: F.slice(F.col("x.titles"), k, TITLES_AT_ONCE))
+    rows = rows.where(F.size("x.titles") > 0).select("version_id", F.explode(parts).alias("titles"), F.col("x.lines").alias("lines"))
+    args = F.transform("titles", lambda t: hashed(t["a"])), F.transform("lines", lambda x: x["every"]), F.transform("lines", lambda x: F.length(x["line"]))
+    rows = rows.withColumn("pairs", _meetings(least)(*args))
+
+    def scores(t: Column, x: Column) -> Column:
+        a, number, line, clean, b = t["a"], t["number"], x["line"], x["clean"], x["b"]
+        limit = F.greatest(2 * F.size(a) + 2, F.lit(8))
+        starts = lambda text: F.coalesce(F.lower(text).startswith(number) & F.substring(text, F.length(number) + 1, F.lit(1)).rlike(r"^[.\s]?$"), F.lit(False))
+        scored = lambda kind, at, b, begins: F.struct(F.lit(kind).alias("kind"), at.cast("int").alias("at"), T.dice(a, b).alias("dice"), (begins & (F.size(b) <= limit)).alias("near"))
+        upto_bar = F.when(F.contains(clean, F.lit(" | ")), T.words(_to_bar(clean))).otherwise(b)
+        # a number's part of a line, with its words
+        part = lambda p: _let(bare_line(_to_bar(F.substring(line, p + 1, F.length(line)))), lambda sub: scored(INSIDE, p, T.words(sub), starts(sub)))
+        first_words = F.array_distinct(F.slice(x["in_order"], 1, F.greatest(2 * F.size(a), F.lit(10))))
+
+        def beginning() -> Column:
+            line_letter = F.nullif(F.upper(F.regexp_extract(clean, _LETTER, 1)), F.lit(""))
+            line_number = F.nullif(F.regexp_replace(F.regexp_extract(clean, _NUMBER, 1), r"\.+$", ""), F.lit(""))
+            other = F.coalesce(F.when(t["letter"].isNotNull(), F.coalesce(line_letter != t["letter"], line_number.isNotNull())).otherwise(line_number != t["own"]), F.lit(False))
+            return F.struct(F.lit(BEGINNING).alias("kind"), F.lit(0).alias("at"), F.when(other, 0.0).otherwise(T.dice(a, first_words)).alias("dice"), F.lit(False).alias("near"))
+
+        def of(numbered: Column) -> Column:
+            whole = F.when(numbered, scored(LINE, F.lit(0), upto_bar, numbered)).otherwise(scored(LINE, F.lit(0), b, numbered))
+            inside = F.when(F.contains(line, number) & ~numbered, F.transform(_numbers_inside(line, number), part))
+            return F.concat(F.array(whole, beginning()) if beginnings else F.array(whole), F.coalesce(inside, F.array().cast("array<struct<kind:int,at:int,dice:double,near:boolean>>")))
+
+        return F.filter(_let(starts(clean), of), lambda s: s["dice"] >= least)
+
     raised = lambda s: F.when(s["near"], F.greatest(s["dice"], F.lit(0.9))).otherwise(s["dice"])
-    met = met.withColumn("numbered", starts(F.col("clean")))
-    numbered = F.col("numbered")
-    line = F.struct(F.lit(LINE).alias("kind"), F.lit(0).alias("at"), scored(F.when(numbered, F.coalesce("bar", "b")).otherwise(F.col("b")), numbered).alias("s"))
-    # a number's part of a line, with its words
-    parts = F.transform(_numbers_inside(F.col("line"), F.col("number")), lambda p: F.struct(p.alias("at"), bare_line(_to_bar(F.substring(F.col("line"), p + 1, F.length("line")))).alias("sub")))
-    parts = F.transform(parts, lambda x: F.struct(x["at"].alias("at"), starts(x["sub"]).alias("begins"), T.words(x["sub"]).alias("b")))
-    met = met.withColumn("parts", F.when(F.contains("line", "number") & ~numbered, parts))
-    inside = F.transform("parts", lambda x: F.struct(F.lit(INSIDE).alias("kind"), x["at"].alias("at"), scored(x["b"], x["begins"]).alias("s")))
-    first_words = F.array_distinct(F.slice("in_order", 1, F.greatest(2 * F.size("a"), F.lit(10))))
-    other = F.coalesce(F.when(F.col("letter").isNotNull(), F.coalesce(F.col("line_letter") != F.col("letter"), F.col("line_number").isNotNull())).otherwise(F.col("line_number") != F.col("own")), F.lit(False))
-    beginning = F.struct(F.lit(BEGINNING).alias("kind"), F.lit(0).alias("at"), F.struct(F.when(other, 0.0).otherwise(T.dice(F.col("a"), first_words)).alias("dice"), F.lit(False).alias("near")).alias("s"))
-    found = met.withColumn("x", F.explode(F.concat(F.array(line, beginning) if beginnings else F.array(line), F.coalesce(inside, F.array().cast("array<struct<kind:int,at:int,s:struct<dice:double,near:boolean>>>"))))).where(F.col("x.s.dice") >= least)
-    return found.select("version_id", "section_id", (F.col("offset") + F.col("x.at")).alias("offset"), F.col("x.kind").alias("kind"), raised(F.col("x.s")).alias("score"))
+    one = lambda t, p: F.transform(scores(t, F.get("lines", p["line"])), lambda s: F.struct(t["section_id"].alias("section_id"), (p["offset"] + s["at"]).alias("offset"), s["kind"].alias("kind"), raised(s).alias("score")))
+    found = F.flatten(F.transform("pairs", lambda p: _let(F.get("titles", p["title"]), lambda t: one(t, p))))
+    return rows.select("version_id", F.explode(found).alias("x")).select("version_id", "x.*")
 
 
 def find_headings(titles: DataFrame, texts: DataFrame, score: float = SCORE, window: int = REACH) -> DataFrame:
