@@ -43,11 +43,15 @@ h AS (SELECT doc_id, number, CASE WHEN regexp_full_match(s, '[\d\s,.\-/]*') OR c
 SELECT doc_id, number, heading FROM (SELECT *, lag(heading) OVER (PARTITION BY doc_id ORDER BY number) AS b FROM h WHERE heading IS NOT NULL) WHERE b IS NULL OR b <> heading""")
 def heading_outline(spark, d):
     """Whole documents, short lines marked with up to seven marks, others bold or numbered inside tags."""
-    n, c, p, lit = F.length("content"), F.col("content"), F.col("pos"), F.lit
-    line = F.when((c != "") & (n < 70) & (p % 2 == 0), F.concat(F.repeat(lit("#"), n % 7 + 1), lit(" "), c)).when(n % 5 == 0, F.concat(lit("**"), c, lit("**")))
-    line = line.when(n % 5 == 1, F.concat(lit("<b>"), p.cast("string"), lit("."), (p % 4).cast("string"), lit(". "), c, lit("</b>"))).otherwise(c)
-    s = roles.sections(spark, d).groupBy("version_id").agg(F.array_sort(F.collect_list(F.struct("pos", line.alias("line")))).alias("rows"))
-    return outline.heading_outline(s.select(F.col("version_id").alias("doc_id"), F.array_join("rows.line", "\n").alias("text")), "doc_id", "text")
+    lit = F.lit
+
+    def marked(c, p):
+        n = F.length(c)
+        line = F.when((c != "") & (n < 70) & (p % 2 == 0), F.concat(F.repeat(lit("#"), n % 7 + 1), lit(" "), c)).when(n % 5 == 0, F.concat(lit("**"), c, lit("**")))
+        return line.when(n % 5 == 1, F.concat(lit("<b>"), p.cast("string"), lit("."), (p % 4).cast("string"), lit(". "), c, lit("</b>"))).otherwise(c)
+
+    text = F.array_join(F.transform(F.split("text", "\n"), marked), "\n")
+    return outline.heading_outline(read_table(spark, d, "documents").select("doc_id", text.alias("text")), "doc_id", "text")
 
 
 @query(rf"""WITH {_SECTIONS}, t AS (SELECT version_id, pos, CASE length(content) % 6 WHEN 0 THEN '## ' || content WHEN 1 THEN ' Chương ' || pos || '.' || length(content) || ' ' || content WHEN 2 THEN pos || '.' || (length(content) % 7) || '. ' || content WHEN 3 THEN 'TÀI  LIỆU ' || pos || ' ' || content WHEN 4 THEN 'annex ' || pos || ' ' || content ELSE pos || ' ' || content END AS raw FROM sections),

@@ -82,9 +82,21 @@ def without_tables(text: Column) -> Column:
 def heading_of(line: Column) -> Column:
     """A line as a heading of the outline, null if it is none: marked ones, named or Roman parts, decimal numbers, capitals."""
     s = strip_text(line)
+    plain = _plain(s)
+    return _heading(s, plain, _unmarked(plain))
+
+
+def _plain(s: Column) -> Column:
+    return strip_text(F.regexp_replace(strip_text(F.regexp_replace(s, r"<[^>]+>", "")), r"<::.*?::>", ""))
+
+
+def _unmarked(plain: Column) -> Column:
+    return strip_text(F.regexp_replace(plain, r"\*{1,3}|_{1,3}", ""))
+
+
+def _heading(s: Column, plain: Column, clean: Column) -> Column:
+    """A heading by its stripped line, that without tags, and that without marks of type."""
     number_only = s.rlike(r"^\s*[\d\s,.\-/]+\s*$")
-    plain = strip_text(F.regexp_replace(strip_text(F.regexp_replace(s, r"<[^>]+>", "")), r"<::.*?::>", ""))
-    clean = strip_text(F.regexp_replace(plain, r"\*{1,3}|_{1,3}", ""))
     low = F.lower(clean)
     marks, marked = F.regexp_extract(s, r"^(#{1,6})\s+(.+)", 1), strip_text(F.regexp_replace(F.regexp_extract(s, r"^(#{1,6})\s+(.+)", 2), r"\*{1,3}|_{1,3}", ""))
     words = "|".join(PART_WORDS)
@@ -103,8 +115,13 @@ def heading_of(line: Column) -> Column:
 
 
 def heading_outline(texts: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, number, heading) of the headings of each text in order; of equal ones that follow each other the first."""
-    found = texts.select(key, F.posexplode(lines(F.col(text))).alias("number", "line")).select(key, "number", heading_of(F.col("line")).alias("heading")).where("heading is not null")
+    """(key, number, heading) of the headings of each text in order; of equal ones that follow each other the first. Only headings move."""
+    # an array of one element, exploded, is computed once; as a plain column it would be put into each of its uses
+    once = lambda x, name: F.explode(F.array(x)).alias(name)
+    found = texts.select(key, F.posexplode(lines(F.col(text))).alias("number", "line")).select(key, "number", once(strip_text(F.col("line")), "s")).where("s <> ''")
+    found = found.select(key, "number", "s", once(_plain(F.col("s")), "plain")).where("plain <> ''")
+    found = found.select(key, "number", "s", "plain", once(_unmarked(F.col("plain")), "clean")).where("clean <> ''")
+    found = found.select(key, "number", once(_heading(F.col("s"), F.col("plain"), F.col("clean")), "heading")).where("heading is not null")
     before = F.lag("heading").over(Window.partitionBy(key).orderBy("number"))
     return found.withColumn("before", before).where("before is null or before <> heading").drop("before")
 
