@@ -10,6 +10,7 @@ from collections import Counter
 from collections.abc import Callable
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -128,28 +129,28 @@ def section_spans(nodes: DataFrame, placed: DataFrame, texts: DataFrame) -> Data
 
     A node starts at its chunk and ends where the first later node starts that is no deeper and stands further on, or at the text's
     end. It starts no earlier than the nodes above it. A span turned round ends where its chunk ends; if that is no later either, nowhere.
-    One group is one table of contents.
+    A row is one table of contents; many go to Python at once.
     """
     starts = placed.where("start >= 0").select("version_id", F.col("id").alias("chunk_id"), F.col("start").alias("place"), F.col("end").alias("chunk_end"))
     sizes = texts.select("version_id", F.length("text").alias("size"))
     n = nodes.select("version_id", "idx", "level", "title", "chunk_id").join(starts, ["version_id", "chunk_id"], "left").join(sizes, "version_id")
 
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values("idx", ignore_index=True)
-        rows = [{"level": int(a), "place": None if pd.isna(b) else int(b)} for a, b in zip(frame["level"], frame["place"], strict=True)]
-        ends, floors, above = _ends(rows), [], []
-        for r in rows:
-            above = [x for x in above if x[0] < r["level"]]
-            floors.append(max((x[1] for x in above), default=0))
-            if r["place"] is not None:
-                above.append((r["level"], max(r["place"], floors[-1])))
-        frame["floor"] = floors
-        frame["next"] = pd.array(ends, dtype="Int32")
-        return frame[["version_id", "idx", "level", "title", "chunk_id", "place", "chunk_end", "size", "floor", "next"]]
-
-    kinds = dict(n.dtypes)
-    schema = f"version_id {kinds['version_id']}, idx int, level int, title string, chunk_id string, place int, chunk_end int, size int, floor int, next int"
-    s = n.groupBy("version_id").applyInPandas(run, schema)
+    @F.arrow_udf("array<struct<floor:int,next:int>>")
+    def reach(levels: pa.Array, places: pa.Array) -> pa.Array:
+        out = []
+        for rows in ([{"level": a, "place": b} for a, b in zip(x, y, strict=True)] for x, y in zip(levels.to_pylist(), places.to_pylist(), strict=True)):
+            floors, above = [], []
+            for r in rows:
+                above = [x for x in above if x[0] < r["level"]]
+                floors.append(max((x[1] for x in above), default=0))
+                if r["place"] is not None:
+                    above.append((r["level"], max(r["place"], floors[-1])))
+            out.append([{"floor": x, "next": y} for x, y in zip(floors, _ends(rows), strict=True)])
+        return pa.array(out, pa.list_(pa.struct([("floor", pa.int32()), ("next", pa.int32())])))
+
+    s = n.groupBy("version_id", "size").agg(F.sort_array(F.collect_list(F.struct("idx", "level", "title", "chunk_id", "place", "chunk_end"))).alias("nodes"))
+    s = s.withColumn("reach", reach(F.transform("nodes", lambda x: x["level"]), F.transform("nodes", lambda x: x["place"])))
+    s = s.select("version_id", "size", F.explode(F.arrays_zip("nodes", "reach")).alias("x")).select("version_id", "size", "x.nodes.*", "x.reach.*")
     start = F.greatest("place", "floor")
     end = F.coalesce("next", "size")
     end = F.when(end > start, end).when(F.col("chunk_end") > start, F.col("chunk_end"))
