@@ -387,7 +387,7 @@ def _marked(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
 SELECT version_id, pos, CAST(start AS INTEGER) AS start, CAST(coalesce(min(CASE WHEN start >= 0 THEN start END) OVER (PARTITION BY version_id ORDER BY pos ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), size) AS INTEGER) AS "end" FROM c""")
 def chunk_offsets(spark, d):
     texts, c = _marked(spark, d)
-    return chunks.chunk_offsets(c, texts).select("version_id", "pos", "start", "end")
+    return chunks.chunk_offsets(c.drop("text"), texts).select("version_id", "pos", "start", "end")
 
 
 _PLACED = f"""{_MARKED}, o AS (SELECT s.version_id, pos, content, CASE WHEN pos % 11 = 10 THEN -1 ELSE instr(m.text, '<a id=''k' || pos || '''></a>') - 1 END AS start, length(m.text) AS size FROM sections s JOIN m ON m.version_id = s.version_id),
@@ -398,7 +398,7 @@ noise AS (SELECT version_id, pos, start, stop, CASE pos % 5 WHEN 1 THEN '' WHEN
 @query(f"""WITH {_PLACED} SELECT version_id, CAST(start AS INTEGER) AS start, CAST(stop AS INTEGER) AS "end", mark FROM noise""")
 def noise_intervals(spark, d):
     texts, c = _marked(spark, d)
-    return chunks.noise_intervals(chunks.chunk_offsets(c, texts)).select("version_id", "start", "end", "mark")
+    return chunks.noise_intervals(chunks.chunk_offsets(chunks.measured(c), texts)).select("version_id", "start", "end", "mark")
 
 
 @query(f"""WITH {_PLACED}, p AS (SELECT version_id, pos, start, stop, CASE WHEN pos % 5 = 1 THEN '' WHEN pos % 5 IN (2, 3) THEN '[' || CASE pos % 5 WHEN 2 THEN 'figure' ELSE 'table' END || ':k' || pos || ']' END AS mark FROM placed WHERE start >= 0),
@@ -406,7 +406,7 @@ x AS (SELECT p.version_id, p.pos, coalesce(p.mark, substr(m.text, CAST(start AS
 SELECT version_id, md5(string_agg(part, '' ORDER BY pos)) AS spliced_md5 FROM x GROUP BY version_id""")
 def spliced_texts(spark, d):
     texts, c = _marked(spark, d)
-    noise = chunks.noise_intervals(chunks.chunk_offsets(c, texts)).groupBy("version_id").agg(F.sort_array(F.collect_list(F.struct("start", "end", "mark"))).alias("noise"))
+    noise = chunks.noise_intervals(chunks.chunk_offsets(chunks.measured(c), texts)).groupBy("version_id").agg(F.sort_array(F.collect_list(F.struct("start", "end", "mark"))).alias("noise"))
     t = texts.join(noise, "version_id", "left")
     return t.select("version_id", F.md5(chunks.spliced(F.col("text"), F.lit(0), F.length("text"), F.col("noise")).cast("binary")).alias("spliced_md5"))
 
@@ -415,7 +415,7 @@ def spliced_texts(spark, d):
 SELECT t.version_id, t.pos AS idx, CAST(start AS INTEGER) AS start, CAST(coalesce((SELECT min(u.start) FROM t u WHERE u.version_id = t.version_id AND u.start > t.start AND u.pos % 4 <= t.pos % 4), size) AS INTEGER) AS "end" FROM t JOIN (SELECT version_id, length(text) AS size FROM m) z ON z.version_id = t.version_id""")
 def section_spans(spark, d):
     texts, c = _marked(spark, d)
-    placed = chunks.chunk_offsets(c, texts)
+    placed = chunks.chunk_offsets(c.drop("text"), texts)
     nodes = placed.where("pos % 2 = 0").select("version_id", F.col("pos").alias("idx"), (F.col("pos") % 4 + 1).alias("level"), F.col("id").alias("title"), F.col("id").alias("chunk_id"))
     return chunks.section_spans(nodes, placed, texts).select("version_id", "idx", "start", "end")
 
@@ -423,14 +423,14 @@ def section_spans(spark, d):
 def _outline(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Nodes, placed chunks and texts of documents whose lines are chunks: every other line is the title of a section, by turns a chapter and what is below it, and every fourth stands in the chunk before."""
     texts, c = _marked(spark, d)
-    placed = chunks.chunk_offsets(c, texts)
-    n = placed.where("pos % 2 = 0").withColumn("at", F.col("pos") - F.when(F.col("pos") % 8 == 4, 1).otherwise(0))
-    ids = placed.select("version_id", F.col("pos").alias("at"), F.col("id").alias("chunk_id"))
+    placed = chunks.chunk_offsets(chunks.measured(c), texts)
     title = F.substring(F.trim(F.regexp_replace("text", r"\s+", " ")), 1, 60)
-    n = n.select("version_id", F.col("pos").alias("idx"), F.when(F.col("pos") % 6 == 0, 1).otherwise(2).alias("level"), F.concat(F.col("pos").cast("string"), F.lit(" "), title).alias("title"), "at")
-    chapter = F.last(F.when(F.col("level") == 1, F.col("title")), ignorenulls=True).over(Window.partitionBy("version_id").orderBy("idx"))
+    before, upto = Window.partitionBy("version_id").orderBy("pos"), Window.partitionBy("version_id").orderBy("idx")
+    n = c.select("version_id", "pos", "id", F.when(F.col("pos") % 2 == 0, title).alias("line")).withColumn("before", F.lag("id").over(before)).where("pos % 2 = 0")
+    n = n.select("version_id", F.col("pos").alias("idx"), F.when(F.col("pos") % 6 == 0, 1).otherwise(2).alias("level"), F.concat(F.col("pos").cast("string"), F.lit(" "), "line").alias("title"), F.when(F.col("pos") % 8 == 4, F.col("before")).otherwise(F.col("id")).alias("chunk_id"))
+    chapter = F.last(F.when(F.col("level") == 1, F.col("title")), ignorenulls=True).over(upto)
     n = n.withColumn("path", F.when(F.col("level") == 1, F.col("title")).otherwise(F.concat_ws("/", chapter, "title")))
-    return n.join(ids, ["version_id", "at"], "left").select("version_id", "idx", "path", "level", "title", "chunk_id"), placed, texts
+    return n.select("version_id", "idx", "path", "level", "title", "chunk_id"), placed, texts
 
 
 @query()

@@ -11,10 +11,8 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.pandas.types import to_arrow_schema
-from pyspark.sql.types import DoubleType, IntegerType, StringType, StructField, StructType
 
 from docloom.functions import text as T
 
@@ -198,9 +196,6 @@ def heading_only(text: Column) -> Column:
     return (F.length(bare) <= 500) & (F.size(rows) > 0) & F.forall(rows, lambda x: x.rlike(r"^#{1,6}") | ((F.length(bare) <= 100) & (x == F.upper(x))))
 
 
-_BOUNDS = ("idx", "level", "title", "chunk_id", "first", "until", "child", "start", "end", "own_end", "score")
-
-
 @dataclass
 class _Node:
     row: dict
@@ -375,48 +370,66 @@ class _Document:
             yield from self.spans(child, start)
 
 
+def bound_rows(nodes: DataFrame, placed: DataFrame, texts: DataFrame, node: tuple[str, ...] = (), chunk: tuple[str, ...] = ()) -> DataFrame:
+    """One row a document: version_id, ``bounds`` (structs of what ``section_bounds`` returns and the columns ``node`` of nodes, in order of idx) and ``chunks`` (structs that end with the columns ``chunk``, in order of pos).
+
+    All that meets here is grouped by version_id alone, and of texts only candidates and lengths come: a text moves once, to its titles.
+    Outlines, chunks' places and candidates go to Python many documents at once.
+    """
+    found = heading_candidates(nodes.select("version_id", F.col("idx").alias("section_id"), "title"), texts, CHILD_SCORE)
+    found = found.groupBy("version_id").agg(F.collect_list(F.struct("section_id", "offset", "kind", "score")).alias("found"))
+    own = F.struct(F.col("idx").cast("int").alias("idx"), F.col("level").cast("int").alias("level"), "title", "chunk_id", *node)
+    only = F.col("only") if "only" in placed.columns else heading_only(F.col("text"))
+    place = F.struct("pos", "id", "start", "end", (F.length("id") + len("<a id=''></a>")).alias("anchor"), only.alias("only"), *chunk)
+    rows = nodes.groupBy("version_id").agg(F.sort_array(F.collect_list(own)).alias("nodes")).join(texts.select("version_id", F.length("text").alias("size")), "version_id")
+    rows = rows.join(placed.groupBy("version_id").agg(F.sort_array(F.collect_list(place)).alias("chunks")), "version_id", "left").join(found, "version_id", "left")
+
+    @F.arrow_udf("array<struct<first:int,until:int,child:int,start:int,end:int,own_end:int,score:double>>")
+    def bounds(outlines: pa.Array, places: pa.Array, candidates: pa.Array, sizes: pa.Array) -> pa.Array:
+        kind = pa.list_(pa.struct([*((c, pa.int32()) for c in ("first", "until", "child", "start", "end", "own_end")), ("score", pa.float64())]))
+        return pa.array((_bounds_of(*(x.as_py() for x in row)) for row in zip(outlines, places, candidates, sizes, strict=True)), kind)
+
+    outline = F.transform("nodes", lambda n: F.struct(n["idx"].alias("idx"), n["level"].alias("level"), n["chunk_id"].alias("chunk_id")))
+    at = F.transform("chunks", lambda c: F.struct(*(c[x].alias(x) for x in ("id", "start", "end", "anchor", "only"))))
+    rows = rows.withColumn("bounds", bounds(outline, at, F.col("found"), F.col("size")))
+    names, values = ("idx", "level", "title", "chunk_id", *node), ("first", "until", "child", "start", "end", "own_end", "score")
+    both = F.zip_with("nodes", "bounds", lambda n, b: F.struct(*(n[c].alias(c) for c in names), *(b[c].alias(c) for c in values)))
+    return rows.select("version_id", both.alias("bounds"), "chunks")
+
+
+def _bounds_of(rows: list[dict], places: list[dict] | None, candidates: list[dict] | None, size: int | None) -> list[dict]:
+    """The bounds of one document's nodes, in their order."""
+    places, met = places or [], {}
+    for c in candidates or ():
+        met.setdefault(c["section_id"], []).append((c["offset"], c["kind"], c["score"]))
+    number = {c["id"]: k for k, c in reversed(list(enumerate(places)))}
+    doc = _Document([(c["start"], c["end"], c["anchor"], c["only"]) for c in places], size)
+    roots, open_ = [], []
+    for r in rows:
+        node = _Node(r, None, met.get(r["idx"], []), asked=number.get(r["chunk_id"]))
+        open_ = [x for x in open_ if x.row["level"] < r["level"]]
+        (open_[-1].children if open_ else roots).append(node)
+        open_.append(node)
+    doc.level(roots, 0, len(doc.chunks))
+    out = []
+    for root in roots:
+        doc.infer(root)
+        for node, start, end, own in doc.spans(root):
+            child = next((c.place for c in node.children if c.place is not None), None)
+            out.append({"first": node.place, "until": node.until, "child": child, "start": start, "end": end, "own_end": own, "score": 1.0 if node.exact else None})
+    return out
+
+
 def section_bounds(nodes: DataFrame, placed: DataFrame, texts: DataFrame) -> DataFrame:
     """Where every node of a table of contents begins and ends: version_id, idx, level, title, chunk_id, first, until, child (chunks: its first, the one behind its last, its first child's), start, end, own_end (characters), score.
 
-    nodes: version_id, idx (pre-order), level, title, chunk_id; placed: chunks with start and end (``chunks.chunk_offsets``) and text. Siblings in one
+    nodes: version_id, idx (pre-order), level, title, chunk_id; placed: chunks with start and end (``chunks.chunk_offsets``) and text, or ``only`` (``chunks.measured``). Siblings in one
     chunk are parted where the second one's heading stands behind the last split in that chunk, else in what follows up to the parent's end; siblings in
     different chunks where the heading stands in the second chunk; the last one ends at the heading of what follows its parent. A node that
     stands behind its children begins with them. ``own_end`` is where its children's text begins. Chunks outside of the parent's count as none, and the score
-    is 1 where a chunk counts. One group is one document's outline, chunks' places and candidates; its text stays out.
+    is 1 where a chunk counts. A row is one document's outline, chunks' places and candidates; its text stays out.
     """
-    title = nodes.select("version_id", F.col("idx").alias("section_id"), "title")
-    found = heading_candidates(title, texts, CHILD_SCORE).groupBy("version_id", F.col("section_id").alias("idx")).agg(F.sort_array(F.collect_list(F.struct("offset", "kind", "score"))).alias("candidates"))
-    sizes = texts.select("version_id", F.length("text").alias("size"))
-    left = nodes.select("version_id", "idx", "level", "title", "chunk_id").join(found, ["version_id", "idx"], "left").join(sizes, "version_id")
-    right = placed.select(F.col("version_id").alias("of"), "pos", "id", "start", "end", (F.length("id") + len("<a id=''></a>")).alias("anchor"), heading_only(F.col("text")).alias("only"))
-    kind = nodes.schema["version_id"].dataType
-    schema = StructType([StructField("version_id", kind), *(StructField(c, StringType() if c in ("title", "chunk_id") else DoubleType() if c == "score" else IntegerType()) for c in _BOUNDS)])
-    arrow = to_arrow_schema(schema)
-
-    def run(outline: pa.Table, chunks: pa.Table) -> pa.Table:
-        rows, places = sorted(outline.to_pylist(), key=lambda r: r["idx"]), sorted(chunks.to_pylist(), key=lambda c: c["pos"])
-        if not rows:
-            return arrow.empty_table()
-        number = {c["id"]: k for k, c in reversed(list(enumerate(places)))}
-        doc = _Document([(c["start"], c["end"], c["anchor"], c["only"]) for c in places], rows[0]["size"])
-        roots, open_ = [], []
-        for r in rows:
-            candidates = [(c["offset"], c["kind"], c["score"]) for c in r["candidates"] or ()]
-            node = _Node(r, None, candidates, asked=number.get(r["chunk_id"]))
-            open_ = [x for x in open_ if x.row["level"] < r["level"]]
-            (open_[-1].children if open_ else roots).append(node)
-            open_.append(node)
-        doc.level(roots, 0, len(doc.chunks))
-        out = []
-        for root in roots:
-            doc.infer(root)
-            for node, start, end, own in doc.spans(root):
-                child = next((c.place for c in node.children if c.place is not None), None)
-                found = {"first": node.place, "until": node.until, "child": child, "start": start, "end": end, "own_end": own, "score": 1.0 if node.exact else None}
-                out.append({c: node.row[c] for c in ("version_id", "idx", "level", "title", "chunk_id")} | found)
-        return pa.Table.from_pylist(out, schema=arrow)
-
-    return left.groupBy("version_id").cogroup(right.groupBy("of")).applyInArrow(run, schema)
+    return bound_rows(nodes, placed, texts).select("version_id", F.explode("bounds").alias("x")).select("version_id", "x.*")
 
 
 def without_heading(text: Column, title: Column) -> Column:

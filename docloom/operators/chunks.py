@@ -15,9 +15,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docloom.functions import text as T
-from docloom.operators.boundaries import section_bounds, without_heading
+from docloom.operators.boundaries import bound_rows, heading_only, without_heading
 from docloom.operators.positions import BOX, break_offsets, page_of_offset
-from docloom.operators.sections import repeated_noise
+from docloom.operators.sections import at_edge, noise_key
 
 # Kinds of chunks that are noise; what the last line of an attribute block says of media, and what its first one says of no text.
 NOISE = ("marginalia", "logo", "scan_code", "attestation")
@@ -28,22 +28,39 @@ MEDIA = (
 )
 NO_TEXT = ("flowchart", "figure", "table", "chart", "diagram", "start", "end", "image", "photo", "visual content", "transcription of the content")
 ALT_TEXT = r"(?i)^(A |An |The |This |Two |Three |Four |Five |Several |Multiple |logo:|attestation:|flowchart:|table:|image:|figure:|diagram:|Image |Images |Image showing|A close-up|A composite|A split|A visual)"
-_ANCHOR = r"<a id='([^']*)'></a>"
+_ANCHOR, _TABLE = r"<a id='([^']*)'></a>", r"(?i)<table[\s>]"
 
 
 def anchors(texts: DataFrame) -> DataFrame:
-    """(version_id, id, start) of the first anchor of each id. The text is split once, and running lengths give the offsets."""
-    parts = texts.select("version_id", F.posexplode(F.arrays_zip(F.split("text", _ANCHOR, -1).alias("part"), F.regexp_extract_all("text", F.lit(_ANCHOR), F.lit(1)).alias("id"))).alias("k", "x"))
-    size = F.length("x.part") + F.coalesce(F.length("x.id") + len("<a id=''></a>"), F.lit(0))
+    """(version_id, id, start) of the first anchor of each id. The text is split once, and running sums of its parts' lengths give the offsets: no part of a text is sorted."""
+    lengths = F.transform(F.split("text", _ANCHOR, -1), lambda x: F.length(x)).alias("n")
+    parts = texts.select("version_id", F.posexplode(F.arrays_zip(lengths, F.regexp_extract_all("text", F.lit(_ANCHOR), F.lit(1)).alias("id"))).alias("k", "x"))
+    size = F.col("x.n") + F.coalesce(F.length("x.id") + len("<a id=''></a>"), F.lit(0))
     before = Window.partitionBy("version_id").orderBy("k").rowsBetween(Window.unboundedPreceding, -1)
-    start = F.coalesce(F.sum(size).over(before), F.lit(0)) + F.length("x.part")
+    start = F.coalesce(F.sum(size).over(before), F.lit(0)) + F.col("x.n")
     return parts.select("version_id", F.col("x.id").alias("id"), start.alias("start")).where("id is not null").groupBy("version_id", "id").agg(F.min("start").cast("int").alias("start"))
 
 
+def measured(chunks: DataFrame) -> DataFrame:
+    """Chunks with what the operators here ask of their texts, in place of these: ``only`` (has only headings), ``attribute`` (place of the first one), ``markup`` (has a table), ``noise_key``."""
+    asked = {"only": heading_only(F.col("text")), "attribute": F.instr("text", "<::"), "markup": F.col("text").rlike(_TABLE), "noise_key": noise_key(F.col("text"))}
+    return chunks.withColumns(asked).drop("text")
+
+
 def chunk_offsets(chunks: DataFrame, texts: DataFrame) -> DataFrame:
-    """Chunks with ``start`` (-1 without an anchor) and ``end``: where the next chunk that has an anchor starts, or the text's length."""
-    sizes = texts.select("version_id", F.length("text").alias("size"))
-    c = chunks.join(anchors(texts), ["version_id", "id"], "left").join(sizes, "version_id").withColumn("start", F.coalesce("start", F.lit(-1)))
+    """Chunks with ``start`` (-1 without an anchor) and ``end``: where the next chunk that has an anchor starts, or the text's length.
+
+    Chunks and anchors meet by version_id, and ids inside of it, so chunks move once. They take all their columns along: ``measured`` ones have no text.
+    """
+    chunks_, marks = ([c for c in chunks.columns if c != "version_id"], anchors(texts).groupBy("version_id").agg(F.collect_list(F.struct("id", "start")).alias("anchors")))
+    own = F.struct(*(F.col(f"`{c}`") for c in chunks_))
+    c = chunks.groupBy("version_id").agg(F.collect_list(own).alias("chunks")).join(texts.select("version_id", F.length("text").alias("size")), "version_id").join(marks, "version_id", "left")
+    kind = c.schema["chunks"].dataType.elementType
+    rows = F.transform("chunks", lambda x: F.struct(x.alias("of"), x["id"].alias("id"), F.lit(None).cast("int").alias("start")))
+    other = F.transform(F.coalesce("anchors", F.array().cast("array<struct<id:string,start:int>>")), lambda x: F.struct(F.lit(None).cast(kind).alias("of"), x["id"].alias("id"), x["start"].alias("start")))
+    c = c.select("version_id", "size", F.explode(F.concat(rows, other)).alias("x")).select("version_id", "size", "x.*")
+    c = c.withColumn("start", F.coalesce(F.min("start").over(Window.partitionBy("version_id", "id")), F.lit(-1))).where("of is not null")
+    c = c.select("version_id", "size", *(F.col(f"of.`{x}`").alias(x) for x in chunks_), "start")
     later = Window.partitionBy("version_id").orderBy("pos").rowsBetween(1, Window.unboundedFollowing)
     end = F.coalesce(F.first(F.when(F.col("start") >= 0, F.col("start")), ignorenulls=True).over(later), F.col("size"))
     return c.withColumn("end", end).drop("size")
@@ -52,17 +69,18 @@ def chunk_offsets(chunks: DataFrame, texts: DataFrame) -> DataFrame:
 def noise_intervals(placed: DataFrame, times: int = 15) -> DataFrame:
     """(version_id, start, end, mark) of what is cut out of a document's text: noise and repeated headers and footers; figures and tables leave a mark.
 
-    Of a figure the part from its first attribute on goes, of a table in markup only the anchor. placed: chunks with start and end.
+    Of a figure the part from its first attribute on goes, of a table in markup only the anchor. placed: chunks with start and end, and text or what ``measured`` has of it.
     """
+    c = placed if "noise_key" in placed.columns else measured(placed)
     top = F.try_element_at("boxes", F.lit(1))["top"]
-    often = repeated_noise(placed.withColumn("top", top), times).select("version_id", "id").distinct().withColumn("often", F.lit(True))
-    c = placed.where("start >= 0 and end > start").join(often, ["version_id", "id"], "left")
-    attribute = F.instr("text", "<::")
+    c = c.withColumn("noise_key", F.when((F.col("type") == "text") & at_edge(top), F.col("noise_key")))
+    c = c.withColumn("n", F.count("noise_key").over(Window.partitionBy("version_id", "noise_key")))
+    c = c.withColumn("often", F.max(F.col("n") >= times).over(Window.partitionBy("version_id", "id"))).where("start >= 0 and end > start")
     anchor = F.length("id") + len("<a id=''></a>")
-    noise = F.col("type").isin(*NOISE) | F.coalesce("often", F.lit(False))
+    noise = F.col("type").isin(*NOISE) | F.col("often")
     figure, table = F.col("type") == "figure", F.col("type") == "table"
-    begin = F.when(~noise & figure & (attribute > 0), F.least(F.col("start") + attribute - 1, F.col("end"))).otherwise(F.col("start"))
-    end = F.when(~noise & table & F.col("text").rlike(r"(?i)<table[\s>]"), F.least(F.col("start") + anchor, F.col("end"))).otherwise(F.col("end"))
+    begin = F.when(~noise & figure & (F.col("attribute") > 0), F.least(F.col("start") + F.col("attribute") - 1, F.col("end"))).otherwise(F.col("start"))
+    end = F.when(~noise & table & F.col("markup"), F.least(F.col("start") + anchor, F.col("end"))).otherwise(F.col("end"))
     mark = F.when(noise, "").when(figure | table, F.concat(F.lit("["), "type", F.lit(":"), "id", F.lit("]")))
     return c.select("version_id", begin.alias("start"), end.alias("end"), mark.alias("mark")).where("mark is not null")
 
@@ -191,23 +209,24 @@ def section_nodes(nodes: DataFrame, placed: DataFrame, texts: DataFrame, mark: s
     page_start, page_end, score, heading_box (the first of the node's chunk), boxes (of its chunks before its first child's, by page) and
     landing_chunks (id and type of tables and figures there).
     """
-    bounds = section_bounds(nodes, placed, texts)
-    found = section_contents(bounds, texts, noise_intervals(placed), mark)
-    n = bounds.select("version_id", "idx", "first", F.when(F.col("child") > F.col("first"), F.col("child")).otherwise(F.col("until")).alias("last"))
-    reach = n.where("first is not null").withColumn("place", F.explode(F.sequence("first", F.greatest("first", F.col("last") - 1))))
-    number = F.row_number().over(Window.partitionBy("version_id").orderBy("pos")) - 1
-    c = placed.select("version_id", "id", "type", "boxes", number.alias("place"))
-    met = reach.join(c, ["version_id", "place"])
-    heads = F.max(F.when(F.col("place") == F.col("first"), F.struct(F.try_element_at("boxes", F.lit(1)).alias("box"), "boxes", "type")))
-    landing = F.transform(F.sort_array(F.collect_list(F.when(F.col("type").isin("table", "figure"), F.struct("place", "id", "type")))), lambda x: F.struct(x["id"].alias("id"), x["type"].alias("type")))
-    rows = F.flatten(F.transform(F.sort_array(F.collect_list(F.when((F.col("place") > F.col("first")) & (F.col("type") != "marginalia"), F.struct("place", "boxes")))), lambda x: F.coalesce(x["boxes"], F.array().cast(f"array<{BOX}>"))))
-    a = met.groupBy("version_id", "idx").agg(heads.alias("head"), landing.alias("landing_chunks"), rows.alias("rest"))
-    boxes = F.when(F.size("rest") > 0, F.col("rest")).when(F.col("head.type") != "marginalia", F.coalesce("head.boxes", F.array().cast(f"array<{BOX}>"))).otherwise(F.array().cast(f"array<{BOX}>"))
+    n = nodes.withColumn("node_id", T.node_id(F.col("path")))
+    rows = bound_rows(n, placed, texts, node=("node_id",), chunk=("type", "boxes"))
+    last = lambda x: F.when(x["child"] > x["first"], x["child"]).otherwise(x["until"])
+    own = lambda x: F.transform(F.slice("chunks", x["first"] + 1, F.greatest(F.lit(1), last(x) - x["first"])), lambda c: F.struct(*(c[k].alias(k) for k in ("id", "type", "boxes"))))
+    a = rows.select("version_id", F.explode(F.transform("bounds", lambda x: F.struct(x.alias("of"), own(x).alias("own")))).alias("x")).select("version_id", "x.of.*", "x.own")
+    # without chunks of its own a node has no boxes at all
+    none, has = F.array().cast(f"array<{BOX}>"), F.size("own") > 0
+    head = F.try_element_at("own", F.lit(1))
+    rest = F.flatten(F.transform(F.filter(F.slice("own", 2, F.greatest(F.lit(1), F.size("own"))), lambda c: c["type"] != "marginalia"), lambda c: F.coalesce(c["boxes"], none)))
+    landing = F.transform(F.filter("own", lambda c: c["type"].isin("table", "figure")), lambda c: F.struct(c["id"].alias("id"), c["type"].alias("type")))
+    a = a.select("version_id", "idx", "node_id", "level", "title", "start", "end", "own_end", "score", head.alias("head"), F.when(has, rest).alias("rest"), F.when(has, landing).alias("landing_chunks"))
+    boxes = F.when(F.size("rest") > 0, F.col("rest")).when(F.col("head.type") != "marginalia", F.coalesce("head.boxes", none)).when(F.col("rest").isNotNull(), none)
     at = lambda f, c: lambda p: f(F.transform(F.filter("boxes", lambda b: b["page"] == p), lambda b: F.round(b[c], 6)))
     by_page = lambda p: F.struct(p.alias("page"), at(F.array_min, "left")(p).alias("left"), at(F.array_min, "top")(p).alias("top"), at(F.array_max, "right")(p).alias("right"), at(F.array_max, "bottom")(p).alias("bottom"))
     a = a.withColumn("boxes", boxes).withColumn("boxes", F.transform(F.array_sort(F.array_distinct(F.transform("boxes", lambda b: b["page"]))), by_page))
-    out = found.join(nodes.select("version_id", "idx", T.node_id(F.col("path")).alias("node_id")), ["version_id", "idx"]).join(a, ["version_id", "idx"], "left")
-    return out.select("version_id", "idx", "node_id", "level", "title", "start", "end", "content", "page_start", "page_end", "score", F.col("head.box").alias("heading_box"), "boxes", "landing_chunks")
+    a = a.withColumn("heading_box", F.try_element_at("head.boxes", F.lit(1))).drop("head", "rest")
+    out = section_contents(a, texts, noise_intervals(placed), mark)
+    return out.select("version_id", "idx", "node_id", "level", "title", "start", "end", "content", "page_start", "page_end", "score", "heading_box", "boxes", "landing_chunks")
 
 
 def overlap_end(before: str, after: str, reach: int = 4000, size: int = 60) -> int:

@@ -46,13 +46,17 @@ def noise_key(text: Column) -> Column:
     return F.when((F.length(bare) <= 200) & (key != ""), key)
 
 
+def at_edge(top: Column) -> Column:
+    """Whether a box that begins there is a header or a footer."""
+    return (top < HEADER_TOP) | (top > FOOTER_TOP)
+
+
 def repeated_noise(chunks: DataFrame, times: int = 15) -> DataFrame:
     """Text chunks at the top or foot of a page whose text stands there ``times`` times or more in one version, with the number.
 
     chunks: version_id, id, type, text and top (of the first box, null without boxes).
     """
-    at_edge = (F.col("top") < HEADER_TOP) | (F.col("top") > FOOTER_TOP)
-    keyed = chunks.where((F.col("type") == "text") & at_edge).withColumn("key", noise_key(F.col("text"))).where("key is not null")
+    keyed = chunks.where((F.col("type") == "text") & at_edge(F.col("top"))).withColumn("key", noise_key(F.col("text"))).where("key is not null")
     same = Window.partitionBy("version_id", "key")
     return keyed.withColumn("times", F.count("*").over(same)).where(F.col("times") >= times)
 
