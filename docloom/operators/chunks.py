@@ -31,14 +31,20 @@ ALT_TEXT = r"(?i)^(A |An |The |This |Two |Three |Four |Five |Several |Multiple |
 _ANCHOR, _TABLE = r"<a id='([^']*)'></a>", r"(?i)<table[\s>]"
 
 
-def anchors(texts: DataFrame) -> DataFrame:
-    """(version_id, id, start) of the first anchor of each id. The text is split once, and running sums of its parts' lengths give the offsets: no part of a text is sorted."""
+def _anchored(texts: DataFrame) -> DataFrame:
+    """(version_id, size, id, start) of every anchor, and of what is behind the last one (without an id). A text is split once, and running sums of its parts' lengths give the offsets: no part of it is sorted."""
     lengths = F.transform(F.split("text", _ANCHOR, -1), lambda x: F.length(x)).alias("n")
-    parts = texts.select("version_id", F.posexplode(F.arrays_zip(lengths, F.regexp_extract_all("text", F.lit(_ANCHOR), F.lit(1)).alias("id"))).alias("k", "x"))
-    size = F.col("x.n") + F.coalesce(F.length("x.id") + len("<a id=''></a>"), F.lit(0))
+    zipped = F.arrays_zip(lengths, F.regexp_extract_all("text", F.lit(_ANCHOR), F.lit(1)).alias("id"))
+    parts = texts.select("version_id", F.length("text").alias("size"), F.posexplode_outer(zipped).alias("k", "x"))
+    n = F.col("x.n") + F.coalesce(F.length("x.id") + len("<a id=''></a>"), F.lit(0))
     before = Window.partitionBy("version_id").orderBy("k").rowsBetween(Window.unboundedPreceding, -1)
-    start = F.coalesce(F.sum(size).over(before), F.lit(0)) + F.col("x.n")
-    return parts.select("version_id", F.col("x.id").alias("id"), start.alias("start")).where("id is not null").groupBy("version_id", "id").agg(F.min("start").cast("int").alias("start"))
+    start = F.coalesce(F.sum(n).over(before), F.lit(0)) + F.col("x.n")
+    return parts.select("version_id", "size", F.col("x.id").alias("id"), start.cast("int").alias("start"))
+
+
+def anchors(texts: DataFrame) -> DataFrame:
+    """(version_id, id, start) of the first anchor of each id."""
+    return _anchored(texts).where("id is not null").groupBy("version_id", "id").agg(F.min("start").alias("start"))
 
 
 def measured(chunks: DataFrame) -> DataFrame:
@@ -52,15 +58,16 @@ def chunk_offsets(chunks: DataFrame, texts: DataFrame) -> DataFrame:
 
     Chunks and anchors meet by version_id, and ids inside of it, so chunks move once. They take all their columns along: ``measured`` ones have no text.
     """
-    chunks_, marks = ([c for c in chunks.columns if c != "version_id"], anchors(texts).groupBy("version_id").agg(F.collect_list(F.struct("id", "start")).alias("anchors")))
-    own = F.struct(*(F.col(f"`{c}`") for c in chunks_))
-    c = chunks.groupBy("version_id").agg(F.collect_list(own).alias("chunks")).join(texts.select("version_id", F.length("text").alias("size")), "version_id").join(marks, "version_id", "left")
+    rest = [c for c in chunks.columns if c != "version_id"]
+    own = F.struct(*(F.col(f"`{c}`") for c in rest))
+    marks = _anchored(texts).groupBy("version_id").agg(F.first("size").alias("size"), F.collect_list(F.when(F.col("id").isNotNull(), F.struct("id", "start"))).alias("anchors"))
+    c = chunks.groupBy("version_id").agg(F.collect_list(own).alias("chunks")).join(marks, "version_id")
     kind = c.schema["chunks"].dataType.elementType
     rows = F.transform("chunks", lambda x: F.struct(x.alias("of"), x["id"].alias("id"), F.lit(None).cast("int").alias("start")))
-    other = F.transform(F.coalesce("anchors", F.array().cast("array<struct<id:string,start:int>>")), lambda x: F.struct(F.lit(None).cast(kind).alias("of"), x["id"].alias("id"), x["start"].alias("start")))
+    other = F.transform("anchors", lambda x: F.struct(F.lit(None).cast(kind).alias("of"), x["id"].alias("id"), x["start"].alias("start")))
     c = c.select("version_id", "size", F.explode(F.concat(rows, other)).alias("x")).select("version_id", "size", "x.*")
     c = c.withColumn("start", F.coalesce(F.min("start").over(Window.partitionBy("version_id", "id")), F.lit(-1))).where("of is not null")
-    c = c.select("version_id", "size", *(F.col(f"of.`{x}`").alias(x) for x in chunks_), "start")
+    c = c.select("version_id", "size", *(F.col(f"of.`{x}`").alias(x) for x in rest), "start")
     later = Window.partitionBy("version_id").orderBy("pos").rowsBetween(1, Window.unboundedFollowing)
     end = F.coalesce(F.first(F.when(F.col("start") >= 0, F.col("start")), ignorenulls=True).over(later), F.col("size"))
     return c.withColumn("end", end).drop("size")
