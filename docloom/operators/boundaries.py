@@ -65,10 +65,10 @@ def _spread(start: np.ndarray, n: np.ndarray) -> np.ndarray:
 
 
 def _meetings(least: float) -> Callable:
-    """Of rows with titles and lines as hashed words: the pairs that have enough words in common, with the line's offset."""
+    """Of rows with titles and lines as hashed words: for each title the lines that have enough words in common with it, with their offsets."""
     share = least / (2 - least)
 
-    @F.arrow_udf("array<struct<title:int,line:int,offset:int>>")
+    @F.arrow_udf("array<array<struct<line:int,offset:int>>>")
     def meet(titles: pa.Array, lines: pa.Array, lengths: pa.Array) -> pa.Array:
         def words(rows: pa.Array) -> tuple:
             items = rows.flatten()
@@ -103,11 +103,10 @@ def _meetings(least: float) -> Callable:
                 found.append(pairs[few][common >= needed[title]])
         title, line = np.divmod(np.concatenate([np.empty(0, np.int64), *found]), max(1, len(row_of_line)))
         step = np.asarray(lengths.flatten(), np.int64) + 1
-        start, first_line, first_title = np.cumsum(step) - step, np.cumsum(n_lines) - n_lines, np.cumsum(n_titles) - n_titles
-        row = row_of_title[title]
-        columns = title - first_title[row], line - first_line[row], start[line] - start[first_line[row]]
-        ends = np.concatenate([[0], np.cumsum(np.bincount(row, minlength=len(n_titles)))])
-        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays([pa.array(c, pa.int32()) for c in columns], ["title", "line", "offset"]))
+        start, first_line = np.cumsum(step) - step, (np.cumsum(n_lines) - n_lines)[row_of_title[title]]
+        ends = lambda n: pa.array(np.concatenate([[0], np.cumsum(n)]), pa.int32())
+        places = pa.StructArray.from_arrays([pa.array(c, pa.int32()) for c in (line - first_line, start[line] - start[first_line])], ["line", "offset"])
+        return pa.ListArray.from_arrays(ends(n_titles), pa.ListArray.from_arrays(ends(np.bincount(title, minlength=len(size))), places))
 
     return meet
 
@@ -121,7 +120,15 @@ def heading_candidates(titles: DataFrame, texts: DataFrame, least: float = SCORE
 
     A coefficient of t needs t / (2 - t) of a title's words in the line. So a line that has none of the title's rarest words but that many
     can't reach it: titles and lines meet by those alone, and a word that is on every line brings no pairs. Titles without words have
-    no candidates. A text meets all its titles in one row, ``TITLES_AT_ONCE`` at a time: words move nowhere but to Python as hashes, which tells the pairs.
+    no candidates.
+    """
+    return _met(titles, texts, least, beginnings).select("version_id", "section_id", F.explode("found").alias("x")).select("version_id", "section_id", "x.*")
+
+
+def _met(titles: DataFrame, texts: DataFrame, least: float, beginnings: bool, *own: str) -> DataFrame:
+    """Titles that have candidates (see ``heading_candidates``): version_id, section_id, the titles' columns ``own``, and ``found``, an array of offset, kind, score.
+
+    A text meets all its titles in one row, ``TITLES_AT_ONCE`` at a time: words move nowhere but to Python as hashes, which tells the pairs.
     """
     words_in_order = lambda text: F.filter(F.split(F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}_]+", " "), " "), lambda w: w != "")
     hashed = lambda words: F.transform(words, lambda w: F.xxhash64(w))
@@ -129,8 +136,8 @@ def heading_candidates(titles: DataFrame, texts: DataFrame, least: float = SCORE
     def title_of(t: Column) -> Column:
         bare, number = T.strip_text(F.regexp_replace(F.trim(t["title"]), r"^#{1,6}\s*", "")), F.regexp_replace(F.regexp_extract(F.trim(t["title"]), _NUMBER, 1), r"\.+$", "")
         letter = F.nullif(F.upper(F.regexp_extract(bare, _LETTER, 1)), F.lit(""))
-        own = F.when(letter.isNull(), F.nullif(F.regexp_replace(F.regexp_extract(bare, _NUMBER, 1), r"\.+$", ""), F.lit("")))
-        return F.struct(t["section_id"].alias("section_id"), T.words(t["title"]).alias("a"), F.nullif(F.lower(number), F.lit("")).alias("number"), letter.alias("letter"), own.alias("own"))
+        named = F.when(letter.isNull(), F.nullif(F.regexp_replace(F.regexp_extract(bare, _NUMBER, 1), r"\.+$", ""), F.lit("")))
+        return F.struct(*(t[c].alias(c) for c in ("section_id", *own)), T.words(t["title"]).alias("a"), F.nullif(F.lower(number), F.lit("")).alias("number"), letter.alias("letter"), named.alias("named"))
 
     def line_of(line: Column, clean: Column) -> Column:
         # a line's words in order, without its tags; those of the line as it is are others only where it has tags
@@ -138,7 +145,7 @@ def heading_candidates(titles: DataFrame, texts: DataFrame, least: float = SCORE
         every = lambda b: F.when(clean == "", F.array().cast("array<bigint>")).when(F.contains(line, F.lit("<")), hashed(T.words(line))).otherwise(hashed(b))
         return _let(shown, lambda w: _let(F.array_distinct(w), lambda b: F.struct(line.alias("line"), clean.alias("clean"), w.alias("in_order"), b.alias("b"), every(b).alias("every"))))
 
-    t = titles.groupBy("version_id").agg(F.collect_list(F.struct("section_id", "title")).alias("titles"))
+    t = titles.groupBy("version_id").agg(F.collect_list(F.struct("section_id", "title", *own)).alias("titles"))
     rows = texts.where("text is not null").select("version_id", "text").join(t, "version_id")
     lines = F.transform(F.split("text", "\n"), lambda x: _let(bare_line(x), lambda clean: line_of(x, clean)))
     # arrays of one element, exploded, keep what is computed from being put into each of its uses
@@ -146,7 +153,7 @@ def heading_candidates(titles: DataFrame, texts: DataFrame, least: float = SCORE
     parts = F.transform(F.sequence(F.lit(1), F.size("x.titles"), F.lit(TITLES_AT_ONCE)), lambda k: F.slice(F.col("x.titles"), k, TITLES_AT_ONCE))
     rows = rows.where(F.size("x.titles") > 0).select("version_id", F.explode(parts).alias("titles"), F.col("x.lines").alias("lines"))
     args = F.transform("titles", lambda t: hashed(t["a"])), F.transform("lines", lambda x: x["every"]), F.transform("lines", lambda x: F.length(x["line"]))
-    rows = rows.withColumn("pairs", _meetings(least)(*args))
+    rows = rows.withColumn("places", _meetings(least)(*args))
 
     def scores(t: Column, x: Column) -> Column:
         a, number, line, clean, b = t["a"], t["number"], x["line"], x["clean"], x["b"]
@@ -161,7 +168,7 @@ def heading_candidates(titles: DataFrame, texts: DataFrame, least: float = SCORE
         def beginning() -> Column:
             line_letter = F.nullif(F.upper(F.regexp_extract(clean, _LETTER, 1)), F.lit(""))
             line_number = F.nullif(F.regexp_replace(F.regexp_extract(clean, _NUMBER, 1), r"\.+$", ""), F.lit(""))
-            other = F.coalesce(F.when(t["letter"].isNotNull(), F.coalesce(line_letter != t["letter"], line_number.isNotNull())).otherwise(line_number != t["own"]), F.lit(False))
+            other = F.coalesce(F.when(t["letter"].isNotNull(), F.coalesce(line_letter != t["letter"], line_number.isNotNull())).otherwise(line_number != t["named"]), F.lit(False))
             return F.struct(F.lit(BEGINNING).alias("kind"), F.lit(0).alias("at"), F.when(other, 0.0).otherwise(T.dice(a, first_words)).alias("dice"), F.lit(False).alias("near"))
 
         def of(numbered: Column) -> Column:
@@ -172,21 +179,22 @@ def heading_candidates(titles: DataFrame, texts: DataFrame, least: float = SCORE
         return F.filter(_let(starts(clean), of), lambda s: s["dice"] >= least)
 
     raised = lambda s: F.when(s["near"], F.greatest(s["dice"], F.lit(0.9))).otherwise(s["dice"])
-    one = lambda t, p: F.transform(scores(t, F.get("lines", p["line"])), lambda s: F.struct(t["section_id"].alias("section_id"), (p["offset"] + s["at"]).alias("offset"), s["kind"].alias("kind"), raised(s).alias("score")))
-    found = F.flatten(F.transform("pairs", lambda p: _let(F.get("titles", p["title"]), lambda t: one(t, p))))
-    return rows.select("version_id", F.explode(found).alias("x")).select("version_id", "x.*")
+    one = lambda t, p: F.transform(scores(t, F.get("lines", p["line"])), lambda s: F.struct((p["offset"] + s["at"]).alias("offset"), s["kind"].alias("kind"), raised(s).alias("score")))
+    found = F.zip_with("titles", "places", lambda t, places: F.struct(*(t[c].alias(c) for c in ("section_id", *own)), F.flatten(F.transform(places, lambda p: one(t, p))).alias("found")))
+    return rows.select("version_id", F.explode(F.filter(found, lambda t: F.size(t["found"]) > 0)).alias("x")).select("version_id", "x.*")
 
 
 def find_headings(titles: DataFrame, texts: DataFrame, score: float = SCORE, window: int = REACH) -> DataFrame:
     """Where each title's heading stands: (version_id, section_id, offset, score) of the candidate with the largest score, the first of equal ones.
 
     titles: version_id, section_id, title, low (offset from which to look) and high (or null: ``window`` characters on). A line that a window cuts
-    belongs to it if it begins there.
+    belongs to it if it begins there. A title moves once, with its window, to its text, where its candidates stay: only the best of them goes on.
     """
-    reach = titles.select("version_id", "section_id", "low", F.coalesce("high", F.col("low") + window).alias("high"))
-    met = heading_candidates(titles, texts, score, beginnings=False).join(reach, ["version_id", "section_id"]).where("offset >= low and offset < high")
-    best = met.groupBy("version_id", "section_id").agg(F.max(F.struct("score", -F.col("offset"))).alias("best"))
-    return best.select("version_id", "section_id", (-F.col("best.col2")).alias("offset"), F.col("best.score").alias("score"))
+    asked = titles.where("section_id is not null").select("version_id", "section_id", "title", "low", F.coalesce("high", F.col("low") + window).alias("high"))
+    inside = F.filter("found", lambda x: (x["offset"] >= F.col("low")) & (x["offset"] < F.col("high")))
+    best = F.array_max(F.transform(inside, lambda x: F.struct(x["score"].alias("score"), (-x["offset"]).alias("back"))))
+    best = _met(asked, texts, score, False, "low", "high").groupBy("version_id", "section_id").agg(F.max(best).alias("best")).where("best is not null")
+    return best.select("version_id", "section_id", (-F.col("best.back")).alias("offset"), F.col("best.score").alias("score"))
 
 
 def heading_only(text: Column) -> Column:
