@@ -11,6 +11,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -18,11 +19,16 @@ from docloom.functions import text as T
 
 # Least Dice coefficient of a heading, and of a child's heading in its parent's chunk; characters that a search reaches, and beyond a boundary.
 SCORE, CHILD_SCORE, REACH, SLACK = 0.55, 0.55 * 0.82, 60_000, 5_000
-_NUMBER, _LETTER = r"^(\d[\d.]*)", r"^([A-Za-z])\."
+_NUMBER, _LETTER, _BLANK = r"^(\d[\d.]*)", r"^([A-Za-z])\.", r"[\s\u0085\u2028\u2029]"
 #: Kinds of candidates: a line, a number inside a line, and the beginning of a line (which refines a chunk's start).
 LINE, INSIDE, BEGINNING = range(3)
 
 
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """A column that ``use`` makes of a value which is computed once."""
+    return F.transform(F.array(value), use)[0]
+
+
 def bare_line(line: Column) -> Column:
     """A line without tags and heading marks."""
     return T.strip_text(F.regexp_replace(F.regexp_replace(line, r"<[^>]+>", " "), r"^#{1,6}\s*", ""))
@@ -36,14 +42,8 @@ def _to_bar(text: Column) -> Column:
 def _numbers_inside(line: Column, number: Column) -> Column:
     """Offsets in a line at which a number begins that is not part of a longer one."""
     pattern = F.concat(F.lit(r"(?!^)(?<!\d)(?<!\d\.)\Q"), number, F.lit(r"\E(?=[.\s]|$)"))
-    parts = F.transform(F.split(line, pattern, -1), lambda x: F.length(x))
-    ends = F.transform(parts, lambda _, k: F.aggregate(F.slice(parts, 1, k + 1), F.lit(0), lambda a, n: a + n) + k * F.length(number))
-    return F.slice(ends, 1, F.size(ends) - 1)
-
-
-def _let(value: Column, use: Callable[[Column], Column]) -> Column:
-    """A column that ``use`` makes of a value which is computed once."""
-    return F.transform(F.array(value), use)[0]
+    ends = lambda parts: F.transform(F.slice(parts, 1, F.size(parts) - 1), lambda _, k: F.aggregate(F.slice(parts, 1, k + 1), F.lit(0), lambda a, n: a + n) + k * F.length(number))
+    return _let(F.transform(F.split(line, pattern, -1), lambda x: F.length(x)), ends)
 
 
 #: Titles of one document that meet its lines at once, and pairs of titles and words that one step holds.
@@ -64,49 +64,150 @@ def _spread(start: np.ndarray, n: np.ndarray) -> np.ndarray:
     return np.repeat(start - np.cumsum(n) + n, n) + np.arange(n.sum())
 
 
-def _meetings(least: float) -> Callable:
-    """Of rows with titles and lines as hashed words: for each title the lines that have enough words in common with it, with their offsets."""
+def _words_of(texts: pa.Array) -> tuple[np.ndarray, pa.Array]:
+    """The words of texts whose words are parted by blanks: the text of each, and the words."""
+    parts = pc.split_pattern(texts.fill_null(""), " ")
+    words, of = parts.flatten(), np.repeat(np.arange(len(parts)), parts.value_lengths().to_numpy(zero_copy_only=False))
+    kept = pc.not_equal(words, "")
+    return of[kept.to_numpy(zero_copy_only=False)], words.filter(kept)
+
+
+def _codes(*words: pa.Array) -> tuple[int, list[np.ndarray]]:
+    """Numbers of words, equal ones for equal words (-1 for null), and how many there are."""
+    found = pa.concat_arrays(words).dictionary_encode()
+    codes = found.indices.fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
+    return max(1, len(found.dictionary)), np.split(codes, np.cumsum([len(x) for x in words])[:-1])
+
+
+def _distinct(values: np.ndarray) -> np.ndarray:
+    """The distinct values in order, by a sort: here several times faster than ``np.unique``, which hashes."""
+    values = np.sort(values)
+    return values[np.concatenate([[True], values[1:] != values[:-1]])] if len(values) else values
+
+
+def _lists(of: np.ndarray, n: int, **values: np.ndarray) -> pa.Array:
+    """Lists of structs, one for each of ``n`` owners, of values in the order of their owners."""
+    items = pa.StructArray.from_arrays([pa.array(v) for v in values.values()], list(values))
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(np.bincount(of, minlength=n))]), pa.int32()), items)
+
+
+#: Where words stand that are in a line's tags alone, and what looking a word up in a line costs, if finding one of a title's words in a next line costs 1.
+_IN_TAGS, _LOOK_UP = 1 << 30, 16
+
+
+def _is_inside(number: str, digits: str) -> bool:
+    """Whether a number stands behind a line's start (its ``digits``, see ``_met``), not as part of a longer one."""
+    at = digits.find(number, 1)
+    while at > 0:
+        before, behind = digits[max(0, at - 2) : at], digits[at + len(number) : at + len(number) + 1]
+        if not behind.isdigit() and behind != "x" and not before[-1].isdigit() and not (before[-1] == "." and before[0].isdigit()):
+            return True
+        at = digits.find(number, at + 1)
+    return False
+
+
+def _is_first(number: str, head: str) -> bool:
+    """Whether a line that begins with ``head`` begins with a number."""
+    behind = head[len(number) : len(number) + 1]
+    return head.startswith(number) and behind != "" and not behind.isdigit()
+
+
+def _meetings(least: float, beginnings: bool) -> Callable:
+    """Of rows with titles and lines: for each title what it ``found``, and the ``places`` of lines that have enough words in common with it and its number inside."""
     share = least / (2 - least)
 
-    @F.arrow_udf("array<array<struct<line:int,offset:int>>>")
-    def meet(titles: pa.Array, lines: pa.Array, lengths: pa.Array) -> pa.Array:
-        def words(rows: pa.Array) -> tuple:
-            items = rows.flatten()
-            n, size = (np.asarray(x.value_lengths().fill_null(0), np.int64) for x in (rows, items))
-            return n, size, np.repeat(np.arange(len(n)), n), np.repeat(np.arange(len(size)), size), items.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
-
-        mixed = lambda word, of: (word ^ (of.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))) * np.uint64(0xD6E8FEB86659FD93)
-        n_titles, size, row_of_title, title_of, asked = words(titles)
-        n_lines, _, row_of_line, line_of, there = words(lines)
-        needed, begin = np.ceil(share * size - 1e-9).astype(np.int64), np.cumsum(size) - size
-        by_row = mixed(there, row_of_line[line_of])
-        order = np.argsort(by_row)
-        by_row, at_line = by_row[order], line_of[order]
-        key = mixed(asked, row_of_title[title_of])
+    @F.arrow_udf("array<struct<found:array<struct<offset:int,kind:int,score:double>>,places:array<struct<line:int,offset:int>>>>")
+    def meet(titles: pa.Array, lines: pa.Array) -> pa.Array:
+        t, x = titles.flatten(), lines.flatten()
+        n_titles, n_lines = (v.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64) for v in (titles, lines))
+        row_of_title, first_line = np.repeat(np.arange(len(n_titles)), n_titles), np.cumsum(n_lines) - n_lines
+        row_of_line = np.repeat(np.arange(len(n_lines)), n_lines)
+        (of_title, a), (of_line, b), (of_tags, c) = (_words_of(v) for v in (t.field("words"), x.field("words"), x.field("tags")))
+        v, (a, b, c) = _codes(a, b, c)
+        # the distinct words of each title, and those of each line with the place of their first occurrence
+        of_title, asked = np.divmod(_distinct(of_title * v + a), v)
+        size = np.bincount(of_title, minlength=len(t))
+        place = np.concatenate([np.arange(len(of_line)) - np.searchsorted(of_line, of_line), np.full(len(c), _IN_TAGS)])
+        in_line, at = np.unique(np.concatenate([of_line * v + b, of_tags * v + c]), return_index=True)
+        line_of, place = in_line // v, place[at]
+        in_order = np.sort((line_of << 31) + place)
+        bar = x.field("bar").fill_null(_IN_TAGS).to_numpy(zero_copy_only=False).astype(np.int64)
+        by_row = row_of_line[line_of] * v + in_line % v
+        order = np.argsort(by_row, kind="stable")
+        by_row, at_line, at_place = by_row[order], line_of[order], place[order]
+        key = row_of_title[of_title] * v + asked
         low = np.searchsorted(by_row, key, "left")
         often = np.searchsorted(by_row, key, "right") - low
+        needed, begin, most = np.ceil(share * size - 1e-9).astype(np.int64), np.cumsum(size) - size, np.maximum(2 * size, 10)
         # the rarest words of each title, as many as must hold one that any line with enough of them has
         rank = np.empty(len(key), np.int64)
-        rank[np.lexsort((often, title_of))] = np.arange(len(key)) - begin[title_of]
-        rare = np.flatnonzero((rank <= size[title_of] - needed[title_of]) & (often > 0))
-        in_line, found = np.sort(mixed(there, line_of)), []
-        per_title = np.bincount(title_of[rare], often[rare], len(size)).astype(np.int64)
-        first = np.searchsorted(title_of[rare], np.arange(len(size) + 1))
-        for part in _blocks(per_title):
-            some = rare[first[part.start] : first[part.stop]]
-            pairs = np.unique(np.repeat(title_of[some], often[some]) * len(row_of_line) + at_line[_spread(low[some], often[some])])
-            for few in _blocks(size[pairs // max(1, len(row_of_line))]):
-                title, line = np.divmod(pairs[few], max(1, len(row_of_line)))
-                probe = mixed(asked[_spread(begin[title], size[title])], np.repeat(line, size[title]))
-                k = np.minimum(np.searchsorted(in_line, probe), max(0, len(in_line) - 1))
-                common = np.bincount(np.repeat(np.arange(len(title)), size[title]), in_line[k] == probe, len(title))
-                found.append(pairs[few][common >= needed[title]])
-        title, line = np.divmod(np.concatenate([np.empty(0, np.int64), *found]), max(1, len(row_of_line)))
-        step = np.asarray(lengths.flatten(), np.int64) + 1
-        start, first_line = np.cumsum(step) - step, (np.cumsum(n_lines) - n_lines)[row_of_title[title]]
-        ends = lambda n: pa.array(np.concatenate([[0], np.cumsum(n)]), pa.int32())
-        places = pa.StructArray.from_arrays([pa.array(c, pa.int32()) for c in (line - first_line, start[line] - start[first_line])], ["line", "offset"])
-        return pa.ListArray.from_arrays(ends(n_titles), pa.ListArray.from_arrays(ends(np.bincount(title, minlength=len(size))), places))
+        rank[np.lexsort((often, of_title))] = np.arange(len(key)) - begin[of_title]
+        rare = (rank <= size[of_title] - needed[of_title]) & (often > 0)
+        cells = n_lines[row_of_title]
+        every = np.bincount(of_title, often, len(t)).astype(np.int64) + cells
+        by_rare = np.bincount(of_title[rare], often[rare], len(t)).astype(np.int64)
+        found = [np.empty((5, 0), np.int64)]
+
+        def keep(title: np.ndarray, line: np.ndarray, pair: np.ndarray, place: np.ndarray) -> None:
+            """Of pairs, and the places of each word that they share, those with enough of them: title, line, and the numbers of words in the line, in its beginning, and before its bar."""
+            enough = np.bincount(pair, minlength=len(title)) >= np.maximum(1, needed[title])
+            mine = enough[pair]
+            pair, place, title, line = (np.cumsum(enough) - 1)[pair[mine]], place[mine], title[enough], line[enough]
+            n = [np.bincount(pair[m], minlength=len(title)) for m in (place < _IN_TAGS, place < most[title][pair], place < bar[line][pair])]
+            found.append(np.stack([title, line, *n]))
+
+        # a title meets all lines that have one of its words or, where that is less work, looks its words up in those that have one of its rarest words
+        looks = every > by_rare * size * _LOOK_UP
+        whole, some = np.flatnonzero(~looks & (size > 0)), np.flatnonzero(looks)
+        for part in _blocks(every[whole]):
+            title = whole[part]
+            corner = np.cumsum(cells[title]) - cells[title]
+            words = _spread(begin[title], size[title])
+            entry = _spread(low[words], often[words])
+            shift = np.repeat(np.repeat(corner - first_line[row_of_title[title]], size[title]), often[words])
+            line = _spread(first_line[row_of_title[title]], cells[title])
+            keep(np.repeat(title, cells[title]), line, shift + at_line[entry], at_place[entry])
+        rare, first = np.flatnonzero(rare), np.searchsorted(of_title[rare], np.arange(len(t) + 1))
+        for part in _blocks(by_rare[some]):
+            words = rare[_spread(first[some[part]], first[some[part] + 1] - first[some[part]])]
+            pairs = _distinct(np.repeat(of_title[words], often[words]) * max(1, len(x)) + at_line[_spread(low[words], often[words])])
+            for few in _blocks(size[pairs // max(1, len(x))]):
+                title, line = np.divmod(pairs[few], max(1, len(x)))
+                probe = np.repeat(line, size[title]) * v + asked[_spread(begin[title], size[title])]
+                k = np.minimum(np.searchsorted(in_line, probe), len(in_line) - 1)
+                met = in_line[k] == probe
+                keep(title, line, np.repeat(np.arange(len(title)), size[title])[met], place[k[met]])
+
+        title, line, common, early, to_bar = np.concatenate(found, axis=1)
+        step = x.field("length").to_numpy(zero_copy_only=False).astype(np.int64) + 1
+        start = np.cumsum(step) - step
+        offset = start[line] - start[first_line[row_of_title[title]]]
+        numbers, heads, digits = t.field("number").to_pylist(), x.field("head").to_pylist(), x.field("digits").to_pylist()
+        first, inside = np.zeros(len(title), bool), np.zeros(len(title), bool)
+        for k in np.flatnonzero(t.field("number").is_valid().to_numpy(zero_copy_only=False)[title]):
+            number, head, there = numbers[title[k]], heads[line[k]], digits[line[k]]
+            if number in there:
+                first[k] = head is not None and _is_first(number, head)
+                inside[k] = not first[k] and _is_inside(number, there)
+        _, (mark, of) = _codes(t.field("mark"), x.field("mark"))
+        digit = [np.array([m is not None and m[0].isdigit() for m in z.field("mark").to_pylist()], bool) for z in (t, x)]
+        other = (mark[title] >= 0) & (of[line] >= 0) & (mark[title] != of[line]) & (digit[1][line] | ~digit[0][title])
+        upto = lambda place: np.searchsorted(in_order, (line << 31) + place) - np.searchsorted(in_order, line << 31)
+        counts, n_early = np.where(first, [to_bar, upto(bar[line])], [common, upto(_IN_TAGS)]), upto(most[title])
+        whole = 2.0 * counts[0] / (size[title] + counts[1])
+        near = first & (counts[1] <= np.maximum(2 * size[title] + 2, 8)) & (whole >= least)
+        scores = [(LINE, np.where(near, np.maximum(whole, 0.9), whole))]
+        if beginnings:
+            scores.append((BEGINNING, np.where(other, 0.0, 2.0 * early / (size[title] + n_early))))
+        good = [(kind, np.flatnonzero(score >= least), score) for kind, score in scores]
+        rows = np.concatenate([k for _, k, _ in good])
+        kinds, values = np.concatenate([np.full(len(k), kind) for kind, k, _ in good]), np.concatenate([score[k] for _, k, score in good])
+        order = np.argsort(title[rows], kind="stable")
+        out = _lists(title[rows], len(t), offset=offset[rows][order].astype(np.int32), kind=kinds[order].astype(np.int32), score=values[order])
+        rows = np.flatnonzero(inside)
+        rows = rows[np.argsort(title[rows], kind="stable")]
+        places = _lists(title[rows], len(t), line=(line - first_line[row_of_title[title]])[rows].astype(np.int32), offset=offset[rows].astype(np.int32))
+        return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n_titles)]), pa.int32()), pa.StructArray.from_arrays([out, places], ["found", "places"]))
 
     return meet
 
@@ -128,59 +229,53 @@ def heading_candidates(titles: DataFrame, texts: DataFrame, least: float = SCORE
 def _met(titles: DataFrame, texts: DataFrame, least: float, beginnings: bool, *own: str) -> DataFrame:
     """Titles that have candidates (see ``heading_candidates``): version_id, section_id, the titles' columns ``own``, and ``found``, an array of offset, kind, score.
 
-    A text meets all its titles in one row, ``TITLES_AT_ONCE`` at a time: words move nowhere but to Python as hashes, which tells the pairs.
+    A text meets all its titles in one row, ``TITLES_AT_ONCE`` at a time. Python gets words, numbers and letters, and scores the pairs; where a title's number
+    stands inside the line, it tells the pair, and columns score what follows.
     """
-    words_in_order = lambda text: F.filter(F.split(F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}_]+", " "), " "), lambda w: w != "")
-    hashed = lambda words: F.transform(words, lambda w: F.xxhash64(w))
+    spaced = lambda text: F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}_]+", " ")
+    words_in_order = lambda text: F.filter(F.split(spaced(text), " "), lambda w: w != "")
+    # what a title and a line without its tags begin with, behind marks of a heading
+    numbered = lambda text, before: F.nullif(F.regexp_replace(F.regexp_extract(text, before + _NUMBER[1:], 1), r"\.+$", ""), F.lit(""))
+    marked = lambda text, before: F.coalesce(F.nullif(F.upper(F.regexp_extract(text, before + _LETTER[1:], 1)), F.lit("")), numbered(text, before)) if beginnings else F.lit(None).cast("string")
 
     def title_of(t: Column) -> Column:
-        bare, number = T.strip_text(F.regexp_replace(F.trim(t["title"]), r"^#{1,6}\s*", "")), F.regexp_replace(F.regexp_extract(F.trim(t["title"]), _NUMBER, 1), r"\.+$", "")
-        letter = F.nullif(F.upper(F.regexp_extract(bare, _LETTER, 1)), F.lit(""))
-        named = F.when(letter.isNull(), F.nullif(F.regexp_replace(F.regexp_extract(bare, _NUMBER, 1), r"\.+$", ""), F.lit("")))
-        return F.struct(*(t[c].alias(c) for c in ("section_id", *own)), T.words(t["title"]).alias("a"), F.nullif(F.lower(number), F.lit("")).alias("number"), letter.alias("letter"), named.alias("named"))
+        return F.struct(*(t[c].alias(c) for c in ("section_id", "title", *own)), numbered(t["title"], "^ *").alias("number"), marked(t["title"], r"^ *(?:#{1,6})?\s*").alias("mark"))
+
+    def without_tags(line: Column) -> Column:
+        # as bare_line, without patterns where there is nothing to find
+        marks = lambda x: F.when(F.startswith(x, F.lit("#")), F.regexp_replace(x, r"^#{1,6}", "")).otherwise(x)
+        return F.btrim(_let(F.when(F.contains(line, F.lit("<")), F.regexp_replace(line, r"<[^>]+>", " ")).otherwise(line), marks), F.lit(" \t\n\x0b\f\r"))
 
     def line_of(line: Column, clean: Column) -> Column:
-        # a line's words in order, without its tags; those of the line as it is are others only where it has tags
-        shown = words_in_order(clean)
-        every = lambda b: F.when(clean == "", F.array().cast("array<bigint>")).when(F.contains(line, F.lit("<")), hashed(T.words(line))).otherwise(hashed(b))
-        return _let(shown, lambda w: _let(F.array_distinct(w), lambda b: F.struct(line.alias("line"), clean.alias("clean"), w.alias("in_order"), b.alias("b"), every(b).alias("every"))))
+        # the words of a line without its tags, and those of its tags (a line of tags alone has none); its first number, and all its digits and points, with a blank or an x for what is between
+        tags = F.when(F.contains(line, F.lit("<")) & (clean != ""), spaced(F.array_join(F.regexp_extract_all(line, F.lit(r"<[^>]+>"), F.lit(0)), " ")))
+        head = F.when(clean.rlike("^[0-9]"), F.regexp_extract(F.concat(clean, F.lit(" ")), rf"^[0-9.]+{_BLANK}?", 0))
+        digits = F.when(line.rlike("[0-9]"), F.regexp_replace(F.regexp_replace(line, rf"{_BLANK}(?<![^0-9.]{_BLANK})[^0-9.]*", " "), rf"(?!{_BLANK})[^0-9.]+", "x")).otherwise("")
+        bar = F.when(clean.rlike("^[0-9]") & F.contains(clean, F.lit(" | ")), F.size(words_in_order(_to_bar(clean))))
+        return F.struct(spaced(clean).alias("words"), tags.alias("tags"), head.alias("head"), digits.alias("digits"), bar.alias("bar"), marked(clean, "^").alias("mark"), F.length(line).alias("length"))
 
     t = titles.groupBy("version_id").agg(F.collect_list(F.struct("section_id", "title", *own)).alias("titles"))
     rows = texts.where("text is not null").select("version_id", "text").join(t, "version_id")
-    lines = F.transform(F.split("text", "\n"), lambda x: _let(bare_line(x), lambda clean: line_of(x, clean)))
+    shown = lambda lines: F.transform(lines, lambda x: _let(without_tags(x), lambda clean: line_of(x, clean)))
+    titled = F.filter(F.transform("titles", title_of), lambda t: t["title"].isNotNull())
     # arrays of one element, exploded, keep what is computed from being put into each of its uses
-    rows = rows.select("version_id", F.explode(F.array(F.struct(F.filter(F.transform("titles", title_of), lambda t: F.size(t["a"]) > 0).alias("titles"), lines.alias("lines")))).alias("x"))
+    rows = rows.select("version_id", F.explode(F.transform(F.array(F.split("text", "\n")), lambda lines: F.struct(titled.alias("titles"), lines.alias("lines"), shown(lines).alias("shown")))).alias("x"))
     parts = F.transform(F.sequence(F.lit(1), F.size("x.titles"), F.lit(TITLES_AT_ONCE)), lambda k: F.slice(F.col("x.titles"), k, TITLES_AT_ONCE))
-    rows = rows.where(F.size("x.titles") > 0).select("version_id", F.explode(parts).alias("titles"), F.col("x.lines").alias("lines"))
-    args = F.transform("titles", lambda t: hashed(t["a"])), F.transform("lines", lambda x: x["every"]), F.transform("lines", lambda x: F.length(x["line"]))
-    rows = rows.withColumn("places", _meetings(least)(*args))
-
-    def scores(t: Column, x: Column) -> Column:
-        a, number, line, clean, b = t["a"], t["number"], x["line"], x["clean"], x["b"]
-        limit = F.greatest(2 * F.size(a) + 2, F.lit(8))
-        starts = lambda text: F.coalesce(F.lower(text).startswith(number) & F.substring(text, F.length(number) + 1, F.lit(1)).rlike(r"^[.\s]?$"), F.lit(False))
-        scored = lambda kind, at, b, begins: F.struct(F.lit(kind).alias("kind"), at.cast("int").alias("at"), T.dice(a, b).alias("dice"), (begins & (F.size(b) <= limit)).alias("near"))
-        upto_bar = F.when(F.contains(clean, F.lit(" | ")), T.words(_to_bar(clean))).otherwise(b)
-        # a number's part of a line, with its words
-        part = lambda p: _let(bare_line(_to_bar(F.substring(line, p + 1, F.length(line)))), lambda sub: scored(INSIDE, p, T.words(sub), starts(sub)))
-        first_words = F.array_distinct(F.slice(x["in_order"], 1, F.greatest(2 * F.size(a), F.lit(10))))
-
-        def beginning() -> Column:
-            line_letter = F.nullif(F.upper(F.regexp_extract(clean, _LETTER, 1)), F.lit(""))
-            line_number = F.nullif(F.regexp_replace(F.regexp_extract(clean, _NUMBER, 1), r"\.+$", ""), F.lit(""))
-            other = F.coalesce(F.when(t["letter"].isNotNull(), F.coalesce(line_letter != t["letter"], line_number.isNotNull())).otherwise(line_number != t["named"]), F.lit(False))
-            return F.struct(F.lit(BEGINNING).alias("kind"), F.lit(0).alias("at"), F.when(other, 0.0).otherwise(T.dice(a, first_words)).alias("dice"), F.lit(False).alias("near"))
-
-        def of(numbered: Column) -> Column:
-            whole = F.when(numbered, scored(LINE, F.lit(0), upto_bar, numbered)).otherwise(scored(LINE, F.lit(0), b, numbered))
-            inside = F.when(F.contains(line, number) & ~numbered, F.transform(_numbers_inside(line, number), part))
-            return F.concat(F.array(whole, beginning()) if beginnings else F.array(whole), F.coalesce(inside, F.array().cast("array<struct<kind:int,at:int,dice:double,near:boolean>>")))
-
-        return F.filter(_let(starts(clean), of), lambda s: s["dice"] >= least)
-
-    raised = lambda s: F.when(s["near"], F.greatest(s["dice"], F.lit(0.9))).otherwise(s["dice"])
-    one = lambda t, p: F.transform(scores(t, F.get("lines", p["line"])), lambda s: F.struct((p["offset"] + s["at"]).alias("offset"), s["kind"].alias("kind"), raised(s).alias("score")))
-    found = F.zip_with("titles", "places", lambda t, places: F.struct(*(t[c].alias(c) for c in ("section_id", *own)), F.flatten(F.transform(places, lambda p: one(t, p))).alias("found")))
+    rows = rows.where(F.size("x.titles") > 0).select("version_id", F.explode(parts).alias("titles"), F.col("x.lines").alias("lines"), F.col("x.shown").alias("shown"))
+    asked = F.transform("titles", lambda t: F.struct(spaced(t["title"]).alias("words"), t["number"].alias("number"), t["mark"].alias("mark")))
+    rows = rows.withColumn("met", _meetings(least, beginnings)(asked, F.col("shown")))
+
+    def inside(t: Column, a: Column, line: Column, offset: Column) -> Column:
+        """A title's number inside a line, with what follows up to a bar."""
+        number, limit = t["number"], F.greatest(2 * F.size(a) + 2, F.lit(8))
+        starts = lambda text: F.startswith(text, number) & F.substring(text, F.length(number) + 1, F.lit(1)).rlike(r"^[.\s]?$")
+        scored = lambda p, sub, b: _let(T.dice(a, b), lambda dice: F.struct((offset + p).alias("offset"), F.lit(INSIDE).alias("kind"), F.when(starts(sub) & (F.size(b) <= limit) & (dice >= least), F.greatest(dice, F.lit(0.9))).otherwise(dice).alias("score")))
+        part = lambda p: _let(_let(_let(F.substring(line, p + 1, F.length(line)), _to_bar), without_tags), lambda sub: _let(T.words(sub), lambda b: scored(p, sub, b)))
+        return F.filter(_let(_numbers_inside(line, number), lambda at: F.transform(at, part)), lambda s: s["score"] >= least)
+
+    of_places = lambda t, places: _let(T.words(t["title"]), lambda a: F.flatten(F.transform(places, lambda p: inside(t, a, F.get("lines", p["line"]), p["offset"]))))
+    both = lambda t, m: F.when(F.size(m["places"]) == 0, m["found"]).otherwise(F.concat(m["found"], of_places(t, m["places"])))
+    found = F.zip_with("titles", "met", lambda t, m: F.struct(*(t[c].alias(c) for c in ("section_id", *own)), both(t, m).alias("found")))
     return rows.select("version_id", F.explode(F.filter(found, lambda t: F.size(t["found"]) > 0)).alias("x")).select("version_id", "x.*")
 
 
