@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -40,6 +41,11 @@ def specialty(column: Column) -> Column:
     return F.when(search_key(text) == STATION_KEY, F.lit(STATION_SPECIALTY)).otherwise(text)
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """A column that ``use`` makes of a value which is computed once."""
+    return F.transform(F.array(value), use)[0]
+
+
 def strip_text(column: Column) -> Column:
     """Without white space at either end."""
     return F.regexp_replace(column, r"^\s+|\s+$", "")

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -24,16 +25,26 @@ _NUMBER, _LETTER, _BLANK = r"^(\d[\d.]*)", r"^([A-Za-z])\.", r"[\s\u0085\u2028\u
 LINE, INSIDE, BEGINNING = range(3)
 
 
-def _let(value: Column, use: Callable[[Column], Column]) -> Column:
-    """A column that ``use`` makes of a value which is computed once."""
-    return F.transform(F.array(value), use)[0]
-
-
 def bare_line(line: Column) -> Column:
     """A line without tags and heading marks."""
     return T.strip_text(F.regexp_replace(F.regexp_replace(line, r"<[^>]+>", " "), r"^#{1,6}\s*", ""))
 
 
+def _without_tags(line: Column) -> Column:
+    """As ``bare_line``, but for its last marks; without patterns where there is nothing to find."""
+    marks = lambda x: F.when(F.startswith(x, F.lit("#")), F.regexp_replace(x, r"^#{1,6}", "")).otherwise(x)
+    return F.btrim(T.let(F.when(F.contains(line, F.lit("<")), F.regexp_replace(line, r"<[^>]+>", " ")).otherwise(line), marks), F.lit(" \t\n\x0b\f\r"))
+
+
+def _spaced(text: Column) -> Column:
+    """A text in lower case with a blank for what is between words."""
+    return F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}_]+", " ")
+
+
+def _words_in_order(text: Column) -> Column:
+    return F.filter(F.split(_spaced(text), " "), lambda w: w != "")
+
+
 def _to_bar(text: Column) -> Column:
     at = F.instr(text, " | ")
     return F.when(at > 1, F.substring(text, F.lit(1), at - 1)).otherwise(text)
@@ -43,7 +54,7 @@ def _numbers_inside(line: Column, number: Column) -> Column:
     """Offsets in a line at which a number begins that is not part of a longer one."""
     pattern = F.concat(F.lit(r"(?!^)(?<!\d)(?<!\d\.)\Q"), number, F.lit(r"\E(?=[.\s]|$)"))
     ends = lambda parts: F.transform(F.slice(parts, 1, F.size(parts) - 1), lambda _, k: F.aggregate(F.slice(parts, 1, k + 1), F.lit(0), lambda a, n: a + n) + k * F.length(number))
-    return _let(F.transform(F.split(line, pattern, -1), lambda x: F.length(x)), ends)
+    return T.let(F.transform(F.split(line, pattern, -1), lambda x: F.length(x)), ends)
 
 
 #: Titles of one document that meet its lines at once, and pairs of titles and words that one step holds.
@@ -232,8 +243,6 @@ def _met(titles: DataFrame, texts: DataFrame, least: float, beginnings: bool, *o
     A text meets all its titles in one row, ``TITLES_AT_ONCE`` at a time. Python gets words, numbers and letters, and scores the pairs; where a title's number
     stands inside the line, it tells the pair, and columns score what follows.
     """
-    spaced = lambda text: F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}_]+", " ")
-    words_in_order = lambda text: F.filter(F.split(spaced(text), " "), lambda w: w != "")
     # what a title and a line without its tags begin with, behind marks of a heading
     numbered = lambda text, before: F.nullif(F.regexp_replace(F.regexp_extract(text, before + _NUMBER[1:], 1), r"\.+$", ""), F.lit(""))
     marked = lambda text, before: F.coalesce(F.nullif(F.upper(F.regexp_extract(text, before + _LETTER[1:], 1)), F.lit("")), numbered(text, before)) if beginnings else F.lit(None).cast("string")
@@ -241,39 +250,34 @@ def _met(titles: DataFrame, texts: DataFrame, least: float, beginnings: bool, *o
     def title_of(t: Column) -> Column:
         return F.struct(*(t[c].alias(c) for c in ("section_id", "title", *own)), numbered(t["title"], "^ *").alias("number"), marked(t["title"], r"^ *(?:#{1,6})?\s*").alias("mark"))
 
-    def without_tags(line: Column) -> Column:
-        # as bare_line, without patterns where there is nothing to find
-        marks = lambda x: F.when(F.startswith(x, F.lit("#")), F.regexp_replace(x, r"^#{1,6}", "")).otherwise(x)
-        return F.btrim(_let(F.when(F.contains(line, F.lit("<")), F.regexp_replace(line, r"<[^>]+>", " ")).otherwise(line), marks), F.lit(" \t\n\x0b\f\r"))
-
     def line_of(line: Column, clean: Column) -> Column:
         # the words of a line without its tags, and those of its tags (a line of tags alone has none); its first number, and all its digits and points, with a blank or an x for what is between
-        tags = F.when(F.contains(line, F.lit("<")) & (clean != ""), spaced(F.array_join(F.regexp_extract_all(line, F.lit(r"<[^>]+>"), F.lit(0)), " ")))
+        tags = F.when(F.contains(line, F.lit("<")) & (clean != ""), _spaced(F.array_join(F.regexp_extract_all(line, F.lit(r"<[^>]+>"), F.lit(0)), " ")))
         head = F.when(clean.rlike("^[0-9]"), F.regexp_extract(F.concat(clean, F.lit(" ")), rf"^[0-9.]+{_BLANK}?", 0))
         digits = F.when(line.rlike("[0-9]"), F.regexp_replace(F.regexp_replace(line, rf"{_BLANK}(?<![^0-9.]{_BLANK})[^0-9.]*", " "), rf"(?!{_BLANK})[^0-9.]+", "x")).otherwise("")
-        bar = F.when(clean.rlike("^[0-9]") & F.contains(clean, F.lit(" | ")), F.size(words_in_order(_to_bar(clean))))
-        return F.struct(spaced(clean).alias("words"), tags.alias("tags"), head.alias("head"), digits.alias("digits"), bar.alias("bar"), marked(clean, "^").alias("mark"), F.length(line).alias("length"))
+        bar = F.when(clean.rlike("^[0-9]") & F.contains(clean, F.lit(" | ")), F.size(_words_in_order(_to_bar(clean))))
+        return F.struct(_spaced(clean).alias("words"), tags.alias("tags"), head.alias("head"), digits.alias("digits"), bar.alias("bar"), marked(clean, "^").alias("mark"), F.length(line).alias("length"))
 
     t = titles.groupBy("version_id").agg(F.collect_list(F.struct("section_id", "title", *own)).alias("titles"))
     rows = texts.where("text is not null").select("version_id", "text").join(t, "version_id")
-    shown = lambda lines: F.transform(lines, lambda x: _let(without_tags(x), lambda clean: line_of(x, clean)))
+    shown = lambda lines: F.transform(lines, lambda x: T.let(_without_tags(x), lambda clean: line_of(x, clean)))
     titled = F.filter(F.transform("titles", title_of), lambda t: t["title"].isNotNull())
     # arrays of one element, exploded, keep what is computed from being put into each of its uses
     rows = rows.select("version_id", F.explode(F.transform(F.array(F.split("text", "\n")), lambda lines: F.struct(titled.alias("titles"), lines.alias("lines"), shown(lines).alias("shown")))).alias("x"))
     parts = F.transform(F.sequence(F.lit(1), F.size("x.titles"), F.lit(TITLES_AT_ONCE)), lambda k: F.slice(F.col("x.titles"), k, TITLES_AT_ONCE))
     rows = rows.where(F.size("x.titles") > 0).select("version_id", F.explode(parts).alias("titles"), F.col("x.lines").alias("lines"), F.col("x.shown").alias("shown"))
-    asked = F.transform("titles", lambda t: F.struct(spaced(t["title"]).alias("words"), t["number"].alias("number"), t["mark"].alias("mark")))
+    asked = F.transform("titles", lambda t: F.struct(_spaced(t["title"]).alias("words"), t["number"].alias("number"), t["mark"].alias("mark")))
     rows = rows.withColumn("met", _meetings(least, beginnings)(asked, F.col("shown")))
 
     def inside(t: Column, a: Column, line: Column, offset: Column) -> Column:
         """A title's number inside a line, with what follows up to a bar."""
         number, limit = t["number"], F.greatest(2 * F.size(a) + 2, F.lit(8))
         starts = lambda text: F.startswith(text, number) & F.substring(text, F.length(number) + 1, F.lit(1)).rlike(r"^[.\s]?$")
-        scored = lambda p, sub, b: _let(T.dice(a, b), lambda dice: F.struct((offset + p).alias("offset"), F.lit(INSIDE).alias("kind"), F.when(starts(sub) & (F.size(b) <= limit) & (dice >= least), F.greatest(dice, F.lit(0.9))).otherwise(dice).alias("score")))
-        part = lambda p: _let(_let(_let(F.substring(line, p + 1, F.length(line)), _to_bar), without_tags), lambda sub: _let(T.words(sub), lambda b: scored(p, sub, b)))
-        return F.filter(_let(_numbers_inside(line, number), lambda at: F.transform(at, part)), lambda s: s["score"] >= least)
+        scored = lambda p, sub, b: T.let(T.dice(a, b), lambda dice: F.struct((offset + p).alias("offset"), F.lit(INSIDE).alias("kind"), F.when(starts(sub) & (F.size(b) <= limit) & (dice >= least), F.greatest(dice, F.lit(0.9))).otherwise(dice).alias("score")))
+        part = lambda p: T.let(T.let(T.let(F.substring(line, p + 1, F.length(line)), _to_bar), _without_tags), lambda sub: T.let(T.words(sub), lambda b: scored(p, sub, b)))
+        return F.filter(T.let(_numbers_inside(line, number), lambda at: F.transform(at, part)), lambda s: s["score"] >= least)
 
-    of_places = lambda t, places: _let(T.words(t["title"]), lambda a: F.flatten(F.transform(places, lambda p: inside(t, a, F.get("lines", p["line"]), p["offset"]))))
+    of_places = lambda t, places: T.let(T.words(t["title"]), lambda a: F.flatten(F.transform(places, lambda p: inside(t, a, F.get("lines", p["line"]), p["offset"]))))
     both = lambda t, m: F.when(F.size(m["places"]) == 0, m["found"]).otherwise(F.concat(m["found"], of_places(t, m["places"])))
     found = F.zip_with("titles", "met", lambda t, m: F.struct(*(t[c].alias(c) for c in ("section_id", *own)), both(t, m).alias("found")))
     return rows.select("version_id", F.explode(F.filter(found, lambda t: F.size(t["found"]) > 0)).alias("x")).select("version_id", "x.*")
@@ -295,13 +299,14 @@ def find_headings(titles: DataFrame, texts: DataFrame, score: float = SCORE, win
 def heading_only(text: Column) -> Column:
     """Whether a chunk of 500 characters at most has only lines that are headings: marked ones, or, up to 100 characters in all, ones without lower case."""
     bare = T.strip_text(F.regexp_replace(F.coalesce(text, F.lit("")), r"(?s)<a\s+id='[^']*'>.*?</a>", ""))
-    rows = F.filter(F.transform(F.split(bare, "\n"), T.strip_text), lambda x: x != "")
-    return (F.length(bare) <= 500) & (F.size(rows) > 0) & F.forall(rows, lambda x: x.rlike(r"^#{1,6}") | ((F.length(bare) <= 100) & (x == F.upper(x))))
+    rows = lambda bare: F.filter(F.transform(F.split(bare, "\n"), T.strip_text), lambda x: x != "")
+    good = lambda bare, x: F.startswith(x, F.lit("#")) | ((F.length(bare) <= 100) & (x == F.upper(x)))
+    return T.let(bare, lambda bare: (F.length(bare) <= 500) & T.let(rows(bare), lambda rows: (F.size(rows) > 0) & F.forall(rows, lambda x: good(bare, x))))
 
 
 @dataclass
 class _Node:
-    row: dict
+    level: int
     place: int | None
     candidates: list
     children: list = field(default_factory=list)
@@ -479,8 +484,8 @@ def bound_rows(nodes: DataFrame, placed: DataFrame, texts: DataFrame, node: tupl
     All that meets here is grouped by version_id alone, and of texts only candidates and lengths come: a text moves once, to its titles.
     Outlines, chunks' places and candidates go to Python many documents at once.
     """
-    found = heading_candidates(nodes.select("version_id", F.col("idx").alias("section_id"), "title"), texts, CHILD_SCORE)
-    found = found.groupBy("version_id").agg(F.collect_list(F.struct("section_id", "offset", "kind", "score")).alias("found"))
+    found = _met(nodes.select("version_id", F.col("idx").alias("section_id"), "title"), texts, CHILD_SCORE, True)
+    found = found.groupBy("version_id").agg(F.collect_list(F.struct("section_id", "found")).alias("found"))
     own = F.struct(F.col("idx").cast("int").alias("idx"), F.col("level").cast("int").alias("level"), "title", "chunk_id", *node)
     only = F.col("only") if "only" in placed.columns else heading_only(F.col("text"))
     place = F.struct("pos", "id", "start", "end", (F.length("id") + len("<a id=''></a>")).alias("anchor"), only.alias("only"), *chunk)
@@ -489,8 +494,25 @@ def bound_rows(nodes: DataFrame, placed: DataFrame, texts: DataFrame, node: tupl
 
     @F.arrow_udf("array<struct<first:int,until:int,child:int,start:int,end:int,own_end:int,score:double>>")
     def bounds(outlines: pa.Array, places: pa.Array, candidates: pa.Array, sizes: pa.Array) -> pa.Array:
-        kind = pa.list_(pa.struct([*((c, pa.int32()) for c in ("first", "until", "child", "start", "end", "own_end")), ("score", pa.float64())]))
-        return pa.array((_bounds_of(*(x.as_py() for x in row)) for row in zip(outlines, places, candidates, sizes, strict=True)), kind)
+        ends = lambda lists: np.concatenate([[0], np.cumsum(lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))]).tolist()
+        values = lambda x: x.to_pylist() if x.null_count or pa.types.is_string(x.type) else x.to_numpy(zero_copy_only=False).tolist()
+        column = lambda items, *names: [values(items.field(c)) for c in names]
+        of_titles = candidates.flatten()
+        of_found = of_titles.field("found")
+        idx, level, chunk_id = column(outlines.flatten(), "idx", "level", "chunk_id")
+        chunk_ids, *chunks = column(places.flatten(), "id", "start", "end", "anchor", "only")
+        section, found = values(of_titles.field("section_id")), list(zip(*column(of_found.flatten(), "offset", "kind", "score"), strict=True))
+        chunks, found_ends, out = list(zip(*chunks, strict=True)), ends(of_found), []
+        at = [pairwise(ends(x)) for x in (outlines, places, candidates)]
+        for (n, n_end), (c, c_end), (f, f_end), size in zip(*at, sizes.to_pylist(), strict=True):
+            met: dict[int, list] = {}
+            for k in range(f, f_end):
+                met.setdefault(section[k], []).extend(found[found_ends[k] : found_ends[k + 1]])
+            out += _bounds_of(level[n:n_end], chunk_id[n:n_end], [met.get(i, []) for i in idx[n:n_end]], chunk_ids[c:c_end], chunks[c:c_end], size)
+        names = ("first", "until", "child", "start", "end", "own_end", "score")
+        kinds = [pa.float64() if c == "score" else pa.int32() for c in names]
+        items = [pa.array(v, kind) for v, kind in zip(zip(*out, strict=True) if out else [[]] * len(names), kinds, strict=True)]
+        return pa.ListArray.from_arrays(pa.array(ends(outlines), pa.int32()), pa.StructArray.from_arrays(items, names))
 
     outline = F.transform("nodes", lambda n: F.struct(n["idx"].alias("idx"), n["level"].alias("level"), n["chunk_id"].alias("chunk_id")))
     at = F.transform("chunks", lambda c: F.struct(*(c[x].alias(x) for x in ("id", "start", "end", "anchor", "only"))))
@@ -500,17 +522,15 @@ def bound_rows(nodes: DataFrame, placed: DataFrame, texts: DataFrame, node: tupl
     return rows.select("version_id", both.alias("bounds"), "chunks")
 
 
-def _bounds_of(rows: list[dict], places: list[dict] | None, candidates: list[dict] | None, size: int | None) -> list[dict]:
-    """The bounds of one document's nodes, in their order."""
-    places, met = places or [], {}
-    for c in candidates or ():
-        met.setdefault(c["section_id"], []).append((c["offset"], c["kind"], c["score"]))
-    number = {c["id"]: k for k, c in reversed(list(enumerate(places)))}
-    doc = _Document([(c["start"], c["end"], c["anchor"], c["only"]) for c in places], size)
+def _bounds_of(levels: list[int], asked: list[str | None], candidates: list[list[tuple]], ids: list[str], chunks: list[tuple], size: int | None) -> list[tuple]:
+    """The bounds of one document's nodes, in their order: first, until, child, start, end, own end, score."""
+    number = {i: k for k, i in reversed(list(enumerate(ids)))}
+    doc = _Document(chunks, size)
     roots, open_ = [], []
-    for r in rows:
-        node = _Node(r, None, met.get(r["idx"], []), asked=number.get(r["chunk_id"]))
-        open_ = [x for x in open_ if x.row["level"] < r["level"]]
+    for level, chunk_id, found in zip(levels, asked, candidates, strict=True):
+        node = _Node(level, None, found, asked=number.get(chunk_id))
+        while open_ and open_[-1].level >= level:
+            open_.pop()
         (open_[-1].children if open_ else roots).append(node)
         open_.append(node)
     doc.level(roots, 0, len(doc.chunks))
@@ -519,7 +539,7 @@ def _bounds_of(rows: list[dict], places: list[dict] | None, candidates: list[dic
         doc.infer(root)
         for node, start, end, own in doc.spans(root):
             child = next((c.place for c in node.children if c.place is not None), None)
-            out.append({"first": node.place, "until": node.until, "child": child, "start": start, "end": end, "own_end": own, "score": 1.0 if node.exact else None})
+            out.append((node.place, node.until, child, start, end, own, 1.0 if node.exact else None))
     return out
 
 
@@ -540,19 +560,26 @@ def without_heading(text: Column, title: Column) -> Column:
 
     A heading in the last three tenths of the text counts from 0.65 on. Of a line with a colon behind the title's words only the part up to the colon is the heading.
     """
-    a, lines = T.words(title), F.split(text, "\n")
-    most = F.greatest(2 * F.size(a), F.lit(10))
-    first_words = lambda x: F.array_distinct(F.slice(F.filter(F.split(F.regexp_replace(F.lower(bare_line(x)), r"[^\p{L}\p{N}_]+", " "), " "), lambda w: w != ""), 1, most))
-    best = F.array_max(F.transform(lines, lambda x, k: F.struct(T.dice(a, first_words(x)).alias("score"), (-k).alias("back"))))
-    k = -best["back"]
-    line = F.element_at(lines, k + 1)
-    before = F.aggregate(F.slice(lines, 1, k), F.lit(0), lambda n, x: n + F.length(x) + 1)
-    end = F.least(before + F.length(line) + 1, F.length(text))
-    clean = bare_line(line)
-    colon = F.instr(clean, ":")
-    named = F.size(F.array_intersect(T.words(F.substring(clean, F.lit(1), colon - 1)), a)) >= F.greatest(F.lit(1), F.floor(F.size(a) / 2))
-    inline = (colon > 1) & (T.strip_text(F.substring(clean, colon + 1, F.length(clean))) != "") & named
-    end = F.when(inline, F.least(end, before + F.instr(line, ":"))).otherwise(end)
-    late = (before + F.length(line) + 1 > 0.70 * F.length(text)) & (best["score"] < 0.65)
-    keep = (F.size(a) == 0) | (best["score"] < 0.5) | late
-    return F.when(F.coalesce(keep, F.lit(True)), text).otherwise(F.substring(text, end + 1, F.length(text)))
+    def best(lines: Column, a: Column) -> Column:
+        most = F.greatest(2 * F.size(a), F.lit(10))
+        score = lambda x: T.let(F.array_distinct(F.slice(_words_in_order(_without_tags(x)), 1, most)), lambda b: T.dice(a, b))
+        return F.array_max(F.transform(lines, lambda x, k: F.struct(score(x).alias("score"), (-k).alias("back"))))
+
+    def cut(text: Column, lines: Column, a: Column, best: Column) -> Column:
+        k = -best["back"]
+        line = F.element_at(lines, k + 1)
+        behind = lambda before, clean: T.let(F.instr(clean, ":"), lambda colon: at_colon(before, clean, colon))
+
+        def at_colon(before: Column, clean: Column, colon: Column) -> Column:
+            end = F.least(before + F.length(line) + 1, F.length(text))
+            named = F.size(F.array_intersect(T.words(F.substring(clean, F.lit(1), colon - 1)), a)) >= F.greatest(F.lit(1), F.floor(F.size(a) / 2))
+            inline = (colon > 1) & (T.strip_text(F.substring(clean, colon + 1, F.length(clean))) != "") & named
+            end = F.when(inline, F.least(end, before + F.instr(line, ":"))).otherwise(end)
+            late = (before + F.length(line) + 1 > 0.70 * F.length(text)) & (best["score"] < 0.65)
+            return F.when(F.coalesce(late, F.lit(True)), text).otherwise(F.substring(text, end + 1, F.length(text)))
+
+        before = F.aggregate(F.slice(lines, 1, k), F.lit(0), lambda n, x: n + F.length(x) + 1)
+        return F.when(F.coalesce((F.size(a) == 0) | (best["score"] < 0.5), F.lit(True)), text).otherwise(T.let(before, lambda before: T.let(bare_line(line), lambda clean: behind(before, clean))))
+
+    found = lambda text, lines, a: T.let(best(lines, a), lambda best: cut(text, lines, a, best))
+    return T.let(text, lambda text: T.let(F.split(text, "\n"), lambda lines: T.let(T.words(title), lambda a: found(text, lines, a))))

@@ -35,7 +35,9 @@ def _anchored(texts: DataFrame) -> DataFrame:
     """(version_id, size, id, start) of every anchor, and of what is behind the last one (without an id). A text is split once, and running sums of its parts' lengths give the offsets: no part of it is sorted."""
     lengths = F.transform(F.split("text", _ANCHOR, -1), lambda x: F.length(x)).alias("n")
     zipped = F.arrays_zip(lengths, F.regexp_extract_all("text", F.lit(_ANCHOR), F.lit(1)).alias("id"))
-    parts = texts.select("version_id", F.length("text").alias("size"), F.posexplode_outer(zipped).alias("k", "x"))
+    # an array of one element, exploded, is computed once: a text's size would be computed anew for each of its anchors
+    parts = texts.select("version_id", F.explode(F.array(F.struct(F.length("text").alias("size"), zipped.alias("parts")))).alias("t"))
+    parts = parts.select("version_id", "t.size", F.posexplode_outer("t.parts").alias("k", "x"))
     n = F.col("x.n") + F.coalesce(F.length("x.id") + len("<a id=''></a>"), F.lit(0))
     before = Window.partitionBy("version_id").orderBy("k").rowsBetween(Window.unboundedPreceding, -1)
     start = F.coalesce(F.sum(n).over(before), F.lit(0)) + F.col("x.n")
