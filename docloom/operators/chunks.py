@@ -119,10 +119,14 @@ def without_attributes(text: Column) -> Column:
         return F.when(F.size(rows) < 2, "").when(named & ~described, rest).otherwise("")
 
     pattern = r"(?s)<::(.*?)::>"
-    parts, blocks = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(1))
-    out = F.array_join(F.zip_with(parts, blocks, lambda p, b: F.concat(p, F.when(b.isNull(), "").otherwise(body(b)))), "")
-    out = F.regexp_replace(F.regexp_replace(out, r"(?s)<::.*", ""), "::>", "")
-    return F.regexp_replace(out, r"\n{3,}", "\n\n")
+
+    def without(text: Column) -> Column:
+        parts, blocks = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(1))
+        out = F.array_join(F.zip_with(parts, blocks, lambda p, b: F.concat(p, F.when(b.isNull(), "").otherwise(body(b)))), "")
+        return F.regexp_replace(out, r"(?s)<::.*", "")
+
+    out = T.let(text, lambda text: F.when(F.contains(text, F.lit("<::")), without(text)).otherwise(text))
+    return F.regexp_replace(F.replace(out, F.lit("::>"), F.lit("")), r"\n{3,}", "\n\n")
 
 
 def with_boxes(sections: DataFrame, chunks: DataFrame) -> DataFrame:
@@ -203,8 +207,9 @@ def section_contents(spans: DataFrame, texts: DataFrame, noise: DataFrame, mark:
 
     s = s.select("version_id", F.explode(F.transform("spans", piece)).alias("p"))
     bare = F.replace(F.regexp_replace("p.raw", r"(?s)<a\s+id='[^']*'>.*?</a>", ""), F.lit(mark), F.lit(""))
-    content = T.strip_text(without_heading(without_attributes(bare), F.col("p.of.title")))
-    s = s.withColumn("content", content).withColumn("missing", F.filter("p.marks", lambda m: ~F.coalesce(F.col("content"), F.lit("")).contains(m)))
+    # an array of one element, exploded, is computed once, for each of the marks too
+    s = s.select("version_id", "p", F.explode(F.array(T.strip_text(without_heading(without_attributes(bare), F.col("p.of.title"))))).alias("content"))
+    s = s.withColumn("missing", F.filter("p.marks", lambda m: ~F.coalesce(F.col("content"), F.lit("")).contains(m)))
     whole = F.array_join(F.filter(F.array(F.array_join("missing", "\n\n"), F.col("content")), lambda x: x != ""), "\n\n")
     page = lambda c, at: F.when(F.col(f"p.of.{at}").isNotNull(), F.col(f"p.{c}")).cast("int").alias(c)
     own = [F.col("version_id") if c == "version_id" else F.col(f"p.of.`{c}`").alias(c) for c in spans.columns]
