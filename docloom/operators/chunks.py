@@ -49,9 +49,16 @@ def anchors(texts: DataFrame) -> DataFrame:
     return _anchored(texts).where("id is not null").groupBy("version_id", "id").agg(F.min("start").alias("start"))
 
 
+def _top() -> Column:
+    """Where a chunk's first box begins."""
+    return F.try_element_at("boxes", F.lit(1))["top"]
+
+
 def measured(chunks: DataFrame) -> DataFrame:
-    """Chunks with what the operators here ask of their texts, in place of these: ``only`` (has only headings), ``attribute`` (place of the first one), ``markup`` (has a table), ``noise_key``."""
-    asked = {"only": heading_only(F.col("text")), "attribute": F.instr("text", "<::"), "markup": F.col("text").rlike(_TABLE), "noise_key": noise_key(F.col("text"))}
+    """Chunks with what the operators here ask of their texts, in place of these: ``only`` (has only headings), ``attribute`` (place of the first one), ``markup`` (has a table), ``noise_key`` (of text that is a header or footer, where chunks tell their type and boxes)."""
+    edge = (F.col("type") == "text") & at_edge(_top()) if {"type", "boxes"} <= set(chunks.columns) else F.lit(True)
+    key = F.when(edge, noise_key(F.col("text")))
+    asked = {"only": heading_only(F.col("text")), "attribute": F.instr("text", "<::"), "markup": F.col("text").rlike(_TABLE), "noise_key": key}
     return chunks.withColumns(asked).drop("text")
 
 
@@ -81,8 +88,7 @@ def noise_intervals(placed: DataFrame, times: int = 15) -> DataFrame:
     Of a figure the part from its first attribute on goes, of a table in markup only the anchor. placed: chunks with start and end, and text or what ``measured`` has of it.
     """
     c = placed if "noise_key" in placed.columns else measured(placed)
-    top = F.try_element_at("boxes", F.lit(1))["top"]
-    c = c.withColumn("noise_key", F.when((F.col("type") == "text") & at_edge(top), F.col("noise_key")))
+    c = c.withColumn("noise_key", F.when((F.col("type") == "text") & at_edge(_top()), F.col("noise_key")))
     c = c.withColumn("n", F.count("noise_key").over(Window.partitionBy("version_id", "noise_key")))
     c = c.withColumn("often", F.max(F.col("n") >= times).over(Window.partitionBy("version_id", "id"))).where("start >= 0 and end > start")
     anchor = F.length("id") + len("<a id=''></a>")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from docloom.functions.text import strip_text
+from docloom.functions.text import let, strip_text
 
 
 def in_order(*more: Column) -> Window:
@@ -42,8 +42,8 @@ HEADER_TOP, FOOTER_TOP = 0.10, 0.85
 def noise_key(text: Column) -> Column:
     """A text without anchors and a page number before it, in lower case, white space collapsed; null if nothing or over 200 characters."""
     bare = strip_text(F.regexp_replace(F.coalesce(text, F.lit("")), r"(?s)<a\s+id='[^']*'>.*?</a>", ""))
-    key = F.lower(F.regexp_replace(strip_text(F.regexp_replace(bare, r"^\d{1,4}\s*[|/\-]\s*", "")), r"\s+", " "))
-    return F.when((F.length(bare) <= 200) & (key != ""), key)
+    key = lambda bare: F.lower(F.regexp_replace(strip_text(F.regexp_replace(bare, r"^\d{1,4}\s*[|/\-]\s*", "")), r"\s+", " "))
+    return let(bare, lambda bare: F.when(F.length(bare) <= 200, F.nullif(key(bare), F.lit(""))))
 
 
 def at_edge(top: Column) -> Column:
