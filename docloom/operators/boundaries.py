@@ -57,15 +57,15 @@ def _numbers_inside(line: Column, number: Column) -> Column:
     return T.let(F.transform(F.split(line, pattern, -1), lambda x: F.length(x)), ends)
 
 
-#: Titles of one document that meet its lines at once, and pairs of titles and words that one step holds.
-TITLES_AT_ONCE, PAIRS_AT_ONCE = 256, 1 << 21
+#: Titles of one document that meet its lines at once, pairs of titles and words that one step holds, and characters of texts that meet their titles at once.
+TITLES_AT_ONCE, PAIRS_AT_ONCE, CHARACTERS_AT_ONCE = 256, 1 << 19, 1 << 21
 
 
-def _blocks(n: np.ndarray) -> Iterator[slice]:
-    """Runs of items whose numbers add up to ``PAIRS_AT_ONCE`` at most, or of one item."""
+def _blocks(n: np.ndarray, most: int = PAIRS_AT_ONCE) -> Iterator[slice]:
+    """Runs of items whose numbers add up to ``most`` at most, or of one item."""
     ends, at = np.cumsum(n), 0
     while at < len(n):
-        upto = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + PAIRS_AT_ONCE, "right")))
+        upto = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + most, "right")))
         yield slice(at, upto)
         at = upto
 
@@ -127,8 +127,7 @@ def _meetings(least: float, beginnings: bool) -> Callable:
     """Of rows with titles and lines: for each title what it ``found``, and the ``places`` of lines that have enough words in common with it and its number inside."""
     share = least / (2 - least)
 
-    @F.arrow_udf("array<struct<found:array<struct<offset:int,kind:int,score:double>>,places:array<struct<line:int,offset:int>>>>")
-    def meet(titles: pa.Array, lines: pa.Array) -> pa.Array:
+    def few(titles: pa.Array, lines: pa.Array) -> pa.Array:
         t, x = titles.flatten(), lines.flatten()
         n_titles, n_lines = (v.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64) for v in (titles, lines))
         row_of_title, first_line = np.repeat(np.arange(len(n_titles)), n_titles), np.cumsum(n_lines) - n_lines
@@ -182,8 +181,8 @@ def _meetings(least: float, beginnings: bool) -> Callable:
         for part in _blocks(by_rare[some]):
             words = rare[_spread(first[some[part]], first[some[part] + 1] - first[some[part]])]
             pairs = _distinct(np.repeat(of_title[words], often[words]) * max(1, len(x)) + at_line[_spread(low[words], often[words])])
-            for few in _blocks(size[pairs // max(1, len(x))]):
-                title, line = np.divmod(pairs[few], max(1, len(x)))
+            for k in _blocks(size[pairs // max(1, len(x))]):
+                title, line = np.divmod(pairs[k], max(1, len(x)))
                 probe = np.repeat(line, size[title]) * v + asked[_spread(begin[title], size[title])]
                 k = np.minimum(np.searchsorted(in_line, probe), len(in_line) - 1)
                 met = in_line[k] == probe
@@ -220,6 +219,13 @@ def _meetings(least: float, beginnings: bool) -> Callable:
         places = _lists(title[rows], len(t), line=(line - first_line[row_of_title[title]])[rows].astype(np.int32), offset=offset[rows].astype(np.int32))
         return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n_titles)]), pa.int32()), pa.StructArray.from_arrays([out, places], ["found", "places"]))
 
+    @F.arrow_udf("array<struct<found:array<struct<offset:int,kind:int,score:double>>,places:array<struct<line:int,offset:int>>>>")
+    def meet(titles: pa.Array, lines: pa.Array) -> pa.Array:
+        upto = np.cumsum(np.concatenate([[0], lines.flatten().field("length").to_numpy(zero_copy_only=False) + 1]))
+        size = np.diff(upto[np.cumsum(np.concatenate([[0], lines.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)]))])
+        parts = [few(titles[part], lines[part]) for part in _blocks(size, CHARACTERS_AT_ONCE)]
+        return pa.concat_arrays(parts) if parts else few(titles, lines)
+
     return meet
 
 
